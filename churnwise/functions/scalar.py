@@ -99,3 +99,8 @@ def explanation_text(label, value, contribution) -> Column:
     """``"{label} = {value:.1f} (increases|decreases churn risk)"``."""
     direction = F.when(_c(contribution) > 0, "increases").otherwise("decreases")
     return F.format_string("%s = %.1f (%s churn risk)", _c(label), _c(value), direction)
+
+
+def mean_exact(c) -> Column:
+    """Mean of a value with at most six decimals, independent of row order."""
+    return F.sum(money(c)).cast("double") / F.count(_c(c))

@@ -97,8 +97,8 @@ def merge_orders(t: OrderTables) -> DataFrame:
                     "n_items", "total_freight", "n_unique_categories"))
 
 
-def clean_orders(master: DataFrame, rank_buckets: int = 64) -> DataFrame:
-    """F1-F7 on the merged frame.
+def keep_orders(master: DataFrame) -> DataFrame:
+    """Delivered, trackable person, dates parsed, positive payment.
 
     Filters on order columns sit above the left joins; Catalyst pushes the
     status filter into the order scan, and the not-null / positive filters on
@@ -110,9 +110,19 @@ def clean_orders(master: DataFrame, rank_buckets: int = 64) -> DataFrame:
     for c in DATE_COLUMNS:                                               # F3
         if c in types and types[c] == "string":
             df = df.withColumn(c, parse_ts(c))
-    df = df.filter(F.col("total_payment") > 0)                           # F4
-    median = exact_quantile_value(df, "review_score", 0.5, rank_buckets)  # F5 (scalar subquery)
-    df = df.withColumn("review_score", F.coalesce(F.col("review_score"), median))
+    return df.filter(F.col("total_payment") > 0)                         # F4
+
+
+def finish_clean(kept: DataFrame, rank_buckets: int = 64) -> DataFrame:
+    """Median review fill, count / freight fills, delivery delay.
+
+    The median is a global statistic of ``kept``; it enters the plan as a
+    scalar subquery, so ``kept`` should be a materialised stage (see
+    :func:`churnwise.plans.batch.order_stage`) rather than a long lineage.
+    """
+    types = dict(kept.dtypes)
+    median = exact_quantile_value(kept, "review_score", 0.5, rank_buckets)  # F5
+    df = kept.withColumn("review_score", F.coalesce(F.col("review_score"), median))
     df = df.withColumns({                                                # F6
         "n_items": F.coalesce(F.col("n_items"), F.lit(1)).cast(T.IntegerType()),
         "total_freight": F.coalesce(F.col("total_freight"), F.lit(0.0)),
@@ -122,3 +132,8 @@ def clean_orders(master: DataFrame, rank_buckets: int = 64) -> DataFrame:
         delay = day_diff("order_delivered_customer_date", "order_estimated_delivery_date")
         df = df.withColumn("delivery_delay_days", F.coalesce(delay, F.lit(0)))
     return df
+
+
+def clean_orders(master: DataFrame, rank_buckets: int = 64) -> DataFrame:
+    """F1-F7 on the merged frame, fully lazy."""
+    return finish_clean(keep_orders(master), rank_buckets)

@@ -1,18 +1,79 @@
-"""Composed runs over the order tables (R1; the model runs build on it)."""
+"""Composed runs over the order tables (R1) and the checkable score stand-ins.
+
+``proxy_scores`` fills the model columns (probability, class, cluster,
+segment, predicted value) with fixed formulas of the features, so that every
+report operator can be checked against SQL; the model runs in
+:mod:`churnwise.plans.models` fill the same columns from Spark ML.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from churnwise import config
 from churnwise.config import Params
-from churnwise.operators import features, orders
+from churnwise.functions.scalar import round_half_even
+from churnwise.operators import actions, clv, features, orders, segments
+from churnwise.session import cut_lineage
 from churnwise.sources.tables import OrderTables
 
+TS = "order_purchase_timestamp"
+
 
 def clean_order_frame(t: OrderTables, params: Params = Params()) -> DataFrame:
+    """Merged and cleaned orders as one lazy plan (no materialisation)."""
     return orders.clean_orders(orders.merge_orders(t), params.rank_buckets)
 
 
-def run_data(t: OrderTables, params: Params = Params()) -> DataFrame:
+def order_stage(t: OrderTables, params: Params = Params(), cut: bool = True) -> DataFrame:
+    """Merged, filtered orders written to the checkpoint folder, then the
+    median fill on top.  The median, the cutoff and the feature aggregate all
+    read the written stage instead of replaying the five-table merge."""
+    kept = orders.keep_orders(orders.merge_orders(t))
+    if cut:
+        kept = cut_lineage(kept)
+    return orders.finish_clean(kept, params.rank_buckets)
+
+
+def feature_stage(clean: DataFrame, params: Params = Params(), cut: bool = True) -> DataFrame:
+    f = features.customer_features(clean, params.horizon_days)
+    return cut_lineage(f) if cut else f
+
+
+def run_data(t: OrderTables, params: Params = Params(), cut: bool = True) -> DataFrame:
     """Load -> merge -> clean -> customer features with labels."""
-    return features.customer_features(clean_order_frame(t, params), params.horizon_days)
+    return feature_stage(order_stage(t, params, cut), params, cut)
+
+
+def run_time(clean: DataFrame):
+    """The run's reference time: last purchase + 1 day (stands in for the clock)."""
+    from churnwise.functions.scalar import add_days
+    return add_days(clean.agg(F.max(TS)).scalar(), 1)
+
+
+def proxy_scores(feat: DataFrame, params: Params = Params(), cut: bool = False) -> DataFrame:
+    """Stand-in model columns (named as proxies, never presented as models):
+
+    * probability = min(1, recency / 365), 4 places; class = raw score > 0.5
+    * cluster     = min(k - 1, floor(recency / 180))
+    * segment     = quartile of the monetary percentile
+    * predicted   = monetary / frequency, clipped at 0, 2 places
+    """
+    raw = F.least(F.lit(1.0), F.col("recency") / 365.0)
+    df = feat.withColumns({
+        "churn_probability": round_half_even(raw, 4),
+        "churn_prediction": (raw > 0.5).cast("int"),
+        "cluster": F.least(F.lit(params.n_clusters - 1), F.floor(F.col("recency") / 180)).cast("int"),
+        "predicted_clv": clv.clip_and_round(F.col("monetary") / F.col("frequency")),
+    })
+    df = actions.add_monetary_percentile(df, params.rank_buckets)
+    df = df.withColumn("segment", segments.rule_segment())
+    df = actions.add_action(df)
+    if cut:
+        df = cut_lineage(df)
+    df = clv.add_clv_tier(df, buckets=params.rank_buckets)
+    return cut_lineage(df) if cut else df
+
+
+__all__ = ["clean_order_frame", "run_data", "run_time", "proxy_scores", "config"]

@@ -166,3 +166,249 @@ SQL["feature_matrix"] = w() + "SELECT * FROM features"
 SQL["churn_labels"] = w() + ("SELECT customer_unique_id, target_purchases, target_revenue, churned, clv_target "
                              "FROM features")
 SQL["target_outcomes"] = w() + "SELECT customer_unique_id, target_purchases, target_revenue FROM tagg"
+
+
+def quantiles_sql(src: str, val: str, probs, names, groups=()) -> str:
+    """Linear-interpolation percentiles (numpy default) per group, written
+    out with row positions so the double arithmetic is explicit."""
+    g = list(groups)
+    gsel = "".join(f"{x}, " for x in g)
+    part = f"PARTITION BY {', '.join(g)} " if g else ""
+    cols = []
+    for p, nm in zip(probs, names):
+        h = f"((n - 1) * CAST({p!r} AS DOUBLE))"
+        lo = f"MAX(CASE WHEN pos = CAST(floor({h}) AS BIGINT) THEN v END)"
+        hi = f"MAX(CASE WHEN pos = LEAST(CAST(floor({h}) AS BIGINT) + 1, n - 1) THEN v END)"
+        fr = f"MAX({h} - floor({h}))"
+        cols.append(f"{lo} + {fr} * ({hi} - {lo}) AS {nm}")
+    gb = f" GROUP BY {', '.join(g)}" if g else ""
+    return (f"(SELECT {gsel}{', '.join(cols)} FROM ("
+            f"SELECT {gsel}{val} AS v, row_number() OVER ({part}ORDER BY {val}) - 1 AS pos, "
+            f"COUNT(*) OVER ({part.strip()}) AS n FROM {src} WHERE {val} IS NOT NULL){gb})")
+
+
+SCORED = [
+    """scored0 AS (
+  SELECT f.*,
+         round_even(LEAST(CAST(1.0 AS DOUBLE), f.recency / CAST(365.0 AS DOUBLE)) * 10000, 0) / 10000
+           AS churn_probability,
+         CAST(LEAST(CAST(1.0 AS DOUBLE), f.recency / CAST(365.0 AS DOUBLE)) > 0.5 AS INTEGER) AS churn_prediction,
+         CAST(LEAST(3, floor(f.recency / 180)) AS INTEGER) AS cluster,
+         round_even(GREATEST(f.monetary / f.frequency, CAST(0.0 AS DOUBLE)) * 100, 0) / 100 AS predicted_clv
+  FROM features f)""",
+    """mpos AS (SELECT monetary, COUNT(*) AS cnt FROM scored0 WHERE monetary IS NOT NULL GROUP BY monetary)""",
+    """mpct AS (
+  SELECT monetary,
+         (SUM(cnt) OVER (ORDER BY monetary ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - cnt
+          + (cnt + 1) / CAST(2.0 AS DOUBLE)) / SUM(cnt) OVER () AS monetary_percentile
+  FROM mpos)""",
+    """scored1 AS (
+  SELECT s.*, p.monetary_percentile,
+         CASE WHEN p.monetary_percentile > 0.75 THEN 'Champions' WHEN p.monetary_percentile > 0.5 THEN 'Loyalists'
+              WHEN p.monetary_percentile > 0.25 THEN 'At-Risk' ELSE 'Hibernating' END AS segment,
+         CASE WHEN p.monetary_percentile >= 0.5 AND s.churn_probability >= 0.5 THEN 'SAVE_NOW'
+              WHEN p.monetary_percentile < 0.5 AND s.churn_probability >= 0.5 THEN 'LET_GO'
+              WHEN p.monetary_percentile >= 0.5 AND s.churn_probability < 0.5 THEN 'NURTURE'
+              ELSE 'MONITOR' END AS action
+  FROM scored0 s LEFT JOIN mpct p ON s.monetary = p.monetary)""",
+    "thr AS " + quantiles_sql("scored1", "predicted_clv", [0.95, 0.8, 0.5], ["platinum", "gold", "silver"]),
+    """scored AS (
+  SELECT s.*, CASE WHEN s.predicted_clv >= t.platinum THEN 'Platinum' WHEN s.predicted_clv >= t.gold THEN 'Gold'
+                   WHEN s.predicted_clv >= t.silver THEN 'Silver' ELSE 'Bronze' END AS clv_tier
+  FROM scored1 s, thr t)""",
+]
+
+
+def ws(*ctes: str) -> str:
+    return w(*SCORED, *ctes)
+
+
+LIST = ("customer_unique_id, segment, recency, frequency, monetary, avg_review_score, "
+        "churn_probability, action")
+
+SQL["monetary_percentile"] = ws() + "SELECT customer_unique_id, monetary, monetary_percentile FROM scored"
+SQL["action_matrix"] = ws() + ("SELECT customer_unique_id, monetary, churn_probability, monetary_percentile, "
+                               "segment, action FROM scored")
+SQL["action_distribution"] = ws() + f"""
+SELECT a.action, COALESCE(c.cnt, 0) AS count,
+       {r('COALESCE(c.cnt, 0) / CAST((SELECT COUNT(*) FROM scored) AS DOUBLE) * 100', 1)} AS pct
+FROM (SELECT unnest(['SAVE_NOW', 'LET_GO', 'NURTURE', 'MONITOR']) AS action) a
+LEFT JOIN (SELECT action, COUNT(*) AS cnt FROM scored GROUP BY action) c ON a.action = c.action"""
+SQL["clv_thresholds"] = ws() + "SELECT platinum, gold, silver FROM thr"
+SQL["clv_tiers"] = ws() + "SELECT customer_unique_id, predicted_clv, clv_tier FROM scored"
+SQL["tier_table"] = ws() + """
+SELECT 0 AS tier_rank, 'Platinum' AS tier, 'Top 5%' AS share, platinum AS threshold FROM thr
+UNION ALL SELECT 1, 'Gold', 'Top 20%', gold FROM thr
+UNION ALL SELECT 2, 'Silver', 'Top 50%', silver FROM thr
+UNION ALL SELECT 3, 'Bronze', 'Bottom 50%', CAST(0.0 AS DOUBLE) FROM thr"""
+SQL["segment_distribution"] = ws() + "SELECT segment, COUNT(*) AS count FROM scored GROUP BY segment"
+SQL["tier_distribution"] = ws() + "SELECT clv_tier, COUNT(*) AS count FROM scored GROUP BY clv_tier"
+SQL["share_by_segment"] = ws() + ("SELECT segment, COUNT(*) AS count, COUNT(*) / CAST((SELECT COUNT(*) FROM scored) "
+                                  "AS DOUBLE) AS share FROM scored GROUP BY segment")
+SQL["share_by_tier"] = ws() + ("SELECT clv_tier, COUNT(*) AS count, COUNT(*) / CAST((SELECT COUNT(*) FROM scored) "
+                               "AS DOUBLE) AS share FROM scored GROUP BY clv_tier")
+SQL["segment_summary"] = ws() + f"""
+SELECT segment, COUNT(customer_unique_id) AS customer_count,
+       {r('AVG(recency)')} AS avg_recency, {r('AVG(frequency)')} AS avg_frequency,
+       {r(msum('monetary') + ' / COUNT(monetary)')} AS avg_monetary,
+       {r(msum('avg_review_score') + ' / COUNT(avg_review_score)')} AS avg_review_score,
+       {r('AVG(churned) * 100', 1)} AS churn_rate
+FROM scored GROUP BY segment"""
+SQL["rank_and_name_groups"] = ws(f"""csum AS (
+  SELECT cluster, AVG(recency) AS mean_recency, AVG(frequency) AS mean_frequency,
+         {msum('monetary')} / COUNT(monetary) AS mean_monetary, COUNT(*) AS count
+  FROM scored GROUP BY cluster)""", """cscore AS (
+  SELECT *, (rank() OVER (ORDER BY mean_monetary) + (COUNT(*) OVER (PARTITION BY mean_monetary) - 1) / 2.0)
+          + (rank() OVER (ORDER BY mean_frequency) + (COUNT(*) OVER (PARTITION BY mean_frequency) - 1) / 2.0)
+          + (rank() OVER (ORDER BY mean_recency DESC) + (COUNT(*) OVER (PARTITION BY mean_recency) - 1) / 2.0)
+          AS score
+  FROM csum)""") + """
+SELECT cluster, mean_recency, mean_frequency, mean_monetary, count, CAST(score AS DOUBLE) AS score,
+       ['Champions', 'Loyalists', 'At-Risk', 'Hibernating']
+         [row_number() OVER (ORDER BY score DESC, mean_monetary DESC, cluster)] AS segment
+FROM cscore"""
+CONF = "confusion AS (SELECT COUNT(*) FILTER (WHERE churned = 0 AND churn_prediction = 0) AS tn, " \
+       "COUNT(*) FILTER (WHERE churned = 0 AND churn_prediction = 1) AS fp, " \
+       "COUNT(*) FILTER (WHERE churned = 1 AND churn_prediction = 0) AS fn, " \
+       "COUNT(*) FILTER (WHERE churned = 1 AND churn_prediction = 1) AS tp FROM scored)"
+
+
+def dv(a: str, b: str) -> str:
+    return f"(CASE WHEN ({b}) > 0 THEN ({a}) / CAST(({b}) AS DOUBLE) ELSE 0.0 END)"
+
+
+SQL["confusion_counts"] = ws(CONF) + "SELECT tn, fp, fn, tp FROM confusion"
+SQL["threshold_metrics"] = ws(CONF) + f"""
+SELECT {r(dv('tp + tn', 'tn + fp + fn + tp'), 4)} AS accuracy, {r(dv('2 * tp', '2 * tp + fn + fp'), 4)} AS f1_score,
+       {r(dv('tp', 'tp + fp'), 4)} AS precision, {r(dv('tp', 'tp + fn'), 4)} AS recall
+FROM confusion"""
+_P0, _R0, _F0 = dv('tn', 'tn + fn'), dv('tn', 'tn + fp'), dv('2 * tn', '2 * tn + fp + fn')
+_P1, _R1, _F1 = dv('tp', 'tp + fp'), dv('tp', 'tp + fn'), dv('2 * tp', '2 * tp + fn + fp')
+_ACC = dv('tn + tp', 'tn + fp + fn + tp')
+SQL["classification_report"] = ws(CONF) + f"""
+SELECT '0' AS class, {r(_P0, 4)} AS precision, {r(_R0, 4)} AS recall, {r(_F0, 4)} AS f1_score,
+       CAST(tn + fp AS BIGINT) AS support FROM confusion
+UNION ALL SELECT '1', {r(_P1, 4)}, {r(_R1, 4)}, {r(_F1, 4)}, CAST(tp + fn AS BIGINT) FROM confusion
+UNION ALL SELECT 'accuracy', {r(_ACC, 4)}, {r(_ACC, 4)}, {r(_ACC, 4)}, CAST(tn + fp + fn + tp AS BIGINT) FROM confusion
+UNION ALL SELECT 'macro avg', {r(f'({_P0} + {_P1}) / 2', 4)}, {r(f'({_R0} + {_R1}) / 2', 4)},
+       {r(f'({_F0} + {_F1}) / 2', 4)}, CAST(tn + fp + fn + tp AS BIGINT) FROM confusion
+UNION ALL SELECT 'weighted avg', {r(dv(f'{_P0} * (tn + fp) + {_P1} * (tp + fn)', 'tn + fp + fn + tp'), 4)},
+       {r(dv(f'{_R0} * (tn + fp) + {_R1} * (tp + fn)', 'tn + fp + fn + tp'), 4)},
+       {r(dv(f'{_F0} * (tn + fp) + {_F1} * (tp + fn)', 'tn + fp + fn + tp'), 4)},
+       CAST(tn + fp + fn + tp AS BIGINT) FROM confusion"""
+SQL["error_analysis"] = ws() + f"""
+SELECT k.error_type, COALESCE(a.n, 0) AS n, {r('a.avg_recency', 1)} AS avg_recency,
+       {r('a.avg_frequency', 1)} AS avg_frequency
+FROM (SELECT unnest(['false_negative', 'false_positive']) AS error_type) k
+LEFT JOIN (
+  SELECT CASE WHEN churned = 1 AND churn_prediction = 0 THEN 'false_negative' ELSE 'false_positive' END AS error_type,
+         COUNT(*) AS n, AVG(recency) AS avg_recency, AVG(frequency) AS avg_frequency
+  FROM scored WHERE churned <> churn_prediction GROUP BY 1) a ON k.error_type = a.error_type"""
+_E = "(CAST(clv_target AS DECIMAL(18,2)) - CAST(predicted_clv AS DECIMAL(18,2)))"
+_Y = "CAST(clv_target AS DECIMAL(18,2))"
+SQL["regression_metrics"] = ws(f"""rs AS (
+  SELECT COUNT(*) AS n, CAST(SUM(ABS({_E})) AS DOUBLE) AS sae, CAST(SUM({_E} * {_E}) AS DOUBLE) AS sse,
+         CAST(SUM({_Y}) AS DOUBLE) AS sy, CAST(SUM({_Y} * {_Y}) AS DOUBLE) AS syy,
+         CAST(SUM(CAST(predicted_clv AS DECIMAL(18,2))) AS DOUBLE) AS sp
+  FROM scored)""", "pmed AS " + quantiles_sql("scored", "predicted_clv", [0.5], ["m"])) + f"""
+SELECT {r('sae / n')} AS mae, {r('sqrt(sse / n)')} AS rmse,
+       {r('CASE WHEN syy - sy * sy / n > 0 THEN 1 - sse / (syy - sy * sy / n) WHEN sse = 0 THEN 1.0 ELSE 0.0 END', 4)}
+         AS r2_score,
+       {r('(SELECT m FROM pmed)')} AS median_predicted_clv, {r('sp / n')} AS mean_predicted_clv
+FROM rs"""
+SQL["dashboard_kpis"] = ws() + f"""
+SELECT COUNT(*) AS total_customers, {r(msum('monetary'))} AS total_revenue,
+       {r(msum('avg_order_value') + ' / COUNT(avg_order_value)')} AS avg_order_value,
+       {r('AVG(churned) * 100', 1)} AS churn_rate
+FROM scored"""
+SQL["clv_stats"] = ws("pmed AS " + quantiles_sql("scored", "predicted_clv", [0.5], ["m"])) + f"""
+SELECT {r(msum('predicted_clv') + ' / COUNT(predicted_clv)')} AS mean_clv, {r('(SELECT m FROM pmed)')} AS median_clv,
+       {r(msum('predicted_clv'))} AS total_predicted_value
+FROM scored"""
+
+
+def hist_sql(group: bool) -> str:
+    g = "segment, " if group else ""
+    keys = ("(SELECT DISTINCT segment FROM scored) s, " if group else "")
+    return ws("""rng AS (SELECT MIN(churn_probability) AS mn, MAX(churn_probability) AS mx FROM scored)""",
+              """ax AS (
+  SELECT CASE WHEN mn = mx THEN mn - (CASE WHEN mn <> 0 THEN abs(mn) * 0.001 ELSE 0.001 END) ELSE mn END AS lo,
+         CASE WHEN mn = mx THEN mx + (CASE WHEN mx <> 0 THEN abs(mx) * 0.001 ELSE 0.001 END) ELSE mx END AS hi,
+         mn = mx AS same FROM rng)""",
+              f"""edges AS (
+  SELECT i, CASE WHEN i = 0 AND NOT same THEN lo - (hi - lo) * 0.001 WHEN i = 0 THEN lo
+                 WHEN i = {config.HIST_BINS} THEN hi
+                 ELSE CAST(i AS DOUBLE) * ((hi - lo) / CAST({config.HIST_BINS} AS DOUBLE)) + lo END AS e
+  FROM ax, range(0, {config.HIST_BINS + 1}) t(i))""",
+              f"""binned AS (
+  SELECT {g}(SELECT COUNT(*) FROM edges WHERE e < churn_probability) - 1 AS bin_index
+  FROM scored WHERE churn_probability IS NOT NULL)""") + f"""
+SELECT {'s.segment, ' if group else ''}CAST(b.i AS INTEGER) AS bin_index, {r('(b.e + b2.e) * 0.5')} AS bin, COALESCE(c.cnt, 0) AS count
+FROM {keys}edges b JOIN edges b2 ON b2.i = b.i + 1
+LEFT JOIN (SELECT {g}bin_index, COUNT(*) AS cnt FROM binned GROUP BY ALL) c
+  ON c.bin_index = b.i {'AND c.segment = s.segment' if group else ''}
+WHERE b.i < {config.HIST_BINS}"""
+
+
+SQL["churn_histogram"] = hist_sql(False)
+SQL["churn_histogram_by_segment"] = hist_sql(True)
+SQL["rfm_box_stats"] = ws("""longv AS (
+  SELECT segment, 'recency' AS metric, CAST(recency AS DOUBLE) AS value FROM scored
+  UNION ALL SELECT segment, 'frequency', CAST(frequency AS DOUBLE) FROM scored
+  UNION ALL SELECT segment, 'monetary', CAST(monetary AS DOUBLE) FROM scored)""") + \
+    "SELECT * FROM " + quantiles_sql("longv", "value", [0.0, 0.25, 0.5, 0.75, 1.0],
+                                     ["min", "q1", "median", "q3", "max"], ["segment", "metric"])
+SQL["quadrant_lines"] = ws() + "SELECT * FROM " + quantiles_sql(
+    "scored", "monetary", [0.5, 0.95], ["monetary_median", "monetary_p95"])
+SQL["top_clv"] = ws() + ("SELECT customer_unique_id, predicted_clv, clv_tier, segment, churn_probability, monetary, "
+                         "frequency, action FROM scored ORDER BY predicted_clv DESC, customer_unique_id LIMIT 20")
+SQL["segment_drilldown"] = ws() + f"SELECT {LIST} FROM scored ORDER BY monetary DESC, customer_unique_id LIMIT 100"
+SQL["segment_drilldown_champions"] = ws() + (f"SELECT {LIST} FROM scored WHERE segment = 'Champions' "
+                                             "ORDER BY monetary DESC, customer_unique_id LIMIT 100")
+SQL["customer_list"] = ws() + f"SELECT {LIST} FROM scored ORDER BY customer_unique_id LIMIT 500"
+SQL["scatter_points"] = ws() + """
+SELECT action, LEAST(monetary, CAST(2000.0 AS DOUBLE)) AS x, monetary AS actual_x, churn_probability AS y,
+       substring(customer_unique_id, 1, 8) AS id, segment
+FROM (SELECT *, row_number() OVER (PARTITION BY action ORDER BY customer_unique_id) AS rn
+      FROM (SELECT * FROM scored ORDER BY customer_unique_id LIMIT 2000))
+WHERE rn <= 120"""
+SQL["export_action"] = ws() + ("SELECT customer_unique_id, segment, churn_probability, monetary, recency, frequency, "
+                               "avg_review_score, action FROM scored WHERE action = 'SAVE_NOW'")
+_EXP = ("customer_unique_id, segment, churned, churn_prediction, churn_probability, action, predicted_clv, clv_tier, "
+        "monetary, frequency, recency, avg_review_score, avg_delivery_delay")
+SQL["export_customers"] = ws() + f"SELECT {_EXP} FROM scored"
+SQL["export_customers_filtered"] = ws() + (f"SELECT {_EXP} FROM scored WHERE churn_prediction = 1 "
+                                           "AND upper(segment) = 'CHAMPIONS'")
+_ELIG = ("action IN ('SAVE_NOW', 'NURTURE') AND (action <> 'SAVE_NOW' OR churn_probability >= 0.85) "
+         "AND predicted_clv >= 100.0")
+_EVENTS = f"""events_out AS (
+  SELECT customer_unique_id AS customer_id, action,
+         CASE action WHEN 'SAVE_NOW' THEN 'email' ELSE 'email' END AS channel,
+         CASE action WHEN 'SAVE_NOW' THEN 'win_back_vip' ELSE 'loyalty_reward' END AS template,
+         CASE action WHEN 'SAVE_NOW' THEN 'We miss you! Here''s 20% off your next order 💜'
+              ELSE 'You''re a star ⭐ Unlock early access to new arrivals!' END AS subject,
+         CASE action WHEN 'SAVE_NOW' THEN 20 ELSE 0 END AS discount_pct,
+         CASE action WHEN 'SAVE_NOW' THEN 'HIGH' ELSE 'LOW' END AS urgency,
+         {r('churn_probability', 4)} AS churn_probability, {r('predicted_clv')} AS predicted_clv,
+         COALESCE(segment, 'Unknown') AS segment,
+         strftime((SELECT max(order_purchase_timestamp) FROM clean) + INTERVAL 1 DAY, '%Y-%m-%dT%H:%M:%S') AS timestamp,
+         'SIMULATED' AS status
+  FROM scored WHERE {_ELIG})"""
+SQL["activation_events"] = ws(_EVENTS) + "SELECT * FROM events_out"
+SQL["recent_activations"] = ws(_EVENTS) + "SELECT * FROM events_out ORDER BY customer_id LIMIT 50"
+SQL["activation_summary"] = ws(f"""act AS (
+  SELECT COUNT(*) AS total_evaluated,
+         COUNT(*) FILTER (WHERE {_ELIG}) AS total_activated,
+         COUNT(*) FILTER (WHERE {_ELIG} AND action = 'SAVE_NOW') AS save_now_fired,
+         COUNT(*) FILTER (WHERE {_ELIG} AND action = 'NURTURE') AS nurture_fired,
+         COALESCE(CAST(SUM(CASE WHEN {_ELIG} AND action = 'SAVE_NOW'
+                           THEN CAST(predicted_clv AS DECIMAL(38,6)) * 20 / 100 END) AS DOUBLE), 0.0) AS budget
+  FROM scored)""") + f"""
+SELECT total_evaluated, total_activated, save_now_fired, nurture_fired, {r('budget')} AS estimated_discount_budget,
+       CASE WHEN total_evaluated > 0 THEN {r('total_activated / CAST(total_evaluated AS DOUBLE) * 100', 1)}
+            ELSE 0.0 END AS activation_rate_pct,
+       CASE WHEN total_activated > 0 THEN {r('save_now_fired / CAST(total_activated AS DOUBLE) * 100', 1)}
+            ELSE 0.0 END AS save_now_share_pct,
+       CASE WHEN total_activated > 0 THEN {r('nurture_fired / CAST(total_activated AS DOUBLE) * 100', 1)}
+            ELSE 0.0 END AS nurture_share_pct
+FROM act"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from churnwise.config import Params
-from churnwise.operators import features, orders
+from churnwise.operators import actions, clv, evaluation, features, histogram, orders, reports, segments
 from churnwise.plans import batch
 from churnwise.sources.testdata import load_test_tables
 
@@ -22,8 +22,23 @@ def query(name: str):
     return deco
 
 
+_MEMO: dict = {}
+
+
+def _memo(spark, sf, name, build):
+    """Stage outputs are checkpointed once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _MEMO:
+        _MEMO[key] = build()
+    return _MEMO[key]
+
+
 def _clean(spark, sf):
-    return batch.clean_order_frame(load_test_tables(spark, sf))
+    return _memo(spark, sf, "clean", lambda: batch.order_stage(load_test_tables(spark, sf)))
+
+
+def _features(spark, sf):
+    return _memo(spark, sf, "features", lambda: batch.feature_stage(_clean(spark, sf)))
 
 
 @query("payments_per_order")
@@ -69,17 +84,17 @@ def q_split(spark, sf):
 
 @query("feature_matrix")
 def q_feature_matrix(spark, sf):
-    return batch.run_data(load_test_tables(spark, sf))
+    return _features(spark, sf)
 
 
 @query("customer_features")
 def q_features(spark, sf):
-    return features.customer_features(_clean(spark, sf), with_labels=False)
+    return _features(spark, sf).drop("target_purchases", "target_revenue", "churned", "clv_target")
 
 
 @query("churn_labels")
 def q_labels(spark, sf):
-    return (batch.run_data(load_test_tables(spark, sf))
+    return (_features(spark, sf)
             .select("customer_unique_id", "target_purchases", "target_revenue", "churned", "clv_target"))
 
 
@@ -88,5 +103,184 @@ def q_targets(spark, sf):
     return features.target_outcomes(_clean(spark, sf))
 
 
+def _scored(spark, sf):
+    return _memo(spark, sf, "scored", lambda: batch.proxy_scores(_features(spark, sf), cut=True))
+
+
+@query("monetary_percentile")
+def q_pct(spark, sf):
+    return _scored(spark, sf).select("customer_unique_id", "monetary", "monetary_percentile")
+
+
+@query("action_matrix")
+def q_action_matrix(spark, sf):
+    return _scored(spark, sf).select("customer_unique_id", "monetary", "churn_probability",
+                                     "monetary_percentile", "segment", "action")
+
+
+@query("action_distribution")
+def q_action_dist(spark, sf):
+    return actions.action_distribution(_scored(spark, sf))
+
+
+@query("clv_thresholds")
+def q_clv_thresholds(spark, sf):
+    return clv.clv_thresholds(_scored(spark, sf))
+
+
+@query("clv_tiers")
+def q_clv_tiers(spark, sf):
+    return _scored(spark, sf).select("customer_unique_id", "predicted_clv", "clv_tier")
+
+
+@query("tier_table")
+def q_tier_table(spark, sf):
+    return clv.tier_table(_scored(spark, sf))
+
+
+@query("segment_distribution")
+def q_seg_dist(spark, sf):
+    return reports.value_counts(_scored(spark, sf), "segment")
+
+
+@query("tier_distribution")
+def q_tier_dist(spark, sf):
+    return reports.value_counts(_scored(spark, sf), "clv_tier")
+
+
+@query("share_by_segment")
+def q_share_seg(spark, sf):
+    return reports.share_of_total(_scored(spark, sf), "segment")
+
+
+@query("share_by_tier")
+def q_share_tier(spark, sf):
+    return reports.share_of_total(_scored(spark, sf), "clv_tier")
+
+
+@query("segment_summary")
+def q_seg_summary(spark, sf):
+    return segments.segment_summary(_scored(spark, sf))
+
+
+@query("rank_and_name_groups")
+def q_name_groups(spark, sf):
+    return segments.name_clusters(segments.cluster_summary(_scored(spark, sf)))
+
+
+@query("confusion_counts")
+def q_confusion(spark, sf):
+    return evaluation.confusion_counts(_scored(spark, sf))
+
+
+@query("threshold_metrics")
+def q_threshold_metrics(spark, sf):
+    return evaluation.threshold_metrics(_scored(spark, sf))
+
+
+@query("classification_report")
+def q_class_report(spark, sf):
+    return evaluation.classification_report(_scored(spark, sf))
+
+
+@query("error_analysis")
+def q_error_analysis(spark, sf):
+    return evaluation.error_analysis(_scored(spark, sf))
+
+
+@query("regression_metrics")
+def q_regression(spark, sf):
+    return evaluation.regression_metrics(_scored(spark, sf))
+
+
+@query("dashboard_kpis")
+def q_kpis(spark, sf):
+    return reports.dashboard_kpis(_scored(spark, sf))
+
+
+@query("clv_stats")
+def q_clv_stats(spark, sf):
+    return reports.clv_stats(_scored(spark, sf))
+
+
+@query("churn_histogram")
+def q_hist(spark, sf):
+    return histogram.histogram(_scored(spark, sf), "churn_probability")
+
+
+@query("churn_histogram_by_segment")
+def q_hist_seg(spark, sf):
+    return histogram.histogram(_scored(spark, sf), "churn_probability", group_cols=["segment"])
+
+
+@query("rfm_box_stats")
+def q_box(spark, sf):
+    return reports.rfm_box_stats(_scored(spark, sf))
+
+
+@query("quadrant_lines")
+def q_quadrant(spark, sf):
+    return reports.quadrant_lines(_scored(spark, sf))
+
+
+@query("top_clv")
+def q_top_clv(spark, sf):
+    return reports.top_clv(_scored(spark, sf))
+
+
+@query("segment_drilldown")
+def q_drilldown(spark, sf):
+    return reports.segment_drilldown(_scored(spark, sf))
+
+
+@query("segment_drilldown_champions")
+def q_drilldown_champions(spark, sf):
+    return reports.segment_drilldown(_scored(spark, sf), "Champions")
+
+
+@query("customer_list")
+def q_customer_list(spark, sf):
+    return reports.customer_list(_scored(spark, sf))
+
+
+@query("scatter_points")
+def q_scatter(spark, sf):
+    return reports.scatter_points(_scored(spark, sf))
+
+
+@query("export_action")
+def q_export_action(spark, sf):
+    return reports.export_action(_scored(spark, sf), "save_now")
+
+
+@query("export_customers")
+def q_export_customers(spark, sf):
+    return reports.export_customers(_scored(spark, sf))
+
+
+@query("export_customers_filtered")
+def q_export_customers_filtered(spark, sf):
+    return reports.export_customers(_scored(spark, sf), "churned", "champions")
+
+
+def _activation_events(spark, sf):
+    return actions.activation_events(_scored(spark, sf), batch.run_time(_clean(spark, sf)))
+
+
+@query("activation_events")
+def q_activation_events(spark, sf):
+    return _activation_events(spark, sf)
+
+
+@query("recent_activations")
+def q_recent_activations(spark, sf):
+    return actions.recent_activations(_activation_events(spark, sf))
+
+
+@query("activation_summary")
+def q_activation_summary(spark, sf):
+    return actions.activation_summary(_scored(spark, sf))
+
+
 def all_queries(params: Params | None = None) -> dict[str, Query]:
     return dict(REGISTRY)
