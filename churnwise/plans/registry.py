@@ -282,5 +282,62 @@ def q_activation_summary(spark, sf):
     return actions.activation_summary(_scored(spark, sf))
 
 
+# ---------------------------------------------------------------- model-backed (rows-only)
+
+def _models(spark, sf):
+    """One full model run (R2-R5 at the fixed parameters) per session and data folder."""
+    from churnwise.plans import models
+
+    def build():
+        clean = _clean(spark, sf)
+        return models.run_all(_features(spark, sf), batch.run_time(clean), Params())
+    return _memo(spark, sf, "models", build)
+
+
+def _model_query(key, cols=None):
+    def run(spark, sf):
+        df = _models(spark, sf)[key]
+        return df.select(*cols) if cols else df
+    return run
+
+
+for _name, _key, _cols in [
+    ("kmeans_segments", "customers", ["customer_unique_id", "cluster", "segment"]),
+    ("k_sweep", "k_sweep", None),
+    ("model_segment_summary", "segment_summary", None),
+    ("churn_scores", "customers", ["customer_unique_id", "churn_probability", "churn_prediction",
+                                   "monetary_percentile", "action"]),
+    ("churn_metrics", "churn_metrics", None),
+    ("churn_confusion", "confusion", None),
+    ("churn_classification_report", "classification_report", None),
+    ("churn_error_analysis", "error_analysis", None),
+    ("baselines", "baselines", None),
+    ("churn_reasons", "top_reasons", None),
+    ("feature_importance", "feature_importance", None),
+    ("clv_scores", "customers", ["customer_unique_id", "predicted_clv", "clv_tier"]),
+    ("clv_metrics", "clv_metrics", None),
+    ("clv_model_thresholds", "clv_thresholds", None),
+    ("model_activation_events", "activation_events", None),
+    ("model_activation_summary", "activation_summary", None),
+]:
+    REGISTRY[_name] = _model_query(_key, _cols)
+
+
+@query("model_status")
+def q_model_status(spark, sf):
+    from churnwise.plans import models
+    return models.status(_models(spark, sf)["customers"], batch.run_time(_clean(spark, sf)))
+
+
+@query("model_dashboard_kpis")
+def q_model_kpis(spark, sf):
+    return reports.dashboard_kpis(_models(spark, sf)["customers"])
+
+
+@query("model_churn_histogram")
+def q_model_hist(spark, sf):
+    return histogram.histogram(_models(spark, sf)["customers"], "churn_probability")
+
+
 def all_queries(params: Params | None = None) -> dict[str, Query]:
     return dict(REGISTRY)
