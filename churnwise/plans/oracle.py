@@ -412,3 +412,48 @@ SELECT total_evaluated, total_activated, save_now_fired, nurture_fired, {r('budg
        CASE WHEN total_activated > 0 THEN {r('nurture_fired / CAST(total_activated AS DOUBLE) * 100', 1)}
             ELSE 0.0 END AS nurture_share_pct
 FROM act"""
+
+
+FEED = """feed AS (
+  SELECT o.order_id, c.customer_unique_id AS customer_id, t.total_value, o.order_purchase_timestamp AS order_timestamp,
+         rf.review_score
+  FROM src_orders o
+  LEFT JOIN src_customers c ON o.customer_id = c.customer_id
+  LEFT JOIN (SELECT order_id, COALESCE(""" + msum("price") + """, 0.0) AS total_value FROM src_items
+             WHERE order_id IS NOT NULL GROUP BY order_id) t ON o.order_id = t.order_id
+  LEFT JOIN rev_first rf ON o.order_id = rf.order_id
+  WHERE o.order_status = 'delivered' AND t.total_value IS NOT NULL AND o.order_purchase_timestamp IS NOT NULL)"""
+SQL["order_feed"] = w(FEED) + "SELECT * FROM feed"
+SQL["order_feed_head"] = w(FEED) + "SELECT * FROM feed ORDER BY order_timestamp, order_id LIMIT 500"
+PURCH = """purch AS (
+  SELECT CAST(event_id AS VARCHAR) AS order_id, CAST(user_id AS VARCHAR) AS customer_id, value AS total_value,
+         ts AS order_timestamp,
+         CAST(1 + TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS DOUBLE) AS review_score
+  FROM events WHERE event_type = 'purchase')"""
+VALID = "order_id IS NOT NULL AND customer_id IS NOT NULL AND total_value IS NOT NULL AND order_timestamp IS NOT NULL"
+DEDUP = f"""dd AS (
+  SELECT order_id, customer_id, total_value, order_timestamp, review_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY order_timestamp, customer_id, total_value,
+                                 review_score NULLS FIRST) AS rn
+    FROM purch WHERE {VALID}) WHERE rn = 1)"""
+SQL["live_profiles"] = f"WITH {PURCH}, {DEDUP}\n" + f"""
+SELECT customer_id,
+       {days('(SELECT max(order_timestamp) FROM purch)', 'max(order_timestamp)')} AS recency_days,
+       COUNT(*) AS frequency_count, {r(msum('total_value'))} AS monetary_total,
+       {r(msum('total_value') + ' / COUNT(*)')} AS avg_order_value,
+       {r('AVG(review_score)')} AS avg_review_score,
+       min(order_timestamp) AS first_purchase, max(order_timestamp) AS last_purchase
+FROM dd GROUP BY customer_id"""
+SQL["live_stats"] = f"WITH {PURCH}, {DEDUP}\n" + f"""
+SELECT (SELECT COUNT(DISTINCT customer_id) FROM purch WHERE {VALID}) AS db_customers, COUNT(*) AS db_orders,
+       {r('COALESCE(' + msum('total_value') + ', 0.0)')} AS db_total_revenue
+FROM dd"""
+SQL["intake_counts"] = f"WITH {PURCH}\n" + f"""
+SELECT COUNT(DISTINCT order_id) FILTER (WHERE {VALID}) AS accepted,
+       COUNT(*) FILTER (WHERE {VALID}) - COUNT(DISTINCT order_id) FILTER (WHERE {VALID}) AS duplicates,
+       COUNT(*) FILTER (WHERE NOT ({VALID})) AS errors
+FROM purch"""
+SQL["unprocessed_orders"] = f"WITH {PURCH}\n" + """
+SELECT * FROM purch p WHERE NOT EXISTS (
+  SELECT 1 FROM purch s WHERE s.order_id = p.order_id
+    AND s.order_timestamp < (SELECT max(order_timestamp) FROM purch) - INTERVAL 7 DAY)"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from churnwise.config import Params
 from churnwise.operators import actions, clv, evaluation, features, histogram, orders, reports, segments
@@ -282,6 +283,61 @@ def q_activation_summary(spark, sf):
     return actions.activation_summary(_scored(spark, sf))
 
 
+# ---------------------------------------------------------------- feed and live store (batch twins)
+
+@query("order_feed")
+def q_feed(spark, sf):
+    from churnwise.sources.feed import order_feed
+    return order_feed(load_test_tables(spark, sf))
+
+
+@query("order_feed_head")
+def q_feed_head(spark, sf):
+    from churnwise.sources.feed import order_feed
+    return order_feed(load_test_tables(spark, sf), limit=500)
+
+
+@query("order_payloads")
+def q_payloads(spark, sf):
+    from churnwise.sources.feed import order_feed, to_payload
+    return to_payload(order_feed(load_test_tables(spark, sf)))
+
+
+def _purchases(spark, sf):
+    from churnwise.sources.testdata import load_purchase_events
+    return load_purchase_events(spark, sf)
+
+
+@query("live_profiles")
+def q_live_profiles(spark, sf):
+    from churnwise.streaming.live import dedupe_batch, profiles, valid_rows
+    ev = _purchases(spark, sf)
+    now = ev.agg(F.max("order_timestamp")).scalar()
+    return profiles(dedupe_batch(ev.filter(valid_rows(ev))), now)
+
+
+@query("live_stats")
+def q_live_stats(spark, sf):
+    from churnwise.streaming.live import dedupe_batch, live_stats, valid_rows
+    ev = _purchases(spark, sf).filter(valid_rows(_purchases(spark, sf)))
+    return live_stats(ev.select("customer_id"), dedupe_batch(ev))
+
+
+@query("intake_counts")
+def q_intake(spark, sf):
+    from churnwise.streaming.live import intake_counts
+    return intake_counts(_purchases(spark, sf))
+
+
+@query("unprocessed_orders")
+def q_unprocessed(spark, sf):
+    from churnwise.functions.scalar import add_days
+    from churnwise.streaming.live import unprocessed_orders
+    ev = _purchases(spark, sf)
+    horizon = add_days(ev.agg(F.max("order_timestamp")).scalar(), -7)
+    return unprocessed_orders(ev, ev.filter(F.col("order_timestamp") < horizon))
+
+
 # ---------------------------------------------------------------- model-backed (rows-only)
 
 def _models(spark, sf):
