@@ -3,7 +3,11 @@
 Bins follow ``pandas.cut(x, bins=n)``: ``n + 1`` evenly spaced edges over
 [min, max], right-closed, the first edge lowered by 0.1 % of the range so the
 minimum falls in the first bin (a zero range is widened by 0.1 % on both
-sides instead).  Each bin is labelled by its midpoint rounded to 2 places.
+sides instead).  Membership uses the exact edges.  The label of a bin is the
+midpoint of its *display* edges: every edge rounded to the smallest number
+of significant digits (3 to 19) that keeps all edges distinct, the first one
+lowered by one unit of that precision; the midpoint is then rounded to 2
+places.
 """
 
 from __future__ import annotations
@@ -41,6 +45,35 @@ def _bin_of(x: Column, lo: Column, step: Column, edge, bins: int) -> Column:
             .otherwise(guess))
 
 
+def _round_frac(x: Column, precision) -> Column:
+    """Round to ``precision`` significant digits below 1, else to ``precision`` places."""
+    p = F.lit(precision) if isinstance(precision, int) else precision
+    digits = F.when(F.abs(x) < 1, -F.floor(F.log10(F.abs(x))) - 1 + p).otherwise(p)
+    f = F.pow(F.lit(10.0), F.abs(digits))
+    r = F.when(digits >= 0, F.rint(x * f) / f).otherwise(F.rint(x / f) * f)
+    return F.when((x == 0) | F.isnan(x), x).otherwise(r)
+
+
+def _rounder(precision):
+    return lambda e: _round_frac(e, precision)
+
+
+def _label_frame(rng: DataFrame, bins: int) -> DataFrame:
+    """(bin_index, bin) label rows from the one-row (mn, mx) frame, built in
+    separate projections so each array is computed once."""
+    _, _, edge = _edges(F.col("mn"), F.col("mx"), bins)
+    t = rng.select(F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: edge(i)).alias("edges"))
+    found = [F.when(F.size(F.array_distinct(F.transform("edges", _rounder(p)))) == bins + 1, F.lit(p))
+             for p in range(3, 20)]
+    t = t.select("edges", F.coalesce(*found, F.lit(3)).alias("prec"))
+    t = t.select(F.transform("edges", lambda e, i: F.when(i == 0, _round_frac(e, F.col("prec"))
+                                                          - F.pow(F.lit(10.0), -F.col("prec")))
+                             .otherwise(_round_frac(e, F.col("prec")))).alias("breaks"))
+    mids = F.transform(F.sequence(F.lit(1), F.lit(bins)),
+                       lambda i: round_half_even((F.element_at("breaks", i) + F.element_at("breaks", i + 1)) * 0.5, 2))
+    return t.select(F.posexplode(mids).alias("bin_index", "bin"))
+
+
 def histogram(df: DataFrame, col: str, bins: int = config.HIST_BINS,
               group_cols: Sequence[str] = ()) -> DataFrame:
     """Counts per bin (and per group), every bin present.
@@ -56,9 +89,12 @@ def histogram(df: DataFrame, col: str, bins: int = config.HIST_BINS,
     counts = (df.filter(x.isNotNull())
               .groupBy(*g, _bin_of(x, lo, step, edge, bins).alias("bin_index"))
               .agg(F.count(F.lit(1)).alias("count")))
-    keys = (df.select(*g).distinct() if g else df.sparkSession.range(1).select())
-    frame = keys.select(*g, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin_index"))
-    i = F.col("bin_index")
-    mid = round_half_even((edge(i) + edge(i + 1)) * 0.5, 2)
+    labels = _label_frame(rng, bins)
+    if g:
+        keys = df.select(*g).distinct()
+        frame = keys.select(*g, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin_index"))
+        frame = frame.join(F.broadcast(labels), "bin_index")            # `bins` rows
+    else:
+        frame = labels
     return (frame.join(counts, [*g, "bin_index"], "left")
-            .select(*g, "bin_index", mid.alias("bin"), F.coalesce("count", F.lit(0)).alias("count")))
+            .select(*g, "bin_index", "bin", F.coalesce("count", F.lit(0)).alias("count")))

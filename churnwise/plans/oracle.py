@@ -327,6 +327,14 @@ SELECT {r(msum('predicted_clv') + ' / COUNT(predicted_clv)')} AS mean_clv, {r('(
 FROM scored"""
 
 
+def rf(x: str, p: str) -> str:
+    """pandas display rounding of a bin edge (significant digits below 1)."""
+    d = f"(CASE WHEN abs({x}) < 1 THEN -floor(log10(abs({x}))) - 1 + {p} ELSE {p} END)"
+    f = f"pow(10.0, abs({d}))"
+    return (f"(CASE WHEN {x} = 0 OR isnan({x}) THEN {x} WHEN {d} >= 0 THEN round_even({x} * {f}, 0) / {f} "
+            f"ELSE round_even({x} / {f}, 0) * {f} END)")
+
+
 def hist_sql(group: bool) -> str:
     g = "segment, " if group else ""
     keys = ("(SELECT DISTINCT segment FROM scored) s, " if group else "")
@@ -340,11 +348,19 @@ def hist_sql(group: bool) -> str:
                  WHEN i = {config.HIST_BINS} THEN hi
                  ELSE CAST(i AS DOUBLE) * ((hi - lo) / CAST({config.HIST_BINS} AS DOUBLE)) + lo END AS e
   FROM ax, range(0, {config.HIST_BINS + 1}) t(i))""",
+              f"""prec AS (
+  SELECT COALESCE(MIN(p), 3) AS p FROM (
+    SELECT p, COUNT(DISTINCT {rf('e', 'p')}) AS nd FROM edges, range(3, 20) t(p) GROUP BY p)
+  WHERE nd = {config.HIST_BINS + 1})""",
+              f"""brk AS (
+  SELECT i, CASE WHEN i = 0 THEN {rf('e', 'p')} - pow(10.0, -p) ELSE {rf('e', 'p')} END AS br
+  FROM edges, prec)""",
               f"""binned AS (
   SELECT {g}(SELECT COUNT(*) FROM edges WHERE e < churn_probability) - 1 AS bin_index
   FROM scored WHERE churn_probability IS NOT NULL)""") + f"""
-SELECT {'s.segment, ' if group else ''}CAST(b.i AS INTEGER) AS bin_index, {r('(b.e + b2.e) * 0.5')} AS bin, COALESCE(c.cnt, 0) AS count
-FROM {keys}edges b JOIN edges b2 ON b2.i = b.i + 1
+SELECT {'s.segment, ' if group else ''}CAST(b.i AS INTEGER) AS bin_index, {r('(b.br + b2.br) * 0.5')} AS bin,
+       COALESCE(c.cnt, 0) AS count
+FROM {keys}brk b JOIN brk b2 ON b2.i = b.i + 1
 LEFT JOIN (SELECT {g}bin_index, COUNT(*) AS cnt FROM binned GROUP BY ALL) c
   ON c.bin_index = b.i {'AND c.segment = s.segment' if group else ''}
 WHERE b.i < {config.HIST_BINS}"""
