@@ -9,6 +9,7 @@ training lineage.
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,10 +38,11 @@ def run_segments(feat: DataFrame, params: Params = Params()) -> dict:
             "segment_summary": segments.segment_summary(customers), "kmeans": models[params.n_clusters]}
 
 
-def run_churn(customers: DataFrame, params: Params = Params(), explain_all: bool = True) -> dict:
+def run_churn(customers: DataFrame, params: Params = Params(), trained=None) -> dict:
     """Split, weighted boosted trees, held-out metrics and baselines, scores
-    for every customer, value percentile + action, contributions."""
-    model, test_scored, train, test = ml.train_churn(customers, params)
+    for every customer, value percentile + action, contributions.
+    ``trained`` is the result of :func:`ml.train_churn` when already fitted."""
+    model, test_scored, train, test = trained or ml.train_churn(customers, params)
     test_scored = cut_lineage(test_scored)
     scored = ml.score_churn(model, ml.assemble(customers)).drop("features")
     scored = actions.add_action(actions.add_monetary_percentile(scored, params.rank_buckets))
@@ -63,9 +65,9 @@ def run_churn(customers: DataFrame, params: Params = Params(), explain_all: bool
     }
 
 
-def run_clv(customers: DataFrame, params: Params = Params()) -> dict:
+def run_clv(customers: DataFrame, params: Params = Params(), trained=None) -> dict:
     """Plain split, boosted regressor, held-out metrics, scores + tiers."""
-    model, test = ml.train_clv(customers, params)
+    model, test = trained or ml.train_clv(customers, params)
     model.write().overwrite().save(model_dir(customers.sparkSession, "clv"))   # S7
     test_scored = ml.score_clv(model, test)
     scored = ml.score_clv(model, ml.assemble(customers)).drop("features")
@@ -86,9 +88,15 @@ def run_activation(customers: DataFrame, as_of, params: Params = Params()) -> di
 def run_all(feat: DataFrame, as_of, params: Params = Params(), out_dir: str | None = None) -> dict:
     """Segments -> churn -> value -> activation; optionally every table
     written as Parquet under ``out_dir`` (the serving layer reads those)."""
-    seg = run_segments(feat, params)
-    ch = run_churn(seg["customers"], params)
-    cl = run_clv(ch["customers"], params)
+    # the three fits only need the feature stage: submit them together so
+    # their many small iteration jobs share the executors
+    with ThreadPoolExecutor(max_workers=3) as ex:
+        f_seg = ex.submit(run_segments, feat, params)
+        f_churn = ex.submit(ml.train_churn, feat, params)
+        f_clv = ex.submit(ml.train_clv, feat, params)
+        seg, churn_fit, clv_fit = f_seg.result(), f_churn.result(), f_clv.result()
+    ch = run_churn(seg["customers"], params, churn_fit)
+    cl = run_clv(ch["customers"], params, clv_fit)
     act = run_activation(cl["customers"], as_of, params)
     res = {
         "customers": cl["customers"], "segment_summary": seg["segment_summary"], "k_sweep": seg["k_sweep"],
