@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnwise import config
-from churnwise.functions.scalar import mean_exact, money, round_half_even
+from churnwise.functions.scalar import mean_exact, money, round_half_even  # noqa: F401
 from churnwise.operators.ranking import exact_quantiles
 
 CUST = "customer_unique_id"

@@ -264,6 +264,30 @@ def q_export_customers_filtered(spark, sf):
     return reports.export_customers(_scored(spark, sf), "churned", "champions")
 
 
+@query("pipeline_audit")
+def q_audit(spark, sf):
+    """Row counts per stage and the churn rate of the labelled customers."""
+    raw = orders.merge_orders(load_test_tables(spark, sf)).agg(F.count(F.lit(1))).scalar()
+    clean = _clean(spark, sf).agg(F.count(F.lit(1))).scalar()
+    return _features(spark, sf).agg(F.count(F.lit(1)).alias("customers"),
+                                    F.avg("churned").alias("_c")).select(
+        raw.alias("raw_orders"), clean.alias("clean_orders"), "customers",
+        reports.round_half_even(F.col("_c") * 100, 1).alias("churn_rate"))
+
+
+@query("column_stats")
+def q_column_stats(spark, sf):
+    """Count / mean / stddev / min / quartiles / max of every feature column."""
+    return _features(spark, sf).drop("customer_unique_id").summary()
+
+
+@query("top_risk_customers")
+def q_top_risk(spark, sf):
+    """The highest-risk customers (ties by id)."""
+    return reports.top_by(_scored(spark, sf), "churn_probability", 100,
+                          ["customer_unique_id", "churn_probability", "segment", "monetary"])
+
+
 def _activation_events(spark, sf):
     return actions.activation_events(_scored(spark, sf), batch.run_time(_clean(spark, sf)))
 
@@ -379,6 +403,21 @@ for _name, _key, _cols in [
     REGISTRY[_name] = _model_query(_key, _cols)
 
 
+@query("top_features")
+def q_top_features(spark, sf):
+    """The ten most important features."""
+    return _models(spark, sf)["feature_importance"].limit(10)
+
+
+@query("explained_customers")
+def q_explained(spark, sf):
+    """J10 + L6: the explained high-risk customers joined to their rows (first 20 by risk)."""
+    m = _models(spark, sf)
+    top = (m["top_reasons"].select("customer_unique_id", "churn_probability").distinct()
+           .orderBy(F.col("churn_probability").desc(), "customer_unique_id").limit(20))
+    return top.join(m["customers"].select("customer_unique_id", "segment", "monetary"), "customer_unique_id")
+
+
 @query("model_status")
 def q_model_status(spark, sf):
     from churnwise.plans import models
