@@ -106,6 +106,10 @@ TIER_SHARE_LABELS = ("Top 5%", "Top 20%", "Top 50%", "Bottom 50%")
 # Tunable parameters (defaults are the fixed values above)
 # ---------------------------------------------------------------------------
 
+# value ranges of the distributed ranking / quantile operator: each range is
+# one window task over distinct values, so more ranges = more parallelism
+RANK_BUCKETS = 256
+
 
 @dataclass(frozen=True)
 class Params:
@@ -124,5 +128,5 @@ class Params:
     clv_threshold: float = ACTIVATION_CLV_MIN
     explain_top_n: int = EXPLAIN_TOP_N
     # number of value ranges used by the distributed exact ranking / quantiles
-    rank_buckets: int = 64
+    rank_buckets: int = RANK_BUCKETS
     feature_cols: tuple = field(default=FEATURE_COLS)

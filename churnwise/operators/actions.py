@@ -12,7 +12,7 @@ from churnwise.operators.ranking import avg_rank_pct
 CUST = "customer_unique_id"
 
 
-def add_monetary_percentile(df: DataFrame, buckets: int = 64) -> DataFrame:
+def add_monetary_percentile(df: DataFrame, buckets: int = config.RANK_BUCKETS) -> DataFrame:
     """Average-rank percentile of ``monetary`` over all customers."""
     return avg_rank_pct(df, "monetary", "monetary_percentile", buckets=buckets)
 

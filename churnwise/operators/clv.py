@@ -15,13 +15,13 @@ def clip_and_round(c) -> F.Column:
     return round_half_even(F.greatest(F.col(c) if isinstance(c, str) else c, F.lit(0.0)), 2)
 
 
-def clv_thresholds(df: DataFrame, col: str = "predicted_clv", buckets: int = 64) -> DataFrame:
+def clv_thresholds(df: DataFrame, col: str = "predicted_clv", buckets: int = config.RANK_BUCKETS) -> DataFrame:
     """One row with the 95th / 80th / 50th percentile of predicted value."""
     return exact_quantiles(df, col, list(config.TIER_PERCENTILES), ["platinum", "gold", "silver"],
                            buckets=buckets)
 
 
-def add_clv_tier(df: DataFrame, col: str = "predicted_clv", buckets: int = 64) -> DataFrame:
+def add_clv_tier(df: DataFrame, col: str = "predicted_clv", buckets: int = config.RANK_BUCKETS) -> DataFrame:
     """C3 with percentile thresholds computed over the same frame (scalar subqueries)."""
     th = clv_thresholds(df, col, buckets)
     return df.withColumn("clv_tier", assign_clv_tier(col, th.select("platinum").scalar(),
@@ -29,7 +29,7 @@ def add_clv_tier(df: DataFrame, col: str = "predicted_clv", buckets: int = 64) -
                                                      th.select("silver").scalar()))
 
 
-def tier_table(df: DataFrame, col: str = "predicted_clv", buckets: int = 64) -> DataFrame:
+def tier_table(df: DataFrame, col: str = "predicted_clv", buckets: int = config.RANK_BUCKETS) -> DataFrame:
     """The four tiers with their share label and lower threshold (Bronze 0)."""
     th = clv_thresholds(df, col, buckets)
     rows = F.explode(F.array(*[

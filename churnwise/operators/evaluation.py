@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnwise import config
+
 from churnwise.functions.scalar import round_half_even
 from churnwise.operators.ranking import exact_quantiles
 
@@ -75,7 +77,7 @@ def error_analysis(df: DataFrame, label: str = "churned", pred: str = "churn_pre
 
 
 def regression_metrics(df: DataFrame, target: str = "clv_target", pred: str = "predicted_clv",
-                       buckets: int = 64) -> DataFrame:
+                       buckets: int = config.RANK_BUCKETS) -> DataFrame:
     """MAE, RMSE (2 places), R^2 (4 places), median and mean prediction.
 
     Target and prediction have two decimals, so error sums are exact decimals."""

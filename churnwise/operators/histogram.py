@@ -84,7 +84,8 @@ def histogram(df: DataFrame, col: str, bins: int = config.HIST_BINS,
     g = list(group_cols)
     x = F.col(col)
     rng = df.agg(F.min(x).alias("mn"), F.max(x).alias("mx"))
-    mn, mx = rng.select("mn").scalar(), rng.select("mx").scalar()
+    mm = rng.select(F.struct("mn", "mx").alias("s")).scalar()      # one subquery for both ends
+    mn, mx = mm.getField("mn"), mm.getField("mx")
     lo, step, edge = _edges(mn, mx, bins)
     counts = (df.filter(x.isNotNull())
               .groupBy(*g, _bin_of(x, lo, step, edge, bins).alias("bin_index"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from churnwise import config
 from churnwise.functions.scalar import day_diff, money_sum, parse_ts
 from churnwise.operators.ranking import exact_quantile_value
 from churnwise.sources.schemas import DATE_COLUMNS
@@ -113,7 +114,7 @@ def keep_orders(master: DataFrame) -> DataFrame:
     return df.filter(F.col("total_payment") > 0)                         # F4
 
 
-def finish_clean(kept: DataFrame, rank_buckets: int = 64) -> DataFrame:
+def finish_clean(kept: DataFrame, rank_buckets: int = config.RANK_BUCKETS) -> DataFrame:
     """Median review fill, count / freight fills, delivery delay.
 
     The median is a global statistic of ``kept``; it enters the plan as a
@@ -134,6 +135,6 @@ def finish_clean(kept: DataFrame, rank_buckets: int = 64) -> DataFrame:
     return df
 
 
-def clean_orders(master: DataFrame, rank_buckets: int = 64) -> DataFrame:
+def clean_orders(master: DataFrame, rank_buckets: int = config.RANK_BUCKETS) -> DataFrame:
     """F1-F7 on the merged frame, fully lazy."""
     return finish_clean(keep_orders(master), rank_buckets)

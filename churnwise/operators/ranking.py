@@ -23,9 +23,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from churnwise import config
+
 
 def value_positions(df: DataFrame, value_col: str, group_cols: Sequence[str] = (),
-                    buckets: int = 64) -> DataFrame:
+                    buckets: int = config.RANK_BUCKETS) -> DataFrame:
     """Distinct ``(group..., value)`` with ``cnt`` (rows holding it),
     ``before`` (rows of the group with a smaller value) and ``n`` (non-null
     rows of the group)."""
@@ -55,7 +57,7 @@ def value_positions(df: DataFrame, value_col: str, group_cols: Sequence[str] = (
 
 
 def avg_rank_pct(df: DataFrame, value_col: str, out_col: str, group_cols: Sequence[str] = (),
-                 buckets: int = 64) -> DataFrame:
+                 buckets: int = config.RANK_BUCKETS) -> DataFrame:
     """Adds ``out_col`` = average rank / n, ascending, ties share the mean
     rank; null values get null (pandas ``rank(pct=True)``)."""
     pos = value_positions(df, value_col, group_cols, buckets)
@@ -70,7 +72,7 @@ def _pick(pos_before, pos_cnt, j, value):
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                     names: Sequence[str] | None = None, group_cols: Sequence[str] = (),
-                    buckets: int = 64) -> DataFrame:
+                    buckets: int = config.RANK_BUCKETS) -> DataFrame:
     """Exact linearly interpolated quantiles (numpy ``percentile`` default),
     one row per group with one column per probability."""
     names = list(names or [f"q{i}" for i in range(len(probs))])
@@ -91,6 +93,6 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     return out.select(*group_cols, *finals)
 
 
-def exact_quantile_value(df: DataFrame, value_col: str, p: float, buckets: int = 64):
+def exact_quantile_value(df: DataFrame, value_col: str, p: float, buckets: int = config.RANK_BUCKETS):
     """One global quantile as a scalar-subquery column (lazy, nothing collected)."""
     return exact_quantiles(df, value_col, [p], ["q"], buckets=buckets).select("q").scalar()

@@ -48,7 +48,7 @@ def dashboard_kpis(df: DataFrame) -> DataFrame:
                   round_half_even(F.avg("churned") * 100, 1).alias("churn_rate"))
 
 
-def clv_stats(df: DataFrame, buckets: int = 64) -> DataFrame:
+def clv_stats(df: DataFrame, buckets: int = config.RANK_BUCKETS) -> DataFrame:
     """Mean, median and total predicted value."""
     med = exact_quantiles(df, "predicted_clv", [0.5], ["median_clv"], buckets=buckets)
     tot = df.agg(round_half_even(mean_exact("predicted_clv"), 2).alias("mean_clv"),
@@ -59,7 +59,7 @@ def clv_stats(df: DataFrame, buckets: int = 64) -> DataFrame:
 
 
 def rfm_box_stats(df: DataFrame, metrics: Sequence[str] = ("recency", "frequency", "monetary"),
-                  buckets: int = 64) -> DataFrame:
+                  buckets: int = config.RANK_BUCKETS) -> DataFrame:
     """Min, quartiles and max of R, F, M per segment (box-plot data)."""
     stack = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
                                 for m in metrics]))
@@ -69,7 +69,7 @@ def rfm_box_stats(df: DataFrame, metrics: Sequence[str] = ("recency", "frequency
                            buckets=buckets)
 
 
-def quadrant_lines(df: DataFrame, buckets: int = 64) -> DataFrame:
+def quadrant_lines(df: DataFrame, buckets: int = config.RANK_BUCKETS) -> DataFrame:
     """The median (vertical divider) and 95th percentile (axis end) of monetary."""
     return exact_quantiles(df, "monetary", [0.5, 0.95], ["monetary_median", "monetary_p95"],
                            buckets=buckets)
