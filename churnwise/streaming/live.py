@@ -9,10 +9,12 @@ Order events arrive as JSON files; each micro-batch runs
 * T1  orders already stored (earlier batches) or repeated in the batch are
       duplicates (``dropDuplicates`` + ``left_anti``);
 * T3  new orders are appended to the order table;
-* T4  profiles of the touched customers are recomputed from all their
-      stored orders (``left_semi``), so late or out-of-order orders are
-      simply included; no watermark is needed because the state is the
-      order table itself, not an in-memory store;
+* T4  profiles are kept as mergeable state per customer (order count,
+      exact value sum, first / last purchase, review sum and count): the
+      new state of a touched customer is its latest state merged with the
+      batch's new orders, so a batch reads state rows of touched customers
+      only, never the order history; late or out-of-order orders are simply
+      merged in, and recency is derived when the profile is read (``as_of``);
 * T6  touched customers meeting the activation rule fire campaign events
       when a scored customer table is supplied.
 
@@ -64,25 +66,56 @@ def dedupe_batch(df: DataFrame) -> DataFrame:
             .select("order_id", "k.customer_id", "k.total_value", "k.order_timestamp", "k.review_score"))
 
 
-def profiles(orders: DataFrame, as_of) -> DataFrame:
-    """T4: RFM profile per customer from its orders; recency against ``as_of``."""
-    as_of_col = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
+STATE_COLS = ("n_orders", "value_sum", "first_purchase", "last_purchase", "review_sum", "review_n")
+
+
+def profile_state(orders: DataFrame) -> DataFrame:
+    """Mergeable per-customer statistics of a set of orders."""
     return orders.groupBy("customer_id").agg(
-        F.count(F.lit(1)).alias("frequency_count"),
-        F.coalesce(F.sum(money("total_value")).cast("double"), F.lit(0.0)).alias("monetary_total"),
+        F.count(F.lit(1)).alias("n_orders"),
+        F.sum(money("total_value")).alias("value_sum"),
         F.min("order_timestamp").alias("first_purchase"),
         F.max("order_timestamp").alias("last_purchase"),
-        F.avg("review_score").alias("avg_review_score"),
-    ).select(
+        F.sum("review_score").alias("review_sum"),
+        F.count("review_score").alias("review_n"))
+
+
+def merge_state(*states: DataFrame) -> DataFrame:
+    """Combine state rows of the same customers (sums add, min / max combine)."""
+    u = states[0].select("customer_id", *STATE_COLS)
+    for s in states[1:]:
+        u = u.unionByName(s.select("customer_id", *STATE_COLS))
+    return u.groupBy("customer_id").agg(
+        F.sum("n_orders").alias("n_orders"), F.sum("value_sum").alias("value_sum"),
+        F.min("first_purchase").alias("first_purchase"), F.max("last_purchase").alias("last_purchase"),
+        F.sum("review_sum").alias("review_sum"), F.sum("review_n").alias("review_n"))
+
+
+def profiles_from_state(state: DataFrame, as_of) -> DataFrame:
+    """T4 profile columns; recency against ``as_of`` (the clock of the reader)."""
+    as_of_col = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
+    value = F.coalesce(F.col("value_sum").cast("double"), F.lit(0.0))
+    return state.select(
         "customer_id",
         day_diff(as_of_col, "last_purchase").alias("recency_days"),
-        "frequency_count",
-        round_half_even("monetary_total", 2).alias("monetary_total"),
-        round_half_even(F.col("monetary_total") / F.col("frequency_count"), 2).alias("avg_order_value"),
-        round_half_even("avg_review_score", 2).alias("avg_review_score"),
+        F.col("n_orders").alias("frequency_count"),
+        round_half_even(value, 2).alias("monetary_total"),
+        round_half_even(value / F.col("n_orders"), 2).alias("avg_order_value"),
+        round_half_even(F.col("review_sum") / F.col("review_n"), 2).alias("avg_review_score"),
         "first_purchase", "last_purchase")
 
 
+def profiles(orders: DataFrame, as_of) -> DataFrame:
+    """T4 over a set of orders in one go (the batch twin of the stream)."""
+    return profiles_from_state(profile_state(orders), as_of)
+
+
+def latest_state(state_rows: DataFrame) -> DataFrame:
+    """Latest state row per customer (compaction on read)."""
+    latest = F.max(F.struct("batch_id", *STATE_COLS))
+    return state_rows.groupBy("customer_id").agg(latest.alias("s")).select("customer_id", *[f"s.{c}" for c in STATE_COLS])
+
+
 def process_batch(batch: DataFrame, batch_id: int, store: str, as_of=None,
                   scored: DataFrame | None = None, params=None) -> None:
     """One micro-batch of the intake (see the module notes)."""
@@ -121,11 +154,15 @@ def process_batch(batch: DataFrame, batch_id: int, store: str, as_of=None,
         n_err.alias("errors"))
     _write(audit, p["audit"])
 
-    # T4: profiles of touched customers from all their stored orders
-    all_orders = spark.read.parquet(p["orders"]).filter(F.col("batch_id") <= batch_id)
+    # T4: latest state of the touched customers merged with this batch's orders
     touched = stored_new.select("customer_id").distinct()
-    prof = profiles(all_orders.join(touched, "customer_id", "left_semi"), as_of_col)
-    _write(prof.withColumn("batch_id", bid), p["profiles"])
+    delta = profile_state(stored_new)
+    prev_state = _read(spark, p["profiles"])
+    if prev_state is not None:
+        prev = latest_state(prev_state.filter(F.col("batch_id") < batch_id)
+                            .join(touched, "customer_id", "left_semi"))
+        delta = merge_state(prev, delta)
+    _write(delta.withColumn("batch_id", bid), p["profiles"])
 
     # Activation for touched customers with batch scores
     if scored is not None:
@@ -150,11 +187,10 @@ def start_intake(spark: SparkSession, source_dir: str, store: str, checkpoint: s
     return w.start()
 
 
-def current_profiles(spark: SparkSession, store: str) -> DataFrame:
-    """The live customer table: latest profile row per customer (compaction on read)."""
-    prof = spark.read.parquet(os.path.join(store, "profiles"))
-    latest = F.max(F.struct("batch_id", *[c for c in prof.columns if c not in ("batch_id", "customer_id")]))
-    return prof.groupBy("customer_id").agg(latest.alias("p")).select("customer_id", "p.*").drop("batch_id")
+def current_profiles(spark: SparkSession, store: str, as_of=None) -> DataFrame:
+    """The live customer table: latest state per customer, as profiles at ``as_of``."""
+    state = latest_state(spark.read.parquet(os.path.join(store, "profiles")))
+    return profiles_from_state(state, F.current_timestamp() if as_of is None else as_of)
 
 
 def live_stats(customers: DataFrame, orders: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def test_replay_equals_batch(spark, tmp_path):
     q = live.start_intake(spark, src + "_flat", store, ckpt, as_of=as_of, max_files=1)
     q.awaitTermination(300)
 
-    got = live.current_profiles(spark, store).toPandas().set_index("customer_id").sort_index()
+    got = live.current_profiles(spark, store, F.lit(as_of)).toPandas().set_index("customer_id").sort_index()
     want = live.profiles(live.dedupe_batch(ev), F.lit(as_of)).toPandas().set_index("customer_id").sort_index()
     assert got.shape == want.shape
     assert (got[want.columns] == want).all().all()
