@@ -6,8 +6,10 @@ Order events arrive as JSON files; each micro-batch runs
 * T5  rows missing a required field are counted as errors;
 * T2  every customer seen is added to the customer table (also for a
       duplicate order);
-* T1  orders already stored (earlier batches) or repeated in the batch are
-      duplicates (``dropDuplicates`` + ``left_anti``);
+* T1  an order id is accepted once: the stream keeps one flag per order id
+      in keyed state (``applyInPandasWithState``; RocksDB state store,
+      checkpointed with the query), so a batch never scans the stored order
+      history; a static batch falls back to ``left_anti`` against stored ids;
 * T3  new orders are appended to the order table;
 * T4  profiles are kept as mergeable state per customer (order count,
       exact value sum, first / last purchase, review sum and count): the
@@ -28,7 +30,9 @@ duplicates.
 from __future__ import annotations
 
 import os
+import sys
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +43,16 @@ from churnwise.sources.schemas import ORDER_EVENT
 
 REQUIRED = ("order_id", "customer_id", "total_value", "order_timestamp")
 
+# the keyed-state function runs in executors: ship this module by value
+try:
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # pragma: no cover
+    pass
+
+FLAGGED = ("order_id string, customer_id string, total_value double, order_timestamp timestamp, "
+           "review_score double, _is_new boolean, _is_error boolean")
+
 
 def _read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
     if not os.path.exists(path.replace("file:", "")):
@@ -116,6 +130,24 @@ def latest_state(state_rows: DataFrame) -> DataFrame:
     return state_rows.groupBy("customer_id").agg(latest.alias("s")).select("customer_id", *[f"s.{c}" for c in STATE_COLS])
 
 
+def flag_orders(key, frames, state):
+    """Keyed state per order id: the first valid event of an unseen id is new,
+    every later one a duplicate; invalid events are errors and leave the
+    state alone.  Equal ids inside a batch: earliest timestamp wins."""
+    pdf = pd.concat(list(frames), ignore_index=True)
+    ok = pdf[list(REQUIRED)].notna().all(axis=1)
+    pdf = pd.concat([pdf[ok].sort_values(["order_timestamp", "customer_id", "total_value", "review_score"],
+                                         na_position="first"), pdf[~ok]], ignore_index=True)
+    new = pd.Series(False, index=pdf.index)
+    n_ok = int(ok.sum())
+    if n_ok and not state.exists:
+        new.iloc[0] = True
+        state.update((True,))
+    pdf["_is_new"] = new
+    pdf["_is_error"] = pd.Series([False] * n_ok + [True] * (len(pdf) - n_ok), index=pdf.index)
+    yield pdf[["order_id", "customer_id", "total_value", "order_timestamp", "review_score", "_is_new", "_is_error"]]
+
+
 def process_batch(batch: DataFrame, batch_id: int, store: str, as_of=None,
                   scored: DataFrame | None = None, params=None) -> None:
     """One micro-batch of the intake (see the module notes)."""
@@ -124,25 +156,31 @@ def process_batch(batch: DataFrame, batch_id: int, store: str, as_of=None,
     bid = F.lit(int(batch_id)).cast("long")
     as_of_col = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
 
-    batch = batch.withColumn("_ok", valid_rows(batch))
+    flagged = "_is_new" in batch.columns
+    ok = ~F.col("_is_error") if flagged else valid_rows(batch)
+    batch = batch.withColumn("_ok", ok)
     good = batch.filter("_ok").drop("_ok")
     n_err = batch.filter(~F.col("_ok")).agg(F.count(F.lit(1))).scalar()
 
-    prev_orders = _read(spark, p["orders"])
-    prev_orders = prev_orders.filter(F.col("batch_id") < batch_id) if prev_orders is not None else None
     prev_cust = _read(spark, p["customers"])
     prev_cust = prev_cust.filter(F.col("batch_id") < batch_id) if prev_cust is not None else None
 
     # Customers first seen in this batch (duplicates included)
-    seen = good.select("customer_id").distinct()
+    seen = good.select("customer_id").distinct()          # duplicates included
     if prev_cust is not None:
         seen = seen.join(prev_cust.select("customer_id"), "customer_id", "left_anti")
     _write(seen.withColumn("batch_id", bid), p["customers"])
 
-    # T1 + T3: new orders = batch de-duplicated, minus orders stored earlier
-    new = dedupe_batch(good)
-    if prev_orders is not None:
-        new = new.join(prev_orders.select("order_id"), "order_id", "left_anti")
+    # T1 + T3: new orders (flagged by the keyed state, or for a static batch:
+    # de-duplicated and minus the orders stored by earlier batches, J11)
+    if flagged:
+        new = good.filter("_is_new").drop("_is_new", "_is_error")
+    else:
+        new = dedupe_batch(good)
+        prev_orders = _read(spark, p["orders"])
+        if prev_orders is not None:
+            new = new.join(prev_orders.filter(F.col("batch_id") < batch_id).select("order_id"),
+                           "order_id", "left_anti")
     new = new.withColumn("batch_id", bid)
     _write(new, p["orders"])
 
@@ -177,10 +215,16 @@ def process_batch(batch: DataFrame, batch_id: int, store: str, as_of=None,
 def start_intake(spark: SparkSession, source_dir: str, store: str, checkpoint: str, as_of=None,
                  scored: DataFrame | None = None, available_now: bool = True, max_files: int | None = None):
     """Stream JSON order events from ``source_dir`` into the store."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+    if not spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) or \
+            "HDFSBackedStateStoreProvider" in spark.conf.get("spark.sql.streaming.stateStore.providerClass"):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                       "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     reader = spark.readStream.schema(ORDER_EVENT).option("mode", "PERMISSIVE")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    stream = reader.json(source_dir)
+    stream = (reader.json(source_dir).groupBy("order_id")
+              .applyInPandasWithState(flag_orders, FLAGGED, "seen boolean", "append", GroupStateTimeout.NoTimeout))
     w = (stream.writeStream.option("checkpointLocation", checkpoint)
          .foreachBatch(lambda df, bid: process_batch(df, bid, store, as_of, scored)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
