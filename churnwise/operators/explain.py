@@ -54,7 +54,13 @@ def load_trees(spark, model, model_path: str) -> list[dict]:
         idx = {r.id: i for i, r in enumerate(nodes)}
         left = np.array([idx.get(r.leftChild, -1) if r.leftChild >= 0 else -1 for r in nodes])
         right = np.array([idx.get(r.rightChild, -1) if r.rightChild >= 0 else -1 for r in nodes])
+        depth = np.zeros(n, dtype=int)
+        for i in range(n):                       # preorder: parents come before children
+            for c in (left[i], right[i]):
+                if c >= 0:
+                    depth[c] = depth[i] + 1
         out.append({
+            "depth": int(depth.max()),
             "weight": float(weights[tid]),
             "value": np.array([r.prediction for r in nodes], dtype=float),
             "cover": np.array([float(r.impurityStats[0]) for r in nodes], dtype=float),
@@ -79,7 +85,7 @@ def expected_margin(trees: list[dict]) -> float:
 def _tree_shap(t: dict, x: np.ndarray, phi: np.ndarray) -> None:
     """Add one tree's contributions for a batch ``x`` (rows x features) to ``phi``."""
     nrow = x.shape[0]
-    depth_cap = 2 * len(t["value"]) + 2
+    depth_cap = t["depth"] + 2                    # path slots: root dummy + one per level
     feat = np.full(depth_cap, -1, dtype=int)
     zero = np.zeros(depth_cap)
     one = np.zeros((depth_cap, nrow))
@@ -173,6 +179,9 @@ def contributions(df: DataFrame, trees: list[dict], feature_cols=config.FEATURE_
     sc = df.sparkSession.sparkContext
     bc = sc.broadcast(trees)                       # bounded by n_trees x nodes per tree
     cols = list(feature_cols)
+    # CPU-bound Python stage: spread a narrow input over all cores first
+    if df.rdd.getNumPartitions() < sc.defaultParallelism:
+        df = df.repartition(sc.defaultParallelism)
 
     def run(batches):
         yield from contributions_fn(bc.value, cols)(batches)

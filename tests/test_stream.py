@@ -4,6 +4,8 @@ import os
 from pyspark.sql import functions as F
 
 from conftest import SF001
+from churnwise.functions.scalar import assign_action, round_half_even
+from churnwise.operators import actions, ranking
 from churnwise.sources.feed import to_payload
 from churnwise.sources.testdata import load_purchase_events
 from churnwise.streaming import live
@@ -26,7 +28,14 @@ def test_replay_equals_batch(spark, tmp_path):
         for f in os.listdir(d):
             if f.endswith(".txt"):
                 os.rename(os.path.join(d, f), os.path.join(src + "_flat", f"{i:03d}.json"))
-    q = live.start_intake(spark, src + "_flat", store, ckpt, as_of=as_of, max_files=1)
+    # scores for T6, derived from the same purchases
+    prof = live.profiles(live.dedupe_batch(ev), F.lit(as_of)).withColumnRenamed("customer_id", "customer_unique_id")
+    scored = (ranking.avg_rank_pct(prof.withColumn("monetary", F.col("monetary_total")), "monetary",
+                                   "monetary_percentile", buckets=4)
+              .withColumns({"churn_probability": round_half_even(1 - F.col("recency_days") / 40.0, 4),
+                            "predicted_clv": F.col("monetary_total"), "segment": F.lit("Champions")}))
+    scored = scored.withColumn("action", assign_action("churn_probability", "monetary_percentile"))
+    q = live.start_intake(spark, src + "_flat", store, ckpt, as_of=as_of, scored=scored, max_files=1)
     q.awaitTermination(300)
 
     got = live.current_profiles(spark, store, F.lit(as_of)).toPandas().set_index("customer_id").sort_index()
@@ -43,3 +52,9 @@ def test_replay_equals_batch(spark, tmp_path):
     orders = spark.read.parquet(os.path.join(store, "orders"))
     stats = live.live_stats(spark.read.parquet(os.path.join(store, "customers")), orders).collect()[0]
     assert stats.db_orders == n
+
+    fired = spark.read.parquet(os.path.join(store, "activations"))
+    want = actions.activation_events(scored, F.lit(as_of))
+    assert sorted(r.customer_id for r in fired.select("customer_id").distinct().collect()) == \
+        sorted(r.customer_id for r in want.select("customer_id").collect())
+    assert want.count() > 0
