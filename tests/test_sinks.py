@@ -16,3 +16,16 @@ def test_quote_all_csv(spark, tmp_path):
 def test_records(spark):
     df = spark.createDataFrame([("c1", 2)], "customer_unique_id string, n int")
     assert as_records(df).collect()[0][0] == '{"customer_unique_id":"c1","n":2}'
+
+
+def test_uploaded_csv_mapping(spark, tmp_path):
+    import pytest
+    from churnwise.sources.tables import load_uploaded_csv
+    p = tmp_path / "up.csv"
+    p.write_text("cust,when,amount,extra\nA,2020-01-02 10:00:00,12.5,x\nB,not a date,3,y\n")
+    df = load_uploaded_csv(spark, str(p), "cust", "when", "amount")
+    rows = sorted(df.select("customer_id", "order_ts", "value").collect())
+    assert rows[0].customer_id == "A" and rows[0].value == 12.5 and rows[0].order_ts is not None
+    assert rows[1].order_ts is None                      # unparsable date -> null
+    with pytest.raises(ValueError):
+        load_uploaded_csv(spark, str(p), "cust", "when", "missing_col")
