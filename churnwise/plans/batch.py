@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnwise import config
 from churnwise.config import Params
 from churnwise.functions.scalar import round_half_even
 from churnwise.operators import actions, clv, features, orders, segments
@@ -75,5 +74,3 @@ def proxy_scores(feat: DataFrame, params: Params = Params(), cut: bool = False)
     df = clv.add_clv_tier(df, buckets=params.rank_buckets)
     return cut_lineage(df) if cut else df
 
-
-__all__ = ["clean_order_frame", "run_data", "run_time", "proxy_scores", "config"]

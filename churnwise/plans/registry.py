@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnwise.config import Params
+from churnwise.functions.scalar import round_half_even
 from churnwise.operators import actions, clv, evaluation, features, histogram, orders, reports, segments
 from churnwise.plans import batch
 from churnwise.sources.testdata import load_test_tables
@@ -272,7 +273,7 @@ def q_audit(spark, sf):
     return _features(spark, sf).agg(F.count(F.lit(1)).alias("customers"),
                                     F.avg("churned").alias("_c")).select(
         raw.alias("raw_orders"), clean.alias("clean_orders"), "customers",
-        reports.round_half_even(F.col("_c") * 100, 1).alias("churn_rate"))
+        round_half_even(F.col("_c") * 100, 1).alias("churn_rate"))
 
 
 @query("column_stats")

@@ -54,7 +54,7 @@ FLAGGED = ("order_id string, customer_id string, total_value double, order_times
            "review_score double, _is_new boolean, _is_error boolean")
 
 
-def _read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
     if not os.path.exists(path.replace("file:", "")):
         return None
     return spark.read.parquet(path)
