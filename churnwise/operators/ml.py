@@ -72,10 +72,12 @@ def k_sweep(scaled: DataFrame, models: dict) -> DataFrame:
         "k int, inertia double, silhouette double, best_k boolean")
 
 
-def kmeans_segments(feat: DataFrame, params: Params = Params(), models: dict | None = None) -> tuple:
+def kmeans_segments(feat: DataFrame, params: Params = Params(), models: dict | None = None,
+                    scaled: DataFrame | None = None) -> tuple:
     """M4: scale -> best-of-n K-Means -> cluster summary -> names -> join.
     Returns (customers with cluster + segment, named cluster summary, models)."""
-    scaled = scale_rfm(feat.select(CUST, *RFM))
+    if scaled is None:
+        scaled = scale_rfm(feat.select(CUST, *RFM))
     if models is None:
         models = best_kmeans(scaled, [params.n_clusters], params.n_init, params.seed)
     model = models[params.n_clusters]

@@ -28,12 +28,15 @@ def model_dir(spark, name: str) -> str:
 
 def run_segments(feat: DataFrame, params: Params = Params()) -> dict:
     """R2: k sweep (reported), final K-Means with k clusters, named segments, summary."""
-    scaled = cut_lineage(ml.scale_rfm(feat.select(CUST, *ml.RFM)))
+    # written once, cached once: every restart reads the same cached blocks
+    # (an uncached input would make each of the concurrent fits cache its own copy)
+    scaled = cut_lineage(ml.scale_rfm(feat.select(CUST, *ml.RFM))).persist()
     models = ml.best_kmeans(scaled, sorted(set(params.k_sweep) | {params.n_clusters}),
                             params.n_init, params.seed)
     sweep = ml.k_sweep(scaled, {k: m for k, m in models.items() if k in params.k_sweep})
-    customers, named, _ = ml.kmeans_segments(feat, params, models)
+    customers, named, _ = ml.kmeans_segments(feat, params, models, scaled)
     customers = cut_lineage(customers)
+    scaled.unpersist()
     return {"customers": customers, "clusters": named, "k_sweep": sweep,
             "segment_summary": segments.segment_summary(customers), "kmeans": models[params.n_clusters]}
 
