@@ -480,3 +480,7 @@ SELECT (SELECT COUNT(*) FROM master) AS raw_orders, (SELECT COUNT(*) FROM clean)
 FROM features"""
 SQL["top_risk_customers"] = ws() + ("SELECT customer_unique_id, churn_probability, segment, monetary FROM scored "
                                     "ORDER BY churn_probability DESC, customer_unique_id LIMIT 100")
+
+SQL["dashboard_stats"] = (
+    "SELECT * FROM (" + SQL["dashboard_kpis"] + ") k, (" + SQL["threshold_metrics"] + ") m, ("
+    + SQL["clv_stats"] + ") c, (" + SQL["regression_metrics"] + ") g")

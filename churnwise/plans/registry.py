@@ -200,6 +200,14 @@ def q_kpis(spark, sf):
     return reports.dashboard_kpis(_scored(spark, sf))
 
 
+@query("dashboard_stats")
+def q_dashboard_stats(spark, sf):
+    """R8 over the stand-in scores: KPIs, threshold metrics, value stats, value metrics."""
+    from churnwise.plans.serving import dashboard_stats
+    s = _scored(spark, sf)
+    return dashboard_stats(s, evaluation.threshold_metrics(s), evaluation.regression_metrics(s))
+
+
 @query("clv_stats")
 def q_clv_stats(spark, sf):
     return reports.clv_stats(_scored(spark, sf))
@@ -419,6 +427,14 @@ def q_explained(spark, sf):
     return top.join(m["customers"].select("customer_unique_id", "segment", "monetary"), "customer_unique_id")
 
 
+@query("model_dashboard_stats")
+def q_model_dashboard(spark, sf):
+    """R8 on the model outputs."""
+    from churnwise.plans.serving import dashboard_stats
+    m = _models(spark, sf)
+    return dashboard_stats(m["customers"], m["churn_metrics"], m["clv_metrics"])
+
+
 @query("model_status")
 def q_model_status(spark, sf):
     from churnwise.plans import models

@@ -35,3 +35,12 @@ def test_run_all_shapes(spark):
     reasons = res["top_reasons"]
     assert reasons.groupBy("customer_unique_id").count().filter("count != 3").count() == 0
     assert res["activation_summary"].collect()[0].total_evaluated == n
+    # serving views over the same results
+    from churnwise.plans import serving
+    d = serving.dashboard_stats(cust, res["churn_metrics"], res["clv_metrics"]).collect()
+    assert len(d) == 1 and d[0].total_customers == n and 0 <= d[0].roc_auc <= 1
+    for view in (serving.segments_view, serving.churn_risk_view, serving.action_matrix_view,
+                 serving.clv_view, serving.activations_view):
+        for name, df in view(res).items():
+            assert df.count() >= 0, name
+    assert serving.churn_risk_view(res)["churn_distribution"].count() == 50
