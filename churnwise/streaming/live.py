@@ -17,6 +17,8 @@ Order events arrive as JSON files; each micro-batch runs
       batch's new orders, so a batch reads state rows of touched customers
       only, never the order history; late or out-of-order orders are simply
       merged in, and recency is derived when the profile is read (``as_of``);
+      every ``compact_every`` batches the full latest state is written as a
+      snapshot, so the state rows a batch reads stay bounded;
 * T6  touched customers meeting the activation rule fire campaign events
       when a scored customer table is supplied.
 
@@ -148,11 +150,23 @@ def flag_orders(key, frames, state):
     yield pdf[["order_id", "customer_id", "total_value", "order_timestamp", "review_score", "_is_new", "_is_error"]]
 
 
+def last_snapshot(spark: SparkSession, store: str, before: int | None = None) -> int:
+    """Batch id of the latest full state snapshot (-1 when there is none)."""
+    snaps = _read(spark, os.path.join(store, "snapshots"))
+    if snaps is None:
+        return -1
+    if before is not None:
+        snaps = snaps.filter(F.col("batch_id") < before)
+    v = snaps.agg(F.max("batch_id")).collect()[0][0]        # one number from a tiny marker table
+    return -1 if v is None else int(v)
+
+
 def process_batch(batch: DataFrame, batch_id: int, store: str, as_of=None,
-                  scored: DataFrame | None = None, params=None) -> None:
+                  scored: DataFrame | None = None, params=None, compact_every: int = 50) -> None:
     """One micro-batch of the intake (see the module notes)."""
     spark = batch.sparkSession
-    p = {k: os.path.join(store, k) for k in ("orders", "customers", "profiles", "audit", "activations")}
+    p = {k: os.path.join(store, k) for k in ("orders", "customers", "profiles", "audit", "activations",
+                                              "snapshots")}
     bid = F.lit(int(batch_id)).cast("long")
     as_of_col = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
 
@@ -194,13 +208,20 @@ def process_batch(batch: DataFrame, batch_id: int, store: str, as_of=None,
 
     # T4: latest state of the touched customers merged with this batch's orders
     touched = stored_new.select("customer_id").distinct()
+    # state rows from the last snapshot on (partition pruning on batch_id); every
+    # `compact_every` batches the full latest state is written as a new snapshot
     delta = profile_state(stored_new)
     prev_state = _read(spark, p["profiles"])
+    snapshot = bool(compact_every) and batch_id > 0 and batch_id % compact_every == 0
     if prev_state is not None:
-        prev = latest_state(prev_state.filter(F.col("batch_id") < batch_id)
-                            .join(touched, "customer_id", "left_semi"))
-        delta = merge_state(prev, delta)
+        since = last_snapshot(spark, store, before=batch_id)
+        rows = prev_state.filter((F.col("batch_id") >= since) & (F.col("batch_id") < batch_id))
+        if not snapshot:
+            rows = rows.join(touched, "customer_id", "left_semi")
+        delta = merge_state(latest_state(rows), delta)
     _write(delta.withColumn("batch_id", bid), p["profiles"])
+    if snapshot:
+        _write(spark.range(1).select(bid.alias("batch_id"), F.lit(True).alias("full_state")), p["snapshots"])
 
     # Activation for touched customers with batch scores
     if scored is not None:
@@ -213,7 +234,8 @@ def process_batch(batch: DataFrame, batch_id: int, store: str, as_of=None,
 
 
 def start_intake(spark: SparkSession, source_dir: str, store: str, checkpoint: str, as_of=None,
-                 scored: DataFrame | None = None, available_now: bool = True, max_files: int | None = None):
+                 scored: DataFrame | None = None, available_now: bool = True, max_files: int | None = None,
+                 compact_every: int = 50):
     """Stream JSON order events from ``source_dir`` into the store."""
     from pyspark.sql.streaming.state import GroupStateTimeout
     if not spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) or \
@@ -226,14 +248,16 @@ def start_intake(spark: SparkSession, source_dir: str, store: str, checkpoint: s
     stream = (reader.json(source_dir).groupBy("order_id")
               .applyInPandasWithState(flag_orders, FLAGGED, "seen boolean", "append", GroupStateTimeout.NoTimeout))
     w = (stream.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda df, bid: process_batch(df, bid, store, as_of, scored)))
+         .foreachBatch(lambda df, bid: process_batch(df, bid, store, as_of, scored,
+                                                     compact_every=compact_every)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
 def current_profiles(spark: SparkSession, store: str, as_of=None) -> DataFrame:
     """The live customer table: latest state per customer, as profiles at ``as_of``."""
-    state = latest_state(spark.read.parquet(os.path.join(store, "profiles")))
+    since = last_snapshot(spark, store)
+    state = latest_state(spark.read.parquet(os.path.join(store, "profiles")).filter(F.col("batch_id") >= since))
     return profiles_from_state(state, F.current_timestamp() if as_of is None else as_of)
 
 

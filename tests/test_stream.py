@@ -35,7 +35,8 @@ def test_replay_equals_batch(spark, tmp_path):
               .withColumns({"churn_probability": round_half_even(1 - F.col("recency_days") / 40.0, 4),
                             "predicted_clv": F.col("monetary_total"), "segment": F.lit("Champions")}))
     scored = scored.withColumn("action", assign_action("churn_probability", "monetary_percentile"))
-    q = live.start_intake(spark, src + "_flat", store, ckpt, as_of=as_of, scored=scored, max_files=1)
+    q = live.start_intake(spark, src + "_flat", store, ckpt, as_of=as_of, scored=scored, max_files=1,
+                          compact_every=2)
     q.awaitTermination(300)
 
     got = live.current_profiles(spark, store, F.lit(as_of)).toPandas().set_index("customer_id").sort_index()
@@ -53,6 +54,7 @@ def test_replay_equals_batch(spark, tmp_path):
     stats = live.live_stats(spark.read.parquet(os.path.join(store, "customers")), orders).collect()[0]
     assert stats.db_orders == n
 
+    assert live.last_snapshot(spark, store) == 2          # batches 0-3, snapshot at 2
     fired = spark.read.parquet(os.path.join(store, "activations"))
     want = actions.activation_events(scored, F.lit(as_of))
     assert sorted(r.customer_id for r in fired.select("customer_id").distinct().collect()) == \
