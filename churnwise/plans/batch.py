@@ -31,13 +31,13 @@ def order_stage(t: OrderTables, params: Params = Params(), cut: bool = True) ->
     read the written stage instead of replaying the five-table merge."""
     kept = orders.keep_orders(orders.merge_orders(t))
     if cut:
-        kept = cut_lineage(kept)
+        kept = cut_lineage(kept, "kept_orders")
     return orders.finish_clean(kept, params.rank_buckets)
 
 
 def feature_stage(clean: DataFrame, params: Params = Params(), cut: bool = True) -> DataFrame:
     f = features.customer_features(clean, params.horizon_days)
-    return cut_lineage(f) if cut else f
+    return cut_lineage(f, "features") if cut else f
 
 
 def run_data(t: OrderTables, params: Params = Params(), cut: bool = True) -> DataFrame:
@@ -70,7 +70,7 @@ def proxy_scores(feat: DataFrame, params: Params = Params(), cut: bool = False)
     df = df.withColumn("segment", segments.rule_segment())
     df = actions.add_action(df)
     if cut:
-        df = cut_lineage(df)
+        df = cut_lineage(df, "proxy_scores")
     df = clv.add_clv_tier(df, buckets=params.rank_buckets)
-    return cut_lineage(df) if cut else df
+    return cut_lineage(df, "proxy_scored") if cut else df
 

@@ -30,12 +30,12 @@ def run_segments(feat: DataFrame, params: Params = Params()) -> dict:
     """R2: k sweep (reported), final K-Means with k clusters, named segments, summary."""
     # written once, cached once: every restart reads the same cached blocks
     # (an uncached input would make each of the concurrent fits cache its own copy)
-    scaled = cut_lineage(ml.scale_rfm(feat.select(CUST, *ml.RFM))).persist()
+    scaled = cut_lineage(ml.scale_rfm(feat.select(CUST, *ml.RFM)), "rfm_scaled").persist()
     models = ml.best_kmeans(scaled, sorted(set(params.k_sweep) | {params.n_clusters}),
                             params.n_init, params.seed)
     sweep = ml.k_sweep(scaled, {k: m for k, m in models.items() if k in params.k_sweep})
     customers, named, _ = ml.kmeans_segments(feat, params, models, scaled)
-    customers = cut_lineage(customers)
+    customers = cut_lineage(customers, "segments")
     scaled.unpersist()
     return {"customers": customers, "clusters": named, "k_sweep": sweep,
             "segment_summary": segments.segment_summary(customers), "kmeans": models[params.n_clusters]}
@@ -46,15 +46,15 @@ def run_churn(customers: DataFrame, params: Params = Params(), trained=None) ->
     for every customer, value percentile + action, contributions.
     ``trained`` is the result of :func:`ml.train_churn` when already fitted."""
     model, test_scored, train, test = trained or ml.train_churn(customers, params)
-    test_scored = cut_lineage(test_scored)
+    test_scored = cut_lineage(test_scored, "churn_test")
     scored = ml.score_churn(model, ml.assemble(customers)).drop("features")
     scored = actions.add_action(actions.add_monetary_percentile(scored, params.rank_buckets))
-    scored = cut_lineage(scored)
+    scored = cut_lineage(scored, "churn_scored")
     spark = customers.sparkSession
     trees = explain.load_trees(spark, model, model_dir(spark, "churn"))      # S6: saved here
     feats = ml.assemble(customers).select(CUST, *[F.col(c) for c in params.feature_cols])
     feats = feats.withColumns({c: ml.finite_or_zero(c) for c in params.feature_cols})
-    contrib = cut_lineage(explain.contributions(feats, trees, params.feature_cols))
+    contrib = cut_lineage(explain.contributions(feats, trees, params.feature_cols), "contributions")
     return {
         "model": model, "customers": scored, "test_scored": test_scored,
         "metrics": ml.churn_metrics(test_scored),
@@ -74,8 +74,8 @@ def run_clv(customers: DataFrame, params: Params = Params(), trained=None) -> di
     model.write().overwrite().save(model_dir(customers.sparkSession, "clv"))   # S7
     test_scored = ml.score_clv(model, test)
     scored = ml.score_clv(model, ml.assemble(customers)).drop("features")
-    scored = cut_lineage(scored)
-    scored = cut_lineage(clv.add_clv_tier(scored, buckets=params.rank_buckets))
+    scored = cut_lineage(scored, "clv_scored")
+    scored = cut_lineage(clv.add_clv_tier(scored, buckets=params.rank_buckets), "clv_tiers")
     return {"model": model, "customers": scored,
             "metrics": evaluation.regression_metrics(test_scored),
             "thresholds": clv.clv_thresholds(scored, buckets=params.rank_buckets)}
