@@ -474,7 +474,7 @@ SELECT * FROM purch p WHERE NOT EXISTS (
   SELECT 1 FROM purch s WHERE s.order_id = p.order_id
     AND s.order_timestamp < (SELECT max(order_timestamp) FROM purch) - INTERVAL 7 DAY)"""
 
-SQL["pipeline_audit"] = w() + f"""
+SQL["stage_audit"] = w() + f"""
 SELECT (SELECT COUNT(*) FROM master) AS raw_orders, (SELECT COUNT(*) FROM clean) AS clean_orders,
        COUNT(*) AS customers, {r('AVG(churned) * 100', 1)} AS churn_rate
 FROM features"""

@@ -273,7 +273,7 @@ def q_export_customers_filtered(spark, sf):
     return reports.export_customers(_scored(spark, sf), "churned", "champions")
 
 
-@query("pipeline_audit")
+@query("stage_audit")
 def q_audit(spark, sf):
     """Row counts per stage and the churn rate of the labelled customers."""
     raw = orders.merge_orders(load_test_tables(spark, sf)).agg(F.count(F.lit(1))).scalar()
