@@ -22,10 +22,6 @@ def add_action(df: DataFrame) -> DataFrame:
     return df.withColumn("action", assign_action("churn_probability", "monetary_percentile"))
 
 
-def _literal_rows(spark, rows, schema) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
 def action_distribution(df: DataFrame) -> DataFrame:
     """All four actions (zero rows kept) with count and % of customers."""
     keys = F.explode(F.array(*[F.lit(a) for a in config.ACTIONS])).alias("action")
@@ -39,8 +35,8 @@ def action_distribution(df: DataFrame) -> DataFrame:
 
 def templates(spark) -> DataFrame:
     rows = [(a, *config.ACTION_TEMPLATES[a][:5]) for a in config.ACTIONS]
-    return _literal_rows(spark, rows, "action string, channel string, template string, subject string, "
-                                      "discount_pct int, urgency string")
+    return spark.createDataFrame(rows, "action string, channel string, template string, subject string, "
+                                       "discount_pct int, urgency string")
 
 
 def eligible(churn_threshold: float = config.ACTIVATION_CHURN_MIN,

@@ -28,7 +28,7 @@ _MEMO: dict = {}
 
 
 def _memo(spark, sf, name, build):
-    """Stage outputs are checkpointed once per session and data folder."""
+    """Stage outputs are written once per session and data folder, then shared by the queries."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _MEMO:
         _MEMO[key] = build()
@@ -451,5 +451,5 @@ def q_model_hist(spark, sf):
     return histogram.histogram(_models(spark, sf)["customers"], "churn_probability")
 
 
-def all_queries(params: Params | None = None) -> dict[str, Query]:
+def all_queries() -> dict[str, Query]:
     return dict(REGISTRY)
