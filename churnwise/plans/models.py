@@ -26,6 +26,18 @@ def model_dir(spark, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark).replace("file:", ""), "models", name)
 
 
+def load_churn_model(spark, path: str | None = None):
+    """The saved churn classifier (default: the run's model folder)."""
+    from pyspark.ml.classification import GBTClassificationModel
+    return GBTClassificationModel.load(path or model_dir(spark, "churn"))
+
+
+def load_clv_model(spark, path: str | None = None):
+    """The saved value regressor."""
+    from pyspark.ml.regression import GBTRegressionModel
+    return GBTRegressionModel.load(path or model_dir(spark, "clv"))
+
+
 def run_segments(feat: DataFrame, params: Params = Params()) -> dict:
     """R2: k sweep (reported), final K-Means with k clusters, named segments, summary."""
     # written once, cached once: every restart reads the same cached blocks

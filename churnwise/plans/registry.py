@@ -397,6 +397,7 @@ for _name, _key, _cols in [
     ("churn_scores", "customers", ["customer_unique_id", "churn_probability", "churn_prediction",
                                    "monetary_percentile", "action"]),
     ("churn_metrics", "churn_metrics", None),
+    ("churn_auc", "churn_metrics", ["roc_auc"]),
     ("churn_confusion", "confusion", None),
     ("churn_classification_report", "classification_report", None),
     ("churn_error_analysis", "error_analysis", None),

@@ -35,6 +35,13 @@ def test_run_all_shapes(spark):
     reasons = res["top_reasons"]
     assert reasons.groupBy("customer_unique_id").count().filter("count != 3").count() == 0
     assert res["activation_summary"].collect()[0].total_evaluated == n
+    # saved models load back and score the same
+    from pyspark.sql import functions as G
+    m = models.load_churn_model(spark)
+    again = ml.score_churn(m, ml.assemble(cust.drop("churn_probability", "churn_prediction", "churn_score")))
+    diff = again.join(cust.select("customer_unique_id", G.col("churn_probability").alias("p0")), "customer_unique_id")
+    assert diff.filter(G.col("churn_probability") != G.col("p0")).count() == 0
+    assert models.load_clv_model(spark).numFeatures == len(FAST.feature_cols)
     # serving views over the same results
     from churnwise.plans import serving
     d = serving.dashboard_stats(cust, res["churn_metrics"], res["clv_metrics"]).collect()
