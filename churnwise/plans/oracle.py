@@ -455,9 +455,9 @@ DEDUP = f"""dd AS (
 SQL["live_profiles"] = f"WITH {PURCH}, {DEDUP}\n" + f"""
 SELECT customer_id,
        {days('(SELECT max(order_timestamp) FROM purch)', 'max(order_timestamp)')} AS recency_days,
-       COUNT(*) AS frequency_count, {r(msum('total_value'))} AS monetary_total,
-       {r(msum('total_value') + ' / COUNT(*)')} AS avg_order_value,
-       {r('AVG(review_score)')} AS avg_review_score,
+       COUNT(*) AS frequency_count, COALESCE({msum('total_value')}, 0.0) AS monetary_total,
+       COALESCE({msum('total_value')}, 0.0) / COUNT(*) AS avg_order_value,
+       SUM(review_score) / COUNT(review_score) AS avg_review_score,
        min(order_timestamp) AS first_purchase, max(order_timestamp) AS last_purchase
 FROM dd GROUP BY customer_id"""
 SQL["live_stats"] = f"WITH {PURCH}, {DEDUP}\n" + f"""

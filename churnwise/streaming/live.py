@@ -115,9 +115,9 @@ def profiles_from_state(state: DataFrame, as_of) -> DataFrame:
         "customer_id",
         day_diff(as_of_col, "last_purchase").alias("recency_days"),
         F.col("n_orders").alias("frequency_count"),
-        round_half_even(value, 2).alias("monetary_total"),
-        round_half_even(value / F.col("n_orders"), 2).alias("avg_order_value"),
-        round_half_even(F.col("review_sum") / F.col("review_n"), 2).alias("avg_review_score"),
+        value.alias("monetary_total"),
+        (value / F.col("n_orders")).alias("avg_order_value"),
+        (F.col("review_sum") / F.col("review_n")).alias("avg_review_score"),
         "first_purchase", "last_purchase")
 
 
