@@ -98,7 +98,8 @@ def feature_label(name_col) -> Column:
 def explanation_text(label, value, contribution) -> Column:
     """``"{label} = {value:.1f} (increases|decreases churn risk)"``."""
     direction = F.when(_c(contribution) > 0, "increases").otherwise("decreases")
-    return F.format_string("%s = %.1f (%s churn risk)", _c(label), _c(value), direction)
+    # pre-round half-to-even: Java's %.1f rounds half-up on the shortest decimal form
+    return F.format_string("%s = %.1f (%s churn risk)", _c(label), round_half_even(value, 1), direction)
 
 
 def mean_exact(c) -> Column:

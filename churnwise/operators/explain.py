@@ -202,7 +202,8 @@ def top_reasons(scored: DataFrame, contrib: DataFrame, n: int = config.EXPLAIN_T
                 feature_cols=config.FEATURE_COLS, per_customer: int = 3) -> DataFrame:
     """M16 + W5 + C7 + C8: the n highest-risk customers with their three
     strongest features (by |contribution|) as readable reasons."""
-    top = scored.orderBy(F.col("churn_probability").desc(), F.col(CUST)).limit(n)
+    risk = "churn_score" if "churn_score" in scored.columns else "churn_probability"   # raw score ranks
+    top = scored.orderBy(F.col(risk).desc(), F.col(CUST)).limit(n)
     names = F.array(*[F.lit(c) for c in feature_cols])
     vals = F.array(*[F.col(c).cast("double") for c in feature_cols])
     j = top.select(CUST, "churn_probability", vals.alias("_vals")).join(contrib, CUST, "inner")
