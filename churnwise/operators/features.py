@@ -4,15 +4,17 @@ The reference computes the feature window and the target window as two
 frames, aggregates each per customer and left-joins them.  Here both windows
 come out of one two-level aggregation:
 
-* level 1 groups by (customer, order, window flag).  Its input is already
-  hash-partitioned on ``order_id`` (or ``customer_id``) by the merge joins, a
-  subset of these keys, so this level adds no shuffle;
+* level 1 groups by (customer, order, window flag): its shuffle spreads
+  evenly even when one customer holds a third of all orders, and it makes
+  "distinct orders per window" a plain count (no Expand of the rows for
+  two conditional distinct aggregates);
 * level 2 groups by customer with conditional sums; partial aggregation
-  runs map-side, so a customer holding a third of all orders is one row
-  per map task before the shuffle.
+  runs map-side, so the hot customer is one row per map task before its
+  (small) shuffle.
 
-Result: one shuffle instead of three (two aggregates and the join), and the
-two windows are disjoint and complete by construction.
+Result: two shuffles, the second of pre-aggregated rows, where the direct
+form needs two skew-prone distinct aggregates plus a join; the two windows
+are disjoint and complete by construction.
 """
 
 from __future__ import annotations
