@@ -43,8 +43,13 @@ def load_test_tables(spark: SparkSession, sf_dir: str) -> OrderTables:
 
     delivered = (li.groupBy("l_orderkey")
                  .agg(F.max("l_shipdate").alias("order_delivered_customer_date")))
-    status = F.coalesce(*[F.when(F.col("o_orderstatus") == k, F.lit(v)) for k, v in STATUS_MAP.items()],
-                        F.col("o_orderstatus"))
+    # one CASE expression; Catalyst folds "status = 'delivered'" into a boolean
+    # CASE on o_orderstatus evaluated right after the scan (not a parquet filter)
+    status = None
+    for k, v in STATUS_MAP.items():
+        cond = F.col("o_orderstatus") == k
+        status = F.when(cond, F.lit(v)) if status is None else status.when(cond, F.lit(v))
+    status = status.otherwise(F.col("o_orderstatus"))
     orders = (o.join(delivered, o.o_orderkey == delivered.l_orderkey, "left")
               .select(F.col("o_orderkey").cast("string").alias("order_id"),
                       F.col("o_custkey").cast("string").alias("customer_id"),
