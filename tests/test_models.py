@@ -18,11 +18,12 @@ def test_split_is_exact_and_stratified(spark):
         assert r.t == -(-r.n * 2 // 10)          # ceil(0.2 * n) per class
 
 
-def test_run_all_shapes(spark):
+def test_run_all_shapes(spark, tmp_path):
     t = load_test_tables(spark, SF001)
     clean = batch.order_stage(t)
     feat = batch.feature_stage(clean)
-    res = models.run_all(feat, batch.run_time(clean), FAST)
+    out = str(tmp_path / "results")
+    res = models.run_all(feat, batch.run_time(clean), FAST, out_dir=out)
     cust = res["customers"]
     n = feat.count()
     assert cust.count() == n
@@ -51,3 +52,8 @@ def test_run_all_shapes(spark):
         for name, df in view(res).items():
             assert df.count() >= 0, name
     assert serving.churn_risk_view(res)["churn_distribution"].count() == 50
+    stored = serving.read_results(spark, out)
+    assert set(serving.TABLES) <= set(stored)
+    assert stored["customers"].count() == n and stored["status"].collect()[0].total_customers == n
+    assert serving.dashboard_stats(stored["customers"], stored["churn_metrics"],
+                                   stored["clv_metrics"]).collect()[0].total_customers == n
