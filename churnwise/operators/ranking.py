@@ -18,6 +18,7 @@ plain expressions on it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -38,7 +39,7 @@ def value_positions(df: DataFrame, value_col: str, group_cols: Sequence[str] = (
         probs = [i / buckets for i in range(1, buckets)]
         bounds = vc.agg(F.percentile_approx(value_col, probs, 10_000).alias("b")).scalar()
         vc = vc.withColumn("_bounds", bounds)
-        bucket = F.size(F.filter(F.col("_bounds"), lambda b: b < v))
+        bucket = _count_below(F.col("_bounds"), v, buckets - 1)
     else:
         bucket = F.lit(0)
     vc = vc.withColumn("_bucket", bucket).drop("_bounds")
@@ -56,6 +57,19 @@ def value_positions(df: DataFrame, value_col: str, group_cols: Sequence[str] = (
             .select(*g, value_col, "cnt", (F.col("_offset") + F.col("_inside")).alias("before"), "n"))
 
 
+def _count_below(bounds, v, n_bounds: int):
+    """Number of the ``n_bounds`` sorted bounds below ``v`` in about 2*sqrt(n)
+    plain comparisons (codegen'd, unlike a lambda over the array): count the
+    every-``s``-th bounds below ``v``, then the bounds inside that segment."""
+    s = max(1, math.isqrt(n_bounds))
+
+    def below(i):
+        return F.when(F.try_element_at(bounds, i) < v, 1).otherwise(0)
+    coarse = sum((below(F.lit(s * k)) for k in range(1, n_bounds // s + 1)), F.lit(0))
+    fine = sum((below(coarse * s + j) for j in range(1, s)), F.lit(0))
+    return coarse * s + fine
+
+
 def avg_rank_pct(df: DataFrame, value_col: str, out_col: str, group_cols: Sequence[str] = (),
                  buckets: int = config.RANK_BUCKETS) -> DataFrame:
     """Adds ``out_col`` = average rank / n, ascending, ties share the mean
