@@ -8,7 +8,7 @@ report operator can be checked against SQL; the model runs in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from churnwise.config import Params
@@ -25,24 +25,60 @@ def clean_order_frame(t: OrderTables, params: Params = Params()) -> DataFrame:
     return orders.clean_orders(orders.merge_orders(t), params.rank_buckets)
 
 
-def order_stage(t: OrderTables, params: Params = Params(), cut: bool = True) -> DataFrame:
+def order_stage(t: OrderTables, params: Params = Params(), cut: bool = True,
+                audit: dict | None = None) -> DataFrame:
     """Merged, filtered orders written to the checkpoint folder, then the
     median fill on top.  The median, the cutoff and the feature aggregate all
-    read the written stage instead of replaying the five-table merge."""
-    kept = orders.keep_orders(orders.merge_orders(t))
+    read the written stage instead of replaying the five-table merge.
+
+    With ``audit`` (a dict), row counts of the merged and the kept orders are
+    collected by ``observe()`` while the stage is written: no extra pass.  (The
+    observed merge counts every order, so the status filter then applies above
+    the merge joins instead of below them; auditing is opt-in for that reason.)"""
+    master = orders.merge_orders(t)
+    if audit is not None:
+        audit["_merged"] = Observation("merged_orders")
+        master = master.observe(audit["_merged"], F.count(F.lit(1)).alias("raw_orders"))
+    kept = orders.keep_orders(master)
+    if audit is not None:
+        audit["_kept"] = Observation("kept_orders")
+        kept = kept.observe(audit["_kept"], F.count(F.lit(1)).alias("clean_orders"))
     if cut:
         kept = cut_lineage(kept, "kept_orders")
     return orders.finish_clean(kept, params.rank_buckets)
 
 
-def feature_stage(clean: DataFrame, params: Params = Params(), cut: bool = True) -> DataFrame:
+def feature_stage(clean: DataFrame, params: Params = Params(), cut: bool = True,
+                  audit: dict | None = None) -> DataFrame:
     f = features.customer_features(clean, params.horizon_days)
+    if audit is not None:
+        audit["_features"] = Observation("features")
+        f = f.observe(audit["_features"], F.count(F.lit(1)).alias("customers"),
+                      F.sum("churned").alias("churned"))
     return cut_lineage(f, "features") if cut else f
 
 
-def run_data(t: OrderTables, params: Params = Params(), cut: bool = True) -> DataFrame:
-    """Load -> merge -> clean -> customer features with labels."""
-    return feature_stage(order_stage(t, params, cut), params, cut)
+def run_data(t: OrderTables, params: Params = Params(), cut: bool = True,
+             audit: dict | None = None) -> DataFrame:
+    """Load -> merge -> clean -> customer features with labels.
+
+    Pass ``audit={}`` to get the stage counts and churn rate (A26) filled in
+    after the run, from metrics observed while the stages were written."""
+    out = feature_stage(order_stage(t, params, cut, audit), params, cut, audit)
+    if audit is not None and cut:
+        merged, kept, feats = (audit.pop(k).get for k in ("_merged", "_kept", "_features"))
+        audit.update(merged)
+        audit.update(kept)
+        n = feats["customers"]
+        rate = 100.0 * (feats["churned"] or 0) / max(n, 1)
+        audit.update({"customers": n, "churn_rate": round_half_even_py(rate, 1)})
+    return out
+
+
+def round_half_even_py(x: float, digits: int) -> float:
+    """The scalar twin of ``functions.scalar.round_half_even`` (numpy rint semantics)."""
+    import numpy as np
+    return float(np.rint(x * 10 ** digits) / 10 ** digits)
 
 
 def run_time(clean: DataFrame):
