@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from churnwise.llm import exact_dedup, mixing, token_counts
+from churnwise.llm import exact_dedup, langid, mixing, suffix_lm, token_counts
 from churnwise.llm.common import read
 
 
+def op2_language_id(spark, sf_dir):
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -18,5 +22,9 @@ def op9_mixing(spark, sf_dir):
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op6_token_counts, op9_mixing)}
+def op10_lm_scoring(spark, sf_dir):
+    return suffix_lm.score_texts(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_exact_dedup, op6_token_counts, op9_mixing, op10_lm_scoring)}
 SQL = {"op3_exact_dedup": exact_dedup.ORACLE, "op6_token_counts": token_counts.ORACLE}
