@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from churnwise.llm import exact_dedup, langid, mixing, suffix_lm, token_counts
+from churnwise.llm import exact_dedup, langid, mixing, near_dedup, suffix_lm, token_counts
 from churnwise.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op6_token_counts(spark, sf_dir):
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
 
 
+def op8_minhash_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
 
@@ -26,5 +30,6 @@ def op10_lm_scoring(spark, sf_dir):
     return suffix_lm.score_texts(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_exact_dedup, op6_token_counts, op9_mixing, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_exact_dedup, op6_token_counts, op8_minhash_near_dedup,
+                                   op9_mixing, op10_lm_scoring)}
 SQL = {"op3_exact_dedup": exact_dedup.ORACLE, "op6_token_counts": token_counts.ORACLE}
