@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from churnwise.llm.common import WS, stage, text_or_empty
 
-#: Bytes of distinct texts that a bucket holds before it splits.
-BUCKET_BYTES = 16 << 20
+#: Bytes of distinct texts that a bucket holds before it splits, and that an owner task gets on average.
+BUCKET_BYTES, OWNER_BYTES = 1 << 20, 64 << 20
 #: Largest directory: 2 ** MAX_DEPTH entries.
 MAX_DEPTH = 18
 
@@ -64,7 +64,7 @@ def split_directory(cells: dict[int, int], depth: int, capacity: int) -> list[in
 
 
 def directory(fp: DataFrame, capacity: int) -> tuple[DataFrame, int, int]:
-    """(prefix -> bucket table, depth, number of buckets) for the fingerprints ``fp`` (key, n_bytes)."""
+    """(prefix -> bucket table, depth, bytes of all keys) for the fingerprints ``fp`` (key, n_bytes)."""
     spark = fp.sparkSession
     keys = fp.groupBy("key").agg(F.max("n_bytes").alias("n_bytes"))
     top = F.shiftrightunsigned("key", 64 - MAX_DEPTH).cast("int")
@@ -75,7 +75,7 @@ def directory(fp: DataFrame, capacity: int) -> tuple[DataFrame, int, int]:
             .collect())                                     # 2 ** depth numbers at most
     entries = split_directory({r["cell"]: r["n"] for r in rows}, depth, capacity)
     table = spark.createDataFrame(list(enumerate(entries)), "cell int, bucket int")
-    return table, depth, entries[-1] + 1
+    return table, depth, total
 
 
 def _combine(batches):
@@ -131,13 +131,13 @@ def build_index(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, hash_bits: in
     """(fingerprints of all rows, index entries), both as files in the shared folder."""
     fp = fingerprints(docs, hash_bits)
     prints = stage(fp.select("doc_id", "key", "sha", F.octet_length("norm").alias("n_bytes")), "exact-prints")
-    table, depth, buckets = directory(prints, bucket_bytes)
+    table, depth, total = directory(prints, bucket_bytes)
     cell = F.shiftrightunsigned("key", 64 - depth).cast("int") if depth else F.lit(0)
     # the directory has at most 2 ** MAX_DEPTH pairs of integers, so it may be broadcast
     rows = (fp.withColumn("cell", cell).join(F.broadcast(table), "cell")
             .select("bucket", "key", "sha", "norm", "doc_id"))
     spark = docs.sparkSession
-    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets, 1 << 14))
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // OWNER_BYTES)
     entries = (rows.mapInArrow(_combine, "bucket int, key long, sha binary, norm string, keep_id long, n long")
                .repartition(owners, "bucket").sortWithinPartitions("bucket", "key")
                .mapInArrow(_owner, ENTRY))
