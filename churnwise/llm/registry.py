@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from churnwise.llm import embedding_dedup, exact_dedup, langid, mixing, near_dedup, suffix_lm, token_counts
+from churnwise.llm import embedding_dedup, exact_dedup, langid, mixing, near_dedup, suffix_lm, token_counts, toxicity
 from churnwise.llm.common import read
 
 
@@ -22,6 +22,10 @@ def op6_token_counts(spark, sf_dir):
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark, sf_dir):
+    return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -34,6 +38,6 @@ def op10_lm_scoring(spark, sf_dir):
     return suffix_lm.score_texts(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_language_id, op3_exact_dedup, op6_token_counts, op8_minhash_near_dedup,
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_language_id, op3_exact_dedup, op6_token_counts, op7_toxicity, op8_minhash_near_dedup,
                                    op9_mixing, op10_lm_scoring)}
 SQL = {"op3_exact_dedup": exact_dedup.ORACLE, "op6_token_counts": token_counts.ORACLE}

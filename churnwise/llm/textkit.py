@@ -68,12 +68,12 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(texts: pa.Array, lower: bool = False) -> Words:
-    """Words are maximal runs of bytes other than white space (bytes 0x09-0x0D and 0x20)."""
+def words(texts: pa.Array, lower: bool = False, separators: np.ndarray = IS_WS) -> Words:
+    """Words are maximal runs of bytes other than ``separators`` (white space: bytes 0x09-0x0D and 0x20)."""
     data, off = joined(texts)
     if lower:
         data = LOWER[data]
-    ws = IS_WS[data]
+    ws = separators[data]
     turn = np.flatnonzero(np.diff(ws.astype(np.int8), prepend=1))   # the joined bytes end with a space
     start, end = turn[0::2], turn[1::2]
     first = np.searchsorted(start, off)
