@@ -62,6 +62,12 @@ class Words:
     end: np.ndarray
     first: np.ndarray      # document i has words first[i] .. first[i + 1] - 1
     hash: np.ndarray
+    total: np.ndarray      # running sums of the polynomial hash
+
+    def prefix(self, n: int) -> np.ndarray:
+        """Hash of each word's first ``n`` bytes (of the whole word if it is shorter)."""
+        stop = np.minimum(self.start + n, self.end)
+        return mix((self.total[stop] - self.total[self.start]) * powers(BASE_INV, len(self.data))[self.start])
 
     @property
     def doc(self) -> np.ndarray:
@@ -78,11 +84,11 @@ def words(texts: pa.Array, lower: bool = False, separators: np.ndarray = IS_WS)
     start, end = turn[0::2], turn[1::2]
     first = np.searchsorted(start, off)
     if not len(start):
-        return Words(data, start, end, first, np.zeros(0, U))
+        return Words(data, start, end, first, np.zeros(0, U), np.zeros(1, U))
     total = np.zeros(len(data) + 1, U)
     np.cumsum((data.astype(U) + U(1)) * powers(BASE, len(data)), out=total[1:])
     h = (total[end] - total[start]) * powers(BASE_INV, len(data))[start]
-    return Words(data, start, end, first, mix(h))
+    return Words(data, start, end, first, mix(h), total)
 
 
 def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
