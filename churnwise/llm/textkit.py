@@ -43,10 +43,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' bytes, each followed by one space, and the n + 1 offsets; null counts as empty."""
+def joined(texts: pa.Array, tail: str = " ") -> tuple[np.ndarray, np.ndarray]:
+    """All texts' bytes, each followed by ``tail`` (one byte), and the n + 1 offsets; null counts as empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    texts = pc.binary_join_element_wise(texts, pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
+    texts = pc.binary_join_element_wise(texts, pa.scalar("", pa.large_string()), pa.scalar(tail, pa.large_string()))
     if not len(texts):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset: texts.offset + len(texts) + 1]
@@ -76,11 +76,11 @@ class Words:
 
 def words(texts: pa.Array, lower: bool = False, separators: np.ndarray = IS_WS) -> Words:
     """Words are maximal runs of bytes other than ``separators`` (white space: bytes 0x09-0x0D and 0x20)."""
-    data, off = joined(texts)
+    data, off = joined(texts, " " if separators[0x20] else "\n")
     if lower:
         data = LOWER[data]
     ws = separators[data]
-    turn = np.flatnonzero(np.diff(ws.astype(np.int8), prepend=1))   # the joined bytes end with a space
+    turn = np.flatnonzero(np.diff(ws.astype(np.int8), prepend=1))   # the joined bytes end with a separator
     start, end = turn[0::2], turn[1::2]
     first = np.searchsorted(start, off)
     if not len(start):
