@@ -37,6 +37,14 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def free(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column is called so (Spark ignores case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int | None = None) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the text column of each piece holds about ``limit`` bytes (one row at least)."""
     limit = limit or CHUNK_BYTES

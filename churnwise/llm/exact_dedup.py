@@ -19,10 +19,10 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnwise.llm.common import WS, stage, text_or_empty
+from churnwise.llm.common import WS, free, stage, text_or_empty
 
 #: Bytes of distinct texts that a bucket holds before it splits, and that an owner task gets on average.
 BUCKET_BYTES, OWNER_BYTES = 1 << 20, 64 << 20
@@ -150,18 +150,31 @@ def exact_dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, hash_bits: in
     Null texts count as empty and so group together; very long texts are
     compared whole.  Rows that repeat a doc_id are rows of their own (all
     with that id are kept if it is the smallest of the group).  Null ids are
-    never the smallest; a group of null ids alone has keep_id null, and its
-    rows are not kept.  An empty table gives an empty result.  Other columns
+    never the smallest; a group of null ids alone has keep_id null and is kept.  An empty table gives an empty result.  Other columns
     of ``docs`` are not read, so their names cannot clash.
     """
     prints, entries = build_index(docs, bucket_bytes, hash_bits)
     e = entries.select("key", "sha", "keep_id", "group_size")
     return (prints.select("doc_id", "key", "sha").join(e, ["key", "sha"])
             .select("doc_id", "keep_id", "group_size",
-                    F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"),
+                    F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
                     F.lower(F.hex("sha")).alias("text_sha256")))
 
 
+def first_copies(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """The rows of ``docs`` that stay: one for each text, whole and with all columns."""
+    _, entries = build_index(docs, bucket_bytes)
+    names = docs.columns
+    k, s, place = (free(x, names) for x in ("dedup_key", "dedup_sha", "dedup_place"))
+    norm = F.regexp_replace(text_or_empty(), f"{WS}+", " ")
+    d = docs.withColumns({k: F.xxhash64(norm), s: F.unhex(F.sha2(norm, 256))})
+    e = entries.select(F.col("key").alias("e_key"), F.col("sha").alias("e_sha"), F.col("keep_id").alias("e_keep"))
+    stay = d.join(e, (d[k] == e["e_key"]) & (d[s] == e["e_sha"]) & d["doc_id"].cast("long").eqNullSafe(e["e_keep"]), "left_semi")
+    # rows that repeat both id and text: any one of them
+    w = Window.partitionBy(k, s).orderBy("doc_id")
+    return stay.withColumn(place, F.row_number().over(w)).filter(F.col(place) == 1).select(*names)
+
+
 ORACLE = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)

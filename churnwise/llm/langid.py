@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from churnwise.llm.common import arrow_job, fold, text_or_empty
+from churnwise.llm.common import arrow_job, fold, free, text_or_empty
 from churnwise.llm.textkit import SortedHash, mix, runs
 
 ORDER = 4
@@ -251,20 +252,27 @@ def train(docs: DataFrame, chars: int = CHARS_PER_LANG) -> Models:
     return models
 
 
-def score_documents(docs: DataFrame, models: Models) -> DataFrame:
-    """``docs`` with ll_lang, ll_score, ll_rejected appended.  Only the text decides."""
-    from pyspark.sql import types as T
+def score_documents(docs: DataFrame, models: Models) -> tuple[DataFrame, str, str, str]:
+    """``docs`` with three columns appended, and their names: language, score, rejected.  Only the text decides."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
     names = docs.columns
+    added = [free(x, names) for x in ("found_lang", "found_score", "found_rejected")]
     at = names.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = shared.value.predict(batch.column(at).to_pylist())
         more = [pa.array(out["lang"], pa.string()), pa.array(out["score"], pa.float64()), pa.array(out["rejected"], pa.bool_())]
-        return pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*names, "ll_lang", "ll_score", "ll_rejected"])
-    schema = T.StructType([*docs.schema.fields, T.StructField("ll_lang", T.StringType()),
-                           T.StructField("ll_score", T.DoubleType()), T.StructField("ll_rejected", T.BooleanType())])
-    return docs.mapInArrow(arrow_job(run), schema)
+        return pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*names, *added])
+    kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(x, k) for x, k in zip(added, kinds))])
+    return docs.mapInArrow(arrow_job(run), schema), *added
+
+
+def accepted(docs: DataFrame, chars: int = CHARS_PER_LANG) -> DataFrame:
+    """The rows of ``docs`` whose language is identified; a null lang becomes the identified one."""
+    scored, lang, _, rejected = score_documents(docs, train(docs, chars))
+    return (scored.filter(~F.col(rejected)).withColumn("lang", F.coalesce(F.col("lang").cast("string"), F.col(lang)))
+            .select(*docs.columns))
 
 
 def identify(docs: DataFrame, chars: int = CHARS_PER_LANG) -> DataFrame:
@@ -280,6 +288,5 @@ def identify(docs: DataFrame, chars: int = CHARS_PER_LANG) -> DataFrame:
     models = train(docs, chars)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                     F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"))
-    return (score_documents(d, models)
-            .select("doc_id", "held_out", F.col("ll_lang").alias("lang_pred"), F.col("ll_score").alias("score"),
-                    F.col("ll_rejected").alias("rejected")))
+    scored, lang, score, rejected = score_documents(d, models)
+    return scored.select("doc_id", "held_out", F.col(lang).alias("lang_pred"), F.col(score).alias("score"), F.col(rejected).alias("rejected"))

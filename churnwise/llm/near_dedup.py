@@ -26,10 +26,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnwise.llm.common import arrow_job, stage, text_or_empty
+from churnwise.llm.common import arrow_job, free, stage, text_or_empty
 from churnwise.llm.components import components
 from churnwise.llm.textkit import U, mix, runs, shingles, words
 
@@ -196,14 +196,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, weights: str)
 
 
 def near_duplicates(docs: DataFrame, weights: str = "set") -> DataFrame:
-    """One row per input row: doc_id, class_id (smallest doc_id of its component), class_size, kept.
+    """One row per input row: doc_id, class_id (smallest doc_id of its component), class_size, kept, text_hash.
 
     Null texts and texts without a word have no shingle: each is a class of
     its own and kept.  A text of one to four words is one shingle.  Rows that
     repeat a doc_id are rows of their own; null ids are never the smallest,
-    and a class of null ids alone has class_id null and keeps nothing but
-    texts without a word.  Very long texts are handled whole.  An empty table
-    gives an empty result.  Columns other than doc_id and text are not read.
+    and a class of null ids alone has class_id null and is kept.  Very long
+    texts are handled whole.  An empty table gives an empty result.  Columns
+    other than doc_id and text are not read.
     """
     prints = stage(fingerprints(docs, weights), "near-prints")
     nodes = stage(prints.filter("node IS NOT NULL").groupBy("node")
@@ -215,15 +215,28 @@ def near_duplicates(docs: DataFrame, weights: str = "set") -> DataFrame:
     extra = _second_round(nodes, rows, found, docs, weights)
     if extra is not None:
         found = components(links.unionAll(extra), "near")
-    label = prints.select("doc_id", "node").join(found, "node", "left")
+    label = prints.select("doc_id", "text_hash", "node").join(found, "node", "left")
     # documents without words stay alone, each under a key of its own
     alone = F.col("node").isNull()
-    d = label.select("doc_id", alone.alias("alone"), F.coalesce("root", "node").alias("root"))
+    d = label.select("doc_id", "text_hash", alone.alias("alone"), F.coalesce("root", "node").alias("root"))
     least = (d.filter(~F.col("alone")).groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
     return (d.join(least, "root", "left")
             .select("doc_id", F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
                     F.when(F.col("alone"), F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"),
-                    (F.col("alone") | F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False))).alias("kept")))
+                    (F.col("alone") | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"), "text_hash"))
+
+
+def first_of_classes(docs: DataFrame, weights: str = "set") -> DataFrame:
+    """The rows of ``docs`` that stay: one for each class, whole and with all columns."""
+    stay = (near_duplicates(docs, weights).filter("kept")
+            .select(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash")))
+    names = docs.columns
+    h, place = free("near_hash", names), free("near_place", names)
+    d = docs.withColumn(h, F.xxhash64(text_or_empty()))
+    d = d.join(stay, d["doc_id"].cast("long").eqNullSafe(stay["s_id"]) & (d[h] == stay["s_hash"]), "left_semi")
+    # rows that repeat both id and text: any one of them
+    w = Window.partitionBy("doc_id", h).orderBy("doc_id")
+    return d.withColumn(place, F.row_number().over(w)).filter(F.col(place) == 1).select(*names)
 
 
 def _second_round(nodes, rows, found, docs, weights) -> DataFrame | None:

@@ -104,7 +104,7 @@ class WeakLabels:
     """
 
     #: Share of kind j that labeller j calls bad; the largest rate of bad votes on good documents.
-    OWN, FALSE_BAD = 0.98, 0.005
+    OWN, FALSE_BAD = 0.98, 0.002
 
     def __init__(self, code: np.ndarray, count: np.ndarray, rounds: int = 200):
         v = unpattern(code)
