@@ -13,9 +13,11 @@
    are candidates; in a larger one every node meets the bucket's smallest.
 4. Candidates pass a sketch of the signature (one byte a coordinate), then the
    exact Jaccard similarity of their shingles.
-5. Links make components.  Large buckets that still hold several components
-   are split by a second band (nodes of similarity 0.8 share about ten of
-   thirty bands) and paired again across components.
+5. Links make components.  In large buckets that still hold several
+   components, every node outside the bucket's largest one meets all others by
+   sketch, block against block inside tasks.  Of the likely pairs only the
+   best few of a node and a foreign component are compared by text; where
+   that joins nothing, more are, and in the end all.
 
 The class of a document is the smallest doc_id of its component.
 """
@@ -25,6 +27,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,8 +41,12 @@ THRESHOLD = 0.8
 BANDS, ROWS = 30, 5
 #: Nodes of a bucket up to which all its pairs are candidates.
 SMALL = 16
-#: Share of equal sketch coordinates below which a candidate is dropped: over five deviations under 0.8.
-LEAST_EQUAL = 0.62
+#: Share of equal sketch coordinates below which a candidate is dropped: over four deviations under 0.8.
+LEAST_EQUAL = 0.66
+#: Pairs of a node and a foreign component that are compared by text, round by round; at last all.
+BEST_PAIRS = (4, 64, None)
+#: Nodes of the two sides of a block when large buckets are compared by sketch.
+SIDE_A, SIDE_B = 512, 2048
 #: Darts thrown at once per region after the first.
 BLOCK = 16
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -212,9 +219,14 @@ def near_duplicates(docs: DataFrame, weights: str = "set") -> DataFrame:
     rows = nodes.select("node", "size", F.explode("bands").alias("key"))
     links = _verified(_bucket_pairs(rows), nodes, docs, weights)
     found = components(links, "near")
-    extra = _second_round(nodes, rows, found, docs, weights)
-    if extra is not None:
-        found = components(links.unionAll(extra), "near")
+    for best in BEST_PAIRS:
+        pairs = _across(nodes, rows, found, best)
+        if pairs is None or pairs.isEmpty():
+            break
+        more = _verified(pairs, nodes, docs, weights)
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            found = components(links, "near")
     label = prints.select("doc_id", "text_hash", "node").join(found, "node", "left")
     # documents without words stay alone, each under a key of its own
     alone = F.col("node").isNull()
@@ -239,17 +251,49 @@ def first_of_classes(docs: DataFrame, weights: str = "set") -> DataFrame:
     return d.withColumn(place, F.row_number().over(w)).filter(F.col(place) == 1).select(*names)
 
 
-def _second_round(nodes, rows, found, docs, weights) -> DataFrame | None:
-    """Links across components inside large buckets, by pairs of bands."""
+def _across(nodes: DataFrame, rows: DataFrame, found: DataFrame, best: int | None) -> DataFrame | None:
+    """Likely pairs across components inside large buckets: the ``best`` of each node and foreign component (None: all)."""
     big = rows.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > SMALL).select("key")
-    labelled = (rows.join(big, "key", "left_semi").join(found, "node", "left")
-                .select("key", "node", F.coalesce("root", "node").alias("root")))
-    mixed = (labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key"))
-    # one node for each component and bucket stands for it: its links already hold
-    stand = stage(labelled.join(mixed, "key", "left_semi").groupBy("key", "root").agg(F.min("node").alias("node")), "near-mixed")
-    if stand.isEmpty():
+    labelled = stage(rows.join(big, "key", "left_semi").join(found, "node", "left")
+                     .select("key", "node", "size", F.coalesce("root", "node").alias("root")), "near-large")
+    per_root = labelled.groupBy("key", "root").agg(F.count("*").alias("c"))
+    most = F.max(F.struct("c", "root"))
+    mixed = stage(per_root.groupBy("key").agg(most.alias("most"), F.sum("c").alias("m"), F.count("*").alias("roots"))
+                  .filter("roots > 1").select("key", F.col("most.root").alias("main"), "m", (F.col("m") - F.col("most.c")).alias("out")), "near-mixed")
+    if mixed.isEmpty():
         return None
-    other = nodes.select("node", "size", F.explode("bands").alias("second"))
-    sub = (stand.select("key", "node").join(other, "node").filter(F.col("second") != F.col("key"))
-           .select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), "node", "size").distinct())
-    return _verified(_bucket_pairs(sub), nodes, docs, weights)
+    d = (labelled.join(mixed, "key").join(nodes.select("node", "sketch"), "node")
+         .withColumn("a_blocks", F.ceil(F.col("out") / SIDE_A).cast("int")).withColumn("b_blocks", F.ceil(F.col("m") / SIDE_B).cast("int")))
+    cols = ["key", "ab", "bb", "side", "node", "size", "root", "sketch"]
+    outside = (d.filter("root <> main").withColumn("ab", F.pmod(F.xxhash64("node"), F.col("a_blocks")).cast("int"))
+               .withColumn("bb", F.explode(F.sequence(F.lit(0), F.col("b_blocks") - 1))).withColumn("side", F.lit(0)).select(cols))
+    everyone = (d.withColumn("bb", F.pmod(F.xxhash64("node", F.lit(1)), F.col("b_blocks")).cast("int"))
+                .withColumn("ab", F.explode(F.sequence(F.lit(0), F.col("a_blocks") - 1))).withColumn("side", F.lit(1)).select(cols))
+    return stage(outside.unionAll(everyone).groupBy("key", "ab", "bb").applyInPandas(_likely(best), "a long, b long").distinct(), "near-across")
+
+
+def _likely(best: int | None):
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of side 0 and side 1 whose sketches are alike, sizes fit and components differ."""
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, BANDS * ROWS)
+        node, size, root, side = (pdf[c].to_numpy() for c in ("node", "size", "root", "side"))
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        found_a, found_b = [], []
+        for lo in range(0, len(a), 64):
+            x = a[lo: lo + 64]
+            equal = np.zeros((len(x), len(b)), np.int16)
+            for c in range(BANDS * ROWS):
+                equal += sketch[x, c][:, None] == sketch[b, c][None, :]
+            fits = np.minimum(size[x][:, None], size[b][None, :]) >= THRESHOLD * np.maximum(size[x][:, None], size[b][None, :])
+            i, j = np.nonzero((equal >= LEAST_EQUAL * BANDS * ROWS) & fits & (root[x][:, None] != root[b][None, :]))
+            if best is not None and len(i):
+                order = np.lexsort((-equal[i, j], root[b[j]], i))
+                i, j = i[order], j[order]
+                first = runs(i, root[b[j]])
+                rank = np.arange(len(i)) - np.repeat(first, np.diff(first, append=len(i)))
+                i, j = i[rank < best], j[rank < best]
+            found_a.append(node[x[i]])
+            found_b.append(node[b[j]])
+        p, q = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (found_a, found_b))
+        return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
+    return run
