@@ -1,7 +1,7 @@
 """churnwise: customer-retention analytics expressed as Spark DataFrame plans.
 
 Every public function takes DataFrames (plus scalar parameters) and returns a
-lazy DataFrame; nothing is collected to the driver.  The sub-packages are:
+lazy DataFrame; what the driver collects is bounded (tree nodes, counts).  The sub-packages are:
 
 * ``sources``   - readers for the order tables, the test-table adapter, the
                   order feed, sinks and model storage

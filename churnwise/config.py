@@ -24,6 +24,7 @@ MAX_DEPTH = 6
 LEARNING_RATE = 0.1
 ROW_SAMPLE = 0.8
 FEATURE_SAMPLE = 0.8
+MAX_BINS = 32                     # split candidates per feature
 HIGH_RISK_CUT = 0.5               # churn probability >= cut -> high risk
 HIGH_VALUE_CUT = 0.5              # monetary percentile >= cut -> high value
 ACTIVATION_CHURN_MIN = 0.85
@@ -32,15 +33,8 @@ TIER_PERCENTILES = (0.95, 0.80, 0.50)          # platinum, gold, silver
 FALLBACK_TIERS = (500.0, 200.0, 100.0)         # platinum, gold, silver
 EXPLAIN_TOP_N = 100
 HIST_BINS = 50
-SEGMENT_LIST_LIMIT = 500
-SCATTER_LIMIT = 2000
-SCATTER_PER_ACTION = 120
-SCATTER_X_CAP = 2000.0
 TOP_EXPLAINED_SERVED = 20
-PREVIEW_LIMIT = 50
 DRILLDOWN_LIMIT = 100
-ACTIVATION_EVENTS_KEPT = 100
-ACTIVATION_EVENTS_SERVED = 50
 TOP_CLV_SERVED = 20
 
 SEGMENT_NAMES = ("Champions", "Loyalists", "At-Risk", "Hibernating")
@@ -106,6 +100,9 @@ TIER_SHARE_LABELS = ("Top 5%", "Top 20%", "Top 50%", "Bottom 50%")
 # Tunable parameters (defaults are the fixed values above)
 # ---------------------------------------------------------------------------
 
+# training rows of one partition: the layout of the training frames follows the data, not the cluster
+TRAIN_ROWS_PER_PARTITION = 200_000
+
 # value ranges of the distributed ranking / quantile operator: each range is
 # one window task over distinct values, so more ranges = more parallelism
 RANK_BUCKETS = 256

@@ -67,9 +67,9 @@ def activation_events(df: DataFrame, as_of, churn_threshold: float = config.ACTI
         F.lit(config.ACTIVATION_STATUS).alias("status"))
 
 
-def recent_activations(events: DataFrame, n: int = config.ACTIVATION_EVENTS_SERVED) -> DataFrame:
-    """The first ``n`` events in customer-id order."""
-    return events.orderBy("customer_id").limit(n)
+def recent_activations(events: DataFrame, n: int | None = None) -> DataFrame:
+    """The activation events; with ``n`` the latest n, ties by customer id."""
+    return events if n is None else events.orderBy(F.col("timestamp").desc(), "customer_id").limit(n)
 
 
 def activation_summary(df: DataFrame, churn_threshold: float = config.ACTIVATION_CHURN_MIN,

@@ -22,11 +22,10 @@ def clv_thresholds(df: DataFrame, col: str = "predicted_clv", buckets: int = con
 
 
 def add_clv_tier(df: DataFrame, col: str = "predicted_clv", buckets: int = config.RANK_BUCKETS) -> DataFrame:
-    """C3 with percentile thresholds computed over the same frame (scalar subqueries)."""
-    th = clv_thresholds(df, col, buckets)
-    return df.withColumn("clv_tier", assign_clv_tier(col, th.select("platinum").scalar(),
-                                                     th.select("gold").scalar(),
-                                                     th.select("silver").scalar()))
+    """C3 with percentile thresholds computed over the same frame (one scalar subquery for all three)."""
+    th = clv_thresholds(df, col, buckets).select(F.struct("platinum", "gold", "silver")).scalar()
+    tier = assign_clv_tier(col, F.col("_th.platinum"), F.col("_th.gold"), F.col("_th.silver"))
+    return df.withColumn("_th", th).withColumn("clv_tier", tier).drop("_th")
 
 
 def tier_table(df: DataFrame, col: str = "predicted_clv", buckets: int = config.RANK_BUCKETS) -> DataFrame:

@@ -179,9 +179,8 @@ def contributions(df: DataFrame, trees: list[dict], feature_cols=config.FEATURE_
     sc = df.sparkSession.sparkContext
     bc = sc.broadcast(trees)                       # bounded by n_trees x nodes per tree
     cols = list(feature_cols)
-    # CPU-bound Python stage: spread a narrow input over all cores first
-    if df.rdd.getNumPartitions() < sc.defaultParallelism:
-        df = df.repartition(sc.defaultParallelism)
+    # CPU-bound Python stage: always dealt by id over the session's shuffle partitions
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), CUST)
 
     def run(batches):
         yield from contributions_fn(bc.value, cols)(batches)
@@ -191,19 +190,20 @@ def contributions(df: DataFrame, trees: list[dict], feature_cols=config.FEATURE_
 
 def feature_importance(contrib: DataFrame, feature_cols=config.FEATURE_COLS) -> DataFrame:
     """Mean |contribution| per feature over all rows, largest first."""
-    names = F.array(*[F.lit(c) for c in feature_cols])
-    long = contrib.select(F.posexplode("contributions").alias("i", "c"))
-    return (long.groupBy("i").agg(F.avg(F.abs("c")).alias("importance"))
-            .select(F.element_at(names, F.col("i") + 1).alias("feature"), "importance")
-            .orderBy(F.col("importance").desc()))
+    means = contrib.agg(*[F.avg(F.abs(F.element_at("contributions", i + 1))).alias(f"_m{i}")
+                          for i in range(len(feature_cols))])
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_m{i}").alias("importance"))
+                     for i, c in enumerate(feature_cols)])
+    return (means.select(F.explode(rows).alias("r")).select("r.*")
+            .orderBy(F.col("importance").desc(), "feature"))
 
 
-def top_reasons(scored: DataFrame, contrib: DataFrame, n: int = config.EXPLAIN_TOP_N,
+def top_reasons(scored: DataFrame, contrib: DataFrame, n: int | None = config.EXPLAIN_TOP_N,
                 feature_cols=config.FEATURE_COLS, per_customer: int = 3) -> DataFrame:
-    """M16 + W5 + C7 + C8: the n highest-risk customers with their three
+    """M16 + W5 + C7 + C8: the n highest-risk customers (None: all) with their three
     strongest features (by |contribution|) as readable reasons."""
     risk = "churn_score" if "churn_score" in scored.columns else "churn_probability"   # raw score ranks
-    top = scored.orderBy(F.col(risk).desc(), F.col(CUST)).limit(n)
+    top = scored if n is None else scored.orderBy(F.col(risk).desc(), F.col(CUST)).limit(n)
     names = F.array(*[F.lit(c) for c in feature_cols])
     vals = F.array(*[F.col(c).cast("double") for c in feature_cols])
     j = top.select(CUST, "churn_probability", vals.alias("_vals")).join(contrib, CUST, "inner")

@@ -90,7 +90,8 @@ def histogram(df: DataFrame, col: str, bins: int = config.HIST_BINS,
     counts = (df.filter(x.isNotNull())
               .groupBy(*g, _bin_of(x, lo, step, edge, bins).alias("bin_index"))
               .agg(F.count(F.lit(1)).alias("count")))
-    labels = _label_frame(rng, bins)
+    # the labels come from the same subquery: the frame is scanned once for its ends
+    labels = _label_frame(df.sparkSession.range(1).select(mn.alias("mn"), mx.alias("mx")), bins)
     if g:
         keys = df.select(*g).distinct()
         frame = keys.select(*g, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin_index"))

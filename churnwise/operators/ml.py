@@ -1,8 +1,9 @@
 """Spark ML stages: segments, churn classifier, value regressor.
 
 Model fits are Spark ML jobs (K-Means and boosted trees aggregate
-statistics with ``treeAggregate``); every input frame is a checkpointed
-stage, so each iteration re-reads written data instead of replaying joins.
+statistics with ``treeAggregate``); inputs are written stages, dealt by id
+hash and sorted by id in a number of partitions that follows the row count,
+so a fit replays no join and does not depend on the cluster.
 Independent fits (K-Means restarts, the k sweep) are submitted concurrently
 from a few driver threads so small jobs share the cluster's cores.
 """
@@ -13,7 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
@@ -25,6 +26,7 @@ from churnwise.config import Params
 from churnwise.functions.scalar import finite_or_zero, round_half_even
 from churnwise.operators import evaluation, segments
 from churnwise.operators.ranking import value_positions
+from churnwise.session import cut_lineage
 
 CUST = "customer_unique_id"
 RFM = ("recency", "frequency", "monetary")
@@ -104,6 +106,14 @@ def split_flag(df: DataFrame, test_size: float, seed: int, strata: str | None =
     return keyed.join(pos, [*g, "_h"], "left").drop("_h")
 
 
+def training_layout(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Rows dealt by id hash into as many partitions as their number asks for, sorted by id: boosted trees draw
+    their row samples per partition, so a seed gives the same model on any cluster."""
+    rows = df.count() if rows is None else rows
+    parts = max(1, -(-rows // config.TRAIN_ROWS_PER_PARTITION))
+    return df.repartition(parts, CUST).sortWithinPartitions(CUST)
+
+
 # --------------------------------------------------------------------------- churn
 
 def assemble(df: DataFrame, cols=config.FEATURE_COLS, out: str = "features") -> DataFrame:
@@ -124,7 +134,7 @@ def churn_classifier(params: Params) -> GBTClassifier:
     """M8: boosted trees, logistic loss (Spark samples features per node)."""
     return GBTClassifier(featuresCol="features", labelCol="churned", weightCol="weight",
                          maxIter=params.n_trees, maxDepth=params.max_depth, stepSize=params.learning_rate,
-                         subsamplingRate=params.row_sample,
+                         subsamplingRate=params.row_sample, maxBins=config.MAX_BINS,
                          featureSubsetStrategy=str(params.feature_sample), seed=params.seed)
 
 
@@ -138,14 +148,17 @@ def score_churn(model, df: DataFrame) -> DataFrame:
             .drop("rawPrediction", "probability", "prediction"))
 
 
-def auc(scored: DataFrame, label: str = "churned") -> DataFrame:
-    """M10 (AUC part): area under ROC on the held-out rows, 0.5 with one class."""
-    two = scored.agg(F.count_distinct(label)).scalar()
-    ev = BinaryClassificationEvaluator(rawPredictionCol="churn_score", labelCol=label,
-                                       metricName="areaUnderROC")
-    value = ev.evaluate(scored.withColumn(label, F.col(label).cast("double")))
-    return scored.sparkSession.range(1).select(
-        F.when(two > 1, round_half_even(F.lit(float(value)), 4)).otherwise(F.lit(0.5)).alias("roc_auc"))
+def auc(scored: DataFrame, label: str = "churned", score: str = "churn_score",
+        buckets: int = config.RANK_BUCKETS) -> DataFrame:
+    """M10 (AUC part): exact area under ROC as the rank sum of the positives
+    (ties share their mean rank), 0.5 with one class."""
+    known = scored.filter(F.col(score).isNotNull())
+    pos = value_positions(known, score, buckets=buckets).select(score, "before", "cnt")
+    hits = known.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) != 1).alias("_q"))
+    rank = F.col("before") + (F.col("cnt") + 1) / F.lit(2.0)
+    s = pos.join(hits, score).agg(F.sum("_p").alias("p"), F.sum("_q").alias("q"), F.sum(F.col("_p") * rank).alias("r"))
+    area = (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))
+    return s.select(F.when((F.col("p") > 0) & (F.col("q") > 0), round_half_even(area, 4)).otherwise(F.lit(0.5)).alias("roc_auc"))
 
 
 def baselines(train: DataFrame, test: DataFrame, gbt_test: DataFrame, label: str = "churned") -> DataFrame:
@@ -157,7 +170,11 @@ def baselines(train: DataFrame, test: DataFrame, gbt_test: DataFrame, label: str
     lr_train = train.drop("weight").join(F.broadcast(bal), label, "left")     # two rows
     lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", maxIter=1000,
                             regParam=1.0 / max(n, 1), standardization=False)
-    lr_pred = lr.fit(lr_train).transform(test)
+    # scored from its coefficients: the fitted model holds a training summary and with it the session
+    fitted = lr.fit(lr_train)
+    x = vector_to_array(F.col("features"))
+    margin = sum((F.get(x, F.lit(i)) * F.lit(float(c)) for i, c in enumerate(fitted.coefficients)), F.lit(float(fitted.intercept)))
+    lr_pred = test.withColumn("prediction", (margin > 0).cast("double"))
     majority = train.agg(F.when(F.count_if(F.col(label) == 1) > F.count_if(F.col(label) != 1), 1)
                          .otherwise(0)).scalar()          # argmax of the prior, class 0 on a tie
 
@@ -180,16 +197,16 @@ def baselines(train: DataFrame, test: DataFrame, gbt_test: DataFrame, label: str
 def train_churn(feat: DataFrame, params: Params = Params()):
     """M5, M7, M8 and the held-out evaluation inputs.  Returns (model,
     scored test rows, train rows, test rows)."""
-    data = assemble(split_flag(feat, params.test_size, params.seed, "churned"))
-    train = with_class_weight(data.filter(~F.col("is_test")))
-    test = data.filter(F.col("is_test"))
+    data = cut_lineage(split_flag(feat, params.test_size, params.seed, "churned"), "churn_split")
+    train = with_class_weight(assemble(training_layout(data.filter(~F.col("is_test")))))
+    test = assemble(data.filter(F.col("is_test")))
     model = churn_classifier(params).fit(train)
-    return model, score_churn(model, test), train, test
+    return model, cut_lineage(score_churn(model, test), "churn_test"), train, test
 
 
 def churn_metrics(test_scored: DataFrame) -> DataFrame:
     """Threshold metrics and AUC in one row."""
-    return evaluation.threshold_metrics(test_scored).join(auc(test_scored))
+    return evaluation.threshold_metrics(test_scored).select("*", auc(test_scored).scalar().alias("roc_auc"))
 
 
 # --------------------------------------------------------------------------- value
@@ -199,15 +216,15 @@ def clv_regressor(params: Params) -> GBTRegressor:
     return GBTRegressor(featuresCol="features", labelCol="clv_target", lossType="squared",
                         maxIter=params.n_trees, maxDepth=params.max_depth, stepSize=params.learning_rate,
                         subsamplingRate=params.row_sample, featureSubsetStrategy=str(params.feature_sample),
-                        seed=params.seed)
+                        maxBins=config.MAX_BINS, seed=params.seed)
 
 
 def train_clv(feat: DataFrame, params: Params = Params()):
     """M6 + M18: plain split, fit on the training rows.  Returns (model, test rows)."""
-    data = assemble(split_flag(feat.withColumn("clv_target", F.coalesce(F.col("clv_target"), F.lit(0.0))),
-                               params.test_size, params.seed))
-    model = clv_regressor(params).fit(data.filter(~F.col("is_test")))
-    return model, data.filter(F.col("is_test"))
+    data = cut_lineage(split_flag(feat.withColumn("clv_target", F.coalesce(F.col("clv_target"), F.lit(0.0))),
+                                  params.test_size, params.seed), "clv_split")
+    model = clv_regressor(params).fit(assemble(training_layout(data.filter(~F.col("is_test")))))
+    return model, assemble(data.filter(F.col("is_test")))
 
 
 def score_clv(model, df: DataFrame) -> DataFrame:

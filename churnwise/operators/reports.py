@@ -90,21 +90,29 @@ def segment_drilldown(df: DataFrame, segment: str = "All", n: int = config.DRILL
     return top_by(d, "monetary", n, LIST_COLS)
 
 
-def customer_list(df: DataFrame, n: int = config.SEGMENT_LIST_LIMIT) -> DataFrame:
-    """L4: the first n customers in id order with the list columns."""
-    return df.orderBy(CUST).limit(n).select(*LIST_COLS)
-
-
-def scatter_points(df: DataFrame, n: int = config.SCATTER_LIMIT,
-                   per_action: int = config.SCATTER_PER_ACTION) -> DataFrame:
-    """L4 + W6 + F18: first n customers by id, then the first ``per_action`` of
-    each action, x capped, id shortened to 8 characters."""
-    first = df.orderBy(CUST).limit(n).select(CUST, "monetary", "churn_probability", "segment", "action")
-    w = Window.partitionBy("action").orderBy(CUST)
-    return (first.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= per_action)
-            .select("action", F.least("monetary", F.lit(config.SCATTER_X_CAP)).alias("x"),
-                    F.col("monetary").alias("actual_x"), F.col("churn_probability").alias("y"),
-                    F.substring(CUST, 1, 8).alias("id"), "segment"))
+def customer_list(df: DataFrame, n: int | None = None) -> DataFrame:
+    """L4: all customers with the list columns; with ``n`` the first n in id order."""
+    if n is not None:
+        df = df.orderBy(CUST).limit(n)
+    return df.select(*LIST_COLS)
+
+
+def scatter_points(df: DataFrame, per_action: int | None = None) -> DataFrame:
+    """L4 + W6 + F18: every customer as a point (value, risk) with its full id.
+
+    ``per_action`` keeps the customers of lowest id hash in each action, taken
+    over the whole table: each task keeps its own first ones, so no action is
+    gathered in one task."""
+    points = df.select("action", F.col("monetary").alias("x"), F.col("churn_probability").alias("y"),
+                       F.col(CUST).alias("id"), "segment")
+    if per_action is None:
+        return points
+    h = F.xxhash64("id")
+    w = Window.partitionBy("action").orderBy(h, "id")
+    wt = Window.partitionBy("action", "_t").orderBy(h, "id")
+    local = (points.withColumn("_t", F.pmod(h, F.lit(config.RANK_BUCKETS))).withColumn("_rn", F.row_number().over(wt))
+             .filter(F.col("_rn") <= per_action).drop("_rn", "_t"))
+    return local.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= per_action).drop("_rn")
 
 
 def export_action(df: DataFrame, action_key: str) -> DataFrame:
@@ -128,3 +136,29 @@ def export_customers(df: DataFrame, status: str = "ALL", segment: str = "ALL") -
         df = df.filter(F.upper(F.col("segment")) == segment.upper())
     cols = [c for c in EXPORT_CUSTOMER_COLS if c in df.columns]
     return df.select(*cols).orderBy(F.col("churn_probability").desc(), F.col(CUST))
+
+
+def column_stats(df: DataFrame, buckets: int = config.RANK_BUCKETS) -> DataFrame:
+    """Count, mean, sample deviation, minimum, interpolated quartiles and maximum of every column, exact.
+
+    Values have few decimals, so sums are exact decimals and do not depend on row order."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+                                         for c in df.columns])).alias("s")).select("s.column", "s.value")
+    v = F.col("value").cast("decimal(18,2)")
+    sums = long.groupBy("column").agg(F.count("value").alias("count"), F.sum(v).cast("double").alias("_s"),
+                                      F.sum((v * v).cast("decimal(38,4)")).cast("double").alias("_ss"))
+    n, s, ss = F.col("count"), F.col("_s"), F.col("_ss")
+    sums = sums.select("column", "count", round_half_even(s / n, 4).alias("mean"),
+                       round_half_even(F.sqrt(F.greatest(ss - s * s / n, F.lit(0.0)) / (n - 1)), 3).alias("std"))
+    q = exact_quantiles(long, "value", [0.0, 0.25, 0.5, 0.75, 1.0], ["min", "q1", "median", "q3", "max"],
+                        group_cols=["column"], buckets=buckets)
+    return sums.join(q.select("column", *[round_half_even(c, 4).alias(c) for c in ("min", "q1", "median", "q3", "max")]), "column")
+
+
+def descriptions(df: DataFrame) -> DataFrame:
+    """Every segment and action with its description and its number of customers."""
+    def of(kind, texts):
+        frame = df.sparkSession.createDataFrame([(kind, k, v) for k, v in texts.items()], "kind string, name string, description string")
+        return frame.join(value_counts(df, kind).select(F.col(kind).alias("name"), F.col("count").alias("customers")), "name", "left")
+    both = of("segment", config.SEGMENT_DESCRIPTIONS).unionByName(of("action", config.ACTION_DESCRIPTIONS))
+    return both.select("kind", "name", "description", F.coalesce("customers", F.lit(0)).alias("customers"))

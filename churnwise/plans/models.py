@@ -1,14 +1,13 @@
 """Model runs: segments (R2), churn (R3), value (R4), activation (R5), all (R6), status.
 
-Each run takes the checkpointed feature stage and returns a dict of
-DataFrames (and fitted models).  ``run_all`` writes every result table under
-an output folder, so the report queries read stored tables, not the
-training lineage.
+Each step takes written stages and returns DataFrames (and fitted models), so
+a caller runs only the steps whose results it shows.  ``run_all`` runs them
+all and writes every result table and both models under an output folder, so
+the report queries read stored tables, not the training lineage.
 """
 
 from __future__ import annotations
 
-import os
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
@@ -16,81 +15,106 @@ from pyspark.sql import functions as F
 
 from churnwise.config import Params
 from churnwise.operators import actions, clv, evaluation, explain, ml, segments
-from churnwise.session import cut_lineage, ensure_checkpoint_dir
+from churnwise.session import cut_lineage, drop_stages, ensure_checkpoint_dir, path_exists
 
 CUST = "customer_unique_id"
 
 
-def model_dir(spark, name: str) -> str:
-    """Models are saved beside the checkpoints (the shared folder of the cluster)."""
-    return os.path.join(ensure_checkpoint_dir(spark).replace("file:", ""), "models", name)
+def model_dir(spark, name: str, out_dir: str | None = None) -> str:
+    """Where a model is saved: under the run's result folder, or beside the session's checkpoints without one."""
+    return f"{(out_dir or ensure_checkpoint_dir(spark)).rstrip('/')}/models/{name}"
 
 
-def load_churn_model(spark, path: str | None = None):
-    """The saved churn classifier (default: the run's model folder)."""
+def load_churn_model(spark, out_dir: str | None = None):
+    """The churn classifier saved by a run with this result folder."""
     from pyspark.ml.classification import GBTClassificationModel
-    return GBTClassificationModel.load(path or model_dir(spark, "churn"))
+    return GBTClassificationModel.load(model_dir(spark, "churn", out_dir))
 
 
-def load_clv_model(spark, path: str | None = None):
-    """The saved value regressor."""
+def load_clv_model(spark, out_dir: str | None = None):
+    """The value regressor saved by a run with this result folder."""
     from pyspark.ml.regression import GBTRegressionModel
-    return GBTRegressionModel.load(path or model_dir(spark, "clv"))
+    return GBTRegressionModel.load(model_dir(spark, "clv", out_dir))
 
 
-def run_segments(feat: DataFrame, params: Params = Params()) -> dict:
-    """R2: k sweep (reported), final K-Means with k clusters, named segments, summary."""
-    # written once, cached once: every restart reads the same cached blocks
-    # (an uncached input would make each of the concurrent fits cache its own copy)
-    scaled = cut_lineage(ml.scale_rfm(feat.select(CUST, *ml.RFM)), "rfm_scaled").persist()
-    models = ml.best_kmeans(scaled, sorted(set(params.k_sweep) | {params.n_clusters}),
-                            params.n_init, params.seed)
-    sweep = ml.k_sweep(scaled, {k: m for k, m in models.items() if k in params.k_sweep})
+def scaled_stage(feat: DataFrame) -> DataFrame:
+    """M1 written once, laid out by its own size, and cached: every K-Means start reads the same blocks."""
+    scaled = cut_lineage(ml.scale_rfm(feat.select(CUST, *ml.RFM)), "rfm_scaled")
+    return ml.training_layout(scaled).persist()
+
+
+def run_segments(feat: DataFrame, params: Params = Params(), sweep: bool = True) -> dict:
+    """R2: K-Means with k clusters (best of its starts), named segments, summary; with ``sweep`` every k is reported."""
+    scaled = scaled_stage(feat)
+    ks = sorted(set(params.k_sweep if sweep else ()) | {params.n_clusters})
+    models = ml.best_kmeans(scaled, ks, params.n_init, params.seed)
     customers, named, _ = ml.kmeans_segments(feat, params, models, scaled)
     customers = cut_lineage(customers, "segments")
+    out = {"customers": customers, "clusters": named, "segment_summary": segments.segment_summary(customers),
+           "kmeans": models[params.n_clusters]}
+    if sweep:
+        out["k_sweep"] = ml.k_sweep(scaled, {k: m for k, m in models.items() if k in params.k_sweep})
+    scaled.unpersist()
+    return out
+
+
+def run_sweep(feat: DataFrame, params: Params = Params()) -> DataFrame:
+    """M2: the k sweep alone."""
+    scaled = scaled_stage(feat)
+    out = ml.k_sweep(scaled, ml.best_kmeans(scaled, sorted(params.k_sweep), params.n_init, params.seed))
     scaled.unpersist()
-    return {"customers": customers, "clusters": named, "k_sweep": sweep,
-            "segment_summary": segments.segment_summary(customers), "kmeans": models[params.n_clusters]}
+    return out
+
 
+def fit_churn(feat: DataFrame, params: Params = Params()) -> dict:
+    """R3, first part: split, weighted boosted trees, held-out metrics and baselines."""
+    model, test_scored, train, test = ml.train_churn(feat, params)
+    return {"model": model, "test_scored": test_scored, "train": train, "test": test,
+            "metrics": ml.churn_metrics(test_scored),
+            "confusion": evaluation.confusion_counts(test_scored),
+            "classification_report": evaluation.classification_report(test_scored),
+            "error_analysis": evaluation.error_analysis(test_scored)}
 
-def run_churn(customers: DataFrame, params: Params = Params(), trained=None) -> dict:
-    """Split, weighted boosted trees, held-out metrics and baselines, scores
-    for every customer, value percentile + action, contributions.
-    ``trained`` is the result of :func:`ml.train_churn` when already fitted."""
-    model, test_scored, train, test = trained or ml.train_churn(customers, params)
-    test_scored = cut_lineage(test_scored, "churn_test")
+
+def score_churn(model, customers: DataFrame, params: Params = Params()) -> DataFrame:
+    """Probability and class of every customer, value percentile, action."""
     scored = ml.score_churn(model, ml.assemble(customers)).drop("features")
-    scored = actions.add_action(actions.add_monetary_percentile(scored, params.rank_buckets))
-    scored = cut_lineage(scored, "churn_scored")
+    return cut_lineage(actions.add_action(actions.add_monetary_percentile(scored, params.rank_buckets)), "churn_scored")
+
+
+def explain_churn(model, customers: DataFrame, params: Params = Params(), out_dir: str | None = None) -> DataFrame:
+    """Contributions of every feature for every customer (the model is saved on the way, S6)."""
     spark = customers.sparkSession
-    trees = explain.load_trees(spark, model, model_dir(spark, "churn"))      # S6: saved here
-    feats = ml.assemble(customers).select(CUST, *[F.col(c) for c in params.feature_cols])
-    feats = feats.withColumns({c: ml.finite_or_zero(c) for c in params.feature_cols})
-    contrib = cut_lineage(explain.contributions(feats, trees, params.feature_cols), "contributions")
-    return {
-        "model": model, "customers": scored, "test_scored": test_scored,
-        "metrics": ml.churn_metrics(test_scored),
-        "confusion": evaluation.confusion_counts(test_scored),
-        "classification_report": evaluation.classification_report(test_scored),
-        "error_analysis": evaluation.error_analysis(test_scored),
-        "baselines": ml.baselines(train, test, test_scored),
-        "contributions": contrib,
-        "feature_importance": explain.feature_importance(contrib, params.feature_cols),
-        "top_reasons": explain.top_reasons(scored, contrib, params.explain_top_n, params.feature_cols),
-    }
+    trees = explain.load_trees(spark, model, model_dir(spark, "churn", out_dir))
+    feats = customers.select(CUST, *[ml.finite_or_zero(c).alias(c) for c in params.feature_cols])
+    return cut_lineage(explain.contributions(feats, trees, params.feature_cols), "contributions")
+
+
+def run_churn(customers: DataFrame, params: Params = Params(), fitted: dict | None = None, out_dir: str | None = None) -> dict:
+    """Fit (unless ``fitted``), score all customers, explain them."""
+    fit = fitted or fit_churn(customers, params)
+    scored = score_churn(fit["model"], customers, params)
+    contrib = explain_churn(fit["model"], customers, params, out_dir)
+    return {**fit, "customers": scored, "contributions": contrib,
+            "baselines": ml.baselines(fit["train"], fit["test"], fit["test_scored"]),
+            "feature_importance": explain.feature_importance(contrib, params.feature_cols),
+            "top_reasons": explain.top_reasons(scored, contrib, params.explain_top_n, params.feature_cols)}
 
 
-def run_clv(customers: DataFrame, params: Params = Params(), trained=None) -> dict:
-    """Plain split, boosted regressor, held-out metrics, scores + tiers."""
-    model, test = trained or ml.train_clv(customers, params)
-    model.write().overwrite().save(model_dir(customers.sparkSession, "clv"))   # S7
-    test_scored = ml.score_clv(model, test)
-    scored = ml.score_clv(model, ml.assemble(customers)).drop("features")
-    scored = cut_lineage(scored, "clv_scored")
-    scored = cut_lineage(clv.add_clv_tier(scored, buckets=params.rank_buckets), "clv_tiers")
-    return {"model": model, "customers": scored,
-            "metrics": evaluation.regression_metrics(test_scored),
-            "thresholds": clv.clv_thresholds(scored, buckets=params.rank_buckets)}
+def fit_clv(feat: DataFrame, params: Params = Params()) -> dict:
+    """R4, first part: plain split, boosted regressor, held-out metrics."""
+    model, test = ml.train_clv(feat, params)
+    test_scored = cut_lineage(ml.score_clv(model, test).drop("features"), "clv_test")
+    return {"model": model, "test_scored": test_scored, "metrics": evaluation.regression_metrics(test_scored)}
+
+
+def run_clv(customers: DataFrame, params: Params = Params(), fitted: dict | None = None, out_dir: str | None = None) -> dict:
+    """Fit (unless ``fitted``), predicted value and tier of every customer."""
+    fit = fitted or fit_clv(customers, params)
+    fit["model"].write().overwrite().save(model_dir(customers.sparkSession, "clv", out_dir))   # S7
+    scored = cut_lineage(ml.score_clv(fit["model"], ml.assemble(customers)).drop("features"), "clv_scored")
+    tiers = cut_lineage(clv.add_clv_tier(scored, buckets=params.rank_buckets), "clv_tiers")
+    return {**fit, "customers": tiers, "thresholds": clv.clv_thresholds(tiers, buckets=params.rank_buckets)}
 
 
 def run_activation(customers: DataFrame, as_of, params: Params = Params()) -> dict:
@@ -100,18 +124,22 @@ def run_activation(customers: DataFrame, as_of, params: Params = Params()) -> di
             "summary": actions.activation_summary(customers, params.churn_threshold, params.clv_threshold)}
 
 
-def run_all(feat: DataFrame, as_of, params: Params = Params(), out_dir: str | None = None) -> dict:
-    """Segments -> churn -> value -> activation; optionally every table
-    written as Parquet under ``out_dir`` (the serving layer reads those)."""
+def run_all(feat: DataFrame, as_of, params: Params = Params(), out_dir: str | None = None,
+            clean_up: bool = False) -> dict:
+    """Segments -> churn -> value -> activation; optionally every table and
+    both models written under ``out_dir`` (the serving layer reads those).
+
+    ``clean_up`` (with ``out_dir``) deletes the session's stage tables at the
+    end and returns the stored tables instead."""
     # the three fits only need the feature stage: submit them together so
     # their many small iteration jobs share the executors
     with ThreadPoolExecutor(max_workers=3) as ex:
         f_seg = ex.submit(run_segments, feat, params)
-        f_churn = ex.submit(ml.train_churn, feat, params)
-        f_clv = ex.submit(ml.train_clv, feat, params)
+        f_churn = ex.submit(fit_churn, feat, params)
+        f_clv = ex.submit(fit_clv, feat, params)
         seg, churn_fit, clv_fit = f_seg.result(), f_churn.result(), f_clv.result()
-    ch = run_churn(seg["customers"], params, churn_fit)
-    cl = run_clv(ch["customers"], params, clv_fit)
+    ch = run_churn(seg["customers"], params, churn_fit, out_dir)
+    cl = run_clv(ch["customers"], params, clv_fit, out_dir)
     act = run_activation(cl["customers"], as_of, params)
     res = {
         "customers": cl["customers"], "segment_summary": seg["segment_summary"], "k_sweep": seg["k_sweep"],
@@ -122,14 +150,20 @@ def run_all(feat: DataFrame, as_of, params: Params = Params(), out_dir: str | No
         "activation_events": act["events"], "activation_summary": act["summary"],
     }
     if out_dir:
+        base, spark = out_dir.rstrip("/"), feat.sparkSession
         for name, df in res.items():
-            df.write.mode("overwrite").parquet(os.path.join(out_dir, name))
-        status(res["customers"], as_of).write.mode("overwrite").parquet(os.path.join(out_dir, "status"))
+            df.write.mode("overwrite").parquet(f"{base}/{name}")
+        status(res["customers"], as_of, out_dir).write.mode("overwrite").parquet(f"{base}/status")
+        if clean_up:
+            drop_stages(spark)
+            return {name: spark.read.parquet(f"{base}/{name}") for name in res}
     return res
 
 
-def status(customers: DataFrame, as_of) -> DataFrame:
-    """Run time, customers in the result, model present."""
+def status(customers: DataFrame, as_of, out_dir: str | None = None) -> DataFrame:
+    """Run time, customers in the result, whether the churn model is saved."""
+    spark = customers.sparkSession
+    loaded = path_exists(spark, model_dir(spark, "churn", out_dir) + "/metadata")
     return customers.agg(F.count(F.lit(1)).alias("total_customers")).select(
-        F.lit(True).alias("model_loaded"), F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss").alias("last_trained"),
+        F.lit(loaded).alias("model_loaded"), F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss").alias("last_trained"),
         "total_customers")

@@ -381,13 +381,9 @@ SQL["top_clv"] = ws() + ("SELECT customer_unique_id, predicted_clv, clv_tier, se
 SQL["segment_drilldown"] = ws() + f"SELECT {LIST} FROM scored ORDER BY monetary DESC, customer_unique_id LIMIT 100"
 SQL["segment_drilldown_champions"] = ws() + (f"SELECT {LIST} FROM scored WHERE segment = 'Champions' "
                                              "ORDER BY monetary DESC, customer_unique_id LIMIT 100")
-SQL["customer_list"] = ws() + f"SELECT {LIST} FROM scored ORDER BY customer_unique_id LIMIT 500"
+SQL["customer_list"] = ws() + f"SELECT {LIST} FROM scored"
 SQL["scatter_points"] = ws() + """
-SELECT action, LEAST(monetary, CAST(2000.0 AS DOUBLE)) AS x, monetary AS actual_x, churn_probability AS y,
-       substring(customer_unique_id, 1, 8) AS id, segment
-FROM (SELECT *, row_number() OVER (PARTITION BY action ORDER BY customer_unique_id) AS rn
-      FROM (SELECT * FROM scored ORDER BY customer_unique_id LIMIT 2000))
-WHERE rn <= 120"""
+SELECT action, monetary AS x, churn_probability AS y, customer_unique_id AS id, segment FROM scored"""
 SQL["export_action"] = ws() + ("SELECT customer_unique_id, segment, churn_probability, monetary, recency, frequency, "
                                "avg_review_score, action FROM scored WHERE action = 'SAVE_NOW'")
 _EXP = ("customer_unique_id, segment, churned, churn_prediction, churn_probability, action, predicted_clv, clv_tier, "
@@ -411,7 +407,7 @@ _EVENTS = f"""events_out AS (
          'SIMULATED' AS status
   FROM scored WHERE {_ELIG})"""
 SQL["activation_events"] = ws(_EVENTS) + "SELECT * FROM events_out"
-SQL["recent_activations"] = ws(_EVENTS) + "SELECT * FROM events_out ORDER BY customer_id LIMIT 50"
+SQL["recent_activations"] = ws(_EVENTS) + "SELECT * FROM events_out"
 SQL["activation_summary"] = ws(f"""act AS (
   SELECT COUNT(*) AS total_evaluated,
          COUNT(*) FILTER (WHERE {_ELIG}) AS total_activated,
@@ -484,3 +480,58 @@ SQL["top_risk_customers"] = ws() + ("SELECT customer_unique_id, churn_probabilit
 SQL["dashboard_stats"] = (
     "SELECT * FROM (" + SQL["dashboard_kpis"] + ") k, (" + SQL["threshold_metrics"] + ") m, ("
     + SQL["clv_stats"] + ") c, (" + SQL["regression_metrics"] + ") g")
+
+
+# ---------------------------------------------------------------- exact column statistics, payloads
+
+_COLS = list(config.FEATURE_COLS) + ["target_purchases", "target_revenue", "churned", "clv_target"]
+_LONG = "longc AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS value FROM features" for c in _COLS) + ")"
+SQL["column_stats"] = w(_LONG, """sums AS (
+  SELECT "column", COUNT(value) AS n, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS s,
+         CAST(SUM(CAST(CAST(value AS DECIMAL(18,2)) * CAST(value AS DECIMAL(18,2)) AS DECIMAL(38,4))) AS DOUBLE) AS ss,
+         quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2, quantile_cont(value, 0.75) AS q3,
+         min(value) AS lo, max(value) AS hi
+  FROM longc GROUP BY "column")""") + f"""
+SELECT "column", n AS count, {r('s / n', 4)} AS mean, {r('sqrt(greatest(ss - s * s / n, 0.0) / (n - 1))', 3)} AS std,
+       {r('lo', 4)} AS min, {r('q1', 4)} AS q1, {r('q2', 4)} AS median, {r('q3', 4)} AS q3, {r('hi', 4)} AS max FROM sums"""
+SQL["order_payloads"] = w(FEED) + """
+SELECT '{"order_id":"' || order_id || '","customer_id":"' || customer_id || '","total_value":' || CAST(total_value AS VARCHAR)
+       || ',"order_timestamp":"' || strftime(order_timestamp, '%Y-%m-%dT%H:%M:%S.%f') || '"'
+       || CASE WHEN review_score IS NULL THEN '' ELSE ',"review_score":' || CAST(review_score AS VARCHAR) END || '}' AS value
+FROM feed"""
+
+# ---------------------------------------------------------------- model operators on stand-in columns
+
+_Z = ", ".join(f"{r(f'(CAST({c} AS DOUBLE) - m_{c}) / s_{c}', 4)} AS z_{c}" for c in ("recency", "frequency", "monetary"))
+_ZS = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_samp(CAST({c} AS DOUBLE)) AS s_{c}" for c in ("recency", "frequency", "monetary"))
+SQL["standard_rfm"] = w(f"zs AS (SELECT {_ZS} FROM features)") + f"SELECT customer_unique_id, {_Z} FROM features, zs"
+SQL["feature_vector"] = w() + "SELECT customer_unique_id, " + ", ".join(
+    f"CASE WHEN isfinite(CAST({c} AS DOUBLE)) THEN CAST({c} AS DOUBLE) ELSE 0.0 END AS f_{c}" for c in config.FEATURE_COLS) + " FROM features"
+SQL["split_sizes"] = w() + f"""
+SELECT churned, COUNT(*) AS customers, CAST(ceil(COUNT(*) * CAST({config.TEST_SIZE} AS DOUBLE)) AS BIGINT) AS held_out,
+       CASE WHEN churned = 1 THEN {r('(SELECT COUNT(*) FILTER (WHERE churned <> 1) FROM features) / CAST(COUNT(*) AS DOUBLE)', 6)} ELSE 1.0 END AS weight,
+       (SELECT CAST(ceil(COUNT(*) * CAST({config.TEST_SIZE} AS DOUBLE)) AS BIGINT) FROM features) AS plain_held_out
+FROM features GROUP BY churned"""
+SQL["proxy_auc"] = ws("""rk AS (
+  SELECT churn_probability, COUNT(*) AS cnt, COUNT(*) FILTER (WHERE churned = 1) AS p, COUNT(*) FILTER (WHERE churned <> 1) AS q
+  FROM scored GROUP BY churn_probability)""", """rs AS (
+  SELECT p, q, SUM(cnt) OVER (ORDER BY churn_probability) - cnt + (cnt + 1) / 2.0 AS rank FROM rk)""", """ra AS (
+  SELECT CAST(SUM(p) AS DOUBLE) AS p, CAST(SUM(q) AS DOUBLE) AS q, SUM(p * rank) AS r FROM rs)""") + f"""
+SELECT CASE WHEN p > 0 AND q > 0 THEN {r('(r - p * (p + 1) / 2) / (p * q)', 4)} ELSE 0.5 END AS roc_auc FROM ra"""
+_PHI = " UNION ALL ".join(
+    f"SELECT customer_unique_id, churn_probability, {i} AS i, '{c}' AS feature, '{config.FEATURE_LABELS[c]}' AS human_description, "
+    f"CAST({c} AS DOUBLE) AS v, CASE WHEN isfinite(CAST({c} AS DOUBLE)) THEN CAST({c} AS DOUBLE) ELSE 0.0 END * CAST({(-1.0) ** i / (i + 1)!r} AS DOUBLE) AS phi FROM scored"
+    for i, c in enumerate(config.FEATURE_COLS))
+_R1 = "round_even(v * 10, 0) / 10"
+SQL["standin_reasons"] = ws(f"phi AS ({_PHI})", """rn AS (
+  SELECT *, row_number() OVER (PARTITION BY customer_unique_id ORDER BY abs(phi) DESC, i) AS reason_rank FROM phi)""") + f"""
+SELECT customer_unique_id, {r('churn_probability', 4)} AS churn_probability, reason_rank, feature, human_description,
+       {r('v', 2)} AS feature_value, {r('phi', 4)} AS shap_value, CASE WHEN phi > 0 THEN 'increases' ELSE 'decreases' END AS direction,
+       human_description || ' = ' || printf('%.1f', {_R1}) || ' (' || CASE WHEN phi > 0 THEN 'increases' ELSE 'decreases' END || ' churn risk)' AS explanation
+FROM rn WHERE reason_rank <= 3"""
+SQL["standin_importance"] = ws(f"phi AS ({_PHI})") + f"""
+SELECT feature, human_description AS label, {r('avg(abs(phi))', 4)} AS importance FROM phi GROUP BY feature, human_description"""
+_DESC = " UNION ALL ".join(
+    f"SELECT '{kind}' AS kind, '{name}' AS name, '{text}' AS description, (SELECT COUNT(*) FROM scored WHERE {kind} = '{name}') AS customers"
+    for kind, texts in (("segment", config.SEGMENT_DESCRIPTIONS), ("action", config.ACTION_DESCRIPTIONS)) for name, text in texts.items())
+SQL["descriptions"] = ws() + _DESC

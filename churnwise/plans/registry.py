@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnwise.config import Params
-from churnwise.functions.scalar import round_half_even
-from churnwise.operators import actions, clv, evaluation, features, histogram, orders, reports, segments
+from churnwise import config
+from churnwise.functions.scalar import feature_label, finite_or_zero, round_half_even
+from churnwise.operators import actions, clv, evaluation, explain, features, histogram, ml, orders, reports, segments
 from churnwise.plans import batch
+from churnwise.session import cut_lineage
 from churnwise.sources.testdata import load_test_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -287,7 +288,7 @@ def q_audit(spark, sf):
 @query("column_stats")
 def q_column_stats(spark, sf):
     """Count / mean / stddev / min / quartiles / max of every feature column."""
-    return _features(spark, sf).drop("customer_unique_id").summary()
+    return reports.column_stats(_features(spark, sf).drop("customer_unique_id"))
 
 
 @query("top_risk_customers")
@@ -372,84 +373,226 @@ def q_unprocessed(spark, sf):
 
 
 # ---------------------------------------------------------------- model-backed (rows-only)
+# One memo per step: a query trains only what it shows.
 
-def _models(spark, sf):
-    """One full model run (R2-R5 at the fixed parameters) per session and data folder."""
+def _segments(spark, sf):
     from churnwise.plans import models
+    return _memo(spark, sf, "m_segments", lambda: models.run_segments(_features(spark, sf), sweep=False))
 
+
+def _churn(spark, sf):
+    from churnwise.plans import models
+    return _memo(spark, sf, "m_churn", lambda: models.fit_churn(_features(spark, sf)))
+
+
+def _churn_scored(spark, sf):
+    from churnwise.plans import models
+    return _memo(spark, sf, "m_churn_scored", lambda: models.score_churn(_churn(spark, sf)["model"], _features(spark, sf)))
+
+
+def _contributions(spark, sf):
+    from churnwise.plans import models
+    return _memo(spark, sf, "m_contributions",
+                 lambda: models.explain_churn(_churn(spark, sf)["model"], _features(spark, sf)))
+
+
+def _clv(spark, sf):
+    from churnwise.plans import models
+    return _memo(spark, sf, "m_clv", lambda: models.run_clv(_features(spark, sf)))
+
+
+def _customers(spark, sf):
+    """Customers with probability, action, segment, predicted value and tier."""
     def build():
-        clean = _clean(spark, sf)
-        return models.run_all(_features(spark, sf), batch.run_time(clean), Params())
-    return _memo(spark, sf, "models", build)
-
-
-def _model_query(key, cols=None):
-    def run(spark, sf):
-        df = _models(spark, sf)[key]
-        return df.select(*cols) if cols else df
-    return run
-
-
-for _name, _key, _cols in [
-    ("kmeans_segments", "customers", ["customer_unique_id", "cluster", "segment"]),
-    ("k_sweep", "k_sweep", None),
-    ("model_segment_summary", "segment_summary", None),
-    ("churn_scores", "customers", ["customer_unique_id", "churn_probability", "churn_prediction",
-                                   "monetary_percentile", "action"]),
-    ("churn_metrics", "churn_metrics", None),
-    ("churn_auc", "churn_metrics", ["roc_auc"]),
-    ("churn_confusion", "confusion", None),
-    ("churn_classification_report", "classification_report", None),
-    ("churn_error_analysis", "error_analysis", None),
-    ("baselines", "baselines", None),
-    ("churn_reasons", "top_reasons", None),
-    ("feature_importance", "feature_importance", None),
-    ("clv_scores", "customers", ["customer_unique_id", "predicted_clv", "clv_tier"]),
-    ("clv_metrics", "clv_metrics", None),
-    ("clv_model_thresholds", "clv_thresholds", None),
-    ("model_activation_events", "activation_events", None),
-    ("model_activation_summary", "activation_summary", None),
-]:
-    REGISTRY[_name] = _model_query(_key, _cols)
+        seg = _segments(spark, sf)["customers"].select("customer_unique_id", "cluster", "segment")
+        val = _clv(spark, sf)["customers"].select("customer_unique_id", "predicted_clv", "clv_tier")
+        return cut_lineage(_churn_scored(spark, sf).join(seg, "customer_unique_id").join(val, "customer_unique_id"), "model_customers")
+    return _memo(spark, sf, "m_customers", build)
+
+
+@query("kmeans_segments")
+def q_kmeans(spark, sf):
+    return _segments(spark, sf)["customers"].select("customer_unique_id", "cluster", "segment")
+
+
+@query("k_sweep")
+def q_k_sweep(spark, sf):
+    from churnwise.plans import models
+    return _memo(spark, sf, "m_sweep", lambda: models.run_sweep(_features(spark, sf)))
+
+
+@query("model_segment_summary")
+def q_model_segments(spark, sf):
+    return _segments(spark, sf)["segment_summary"]
+
+
+@query("churn_scores")
+def q_churn_scores(spark, sf):
+    return _churn_scored(spark, sf).select("customer_unique_id", "churn_probability", "churn_prediction",
+                                           "monetary_percentile", "action")
+
+
+for _name, _key in [("churn_metrics", "metrics"), ("churn_confusion", "confusion"),
+                    ("churn_classification_report", "classification_report"), ("churn_error_analysis", "error_analysis")]:
+    REGISTRY[_name] = (lambda key: lambda spark, sf: _churn(spark, sf)[key])(_key)
+
+
+@query("churn_auc")
+def q_churn_auc(spark, sf):
+    return ml.auc(_churn(spark, sf)["test_scored"])
+
+
+@query("baselines")
+def q_baselines(spark, sf):
+    fit = _churn(spark, sf)
+    return ml.baselines(fit["train"], fit["test"], fit["test_scored"])
+
+
+@query("churn_reasons")
+def q_reasons(spark, sf):
+    """The three strongest reasons of every customer."""
+    return explain.top_reasons(_churn_scored(spark, sf), _contributions(spark, sf), None)
+
+
+@query("feature_importance")
+def q_importance(spark, sf):
+    return explain.feature_importance(_contributions(spark, sf))
 
 
 @query("top_features")
 def q_top_features(spark, sf):
-    """The ten most important features."""
-    return _models(spark, sf)["feature_importance"].limit(10)
+    """Features by importance with their readable labels."""
+    imp = explain.feature_importance(_contributions(spark, sf))
+    return imp.select("feature", feature_label("feature").alias("label"), "importance")
 
 
 @query("explained_customers")
 def q_explained(spark, sf):
-    """J10 + L6: the explained high-risk customers joined to their rows (first 20 by risk)."""
-    m = _models(spark, sf)
-    top = (m["top_reasons"].select("customer_unique_id", "churn_probability").distinct()
-           .orderBy(F.col("churn_probability").desc(), "customer_unique_id").limit(20))
-    return top.join(m["customers"].select("customer_unique_id", "segment", "monetary"), "customer_unique_id")
+    """J10 + L6: the reasons of the explained high-risk customers joined to their rows."""
+    from churnwise.plans.serving import explained_customers
+    reasons = explain.top_reasons(_churn_scored(spark, sf), _contributions(spark, sf), config.EXPLAIN_TOP_N)
+    seg = _segments(spark, sf)["customers"].select("customer_unique_id", "segment")
+    return explained_customers(_churn_scored(spark, sf).join(seg, "customer_unique_id"), reasons)
+
+
+@query("contribution_check")
+def q_contribution_check(spark, sf):
+    """Contributions add up to the model's margin; rows where they do not (0)."""
+    gap = F.abs(F.aggregate("contributions", F.col("base_value"), lambda a, x: a + x) - F.col("margin"))
+    return _contributions(spark, sf).agg(F.count(F.lit(1)).alias("customers"), F.count_if(gap > 1e-6).alias("broken"))
+
+
+@query("clv_scores")
+def q_clv_scores(spark, sf):
+    return _clv(spark, sf)["customers"].select("customer_unique_id", "predicted_clv", "clv_tier")
+
+
+@query("clv_metrics")
+def q_clv_metrics(spark, sf):
+    return _clv(spark, sf)["metrics"]
+
+
+@query("clv_model_thresholds")
+def q_clv_model_thresholds(spark, sf):
+    return _clv(spark, sf)["thresholds"]
+
+
+@query("model_activation_events")
+def q_model_events(spark, sf):
+    return actions.activation_events(_customers(spark, sf), batch.run_time(_clean(spark, sf)))
+
+
+@query("model_activation_summary")
+def q_model_activation(spark, sf):
+    return actions.activation_summary(_customers(spark, sf))
 
 
 @query("model_dashboard_stats")
 def q_model_dashboard(spark, sf):
     """R8 on the model outputs."""
     from churnwise.plans.serving import dashboard_stats
-    m = _models(spark, sf)
-    return dashboard_stats(m["customers"], m["churn_metrics"], m["clv_metrics"])
+    return dashboard_stats(_customers(spark, sf), _churn(spark, sf)["metrics"], _clv(spark, sf)["metrics"],
+                           batch.run_time(_clean(spark, sf)))
 
 
 @query("model_status")
 def q_model_status(spark, sf):
     from churnwise.plans import models
-    return models.status(_models(spark, sf)["customers"], batch.run_time(_clean(spark, sf)))
+    _contributions(spark, sf)                       # saves the model
+    return models.status(_churn_scored(spark, sf), batch.run_time(_clean(spark, sf)))
 
 
 @query("model_dashboard_kpis")
 def q_model_kpis(spark, sf):
-    return reports.dashboard_kpis(_models(spark, sf)["customers"])
+    return reports.dashboard_kpis(_churn_scored(spark, sf))
 
 
 @query("model_churn_histogram")
 def q_model_hist(spark, sf):
-    return histogram.histogram(_models(spark, sf)["customers"], "churn_probability")
+    return histogram.histogram(_churn_scored(spark, sf), "churn_probability")
+
+
+# ---------------------------------------------------------------- model operators on stand-in columns (checked in SQL)
+
+@query("standard_rfm")
+def q_standard_rfm(spark, sf):
+    """M1: recency, frequency and monetary standardised."""
+    from pyspark.ml.functions import vector_to_array
+    x = vector_to_array(F.col("rfm_scaled"))
+    z = ml.scale_rfm(_features(spark, sf).select("customer_unique_id", *ml.RFM))
+    return z.select("customer_unique_id", *[round_half_even(F.get(x, F.lit(i)), 4).alias(f"z_{c}") for i, c in enumerate(ml.RFM)])
+
+
+@query("feature_vector")
+def q_feature_vector(spark, sf):
+    """F9 + F10: the cleaned feature vector, one column per place."""
+    from pyspark.ml.functions import vector_to_array
+    x = vector_to_array(F.col("features"))
+    return ml.assemble(_features(spark, sf)).select(
+        "customer_unique_id", *[F.get(x, F.lit(i)).alias(f"f_{c}") for i, c in enumerate(config.FEATURE_COLS)])
+
+
+@query("split_sizes")
+def q_split_sizes(spark, sf):
+    """M5 + M6 + M7: rows and held-out rows per class of the stratified split, of the plain split, and the class weight."""
+    feat = _features(spark, sf)
+    per = ml.split_flag(feat, config.TEST_SIZE, config.RANDOM_STATE, "churned").groupBy("churned").agg(
+        F.count(F.lit(1)).alias("customers"), F.count_if("is_test").alias("held_out"))
+    plain = ml.split_flag(feat, config.TEST_SIZE, config.RANDOM_STATE).agg(F.count_if("is_test")).scalar()
+    weight = ml.with_class_weight(feat).groupBy("churned").agg(round_half_even(F.max("weight"), 6).alias("weight"))
+    return per.join(weight, "churned").withColumn("plain_held_out", plain)
+
+
+@query("proxy_auc")
+def q_proxy_auc(spark, sf):
+    """Exact AUC of the stand-in probability, many ties included."""
+    return ml.auc(_scored(spark, sf), score="churn_probability")
+
+
+def _standin_contributions(spark, sf):
+    """Contributions by a fixed rule: feature value times (-1)^i / (i + 1), for the checkable explanation queries."""
+    cols = config.FEATURE_COLS
+    phi = F.array(*[finite_or_zero(c) * F.lit((-1.0) ** i / (i + 1)) for i, c in enumerate(cols)])
+    return _scored(spark, sf).select("customer_unique_id", phi.alias("contributions"))
+
+
+@query("standin_reasons")
+def q_standin_reasons(spark, sf):
+    """W5 + C7 + C8: the three strongest features of every customer, as texts, on stand-in contributions."""
+    return explain.top_reasons(_scored(spark, sf), _standin_contributions(spark, sf), None)
+
+
+@query("standin_importance")
+def q_standin_importance(spark, sf):
+    """M17 + L8 on stand-in contributions."""
+    imp = explain.feature_importance(_standin_contributions(spark, sf))
+    return imp.select("feature", feature_label("feature").alias("label"), round_half_even("importance", 4).alias("importance"))
+
+
+@query("descriptions")
+def q_descriptions(spark, sf):
+    """Segments and actions in use with their descriptions."""
+    return reports.descriptions(_scored(spark, sf))
 
 
 def all_queries() -> dict[str, Query]:

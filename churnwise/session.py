@@ -61,6 +61,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists in its own store (local, HDFS, object store), asked through Hadoop's file system."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete the stage tables that this session's :func:`cut_lineage` wrote (call when a run's results are stored)."""
+    sc = spark.sparkContext
+    while _STAGES:
+        app, path = _STAGES.pop()
+        if app == sc.applicationId:
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: (application id, path) of the stage tables written so far.
+_STAGES: list[tuple[str, str]] = []
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back.
 
@@ -74,4 +95,5 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/stages/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _STAGES.append((spark.sparkContext.applicationId, path))
     return spark.read.parquet(path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,14 +24,15 @@ def load_order_tables(spark: SparkSession, data_dir: str) -> OrderTables:
 
     Dates stay text here; :func:`churnwise.operators.orders.clean_orders`
     parses them (invalid -> null).  The review date is parsed right away
-    because the review de-duplication orders by it.
+    because the review de-duplication orders by it.  Review comments hold quoted
+    line breaks and doubled quotes, so that file alone is read by record, not by line.
     """
-    def rd(key):
+    def rd(key, **options):
         name, st = schemas.ORDER_FILES[key]
-        return (spark.read.schema(st).option("header", True).option("mode", "PERMISSIVE")
-                .csv(os.path.join(data_dir, name)))
+        return (spark.read.schema(st).options(header=True, mode="PERMISSIVE", quote='"', escape='"', **options)
+                .csv(f"{data_dir.rstrip('/')}/{name}"))
 
-    reviews = rd("reviews").withColumn("review_creation_date",
+    reviews = rd("reviews", multiLine=True).withColumn("review_creation_date",
                                        F.try_to_timestamp("review_creation_date"))
     return OrderTables(rd("orders"), rd("items"), rd("payments"), reviews,
                        rd("customers"), rd("products"))
@@ -43,14 +43,22 @@ def load_uploaded_csv(spark: SparkSession, path: str, customer_col: str, date_co
     """An arbitrary CSV mapped to (customer_id, order_id, order_ts, value).
 
     The file must hold a customer id, a date and a money column; a missing
-    column is an error at plan-build time, not a late job failure.
+    column is an error at plan-build time, not a late job failure.  Without an
+    order column the id is a hash of the three values and the row's number among
+    equal rows, which are interchangeable: it does not depend on the file layout.
     """
     df = spark.read.option("header", True).csv(path)
     need = [customer_col, date_col, value_col] + ([order_col] if order_col else [])
     missing = [c for c in need if c not in df.columns]
     if missing:
         raise ValueError(f"uploaded CSV lacks required columns: {missing}")
-    oid = F.col(order_col) if order_col else F.monotonically_increasing_id().cast("string")
+    if order_col:
+        oid = F.col(order_col)
+    else:
+        parts = [customer_col, date_col, value_col]
+        df = df.groupBy(*parts).agg(F.count(F.lit(1)).alias("_copies"))
+        df = df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+        oid = F.sha2(F.to_json(F.struct(*parts, "_copy")), 256)
     return df.select(F.col(customer_col).alias("customer_id"), oid.alias("order_id"),
                      F.try_to_timestamp(F.col(date_col)).alias("order_ts"),
                      F.col(value_col).try_cast("double").alias("value"))

@@ -9,7 +9,8 @@ Order events arrive as JSON files; each micro-batch runs
 * T1  an order id is accepted once: the stream keeps one flag per order id
       in keyed state (``applyInPandasWithState``; RocksDB state store,
       checkpointed with the query), so a batch never scans the stored order
-      history; a static batch falls back to ``left_anti`` against stored ids;
+      history; broken events (a null id among them) bypass the state, so they
+      form no group; a static batch falls back to ``left_anti`` against stored ids;
 * T3  new orders are appended to the order table;
 * T4  profiles are kept as mergeable state per customer (order count,
       exact value sum, first / last purchase, review sum and count): the
@@ -41,6 +42,7 @@ from pyspark.sql import functions as F
 from churnwise import config
 from churnwise.functions.scalar import day_diff, money, round_half_even
 from churnwise.operators import actions
+from churnwise.session import path_exists
 from churnwise.sources.schemas import ORDER_EVENT
 
 REQUIRED = ("order_id", "customer_id", "total_value", "order_timestamp")
@@ -57,9 +59,8 @@ FLAGGED = ("order_id string, customer_id string, total_value double, order_times
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    if not os.path.exists(path.replace("file:", "")):
-        return None
-    return spark.read.parquet(path)
+    """The table, or None while it does not exist (asked in the path's own store)."""
+    return spark.read.parquet(path) if path_exists(spark, path) else None
 
 
 def _write(df: DataFrame, path: str) -> None:
@@ -133,21 +134,23 @@ def latest_state(state_rows: DataFrame) -> DataFrame:
 
 
 def flag_orders(key, frames, state):
-    """Keyed state per order id: the first valid event of an unseen id is new,
-    every later one a duplicate; invalid events are errors and leave the
-    state alone.  Equal ids inside a batch: earliest timestamp wins."""
-    pdf = pd.concat(list(frames), ignore_index=True)
-    ok = pdf[list(REQUIRED)].notna().all(axis=1)
-    pdf = pd.concat([pdf[ok].sort_values(["order_timestamp", "customer_id", "total_value", "review_score"],
-                                         na_position="first"), pdf[~ok]], ignore_index=True)
-    new = pd.Series(False, index=pdf.index)
-    n_ok = int(ok.sum())
-    if n_ok and not state.exists:
-        new.iloc[0] = True
+    """Keyed state per order id (valid events only): the first event of an unseen
+    id is new, every other one a duplicate.  Equal ids inside a batch: earliest
+    timestamp wins.  One row is held while the frames pass, so a re-sent id may
+    come any number of times."""
+    known, best = state.exists, None
+    order = ["order_timestamp", "customer_id", "total_value", "review_score"]
+    for pdf in frames:
+        if known:
+            yield pdf.assign(_is_new=False, _is_error=False)
+            continue
+        pdf = (pdf if best is None else pd.concat([best, pdf])).sort_values(order, na_position="first")
+        best, rest = pdf.iloc[:1], pdf.iloc[1:]
+        if len(rest):
+            yield rest.assign(_is_new=False, _is_error=False)
+    if best is not None:
         state.update((True,))
-    pdf["_is_new"] = new
-    pdf["_is_error"] = pd.Series([False] * n_ok + [True] * (len(pdf) - n_ok), index=pdf.index)
-    yield pdf[["order_id", "customer_id", "total_value", "order_timestamp", "review_score", "_is_new", "_is_error"]]
+        yield best.assign(_is_new=True, _is_error=False)
 
 
 def last_snapshot(spark: SparkSession, store: str, before: int | None = None) -> int:
@@ -172,7 +175,16 @@ def process_batch(batch: DataFrame, batch_id: int, store: str, as_of=None,
 
     flagged = "_is_new" in batch.columns
     ok = ~F.col("_is_error") if flagged else valid_rows(batch)
-    batch = batch.withColumn("_ok", ok)
+    # several tables are written from the batch: the source and the keyed state run once
+    batch = batch.withColumn("_ok", ok).persist()
+    try:
+        _store_batch(spark, batch, batch_id, flagged, p, bid, as_of_col, store, scored, params, compact_every)
+    finally:
+        batch.unpersist()
+
+
+def _store_batch(spark, batch, batch_id, flagged, p, bid, as_of_col, store, scored, params, compact_every) -> None:
+    """Write the batch's customers, orders, counts, profile states and activations."""
     good = batch.filter("_ok").drop("_ok")
     n_err = batch.filter(~F.col("_ok")).agg(F.count(F.lit(1))).scalar()
 
@@ -235,8 +247,8 @@ def process_batch(batch: DataFrame, batch_id: int, store: str, as_of=None,
 
 def start_intake(spark: SparkSession, source_dir: str, store: str, checkpoint: str, as_of=None,
                  scored: DataFrame | None = None, available_now: bool = True, max_files: int | None = None,
-                 compact_every: int = 50):
-    """Stream JSON order events from ``source_dir`` into the store."""
+                 compact_every: int = 50, params=None):
+    """Stream JSON order events from ``source_dir`` into the store; ``params`` holds the activation thresholds."""
     from pyspark.sql.streaming.state import GroupStateTimeout
     if not spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) or \
             "HDFSBackedStateStoreProvider" in spark.conf.get("spark.sql.streaming.stateStore.providerClass"):
@@ -245,10 +257,13 @@ def start_intake(spark: SparkSession, source_dir: str, store: str, checkpoint: s
     reader = spark.readStream.schema(ORDER_EVENT).option("mode", "PERMISSIVE")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    stream = (reader.json(source_dir).groupBy("order_id")
-              .applyInPandasWithState(flag_orders, FLAGGED, "seen boolean", "append", GroupStateTimeout.NoTimeout))
+    events = reader.json(source_dir).select("order_id", "customer_id", "total_value", "order_timestamp", "review_score")
+    good = (events.filter(valid_rows(events)).groupBy("order_id")
+            .applyInPandasWithState(flag_orders, FLAGGED, "seen boolean", "append", GroupStateTimeout.NoTimeout))
+    broken = events.filter(~valid_rows(events)).select("*", F.lit(False).alias("_is_new"), F.lit(True).alias("_is_error"))
+    stream = good.unionByName(broken)
     w = (stream.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda df, bid: process_batch(df, bid, store, as_of, scored,
+         .foreachBatch(lambda df, bid: process_batch(df, bid, store, as_of, scored, params,
                                                      compact_every=compact_every)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()

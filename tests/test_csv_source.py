@@ -31,3 +31,15 @@ def test_csv_tables_give_same_features(spark, tmp_path):
     want = batch.run_data(t).toPandas().set_index("customer_unique_id").sort_index()
     assert got.shape == want.shape
     assert (got == want).all().all()
+
+
+def test_review_comments_with_quoted_line_breaks(spark, tmp_path):
+    for name, st in schemas.ORDER_FILES.values():
+        (tmp_path / name).write_text(",".join(f.name for f in st.fields) + "\n")
+    name, st = schemas.ORDER_FILES["reviews"]
+    values = {"order_id": "o1", "review_score": "4", "review_creation_date": "2020-01-02 00:00:00"}
+    text = '"said ""good"",\nand came\n\nback"'
+    row = ",".join(values.get(f.name, text) for f in st.fields)
+    (tmp_path / name).write_text(",".join(f.name for f in st.fields) + "\n" + row + "\n" + row.replace("o1", "o2") + "\n")
+    rows = sorted(load_order_tables(spark, str(tmp_path)).reviews.select("order_id", "review_score").collect())
+    assert [(r.order_id, r.review_score) for r in rows] == [("o1", 4.0), ("o2", 4.0)]

@@ -8,7 +8,8 @@ import pytest
 from conftest import SF001
 import __spark_entry__ as E
 
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+          "conversations").split()
 SKIP = set()
 
 

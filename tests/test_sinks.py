@@ -29,3 +29,18 @@ def test_uploaded_csv_mapping(spark, tmp_path):
     assert rows[1].order_ts is None                      # unparsable date -> null
     with pytest.raises(ValueError):
         load_uploaded_csv(spark, str(p), "cust", "when", "missing_col")
+
+
+def test_uploaded_rows_get_ids_that_do_not_depend_on_the_layout(spark, tmp_path):
+    from churnwise.sources.tables import load_uploaded_csv
+    p = tmp_path / "up.csv"
+    p.write_text("cust,when,amount\n" + "A,2020-01-02,1\nB,2020-01-03,2\nA,2020-01-02,1\n,2020-01-03,\n" * 3)
+    first = load_uploaded_csv(spark, str(p), "cust", "when", "amount").collect()
+    q = tmp_path / "parts"
+    q.mkdir()
+    lines = p.read_text().splitlines()
+    (q / "a.csv").write_text("\n".join([lines[0], *reversed(lines[1:5])]) + "\n")
+    (q / "b.csv").write_text("\n".join([lines[0], *lines[5:]]) + "\n")
+    again = load_uploaded_csv(spark, str(q), "cust", "when", "amount").collect()
+    assert len(first) == 12 and len({r.order_id for r in first}) == 12
+    assert sorted(map(str, first)) == sorted(map(str, again))

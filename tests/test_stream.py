@@ -19,7 +19,8 @@ def test_replay_equals_batch(spark, tmp_path):
     # order), then a re-send of the first slice plus one broken event
     parts = [ev.filter(F.col("order_id").cast("long") % 3 == k) for k in (2, 0, 1)]
     bad = ev.limit(1).withColumn("total_value", F.lit(None).cast("double"))
-    parts.append(parts[0].unionByName(bad.withColumn("order_id", F.lit("broken"))))
+    parts.append(parts[0].unionByName(bad.withColumn("order_id", F.lit("broken")))
+                 .unionByName(bad.withColumn("order_id", F.lit(None).cast("string"))))
     for i, p in enumerate(parts):
         to_payload(p).coalesce(1).write.text(os.path.join(src, f"batch={i}"))
         os.makedirs(src + "_flat", exist_ok=True)
@@ -49,7 +50,7 @@ def test_replay_equals_batch(spark, tmp_path):
     n = ev.count()
     assert audit[0] == n
     assert audit[1] == parts[0].count()
-    assert audit[2] == 1
+    assert audit[2] == 2
     orders = spark.read.parquet(os.path.join(store, "orders"))
     stats = live.live_stats(spark.read.parquet(os.path.join(store, "customers")), orders).collect()[0]
     assert stats.db_orders == n
