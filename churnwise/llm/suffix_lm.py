@@ -18,7 +18,6 @@ every document never meets in one task.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +31,7 @@ MIN_SHARE = 1e-5
 SMOOTH = 2.0
 #: Nats that a state must gain per different next symbol (1: the Akaike criterion).
 GAIN = 1.0
-HOT_WORDS = 1 << 16
+HOT_WORDS = 1 << 15
 #: Counts that a map task holds before it passes them on.
 HELD = 1 << 21
 #: FIXED VALUES: white-space bytes serve as symbols, for no word has them; 250 word bytes, separator and end.
@@ -113,7 +112,7 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
 
 
 def contexts(counts: DataFrame, total: int, depth: int = DEPTH, min_share: float = MIN_SHARE) -> DataFrame:
-    """(d, ctx, sym, n, retained) for the states of the tree and, unretained ones left out, their next symbols."""
+    """(d, code, n): the states of the tree by depth with their next symbols; code holds the state and the symbol."""
     base = counts.filter("kind = 1").select("key", "n")
     levels = None
     for d in range(depth + 1):
@@ -134,28 +133,27 @@ def contexts(counts: DataFrame, total: int, depth: int = DEPTH, min_share: float
             .filter(F.col("gain") > GAIN * F.col("kinds"))
             .select("d", "ctx"))
     roots = sums.filter("d = 0").select("d", "ctx")
-    return rows.join(kept.unionAll(roots), ["d", "ctx"]).select("d", "ctx", "sym", "n", "total", "kinds")
+    return rows.join(kept.unionAll(roots), ["d", "ctx"]).select(
+        F.col("d").cast("byte").alias("d"), F.shiftleft("ctx", 8).bitwiseOR(F.col("sym")).alias("code"), "n")
 
 
 class SuffixTree:
     """Sorted hashes of (state, symbol) with log10 probabilities, and of states with the weight left for shorter ones."""
 
-    def __init__(self, table: pd.DataFrame, depth: int = DEPTH):
+    def __init__(self, d: np.ndarray, code: np.ndarray, n: np.ndarray, depth: int = DEPTH):
         self.depth = depth
         self.floor = np.log10(1.0 / ALPHABET)
         self.levels: list = []
-        for d in range(depth + 1):
-            t = table[table["d"] == d]
-            ctx, sym = t["ctx"].to_numpy(np.int64).astype(U), t["sym"].to_numpy(np.int64).astype(U)
-            n, total, kinds = (t[c].to_numpy(float) for c in ("n", "total", "kinds"))
-            code = (ctx << U(8)) | sym
-            shorter = 10 ** self.log10(code, below=d)
-            p = (n + SMOOTH * kinds * shorter) / (total + SMOOTH * kinds)
-            key = mix(code + U(d + 1))
+        for k in range(depth + 1):
+            c, m = code[d == k].view(U), n[d == k].astype(float)
+            states, of = np.unique(mix((c >> U(8)) + U(k + 1)), return_inverse=True)
+            spare = SMOOTH * np.bincount(of, minlength=len(states))           # all next symbols of a state are here
+            whole = np.bincount(of, m, len(states)) + spare
+            p = (m + spare[of] * 10 ** self.log10(c, below=k)) / whole[of]
+            key = mix(c + U(k + 1))
             order = np.argsort(key)
-            states, at = np.unique(mix(ctx + U(d + 1)), return_index=True)
-            left = np.log10(SMOOTH * kinds / (total + SMOOTH * kinds))[at]
-            self.levels.append((SortedHash(key[order]), np.append(np.log10(p)[order], 0.0), SortedHash(states), np.append(left, 0.0)))
+            self.levels.append((SortedHash(key[order]), np.append(np.log10(p)[order], 0.0),
+                                SortedHash(states), np.append(np.log10(spare / whole), 0.0)))
 
     def log10(self, code: np.ndarray, below: int | None = None) -> np.ndarray:
         """log10 probability of each code's symbol in its longest suffix state (of depth under ``below``)."""
@@ -214,7 +212,9 @@ def score_texts(docs: DataFrame, folds: int = 5) -> DataFrame:
     unigrams = counts.filter("kind = 0").select("key", "n")
     big_n, vocab = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     symbols = counts.filter("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    tree = SuffixTree(contexts(counts, symbols).toPandas())
+    states = contexts(counts, symbols).toArrow()               # bounded by MIN_SHARE
+    tree = SuffixTree(*(states.column(c).to_numpy() for c in ("d", "code", "n")))
+    del states
     end = np.uint64(END_WORD).astype(np.int64)
     hot = (unigrams.orderBy(F.desc("n"), "key").limit(HOT_WORDS).toPandas())       # HOT_WORDS rows at most
     end_n = int(unigrams.filter(F.col("key") == int(end)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])

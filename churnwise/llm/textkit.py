@@ -141,15 +141,19 @@ class SortedHash:
     """Sorted array of 64-bit hashes with a radix index on the leading bits; ``find`` is vectorised."""
 
     def __init__(self, keys: np.ndarray):
-        self.keys = keys                                   # ascending, distinct, well mixed
-        self.bits = max(1, int(len(keys)).bit_length())
+        """keys: ascending, distinct and well mixed."""
+        self.bits = max(1, int(len(keys)).bit_length() - 1)
         edges = np.arange(1 << self.bits, dtype=U) << U(64 - self.bits)
         self.start = np.searchsorted(keys, edges).astype(np.int32)
         self.padded = np.append(keys, U(0xFFFFFFFFFFFFFFFF))
 
+    @property
+    def keys(self) -> np.ndarray:
+        return self.padded[:-1]
+
     def find(self, q: np.ndarray) -> np.ndarray:
         """Place of each hash in ``keys``; -1 where it is absent."""
-        if not len(self.keys):
+        if len(self.padded) == 1:
             return np.full(len(q), -1, np.int32)
         at = self.start[(q >> U(64 - self.bits)).astype(np.int64)]
         have = self.padded[at]
@@ -158,5 +162,5 @@ class SortedHash:
             at[less] += 1
             have[less] = self.padded[at[less]]
             less = less[have[less] < q[less]]
-        at[(have != q) | (at >= len(self.keys))] = -1
+        at[(have != q) | (at >= len(self.padded) - 1)] = -1
         return at
