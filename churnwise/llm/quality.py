@@ -228,7 +228,7 @@ def train(docs: DataFrame) -> tuple[WeakLabels, np.ndarray, float]:
     weights = np.zeros(1 << BITS)
     own = fitted[fitted["feature"] >= 0]
     weights[own["feature"].to_numpy(np.int64)] = own["weight"].to_numpy()
-    return model, weights, float(fitted[fitted["feature"] < 0]["weight"].iloc[0])
+    return model, weights, float(fitted[fitted["feature"] < 0]["weight"].sum())       # no row on an empty table
 
 
 def classify(docs: DataFrame) -> DataFrame:

@@ -142,7 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4) -> tuple[np.ndarra
     weights = np.zeros(1 << BITS, np.float32)
     own = fitted[fitted["feature"] >= 0]
     weights[own["feature"].to_numpy(np.int64)] = own["weight"].to_numpy()
-    return weights, float(fitted[fitted["feature"] < 0]["weight"].iloc[0])
+    bias = fitted[fitted["feature"] < 0]["weight"]
+    return weights, float(bias.iloc[0]) if len(bias) else -6.0           # nothing to learn from
 
 
 OUT = "doc_id long, held_out boolean, score double, predicted int, n_sentences int, offending array<struct<sentence:int,score:double,text:string>>"
