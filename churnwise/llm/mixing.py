@@ -143,7 +143,9 @@ def draw_blocks(plan: DataFrame, seed: int = 0) -> DataFrame:
     shards = max(1, -(-int(total) // SHARD_SLOTS))
     ranges = plan.filter("quota > 0").select("source", "blocks", "quota").mapInPandas(
         _shard_counts(seed, shards), "source string, blocks long, shard int, start long, slots long")
-    slots = (ranges.repartition("source", "shard")
+    spark = plan.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(shards, 1 << 14))
+    slots = (ranges.repartition(tasks, "source", "shard")
              .mapInPandas(_slot_blocks(seed), "source string, block long"))
     return slots.groupBy("source", "block").agg(F.count("*").alias("times"))
 
@@ -186,7 +188,8 @@ def _segments(laid: DataFrame, times: DataFrame) -> DataFrame:
            .withColumn("words", F.when(F.col("block") < 0, 0).otherwise(
                F.least(F.col("block") * BLOCK + BLOCK, F.col("offset") + F.col("size"))
                - F.greatest(F.col("block") * BLOCK, F.col("offset")))))
-    t = times.select(F.col("source").alias("t_source"), F.col("block").alias("t_block"), "times")
+    # Spark judges the blocks' size by the plan's few rows; they grow with the corpus and must not be broadcast
+    t = times.select(F.col("source").alias("t_source"), F.col("block").alias("t_block"), "times").hint("merge")
     return (seg.join(t, seg.source.eqNullSafe(t.t_source) & (seg.block == t.t_block), "left")
             .drop("t_source", "t_block").withColumn("times", F.coalesce("times", F.lit(0).cast("long"))))
 
