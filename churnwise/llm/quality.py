@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnwise.llm.common import arrow_job, text_or_empty
+from churnwise.llm.common import arrow_job, slices, text_or_empty
 from churnwise.llm.textkit import U, mix, words
 
 #: Expected rows of the scorer's training sample.
@@ -217,7 +217,7 @@ def train(docs: DataFrame) -> tuple[WeakLabels, np.ndarray, float]:
 
     def one_task(batches):
         parts, target = [], []
-        for batch in batches:
+        for batch in slices(batches):
             stats, w = statistics(batch.column(0))
             parts.append((*features(stats, w), batch.num_rows))
             target.append(shared.value.posterior(votes(stats)))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnwise.llm.common import arrow_job, fold, text_or_empty
+from churnwise.llm.common import arrow_job, fold, slices, text_or_empty
 from churnwise.llm.textkit import U, joined, mix, runs, words
 
 #: Expected rows of the training sample.
@@ -67,20 +67,24 @@ def log_clean(z: np.ndarray) -> np.ndarray:
 def fit(texts: list[pa.Array], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """(features, weights, bias) of the sentence model, from document labels."""
     fs, ss, ds, rows, groups = [], [], [], 0, 0
+    seen = np.zeros(1 << BITS, np.int64)                     # documents that hold each feature
     for t in texts:
         f, s, d, _ = sentences(t)
-        fs.append(f)
-        ss.append(s + groups)
+        if len(f):
+            seen += np.bincount(np.unique(d[s] * (1 << BITS) + f) & ((1 << BITS) - 1), minlength=1 << BITS)
+        fs.append(f.astype(np.int32))
+        ss.append((s + groups).astype(np.int32))
         ds.append(d + rows)
         rows, groups = rows + len(t), groups + len(d)
-    f, s, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (fs, ss, ds))
-    key = d[s] * (1 << BITS) + f if len(s) else f
-    seen = np.bincount(np.unique(key) & ((1 << BITS) - 1), minlength=1 << BITS) if len(key) else np.zeros(1 << BITS, int)
     used = np.flatnonzero(seen >= LEAST_DOCS)
-    place = np.full(1 << BITS, -1, np.int64)
+    place = np.full(1 << BITS, -1, np.int32)
     place[used] = np.arange(len(used))
-    keep = place[f] >= 0
-    f, s = place[f[keep]], s[keep]
+    for i, f in enumerate(fs):
+        f = place[f]
+        keep = f >= 0
+        fs[i], ss[i] = f[keep], ss[i][keep]
+    f, s, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (fs, ss, ds))
+    del fs, ss, ds
     y, n = labels.astype(float), max(len(labels), 1)
     state = {"w": np.zeros(len(used)), "g2": np.full(len(used), 1e-6), "b": -6.0, "b2": 1e-6}
 
@@ -132,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4) -> tuple[np.ndarra
 
     def one_task(batches):
         texts, ys = [], []
-        for batch in batches:
+        for batch in slices(batches):
             texts.append(batch.column(0))
             ys.append(batch.column(1).to_numpy(zero_copy_only=False))
         f, w, b = fit(texts, np.concatenate(ys) if ys else np.zeros(0))
