@@ -18,7 +18,7 @@ from churnwise.llm.common import arrow_job, fold, slices, text_or_empty
 from churnwise.llm.textkit import U, joined, mix, runs, words
 
 #: Expected rows of the training sample.
-TRAIN_DOCS = 12_000
+TRAIN_DOCS = 6_000
 #: Hashed features; the weights are one number each, so their broadcast is bounded.
 BITS = 20
 #: Words of fewer sampled documents than this are left out.
