@@ -223,8 +223,19 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def _hot(known: DataFrame) -> dict[str, bytes]:
-    """The commonest units' ids as 32-bit integers; HOT_UNITS entries of at most LONG characters."""
-    top = known.filter(F.length("unit") <= LONG).orderBy(F.desc("n"), "unit").limit(HOT_UNITS).select("unit", "ids").toArrow()
+    """The commonest units' ids as 32-bit integers; HOT_UNITS entries of at most LONG characters.
+
+    The count from which a unit is common comes from a histogram of counts in
+    eighths of a power of two (at most 512 numbers), so nothing is sorted."""
+    short = known.filter(F.length("unit") <= LONG).withColumn("step", F.floor(F.log2("n") * 8))
+    room, cut = HOT_UNITS, None
+    for r in sorted(short.groupBy("step").count().collect(), key=lambda r: -r["step"]):
+        if r["count"] > room:
+            break
+        room, cut = room - r["count"], r["step"]
+    if cut is None:
+        return {}
+    top = short.filter(F.col("step") >= cut).select("unit", "ids").toArrow()
     units, ids = top.column("unit").to_pylist(), top.column("ids").combine_chunks()
     off = ids.offsets.to_numpy() if len(units) else np.zeros(1, np.int32)
     raw = ids.values.to_numpy(zero_copy_only=False).astype(np.int32).tobytes() if len(units) else b""
@@ -300,9 +311,9 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     hot = spark.sparkContext.broadcast(_hot(known))
     # rows are told apart by id and text hash; equal rows have equal ids, so they share one lookup
     keyed = d.withColumn("row", F.xxhash64("doc_id", "text"))
-    rare = (keyed.select("text", "row").mapInArrow(arrow_job(_rare_units(shared, hot)), "row long, unit string").distinct()
+    rare = (keyed.select("text", "row").mapInArrow(arrow_job(_rare_units(shared, hot)), "row long, unit string")
             .join(known.select("unit", "ids"), "unit")
-            .groupBy("row").agg(F.collect_list(F.struct("unit", "ids")).alias("rare")).withColumnRenamed("row", "r_row"))
+            .groupBy("row").agg(F.collect_set(F.struct("unit", "ids")).alias("rare")).withColumnRenamed("row", "r_row"))
     packed = keyed.select("text", "doc_id", "row").mapInArrow(arrow_job(_pack), "packed binary, doc_id long, row long")
     return (packed.join(rare, packed["row"] == rare["r_row"], "left").select("packed", "doc_id", "rare")
             .mapInArrow(arrow_job(_assemble(shared, hot), "packed"),
