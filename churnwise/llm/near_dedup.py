@@ -14,10 +14,10 @@
 4. Candidates pass a sketch of the signature (one byte a coordinate), then the
    exact Jaccard similarity of their shingles.
 5. Links make components.  In large buckets that still hold several
-   components, every node outside the bucket's largest one meets all others by
-   sketch, block against block inside tasks.  Of the likely pairs only the
-   best few of a node and a foreign component are compared by text; where
-   that joins nothing, more are, and in the end all.
+   components, every node outside the bucket's largest one meets all others,
+   block against block inside tasks: by sketch, then the likely pairs that
+   nothing joins yet by their shingles, best first.  A task returns the links
+   that join components, at most one a node, never its pairs.
 
 The class of a document is the smallest doc_id of its component.
 """
@@ -43,10 +43,8 @@ BANDS, ROWS = 30, 5
 SMALL = 16
 #: Share of equal sketch coordinates below which a candidate is dropped: over four deviations under 0.8.
 LEAST_EQUAL = 0.66
-#: Pairs of a node and a foreign component that are compared by text, round by round; at last all.
-BEST_PAIRS = (4, 64, None)
-#: Nodes of the two sides of a block when large buckets are compared by sketch.
-SIDE_A, SIDE_B = 512, 2048
+#: Nodes of the two sides of a block when large buckets are compared.
+SIDE_A, SIDE_B = 512, 1024
 #: Darts thrown at once per region after the first.
 BLOCK = 16
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -190,18 +188,22 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, weights: str)
         return piece.select([0, 1]).take(pa.array(np.flatnonzero((a == b).mean(axis=1) >= LEAST_EQUAL)))
     near = stage(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_sketch", "b_sketch")
                  .mapInArrow(arrow_job(sketch, "a_sketch"), "a long, b long"), "near-pairs")
-    used = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    picked = nodes.join(used, "node", "left_semi").select("node", "doc_id", "text_hash")
-    d = docs.select(F.col("doc_id").cast("long").alias("t_id"), text_or_empty().alias("text"))
-    d = d.withColumn("t_hash", F.xxhash64("text"))
-    texts = (d.join(picked, d.t_id.eqNullSafe(picked.doc_id) & (d.t_hash == picked.text_hash))
-             .dropDuplicates(["node"]).select("node", "text"))
+    texts = _texts(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs)
     ta = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
     tb = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
     return stage(near.join(ta, "a").join(tb, "b").select("a", "b", "a_text", "b_text")
                  .mapInArrow(arrow_job(_similar(weights), "a_text"), "a long, b long"), "near-links")
 
 
+def _texts(used: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the nodes ``used``: the text of each one's document."""
+    picked = nodes.join(used, "node", "left_semi").select("node", "doc_id", "text_hash")
+    d = docs.select(F.col("doc_id").cast("long").alias("t_id"), text_or_empty().alias("text"))
+    d = d.withColumn("t_hash", F.xxhash64("text"))
+    return (d.join(picked, d.t_id.eqNullSafe(picked.doc_id) & (d.t_hash == picked.text_hash))
+            .dropDuplicates(["node"]).select("node", "text"))
+
+
 def near_duplicates(docs: DataFrame, weights: str = "set") -> DataFrame:
     """One row per input row: doc_id, class_id (smallest doc_id of its component), class_size, kept, text_hash.
 
@@ -219,14 +221,12 @@ def near_duplicates(docs: DataFrame, weights: str = "set") -> DataFrame:
     rows = nodes.select("node", "size", F.explode("bands").alias("key"))
     links = _verified(_bucket_pairs(rows), nodes, docs, weights)
     found = components(links, "near")
-    for best in BEST_PAIRS:
-        pairs = _across(nodes, rows, found, best)
-        if pairs is None or pairs.isEmpty():
-            break
-        more = _verified(pairs, nodes, docs, weights)
-        if not more.isEmpty():
-            links = links.unionAll(more)
-            found = components(links, "near")
+    found = stage(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "near-roots")
+    big = rows.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > SMALL).select("key")
+    large = stage(rows.join(big, "key", "left_semi"), "near-large")
+    more = _across(nodes, large, found, docs, weights)
+    if more is not None:
+        found = _joined(found, more)
     label = prints.select("doc_id", "text_hash", "node").join(found, "node", "left")
     # documents without words stay alone, each under a key of its own
     alone = F.col("node").isNull()
@@ -251,49 +251,80 @@ def first_of_classes(docs: DataFrame, weights: str = "set") -> DataFrame:
     return d.withColumn(place, F.row_number().over(w)).filter(F.col(place) == 1).select(*names)
 
 
-def _across(nodes: DataFrame, rows: DataFrame, found: DataFrame, best: int | None) -> DataFrame | None:
-    """Likely pairs across components inside large buckets: the ``best`` of each node and foreign component (None: all)."""
-    big = rows.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > SMALL).select("key")
-    labelled = stage(rows.join(big, "key", "left_semi").join(found, "node", "left")
-                     .select("key", "node", "size", F.coalesce("root", "node").alias("root")), "near-large")
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots after ``links``: only the roots that they touch are contracted."""
+    a = found.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    b = found.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    merged = components(links.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")), "near-more")
+    merged = merged.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return stage(found.join(merged, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "near-roots")
+
+
+def _across(nodes: DataFrame, large: DataFrame, found: DataFrame, docs: DataFrame, weights: str) -> DataFrame | None:
+    """Links (a, b) that join components which share a large bucket; None where no bucket holds two."""
+    labelled = large.join(found, "node")
     per_root = labelled.groupBy("key", "root").agg(F.count("*").alias("c"))
     most = F.max(F.struct("c", "root"))
     mixed = stage(per_root.groupBy("key").agg(most.alias("most"), F.sum("c").alias("m"), F.count("*").alias("roots"))
                   .filter("roots > 1").select("key", F.col("most.root").alias("main"), "m", (F.col("m") - F.col("most.c")).alias("out")), "near-mixed")
     if mixed.isEmpty():
         return None
-    d = (labelled.join(mixed, "key").join(nodes.select("node", "sketch"), "node")
-         .withColumn("a_blocks", F.ceil(F.col("out") / SIDE_A).cast("int")).withColumn("b_blocks", F.ceil(F.col("m") / SIDE_B).cast("int")))
-    cols = ["key", "ab", "bb", "side", "node", "size", "root", "sketch"]
+    d = stage(labelled.join(mixed, "key").withColumn("a_blocks", F.ceil(F.col("out") / SIDE_A).cast("int"))
+              .withColumn("b_blocks", F.ceil(F.col("m") / SIDE_B).cast("int")), "near-members")
+    whole = nodes.select("node", "sketch", "bands").join(_texts(d.select("node").distinct(), nodes, docs), "node")
+    whole = stage(whole, "near-whole")
+    cols = ["key", "ab", "bb", "side", "node", "root"]
     outside = (d.filter("root <> main").withColumn("ab", F.pmod(F.xxhash64("node"), F.col("a_blocks")).cast("int"))
                .withColumn("bb", F.explode(F.sequence(F.lit(0), F.col("b_blocks") - 1))).withColumn("side", F.lit(0)).select(cols))
     everyone = (d.withColumn("bb", F.pmod(F.xxhash64("node", F.lit(1)), F.col("b_blocks")).cast("int"))
                 .withColumn("ab", F.explode(F.sequence(F.lit(0), F.col("a_blocks") - 1))).withColumn("side", F.lit(1)).select(cols))
-    return stage(outside.unionAll(everyone).groupBy("key", "ab", "bb").applyInPandas(_likely(best), "a long, b long").distinct(), "near-across")
+    return stage(outside.unionAll(everyone).join(whole, "node").groupBy("key", "ab", "bb")
+                 .applyInPandas(_linking(weights), "a long, b long"), "near-across")
 
 
-def _likely(best: int | None):
+def _linking(weights: str):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of side 0 and side 1 whose sketches are alike, sizes fit and components differ."""
+        """Links between side 0 and side 1 that join components, found by sketch and proved by shingles."""
         sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, BANDS * ROWS)
-        node, size, root, side = (pdf[c].to_numpy() for c in ("node", "size", "root", "side"))
+        node, root, side = (pdf[c].to_numpy() for c in ("node", "root", "side"))
+        bands = np.array(pdf["bands"].tolist(), np.int64)
+        sets = []
+        for lo in range(0, len(pdf), 256):
+            h, d, c = distinct_shingles(pa.array(pdf["text"].iloc[lo: lo + 256]))
+            c = c if weights == "count" else np.ones(len(h), np.int64)
+            at = np.searchsorted(d, np.arange(min(256, len(pdf) - lo) + 1))
+            sets += [(h[i:j], c[i:j], int(c[i:j].sum())) for i, j in zip(at[:-1], at[1:])]
+        parent: dict = {}
+
+        def top(x):
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        def similar(i, j):
+            (hi, ci, ni), (hj, cj, nj) = sets[i], sets[j]
+            if min(ni, nj) < THRESHOLD * max(ni, nj):
+                return False
+            _, p, q = np.intersect1d(hi, hj, assume_unique=True, return_indices=True)
+            both = int(np.minimum(ci[p], cj[q]).sum())
+            return both >= THRESHOLD * (ni + nj - both) - 1e-9
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        found_a, found_b = [], []
+        out = []
         for lo in range(0, len(a), 64):
             x = a[lo: lo + 64]
             equal = np.zeros((len(x), len(b)), np.int16)
             for c in range(BANDS * ROWS):
                 equal += sketch[x, c][:, None] == sketch[b, c][None, :]
-            fits = np.minimum(size[x][:, None], size[b][None, :]) >= THRESHOLD * np.maximum(size[x][:, None], size[b][None, :])
-            i, j = np.nonzero((equal >= LEAST_EQUAL * BANDS * ROWS) & fits & (root[x][:, None] != root[b][None, :]))
-            if best is not None and len(i):
-                order = np.lexsort((-equal[i, j], root[b[j]], i))
-                i, j = i[order], j[order]
-                first = runs(i, root[b[j]])
-                rank = np.arange(len(i)) - np.repeat(first, np.diff(first, append=len(i)))
-                i, j = i[rank < best], j[rank < best]
-            found_a.append(node[x[i]])
-            found_b.append(node[b[j]])
-        p, q = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (found_a, found_b))
-        return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
+            i, j = np.nonzero((equal >= LEAST_EQUAL * BANDS * ROWS) & (root[x][:, None] != root[b][None, :]))
+            # a pair is handled in the first bucket that it shares; were that a small one, it has been compared there
+            shared = (bands[x[i]] == bands[b[j]]).argmax(axis=1) if len(i) else i
+            mine = bands[x[i], shared] == key[0]
+            i, j = i[mine], j[mine]
+            for k in np.argsort(-equal[i, j], kind="stable"):
+                p, q = x[i[k]], b[j[k]]
+                rp, rq = top(root[p]), top(root[q])
+                if rp != rq and similar(p, q):
+                    parent[rq] = rp
+                    out.append((node[p], node[q]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
     return run
