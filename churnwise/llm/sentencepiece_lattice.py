@@ -33,10 +33,12 @@ from churnwise.llm.common import arrow_job, slices, stage
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units broadcast at most; they are no longer than LONG characters.
 HOT_UNITS = 1 << 19
-#: Units beyond this length are merged by a heap in a task of their own rows, not by the lattice.
+#: Units beyond this length are merged by a heap where their document is, not by the lattice.
 LONG = 96
-#: Distinct units a map task holds before it passes its counts on.
-HELD = 1 << 20
+#: Tasks that cut and fold units, in shuffle partitions of the session.
+SPREAD = 12
+#: Distinct words a map task holds before it passes its counts on.
+HELD = 1 << 19
 SPACE = "▁"
 #: A merge is rank * 2 ** SHIFT + position in its unit.
 SHIFT = 20
@@ -113,7 +115,9 @@ class Pieces:
             return "S" if c == SPACE else "L" if re.match(kinds["L"], c) else "D" if re.match(r"\d", c) else "N" if c == "\n" else "O"
         joined = {(kind(a), kind(b)) for p in self.normal for a, b in zip(p, p[1:])}
         if any(b == "S" and a != "S" or "N" in (a, b) for a, b in joined):
+            self.coarse = None
             return re.compile("(?s).+")                       # no safe place: the text is one unit
+        self.coarse = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
         groups, left = [], list("LDO")
         while left:                                           # kinds that some piece joins stay together
             g = [left.pop(0)]
@@ -126,8 +130,19 @@ class Pieces:
         heads = "|".join(groups)
         return re.compile(rf"{SPACE}*(?:{heads})|{SPACE}+|\n")
 
+    def words(self, text: str) -> list[str]:
+        """Coarse cuts of a text, at spaces and line breaks; each word's units are ``pattern.findall(word)``."""
+        if not text:
+            return []
+        s = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
+        if self.coarse is None:
+            return [s]
+        if SPACE * 2 in s or "\x01" in s:
+            return self.coarse.findall(s)
+        return [w for w in s.replace(SPACE, "\x01" + SPACE).replace("\n", "\x01\n\x01").split("\x01") if w]
+
     def units(self, text: str) -> list[str]:
-        return self.pattern.findall((SPACE if self.prefix else "") + text.replace(" ", SPACE)) if text else []
+        return [u for w in self.words(text) for u in self.pattern.findall(w)]
 
     def table(self, spark: SparkSession) -> DataFrame:
         """(piece, id, cost): cost is the piece's merges, or one number for a unigram model; at most the vocabulary's size."""
@@ -150,24 +165,28 @@ class Pieces:
 
 
 def _unit_task(pieces):
-    """(unit, n): units of a task, combined within a bound."""
+    """(unit, n): units of a task, combined within a bound.  Words are counted first and cut once each."""
     def run(batches):
         held: dict = {}
 
         def out():
-            keys = list(held)
+            units: dict = {}
+            for word, n in held.items():
+                for u in model.pattern.findall(word):
+                    if len(u) <= LONG:
+                        units[u] = units.get(u, 0) + n
+            held.clear()
+            keys = list(units)
             for a in range(0, len(keys), 1 << 16):
                 part = keys[a: a + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([held[k] for k in part], pa.int64())], names=["unit", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([units[k] for k in part], pa.int64())], names=["unit", "n"])
         model = pieces.value
         for piece in slices(batches):
             for text in piece.column(0).to_pylist():
-                if text:
-                    for u in model.units(text):
-                        held[u] = held.get(u, 0) + 1
+                for w in model.words(text):
+                    held[w] = held.get(w, 0) + 1
             if len(held) > HELD:
                 yield from out()
-                held.clear()
         yield from out()
     return run
 
@@ -194,9 +213,8 @@ def _best_path(n, edges, bpe: bool):
 def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     """(unit, n) -> (unit, n, ids).  The rows of a unit stay in its partition from the count to the fold."""
     spark = units.sparkSession
-    short = units.filter(F.length("unit") <= LONG)
     n = F.length("unit")
-    spans = (short.withColumn("start", F.explode(F.sequence(F.lit(0), n - 1)))
+    spans = (units.withColumn("start", F.explode(F.sequence(F.lit(0), n - 1)))
              .withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("start")))))
              .withColumn("piece", F.substr("unit", F.col("start") + 1, F.col("len"))))
     kind = "array<long>" if pieces.bpe else "array<double>"
@@ -212,14 +230,7 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
                                            F.coalesce("cost", rest).alias("cost")).alias("edge")))
     lattice = edges.groupBy("unit", "n").agg(F.collect_list("edge").alias("edges"))
     best = lattice.select("unit", "n", _best_path(F.length("unit"), F.col("edges"), pieces.bpe).alias("ids"))
-    shared = spark.sparkContext.broadcast(pieces)
-
-    def long_units(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([shared.value.long_ids(u) for u in batch.column(0).to_pylist()], pa.list_(pa.int32()))],
-                names=["unit", "n", "ids"])
-    return best.unionAll(units.filter(F.length("unit") > LONG).mapInArrow(long_units, "unit string, n long, ids array<int>"))
+    return best
 
 
 def _hot(known: DataFrame) -> dict[str, bytes]:
@@ -227,7 +238,7 @@ def _hot(known: DataFrame) -> dict[str, bytes]:
 
     The count from which a unit is common comes from a histogram of counts in
     eighths of a power of two (at most 512 numbers), so nothing is sorted."""
-    short = known.filter(F.length("unit") <= LONG).withColumn("step", F.floor(F.log2("n") * 8))
+    short = known.withColumn("step", F.floor(F.log2("n") * 8))
     room, cut = HOT_UNITS, None
     for r in sorted(short.groupBy("step").count().collect(), key=lambda r: -r["step"]):
         if r["count"] > room:
@@ -244,14 +255,22 @@ def _hot(known: DataFrame) -> dict[str, bytes]:
 
 def _rare_units(pieces, hot):
     """(row, unit) for the distinct units of a document that are not broadcast."""
+    cache: dict = {}
+
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
         model, known = pieces.value, hot.value
         rows, units = [], []
         for row, text in zip(piece.column(1).to_pylist(), piece.column(0).to_pylist()):
-            if text:
-                rest = {u for u in model.units(text) if u not in known}
-                rows += [row] * len(rest)
-                units += rest
+            rest: set = set()
+            for w in set(model.words(text)):
+                own = cache.get(w)
+                if own is None:
+                    own = cache[w] = tuple(u for u in model.pattern.findall(w) if len(u) <= LONG and u not in known)
+                rest.update(own)
+            rows += [row] * len(rest)
+            units += rest
+        if len(cache) > HELD:
+            cache.clear()
         return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(units, pa.string())], names=["row", "unit"])
     return run
 
@@ -265,9 +284,20 @@ def _pack(piece: pa.RecordBatch) -> pa.RecordBatch:
 
 def _assemble(pieces, hot):
     """Packed text and its rare units' ids -> ids of the whole text, decoded again to prove the round trip."""
+    cache: dict = {}
+
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
         model, known = pieces.value, hot.value
         names = piece.schema.names
+
+        def ids_of(word):
+            """Ids of a word of hot units, b"" when it has a rare one."""
+            parts = [known.get(u) if len(u) <= LONG else np.array(model.long_ids(u), np.int32).tobytes()
+                     for u in model.pattern.findall(word)]
+            cache[word] = out = b"" if None in parts else b"".join(parts)
+            return out
+        if len(cache) > HELD:
+            cache.clear()
         z = zstandard.ZstdDecompressor()
         table = getattr(model, "_bytes_of", None)
         if table is None:
@@ -278,7 +308,9 @@ def _assemble(pieces, hot):
         for packed, rare in zip(piece.column(0).to_pylist(), piece.column(names.index("rare")).to_pylist()):
             text = z.decompress(packed).decode("utf-8") if packed is not None else ""
             own = {r["unit"]: np.array(r["ids"], np.int32).tobytes() for r in rare or []}
-            raw = b"".join([known[u] if u in known else own[u] for u in model.units(text)])
+            raw = b"".join([cache.get(w) or ids_of(w)
+                            or b"".join([known[u] if u in known else own[u] if u in own else ids_of(u) for u in model.pattern.findall(w)])
+                            for w in model.words(text)])
             ids = np.frombuffer(raw, np.int32)
             out.append(ids)
             lens.append(len(ids))
@@ -305,7 +337,9 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     pieces = Pieces(model)
     shared = spark.sparkContext.broadcast(pieces)
     d = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    units = (d.select("text").mapInArrow(_unit_task(shared), "unit string, n long")
+    # a unit grows to dozens of substrings, so its few bytes are dealt over many tasks, in which the edges then fit
+    parts = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    units = (d.select("text").mapInArrow(_unit_task(shared), "unit string, n long").repartition(parts, "unit")
              .groupBy("unit").agg(F.sum("n").alias("n")))
     known = stage(encode_units(units, pieces), "piece-units")
     hot = spark.sparkContext.broadcast(_hot(known))
