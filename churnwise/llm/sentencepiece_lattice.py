@@ -32,13 +32,13 @@ from churnwise.llm.common import arrow_job, slices, stage
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units broadcast at most; they are no longer than LONG characters.
-HOT_UNITS = 1 << 19
+HOT_UNITS = 1 << 18
 #: Units beyond this length are merged by a heap where their document is, not by the lattice.
 LONG = 96
 #: Tasks that cut and fold units, in shuffle partitions of the session.
 SPREAD = 12
 #: Distinct words a map task holds before it passes its counts on.
-HELD = 1 << 19
+HELD = 1 << 18
 SPACE = "▁"
 #: A merge is rank * 2 ** SHIFT + position in its unit.
 SHIFT = 20

@@ -29,7 +29,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(max(n, 1 << 16), base, dtype=U)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if n <= 1 << 23:
+        if n <= 1 << 21:
             _POWERS[base] = have
     return have[:n]
 
