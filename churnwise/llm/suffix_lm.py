@@ -3,12 +3,19 @@
 Symbols are the bytes of the lower-cased words (A-Z only), one separator
 between words and one end symbol.  Training counts every (context of ``DEPTH``
 symbols, next symbol) of all training documents; Spark sums them and derives
-the shorter contexts.  A context becomes a state when it holds at least the
-share ``MIN_SHARE`` of all training symbols and its next-symbol distribution
-diverges from that of its suffix: count * KL exceeds ``GAIN`` nats per
-different next symbol.  ``MIN_SHARE`` bounds the tree at ``DEPTH / MIN_SHARE`` states whatever
-the corpus, so it may be broadcast.  Distributions are smoothed towards the
-next shorter state.  Each symbol is scored in its longest suffix state.
+the shorter contexts.  A context becomes a state when it was seen ``MIN_COUNT``
+times and its next-symbol distribution diverges from that of its suffix:
+count * KL exceeds ``GAIN`` nats per different next symbol.  Both tests are
+absolute, so the tree grows with the corpus.  Distributions are smoothed
+towards the next shorter state.  Each symbol is scored in its longest suffix
+state.
+
+Contexts with the share ``MIN_SHARE`` of all training symbols are common; they
+number at most ``DEPTH / MIN_SHARE`` whatever the corpus and are broadcast.  A
+symbol whose whole context is common is scored at once.  Any other has a
+shortest context that is not common, its root; counts and symbols meet by the
+root's hash, and a task grows its roots' part of the tree onto the common one.
+A root holds less than the share ``MIN_SHARE`` of the training symbols.
 
 The unigram base score needs every word's count.  The ``HOT_WORDS`` commonest
 words are broadcast; the rest is a table, joined by word hash, so a word in
@@ -17,16 +24,24 @@ every document never meets in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnwise.llm.common import arrow_job, fold, slices, stage
 from churnwise.llm.textkit import LOWER, SortedHash, U, joined, mix, runs, words
 
 DEPTH = 6
+#: Times that a state was seen at least.
+MIN_COUNT = 2
+#: Contexts with this share of all training symbols are broadcast, the others joined.
 MIN_SHARE = 1e-5
+#: Distinct counts or symbols of contexts that are not common, a task of the join.
+ROOT_ROWS = 1 << 19
 #: Weight of the shorter state's distribution, in observations per distinct next symbol.
 SMOOTH = 2.0
 #: Nats that a state must gain per different next symbol (1: the Akaike criterion).
@@ -111,76 +126,231 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
     return stage(per_task.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
 
 
-def contexts(counts: DataFrame, total: int, depth: int = DEPTH, min_share: float = MIN_SHARE) -> DataFrame:
-    """(d, code, n): the states of the tree by depth with their next symbols; code holds the state and the symbol."""
+def contexts(counts: DataFrame, total: int, depth: int = DEPTH) -> DataFrame:
+    """(d, code, n, state) of the common contexts by depth with their next symbols; code holds the context and the symbol."""
     base = counts.filter("kind = 1").select("key", "n")
-    levels = None
+
+    def part(d: int) -> Column:
+        return F.shiftright("key", 8).bitwiseAND((1 << (8 * d)) - 1)
+    # only extensions of common contexts can be common: at most 1 / MIN_SHARE pass a depth
+    sums = stage(base.groupBy(F.lit(0).cast("long").alias("ctx")).agg(F.sum("n").alias("total")), "lm-common-0")
+    levels, passed = [], [sums]
     for d in range(depth + 1):
-        ctx = F.shiftright("key", 8).bitwiseAND((1 << (8 * d)) - 1)
-        level = base.groupBy(F.lit(d).cast("int").alias("d"), ctx.alias("ctx"), F.col("key").bitwiseAND(255).alias("sym")).agg(F.sum("n").alias("n"))
-        levels = level if levels is None else levels.unionAll(level)
-    levels = stage(levels, "lm-levels")
-    sums = levels.groupBy("d", "ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    # at most (depth / min_share) contexts pass, and each has at most ALPHABET next symbols
-    sums = sums.filter((F.col("d") == 0) | (F.col("total") >= total * min_share))
+        if d:
+            longer = base.join(F.broadcast(sums.select(F.col("ctx").alias("p_ctx"))), part(d - 1) == F.col("p_ctx"))
+            sums = stage(longer.groupBy(part(d).alias("ctx")).agg(F.sum("n").alias("total")).filter(F.col("total") >= total * MIN_SHARE), f"lm-common-{d}")
+            passed.append(sums)
+        level = base.join(F.broadcast(sums.select("ctx")), part(d) == F.col("ctx"))
+        levels.append(level.groupBy(F.lit(d).alias("d"), "ctx", F.col("key").bitwiseAND(255).alias("sym")).agg(F.sum("n").alias("n")))
+    levels = stage(reduce(DataFrame.unionAll, levels), "lm-levels")
+    sums = (reduce(DataFrame.unionAll, [x.withColumn("d", F.lit(d)) for d, x in enumerate(passed)])
+            .join(levels.groupBy("d", "ctx").agg(F.count("*").alias("kinds")), ["d", "ctx"]))
     parent = levels.select((F.col("d") + 1).alias("d"), F.col("ctx").alias("p_ctx"), "sym", F.col("n").alias("p_n"))
     p_sums = sums.select((F.col("d") + 1).alias("d"), F.col("ctx").alias("p_ctx"), F.col("total").alias("p_total"))
     suffix = F.expr("CASE WHEN d = 0 THEN NULL ELSE ctx & (shiftleft(1L, 8 * (d - 1)) - 1) END")
     rows = levels.join(sums, ["d", "ctx"]).withColumn("p_ctx", suffix)
     gain = F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("p_n") / F.col("p_total")))
     kept = (rows.join(parent, ["d", "p_ctx", "sym"]).join(p_sums, ["d", "p_ctx"])
-            .groupBy("d", "ctx").agg(F.sum(gain).alias("gain"), F.first("kinds").alias("kinds"))
-            .filter(F.col("gain") > GAIN * F.col("kinds"))
+            .groupBy("d", "ctx").agg(F.sum(gain).alias("gain"), F.first("kinds").alias("kinds"), F.first("total").alias("total"))
+            .filter((F.col("gain") > GAIN * F.col("kinds")) & (F.col("total") >= MIN_COUNT))
             .select("d", "ctx"))
     roots = sums.filter("d = 0").select("d", "ctx")
-    return rows.join(kept.unionAll(roots), ["d", "ctx"]).select(
-        F.col("d").cast("byte").alias("d"), F.shiftleft("ctx", 8).bitwiseOR(F.col("sym")).alias("code"), "n")
+    kept = kept.unionAll(roots).withColumn("state", F.lit(True))
+    return rows.join(kept, ["d", "ctx"], "left").select(
+        F.col("d").cast("byte").alias("d"), F.shiftleft("ctx", 8).bitwiseOR(F.col("sym")).alias("code"), "n",
+        F.coalesce("state", F.lit(False)).alias("state"))
+
+
+def _low(code: np.ndarray, d: int) -> np.ndarray:
+    """The symbol and the ``d`` symbols before it."""
+    return code & U((1 << (8 * (d + 1))) - 1)
+
+
+def _entry(code: np.ndarray, d: int) -> np.ndarray:
+    return mix(code + U(d + 1))
+
+
+def _state(code: np.ndarray, d: int) -> np.ndarray:
+    return mix((code >> U(8)) + U(d + 1))
 
 
 class SuffixTree:
-    """Sorted hashes of (state, symbol) with log10 probabilities, and of states with the weight left for shorter ones."""
+    """Sorted hashes of (state, symbol) with log10 probabilities, and of states with the weight left for shorter ones.
+
+    ``under`` is a tree that these states are added to; they are none of its states.
+    """
 
-    def __init__(self, d: np.ndarray, code: np.ndarray, n: np.ndarray, depth: int = DEPTH):
+    def __init__(self, d: np.ndarray, code: np.ndarray, n: np.ndarray, depth: int = DEPTH, under: SuffixTree | None = None):
         self.depth = depth
         self.floor = np.log10(1.0 / ALPHABET)
         self.levels: list = []
         for k in range(depth + 1):
+            self.levels.append(list(under.levels[k]) if under else [])
             c, m = code[d == k].view(U), n[d == k].astype(float)
-            states, of = np.unique(mix((c >> U(8)) + U(k + 1)), return_inverse=True)
+            states, of = np.unique(_state(c, k), return_inverse=True)
             spare = SMOOTH * np.bincount(of, minlength=len(states))           # all next symbols of a state are here
             whole = np.bincount(of, m, len(states)) + spare
             p = (m + spare[of] * 10 ** self.log10(c, below=k)) / whole[of]
-            key = mix(c + U(k + 1))
+            key = _entry(c, k)
             order = np.argsort(key)
-            self.levels.append((SortedHash(key[order]), np.append(np.log10(p)[order], 0.0),
-                                SortedHash(states), np.append(np.log10(spare / whole), 0.0)))
+            self.levels[k].append((SortedHash(key[order]), np.append(np.log10(p)[order], 0.0),
+                                   SortedHash(states), np.append(np.log10(spare / whole), 0.0)))
 
     def log10(self, code: np.ndarray, below: int | None = None) -> np.ndarray:
         """log10 probability of each code's symbol in its longest suffix state (of depth under ``below``)."""
         out = np.zeros(len(code))
         todo = np.arange(len(code))
-        for d in range(min(self.depth + 1 if below is None else below, len(self.levels)) - 1, -1, -1):
-            entries, log_p, states, left = self.levels[d]
-            c = code[todo] & U((1 << (8 * (d + 1))) - 1)
-            at = entries.find(mix(c + U(d + 1)))
-            hit = at >= 0
-            out[todo[hit]] += log_p[at[hit]]
-            todo, c = todo[~hit], c[~hit]
-            if not len(todo):
-                return out
-            st = states.find(mix((c >> U(8)) + U(d + 1)))
-            out[todo] += np.where(st >= 0, left[st], 0.0)
+        for d in range((self.depth + 1 if below is None else below) - 1, -1, -1):
+            for entries, log_p, states, left in self.levels[d]:
+                c = _low(code[todo], d)
+                at = entries.find(_entry(c, d))
+                hit = at >= 0
+                out[todo[hit]] += log_p[at[hit]]
+                todo, c = todo[~hit], c[~hit]
+                if not len(todo):
+                    return out
+                out[todo] += left[states.find(_state(c, d))]              # the last one, 0, where there is no such state
         out[todo] += self.floor
         return out
 
 
+class Common:
+    """Hashes of the common contexts by depth; a context's suffixes are as common as it is."""
+
+    def __init__(self, d: np.ndarray, code: np.ndarray):
+        self.levels = [SortedHash(np.unique(_state(code[d == k].view(U), k))) for k in range(1, DEPTH + 1)]
+
+    def depth(self, code: np.ndarray) -> np.ndarray:
+        """Depth of each code's longest common context."""
+        out = np.full(len(code), DEPTH, U)
+        todo = np.arange(len(code))
+        for k in range(DEPTH, 0, -1):
+            todo = todo[self.levels[k - 1].find(_state(_low(code[todo], k), k)) < 0]
+            out[todo] = U(k - 1)
+        return out
+
+
+class Parents:
+    """Counts of the common contexts under the full depth: what roots are compared with."""
+
+    def __init__(self, d: np.ndarray, code: np.ndarray, n: np.ndarray):
+        self.levels = []
+        for k in range(DEPTH):
+            c, m = code[d == k].view(U), n[d == k].astype(float)
+            key = _entry(c, k)
+            order = np.argsort(key)
+            ctx, of = np.unique(_state(c, k), return_inverse=True)
+            self.levels.append((SortedHash(key[order]), m[order], SortedHash(ctx), np.bincount(of, m, len(ctx))))
+
+    def share(self, code: np.ndarray, d: int) -> np.ndarray:
+        """Share of each code's symbol after its common context of depth ``d``."""
+        entries, n, ctx, total = self.levels[d]
+        c = _low(code, d)
+        return n[entries.find(_entry(c, d))] / total[ctx.find(_state(c, d))]
+
+
+def rare_states(code: np.ndarray, depth: np.ndarray, n: np.ndarray, parents: Parents) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(d, code, n) of the states that are not common, from whole counts of their roots with the common depth of each."""
+    out: list = [(np.zeros(0, np.int8), np.zeros(0, U), np.zeros(0, np.int64))]
+    above, above_share = np.zeros(0, U), np.zeros(0)
+    for d in range(1, DEPTH + 1):
+        under = depth < d
+        c, first, of = np.unique(_low(code[under], d), return_index=True, return_inverse=True)
+        m = np.bincount(of, n[under], len(c)).astype(np.int64)
+        _, ctx = np.unique(c >> U(8), return_inverse=True)
+        total, kinds = np.bincount(ctx, m), np.bincount(ctx)
+        share = m / total[ctx]
+        root = depth[under][first] == d - 1
+        up = np.empty(len(c))
+        up[root] = parents.share(c[root], d - 1)
+        up[~root] = above_share[np.searchsorted(above, _low(c[~root], d - 1))]
+        kept = (np.bincount(ctx, m * np.log(share / up)) > GAIN * kinds) & (total >= MIN_COUNT)
+        at = kept[ctx]
+        out.append((np.full(int(at.sum()), d, np.int8), c[at], m[at]))
+        above, above_share = c, share
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+#: A code's free highest byte holds the depth of its longest common context where that is not the whole one.
+DEPTH_BITS = 56
+
+
+def _dealt(columns, tasks: int, names: list[str]):
+    """Arrays of (code, ...) as one row of sorted lists per task of the codes' roots."""
+    held: list = []
+
+    def out():
+        code, *more = (np.concatenate(x) for x in zip(*held))
+        depth = code >> U(DEPTH_BITS)
+        root = (code >> U(8)) & ((U(1) << (U(8) * (depth + U(1)))) - U(1))
+        task = mix(mix(root + depth + U(1))) % U(tasks)
+        order = np.lexsort((code, task))
+        first = runs(task[order])
+        ends = pa.array(np.append(first, len(order)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x[order].view(np.int64))) for x in (code, *more)]
+        return pa.RecordBatch.from_arrays([pa.array(task[order][first].view(np.int64)), *lists], names=["task", *names])
+    for arrays in columns:
+        if len(arrays[0]):
+            held.append(arrays)
+        if sum(len(h[0]) for h in held) > HELD // 2:
+            yield out()
+            held.clear()
+    if held:
+        yield out()
+
+
+def _rare_counts(shared, tasks: int):
+    def rare(batches):
+        for b in batches:
+            code, n = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            depth = shared.value[0].depth(code.view(U))
+            at = depth < DEPTH
+            yield code.view(U)[at] | (depth[at] << U(DEPTH_BITS)), n[at]
+    return lambda batches: _dealt(rare(batches), tasks, ["code", "n"])
+
+
+def _rare_asked(tasks: int):
+    def rare(batches):
+        for b in batches:
+            row, codes, times = b.columns
+            yield (codes.flatten().to_numpy(zero_copy_only=False).view(U), times.flatten().to_numpy(zero_copy_only=False),
+                   np.repeat(row.to_numpy(zero_copy_only=False), codes.value_lengths().to_numpy(zero_copy_only=False)))
+    return lambda batches: _dealt(rare(batches), tasks, ["code", "times", "row"])
+
+
+def _rare_scores(shared, parents):
+    def run(counts: pa.Table, asked: pa.Table) -> pa.Table:
+        whole = U((1 << DEPTH_BITS) - 1)
+        row, code, times = (pc.list_flatten(asked.column(c)).to_numpy() for c in ("row", "code", "times"))
+        c, n = (pc.list_flatten(counts.column(c)).to_numpy() for c in ("code", "n"))
+        d, state, n = rare_states(c.view(U) & whole, c.view(U) >> U(DEPTH_BITS), n, parents.value)
+        which, of = np.unique(code, return_inverse=True)
+        log = SuffixTree(d, state, n, under=shared.value[1]).log10(which.view(U) & whole)
+        rows, at = np.unique(row, return_inverse=True)
+        return pa.table({"row": pa.array(rows, pa.int64()), "rare": pa.array(np.bincount(at, log[of] * times, len(rows)), pa.float64())})
+    return run
+
+
 def _score_task(shared, names):
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        tree, hot_keys, hot_n, big_n, vocab = shared.value
+        common, tree, hot_keys, hot_n, big_n, vocab = shared.value
         texts = piece.column(0)
         n = len(texts)
         code, doc = codes(texts)
-        score = np.bincount(doc, tree.log10(code), n)
+        which, of = np.unique(code, return_inverse=True)
+        depth = common.depth(which)
+        full = depth == DEPTH
+        log_p = np.zeros(len(which))
+        log_p[full] = tree.log10(which[full])
+        score = np.bincount(doc, log_p[of], n)
+        left = ~full[of]                                       # what the common contexts do not decide
+        left_doc, left_code = doc[left], (which | (depth << U(DEPTH_BITS)))[of[left]]
+        order = np.lexsort((left_code, left_doc))
+        left_doc, left_code = left_doc[order], left_code[order]
+        first = runs(left_doc, left_code)
+        times = np.diff(first, append=len(left_doc))
+        ends = pa.array(np.searchsorted(left_doc[first], np.arange(n + 1)), pa.int32())
+        rare = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (left_code[first].view(np.int64), times.astype(np.int64))]
         w = words(texts, lower=True)
         d, at = w.doc, hot_keys.find(w.hash)
         hit = at >= 0
@@ -190,9 +360,9 @@ def _score_task(shared, names):
         rest_doc, rest = d[~hit], w.hash[~hit]
         cuts = np.searchsorted(rest_doc, np.arange(n + 1))
         tail = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rest.view(np.int64)))
-        more = [pa.array(np.diff(w.first) + 1, pa.int64()), pa.array(score), pa.array(base), pa.array(known, pa.int64()), tail]
+        more = [pa.array(np.diff(w.first) + 1, pa.int64()), pa.array(score), pa.array(base), pa.array(known, pa.int64()), tail, *rare]
         return pa.RecordBatch.from_arrays([*piece.columns[1:], *more],
-                                          names=[*names, "n_tokens", "score", "base_hot", "known_hot", "tail"])
+                                          names=[*names, "n_tokens", "score", "base_hot", "known_hot", "tail", "codes", "times"])
     return run
 
 
@@ -212,28 +382,39 @@ def score_texts(docs: DataFrame, folds: int = 5) -> DataFrame:
     unigrams = counts.filter("kind = 0").select("key", "n")
     big_n, vocab = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     symbols = counts.filter("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    states = contexts(counts, symbols).toArrow()               # bounded by MIN_SHARE
-    tree = SuffixTree(*(states.column(c).to_numpy() for c in ("d", "code", "n")))
-    del states
+    found = contexts(counts, symbols).toArrow()                # bounded by MIN_SHARE
+    depth, code, n, state = (found.column(c).to_numpy() for c in ("d", "code", "n", "state"))
+    common, tree = Common(depth, code), SuffixTree(depth[state], code[state], n[state])
+    parents = spark.sparkContext.broadcast(Parents(depth, code, n))
+    del found, depth, code, n, state
     end = np.uint64(END_WORD).astype(np.int64)
     hot = (unigrams.orderBy(F.desc("n"), "key").limit(HOT_WORDS).toPandas())       # HOT_WORDS rows at most
     end_n = int(unigrams.filter(F.col("key") == int(end)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     key = hot["key"].to_numpy(np.int64).view(U)
     order = np.argsort(key)
-    shared = spark.sparkContext.broadcast((tree, SortedHash(key[order]), hot["n"].to_numpy(float)[order], big_n, vocab))
+    shared = spark.sparkContext.broadcast((common, tree, SortedHash(key[order]), hot["n"].to_numpy(float)[order], big_n, vocab))
     whole = big_n + 0.5 * (vocab + 1)
     scored = stage(d.mapInArrow(arrow_job(_score_task(shared, ["doc_id", "held_out"])),
-                                "doc_id long, held_out boolean, n_tokens long, score double, base_hot double, known_hot long, tail array<long>")
+                                "doc_id long, held_out boolean, n_tokens long, score double, base_hot double, known_hot long, tail array<long>, "
+                                "codes array<long>, times array<long>")
                    .withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     tail = scored.select("row", F.explode("tail").alias("key"))
     unknown = F.log10(F.lit(0.5 / max(whole, 0.5)))
     part = (tail.join(unigrams, "key", "left").groupBy("row")
             .agg(F.sum(F.when(F.col("n").isNull(), unknown).otherwise(F.log10((F.col("n") + 0.5) / whole))).alias("base_tail"),
                  F.count("n").alias("known_tail")))
+    most = max(scored.agg(F.coalesce(F.sum(F.size("codes")), F.lit(0))).first()[0], counts.filter("kind = 1").count())
+    tasks = 1 + most // ROOT_ROWS
+    rare_n = counts.filter("kind = 1").select("key", "n").mapInArrow(_rare_counts(shared, tasks), "task long, code array<long>, n array<long>")
+    asked = (scored.select("row", "codes", "times")
+             .mapInArrow(_rare_asked(tasks), "task long, code array<long>, times array<long>, row array<long>"))
+    rare = (rare_n.groupBy("task").cogroup(asked.groupBy("task"))
+            .applyInArrow(_rare_scores(shared, parents), "row long, rare double").groupBy("row").agg(F.sum("rare").alias("rare")))
     end_log = F.log10(F.lit((end_n + 0.5) / max(whole, 0.5)))
     zero = F.lit(0)
-    return (scored.drop("tail").join(part, "row", "left")
+    return (scored.drop("tail", "codes", "times").join(part, "row", "left").join(rare, "row", "left")
             .select("doc_id", "held_out", "n_tokens",
                     (F.col("known_hot") + F.coalesce("known_tail", zero) + (1 if end_n else 0)).cast("long").alias("n_known"),
                     F.lit(int(big_n)).cast("long").alias("train_tokens"),
-                    (F.col("base_hot") + F.coalesce("base_tail", F.lit(0.0)) + end_log).alias("base_score"), "score"))
+                    (F.col("base_hot") + F.coalesce("base_tail", F.lit(0.0)) + end_log).alias("base_score"),
+                    (F.col("score") + F.coalesce("rare", F.lit(0.0))).alias("score")))

@@ -121,3 +121,35 @@ def test_model_beats_a_uniform_guess_on_held_out_text(spark):
     docs = {r.doc_id: r.text for r in read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()}
     n = sum(len(symbols_of(docs[r.doc_id])) for r in rows)
     assert sum(r.score for r in rows) > -0.75 * n             # log10(252) is 2.4 a symbol
+
+
+def test_rare_contexts_are_states_at_every_size(spark, monkeypatch):
+    texts = ["the cat and the hat", "The  hat on the mat and that cat", "a thing that the cat has", "on and on and on", "zqx zqx", "zqy zqx é"] * 6
+    rows = [(i, t) for i, t in enumerate(texts)]
+    trained = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    monkeypatch.setattr(S, "MIN_SHARE", 0.0)                  # by definition: no share is asked for
+    states, p = brute_tree(trained)
+    for s in [s for s, n in states.items() if s and sum(n.values()) < 2]:
+        del states[s]
+    monkeypatch.setattr(S, "ROOT_ROWS", 200)                  # several tasks
+    for share in (0.02, 2.0):                                 # few common contexts, none but the empty one
+        monkeypatch.setattr(S, "MIN_SHARE", share)
+        got = {r.doc_id: r.score for r in S.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        for i, t in rows:
+            s = bytes([S.START] * S.DEPTH) + symbols_of(t)
+            assert got[i] == pytest.approx(sum(math.log10(p(s[j - S.DEPTH: j], s[j])) for j in range(S.DEPTH, len(s))), rel=1e-9)
+
+
+def test_same_evidence_makes_a_state_in_a_larger_corpus(spark, monkeypatch):
+    texts = ["zqx zqx", "zqy zqx"] * 3 + ["the cat and the hat on a mat " * 14000] * 2
+    rows = [(i, t) for i, t in enumerate(texts)]
+    trained = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert sum(map(len, trained)) > 400_000                   # a share of 1e-5 is a count of 4 and more
+    got = {r.doc_id: r.score for r in S.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    monkeypatch.setattr(S, "MIN_SHARE", 0.0)
+    states, p = brute_tree(trained)
+    for s in [s for s, n in states.items() if s and sum(n.values()) < 2]:
+        del states[s]
+    for i, t in rows[:6]:
+        s = bytes([S.START] * S.DEPTH) + symbols_of(t)
+        assert got[i] == pytest.approx(sum(math.log10(p(s[j - S.DEPTH: j], s[j])) for j in range(S.DEPTH, len(s))), rel=1e-9)
