@@ -1,14 +1,15 @@
 """Language ID: interpolated Kneser-Ney character models per language, in sorted hash arrays.
 
 Training reads labelled documents outside the held-out fold, bounded to about
-``CHARS_PER_LANG`` characters a language (chosen by text hash), and counts
-character 4-grams in Spark.  The models of all languages share sorted arrays
+``CHARS_PER_LANG`` characters a language (chosen by text hash, long texts by
+passages), one text of each language at least, and counts character 4-grams in
+Spark.  The models of all languages share sorted arrays
 of n-gram hashes with one column of probabilities per language: the highest
 order from counts, lower ones from continuation counts, each interpolated with
 the next lower by its absolute discount.  A document gets the language of the
 lowest cross-entropy per character.  It is rejected when that cross-entropy
 lies beyond a limit calibrated on sampled documents that the models have not
-seen, or when it has no letter.
+seen (cross-validated where a language has few), or when it has no letter.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ ORDER = 4
 CHARS_PER_LANG = 4_000_000
 #: One sampled document of so many calibrates the rejection and trains no model.
 CALIBRATE_ONE_IN = 5
+#: Characters of a passage, where a language is sampled and a text is longer.
+PASSAGE = 2000
+#: Calibration documents that a limit needs; with fewer it is cross-validated over as many folds, in pieces of so many symbols at most.
+FEW, PIECE = 5, 200
 #: The limit is this quantile of the calibration documents' standardised cross-entropy, times the margin.
 QUANTILE, MARGIN, LEAST_LIMIT = 0.999, 2.0, 8.0
 #: Characters at which the spread of a short text's cross-entropy has doubled its variance.
@@ -94,11 +99,11 @@ def _context(hi: np.ndarray, lo: np.ndarray, n: int) -> np.ndarray:
 class Models:
     """All languages' models: per order, sorted hashes with probabilities and context weights by language."""
 
-    def __init__(self, langs: list[str], rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """rows: per language the distinct 4-grams (hi, lo) and their counts."""
+    def __init__(self, langs: list[str], rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], floor: float | None = None):
+        """rows: per language the distinct 4-grams (hi, lo) and their counts; floor: of models over more languages."""
         self.langs = langs
         vocabulary = 1 + len(np.unique(np.concatenate([lo & U((1 << 21) - 1) for _, lo, _ in rows] or [np.zeros(0, U)])))
-        self.floor = 1.0 / vocabulary
+        self.floor = floor or 1.0 / vocabulary
         self.grams: list = [None] * (ORDER + 1)
         self.weights: list = [None] * (ORDER + 1)
         level = [self._orders(*r) for r in rows]
@@ -173,17 +178,19 @@ class Models:
                 ce[:, j] += np.bincount(d[a: a + (1 << 18)], log[:, j], len(texts))
         return ce / np.maximum(n, 1)[:, None], n
 
-    def calibrate(self, lang: np.ndarray, own: np.ndarray, n: np.ndarray) -> None:
-        """lang, cross-entropy under it and length of the calibration documents."""
+    def calibrate(self, lang: np.ndarray, own: np.ndarray, n: np.ndarray, crossed: dict | None = None) -> None:
+        """lang, cross-entropy under it and length of the calibration documents; limits of languages with few of them."""
+        crossed = crossed or {}
         for j, name in enumerate(self.langs):
             x, k = own[lang == j], n[lang == j]
-            if len(x) < 5:
-                self.limit[name] = (float(np.mean(x)) if len(x) else 0.0, 1.0, np.inf)
-                continue
-            mean = float(np.average(x, weights=np.sqrt(k)))
-            z = (x - mean) / np.sqrt(1 + SHORT / k)
-            spread = max(float(np.std(z)), 0.02)
-            self.limit[name] = (mean, spread, max(LEAST_LIMIT, float(np.quantile(z / spread, QUANTILE)) * MARGIN))
+            if len(x) >= FEW:
+                self.limit[name] = limit_of(x, k)
+            elif name in crossed:
+                self.limit[name] = crossed[name]
+        # texts too short to be cut: the widest limits of the others
+        widest = tuple(np.max(list(self.limit.values()), axis=0).tolist()) if self.limit else (-np.log(self.floor), 0.02, LEAST_LIMIT)
+        for name in self.langs:
+            self.limit.setdefault(name, widest)
 
     def predict(self, texts: list) -> dict:
         ce, n = self.cross_entropy(texts)
@@ -200,6 +207,42 @@ class Models:
         return {"lang": lang, "score": score, "rejected": rejected, "entropy": own}
 
 
+def limit_of(x: np.ndarray, k: np.ndarray) -> tuple[float, float, float]:
+    """(mean, spread, limit) of unseen documents' cross-entropies x with lengths k."""
+    mean = float(np.average(x, weights=np.sqrt(k)))
+    z = (x - mean) / np.sqrt(1 + SHORT / k)
+    spread = max(float(np.std(z)), 0.02)
+    return mean, spread, max(LEAST_LIMIT, float(np.quantile(z / spread, QUANTILE)) * MARGIN)
+
+
+def crossed_limit(texts: list, floor: float) -> tuple[float, float, float] | None:
+    """The limit of a language by cross-validation over pieces of its distinct texts; None for under ``FEW`` symbols."""
+    pieces = []
+    for t in sorted(set(texts)):
+        cp, _ = symbols([t])
+        pieces.append(cp[ORDER - 1:])
+    size = min(PIECE, sum(map(len, pieces)) // FEW)
+    if not size:
+        return None
+    pieces = ["".join(map(chr, p[a: a + size].tolist())) for p in pieces for a in range(0, len(p), size)]
+    fold_of = np.arange(len(pieces)) % FEW
+    x, k = [], []
+    for f in range(FEW):
+        cp, doc = symbols([p for p, g in zip(pieces, fold_of) if g != f])
+        _, (hi, lo) = grams(cp, doc)
+        order = np.lexsort((lo, hi))
+        hi, lo = hi[order], lo[order]
+        first = runs(hi, lo)
+        if not len(first):
+            continue
+        model = Models([""], [(hi[first], lo[first], np.diff(first, append=len(hi)).astype(float))], floor)
+        ce, n = model.cross_entropy([p for p, g in zip(pieces, fold_of) if g == f])
+        x.append(ce[n > 0, 0])
+        k.append(n[n > 0])
+    x, k = np.concatenate(x or [np.zeros(0)]), np.concatenate(k or [np.zeros(0)])
+    return limit_of(x, k) if len(x) >= 2 else None
+
+
 def _count(batch: pa.RecordBatch) -> pa.RecordBatch:
     cp, doc = symbols(batch.column(0).to_pylist())
     at, (hi, lo) = grams(cp, doc)
@@ -219,11 +262,35 @@ def training_sample(docs: DataFrame, chars: int = CHARS_PER_LANG, folds: int = 3
     """(text, lang, calibrates): labelled rows outside the held-out fold, about ``chars`` characters a language."""
     rows = (docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text_or_empty().alias("text"))
             .filter(F.col("lang").isNotNull() & F.coalesce(fold("doc_id", folds) != 1, F.lit(False))))
-    size = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))
-    h = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
-    return (rows.join(F.broadcast(size), "lang")            # one row per language
-            .filter(h < F.least(F.lit(1.0), F.lit(float(chars)) / F.greatest("chars", F.lit(1))) * (1 << 20))
-            .select("text", "lang", (F.pmod(F.xxhash64("text", F.lit(7)), F.lit(CALIBRATE_ONE_IN)) == 0).alias("calibrates")))
+    h, whole = F.xxhash64("text"), 1 << 20
+    first, aside = F.pmod(h, F.lit(whole)), F.pmod(F.xxhash64("text", F.lit(7)), F.lit(CALIBRATE_ONE_IN)) == 0
+    # the text that teaches a language in any case: the first one of the sample that does not calibrate, if there is one
+    size = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"),
+                                    F.min(F.struct((~F.col("text").rlike(r"\p{L}")).alias("blank"), aside.alias("aside"), first.alias("first"), h.alias("h"))).alias("least"))
+    cut = F.least(F.lit(1.0), F.lit(float(chars)) / F.greatest("chars", F.lit(1))) * whole
+    picked = (rows.join(F.broadcast(size), "lang")          # one row per language
+              .select("text", "lang", h.alias("h"), first.alias("first"), cut.alias("cut"), aside.alias("aside"), (h == F.col("least.h")).alias("teaches")))
+    long = (F.col("cut") < whole) & (F.length("text") > PASSAGE)
+    short = (picked.filter(~long & (F.col("teaches") | (F.col("first") < F.col("cut"))))
+             .select("text", "lang", (F.col("aside") & ~F.col("teaches")).alias("calibrates")))
+    return short.unionAll(picked.filter(long).mapInArrow(arrow_job(_passages), "text string, lang string, calibrates boolean"))
+
+
+def _passages(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The sampled passages of long texts; a text that teaches its language gives one at least for training."""
+    out: list = []
+    for r in batch.to_pylist():
+        text = r["text"]
+        key = mix(np.arange(-(-len(text) // PASSAGE), dtype=U) + U(r["h"] % (1 << 64)))
+        aside = mix(key) % U(CALIBRATE_ONE_IN) == 0
+        take = key % U(1 << 20) < r["cut"]
+        if r["teaches"] and not (take & ~aside).any():
+            lettered = [i for i in np.argsort(key).tolist() if any(c.isalpha() for c in text[i * PASSAGE: (i + 1) * PASSAGE])][:1]
+            take[lettered], aside[lettered] = True, False
+        out += [(text[i * PASSAGE: (i + 1) * PASSAGE], r["lang"], bool(aside[i])) for i in np.flatnonzero(take).tolist()]
+    text, lang, calibrates = zip(*out) if out else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(lang, pa.string()), pa.array(calibrates, pa.bool_())],
+                                      names=["text", "lang", "calibrates"])
 
 
 def train(docs: DataFrame, chars: int = CHARS_PER_LANG) -> Models:
@@ -248,7 +315,17 @@ def train(docs: DataFrame, chars: int = CHARS_PER_LANG) -> Models:
                                           names=["lang", "own", "n"])
     seen = (sample.filter("calibrates").select("text", "lang")
             .mapInArrow(arrow_job(entropies), "lang int, own double, n long").toPandas().sort_values(["lang", "own", "n"]))
-    models.calibrate(seen["lang"].to_numpy(), seen["own"].to_numpy(float), seen["n"].to_numpy(float))
+    few = [x for j, x in enumerate(langs) if np.sum(seen["lang"] == j) < FEW]
+    floor, crossed = models.floor, {}
+    if few:
+        def cross(table: pa.Table) -> pa.Table:
+            found = crossed_limit(table.column("text").to_pylist(), floor)
+            rows = [(table.column("lang")[0].as_py(), *found)] if found else []
+            return pa.table({x: pa.array([r[i] for r in rows], pa.float64() if i else pa.string()) for i, x in enumerate(("lang", "mean", "spread", "edge"))})
+        tables = (sample.filter(F.col("lang").isin(few)).select("text", "lang").distinct().groupBy("lang")
+                  .applyInArrow(cross, "lang string, mean double, spread double, edge double").collect())   # a row per language
+        crossed = {r.lang: (r["mean"], r.spread, r.edge) for r in tables}
+    models.calibrate(seen["lang"].to_numpy(), seen["own"].to_numpy(float), seen["n"].to_numpy(float), crossed)
     return models
 
 

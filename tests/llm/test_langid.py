@@ -99,3 +99,27 @@ def test_odd_rows(odd_docs, odd_rows, no_docs, spark):
     assert [(r.lang_pred, r.rejected) for r in L.identify(unlabelled).collect()] == [("und", True)]
     kept = L.accepted(odd_docs)
     assert kept.columns == odd_docs.columns and kept.filter("lang is null").count() == 0
+
+
+FEW_TEXTS = {"el": "Ωμέγα και άλφα βήτα γάμμα δέλτα. ", "ru": "Это один русский текст. ", "he": "זה טקסט אחד בעברית. ", "ka": "ეს არის ერთი ტექსტი. ",
+             "hy": "Սա մեկ հայերեն տեքստ է. ", "th": "นี่คือข้อความเดียว ", "hi": "यह एक पाठ है। ", "ar": "هذا نص واحد فقط. ", "ko": "이것은 하나의 글이다. ", "en": "This is the one text. "}
+
+
+def test_every_labelled_language_has_a_model_and_a_limit(spark):
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(ids[2 * j + c], t * 8, name) for j, (name, t) in enumerate(FEW_TEXTS.items()) for c in (0, 1)]       # copies of one text
+    models = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert models.langs == sorted(FEW_TEXTS)
+    assert all(np.isfinite(models.limit[x]).all() for x in FEW_TEXTS)
+    assert models.predict([t * 8 for t in FEW_TEXTS.values()])["lang"] == list(FEW_TEXTS)
+    assert not any(models.predict([t * 8 for t in FEW_TEXTS.values()])["rejected"])
+    assert models.predict(["zxq vkj qqz xzk wvx " * 50])["rejected"].tolist() == [True]
+
+
+def test_long_texts_are_sampled_by_passages(spark):
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(ids[j], t * (400_000 // len(t)), name) for j, (name, t) in enumerate(FEW_TEXTS.items())]
+    sample = L.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), chars=40_000).collect()
+    for name in FEW_TEXTS:
+        assert 10_000 < sum(len(r.text) for r in sample if r.lang == name) < 90_000
+        assert any(r.lang == name and not r.calibrates for r in sample)
