@@ -90,7 +90,7 @@ def revisions(rows: DataFrame, old: Column, new: Column) -> DataFrame:
 
 #: Tokenizer versions of the query: white-space words; words and single punctuation marks.
 VERSIONS = {"words-1": f"{NOT_WS}+", "marks-1": r"[A-Za-z0-9\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]"}
-#: Documents of fewer words are withdrawn by the last batch.
+#: Documents of fewer words are withdrawn by the last batch; ORACLE leaves them out too.
 LEAST_WORDS = 5
 
 
@@ -103,30 +103,32 @@ def counts(docs: DataFrame) -> DataFrame:
                        F.regexp_count(t, F.lit(VERSIONS["marks-1"])).cast("long").alias("marks"))
 
 
-def document_batches(docs: DataFrame) -> list[tuple[str, DataFrame]]:
+def document_batches(docs: DataFrame, least_words: int = LEAST_WORDS) -> list[tuple[str, DataFrame]]:
     """The documents' change feed: provisional counts, their revision, a second tokenizer, withdrawals."""
     c = stage(counts(docs), "token-counts")
     one, two = c.withColumn("version", F.lit("words-1")), c.withColumn("version", F.lit("marks-1"))
     rough = F.ceil(F.col("chars") / 6).cast("long")
-    gone = F.col("words") < LEAST_WORDS
+    gone = F.col("words") < least_words
     return [("0001-load", inserts(one, rough)),
             ("0002-revise", revisions(one, rough, F.col("words"))),
             ("0003-marks", inserts(two, F.col("marks"))),
             ("0004-withdraw", deletes(one.filter(gone), F.col("words")).unionAll(deletes(two.filter(gone), F.col("marks"))))]
 
 
-def token_counts(docs: DataFrame, folder: str | None = None) -> DataFrame:
+def token_counts(docs: DataFrame, folder: str | None = None, least_words: int = LEAST_WORDS) -> DataFrame:
     """Totals after the documents' batches, each delivered twice: source, lang, version, docs, tokens.
 
-    Null sources and languages are keys of their own; null and empty texts
-    have no words and so are withdrawn; repeated rows count each; very long
-    texts count whole; an empty table gives no row.  Columns other than text,
+    Documents of under ``least_words`` white-space words are withdrawn, null
+    and empty texts and long texts without white space among them; 0 keeps
+    every document.  Null sources and languages are keys of their own;
+    repeated rows count each; very long texts count whole; an empty table
+    gives no row.  Columns other than text,
     source and lang are not read.
     """
     spark = docs.sparkSession
     folder = folder or f"{ensure_checkpoint_dir(spark).rstrip('/')}/rollups/{uuid.uuid4().hex}"
     roll = Rollup(spark, folder)
-    batches = document_batches(docs)
+    batches = document_batches(docs, least_words)
     for batch_id, changes in [*batches, *batches]:
         roll.commit(batch_id, changes)
     return roll.totals()

@@ -47,3 +47,11 @@ def test_odd_rows(odd_docs, odd_rows, no_docs):
     got = {(r.source, r.lang, r.version): (r.docs, r.tokens) for r in T.token_counts(odd_docs).collect()}
     assert got == want
     assert T.token_counts(no_docs).count() == 0
+
+
+def test_totals_over_every_document(spark):
+    rows = [("one two", "en", "a"), ("日本語の長い文、" * 50, "ja", "b"), (None, "fr", "c"), ("", "fr", "c"), ("a b c d e f", "en", "a")]
+    docs = spark.createDataFrame(rows, "text string, lang string, source string")
+    got = {(r.source, r.lang, r.version): (r.docs, r.tokens) for r in T.token_counts(docs, least_words=0).collect()}
+    assert got == {("a", "en", "words-1"): (2, 8), ("a", "en", "marks-1"): (2, 8), ("b", "ja", "words-1"): (1, 1), ("b", "ja", "marks-1"): (1, 1),
+                   ("c", "fr", "words-1"): (2, 0), ("c", "fr", "marks-1"): (2, 0)}
