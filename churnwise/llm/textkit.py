@@ -91,6 +91,17 @@ def words(texts: pa.Array, lower: bool = False, separators: np.ndarray = IS_WS)
     return Words(data, start, end, first, mix(h), total)
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of a text column in order, and the n + 1 offsets of each text's words; null counts as empty."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_binary()).cast(pa.large_string()), ""))
+    values = lists.flatten()
+    full = pc.not_equal(values, "").to_numpy(zero_copy_only=False)       # empty strings beside leading and trailing white space
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(full)])
+    first = ends[np.concatenate([[0], np.cumsum(sizes)])]
+    return values.filter(pa.array(full)), first
+
+
 def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, document) of each run of ``n`` words; a document of 1 to n - 1 words has its whole text as one shingle."""
     count = np.diff(w.first)
