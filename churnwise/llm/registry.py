@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from churnwise.llm import embedding_dedup, exact_dedup, filter_audit, langid, mixing, near_dedup, quality, sentencepiece_lattice, sharding, suffix_lm, token_counts, toxicity
+from churnwise.llm import embedding_dedup, exact_dedup, filter_audit, langid, mixing, near_dedup, quality, runs, sentencepiece_lattice, sharding, suffix_lm, token_counts, toxicity
 from churnwise.llm.common import read
 
 
@@ -46,6 +46,10 @@ def op10_lm_scoring(spark, sf_dir):
     return suffix_lm.score_texts(read(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    return runs.run_report(read(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark, sf_dir):
     return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -56,7 +60,7 @@ def op13_sharding(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_embedding_near_dedup, op2_language_id, op3_exact_dedup, op4_quality_classifier, op5_sentencepiece,
-    op6_token_counts, op7_toxicity, op8_minhash_near_dedup, op9_mixing, op10_lm_scoring, op12_filter_audit, op13_sharding)}
+    op6_token_counts, op7_toxicity, op8_minhash_near_dedup, op9_mixing, op10_lm_scoring, op11_periodic_runs, op12_filter_audit, op13_sharding)}
 SQL = {"op1_embedding_near_dedup": embedding_dedup.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE,
-       "op6_token_counts": token_counts.ORACLE, "op12_filter_audit": filter_audit.ORACLE,
+       "op6_token_counts": token_counts.ORACLE, "op11_periodic_runs": runs.ORACLE, "op12_filter_audit": filter_audit.ORACLE,
        "op13_sharding": sharding.ORACLE}
