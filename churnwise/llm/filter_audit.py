@@ -2,12 +2,11 @@
 
 1. ``term_matrix`` builds a sparse document-term matrix.  A task reads its
    documents in pieces of about ``SHARD_BYTES`` of text and makes each piece a
-   CSR shard over the piece's own word codes.  The shard's distinct words go
-   through a global dictionary: rows (word, shard, code) meet by word, a
-   word's id is its rank among the words of its hash range, and the ids travel
-   back to their shard as one array.  A word is one row per shard that holds
-   it, so no word gathers more rows than any other common one, and nothing is
-   broadcast.
+   CSR shard over the piece's own word codes, numbered by hash range.  The
+   shard's distinct words of one range go to that range's owner as one row;
+   the owner numbers the words it has not met and sends the numbers back, in
+   the same order.  A word is met once per shard that holds it, so no word
+   gathers more than any other common one, and nothing is broadcast.
 2. Row sums (words) and nonzero counts (distinct words) of the shards decide
    filters A and B; C and D are expressions over the text; E compares a
    document's id with the smallest id of its text, found by text digest.
@@ -23,17 +22,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnwise.llm.common import slices, stage, text_or_empty
+from churnwise.llm.textkit import runs as starts_of
 from churnwise.llm.textkit import split_words
+from churnwise.llm.textkit import words as hashed_words
 
 #: Text bytes of a CSR shard (one document at least).
 SHARD_BYTES = 8 << 20
-#: Hash ranges of the dictionary: a word's id is range + DICTIONARY_RANGES * rank.
-DICTIONARY_RANGES = 1 << 16
+#: Text bytes for each hash range of the dictionary, and the fewest ranges (a power of two): an owner holds a range's distinct words.
+RANGE_BYTES, MIN_RANGES = 256 << 20, 64
 #: FIXED VALUES: limits of the five filters.
 LEAST_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT = 200, 50, 2
 FILTERS = "ABCDE"
@@ -41,38 +43,65 @@ FILTERS = "ABCDE"
 
 # ---- the matrix ---------------------------------------------------------
 
-def csr(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """(indptr, codes, counts, words): a row per text, ascending codes into ``words``, which holds each word once."""
+def csr(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """(indptr, codes, counts, words, ranges): a row per text, ascending codes into ``words``, which holds each word once.
+
+    Words are in the order of their hash range, the first ``bits`` bits of the word's hash.
+    """
     values, first = split_words(texts)
     coded = values.dictionary_encode()
     codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    ranges = (hashed_words(words).hash >> np.uint64(64 - bits)).astype(np.int32)
+    order = np.argsort(ranges, kind="stable")
+    renumbered = np.empty(len(words), np.int64)
+    renumbered[order] = np.arange(len(words))
     width = max(1, len(words))
-    key = np.sort(np.repeat(np.arange(len(first) - 1), np.diff(first)) * width + codes)
+    key = np.sort(np.repeat(np.arange(len(first) - 1), np.diff(first)) * width + renumbered[codes])
     new = np.flatnonzero(np.diff(key, prepend=-1))
     row, code = key[new] // width, key[new] % width
     indptr = np.searchsorted(row, np.arange(len(first)))
-    return indptr, code, np.diff(new, append=len(key)), words
+    return indptr, code, np.diff(new, append=len(key)), words.take(pa.array(order)), ranges[order]
+
+
+def pack(values: np.ndarray, delta: bool = False) -> bytes:
+    """Numbers below 2^32 as four compressed byte planes, of their differences if ``delta``."""
+    v = values.astype(np.uint32)
+    if delta:
+        v = np.diff(v, prepend=v[:1] * 0)
+    return pa.compress(np.ascontiguousarray(v.view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+
+
+def unpack(data: bytes, n: int, delta: bool = False) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    v = np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1)
+    return (np.cumsum(v, dtype=np.uint32) if delta else v).astype(np.int64)
 
 
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     offsets = np.cumsum([0] + [len(a) for a in arrays])
-    return pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(np.concatenate(arrays), kind)).cast(pa.list_(kind))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(arrays) if arrays else [], kind))
 
 
-LOCAL = T.StructType([T.StructField("shard", T.LongType()), T.StructField("indptr", T.ArrayType(T.IntegerType())),
-                      T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType())),
-                      T.StructField("words", T.ArrayType(T.StringType()))])
+CELL = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("words", T.StringType())])
+LOCAL = T.StructType([T.StructField("shard", T.LongType()), T.StructField("entries", T.LongType()), T.StructField("indptr", T.ArrayType(T.IntegerType())),
+                      T.StructField("codes", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("cells", T.ArrayType(CELL))])
 
 
-def _local_shards(keep: list[str]):
-    """Pieces of (part, text, kept columns) to shards over their own codes; kept columns become arrays, a value per row."""
+def _local_shards(keep: list[str], bits: int):
+    """Pieces of (part, text, kept columns) to shards over their own codes; kept columns become arrays, a value per row.
+    A cell holds the shard's words of one hash range, in the order of their codes, joined by a space (no word has one)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
         for piece in slices(batches, limit=SHARD_BYTES):
             part = piece.column("part")[0].as_py()
-            indptr, codes, counts, words = csr(piece.column("text"))
-            columns = [pa.array([(part << 33) + n], pa.int64()), _lists([indptr], pa.int32()), _lists([codes], pa.int32()),
-                       _lists([counts], pa.int32()), pa.ListArray.from_arrays([0, len(words)], words.cast(pa.string()))]
+            indptr, codes, counts, words, ranges = csr(piece.column("text"), bits)
+            at = starts_of(ranges)
+            grouped = pa.ListArray.from_arrays(pa.array(np.append(at, len(ranges)), pa.int32()), words)
+            cells = pa.StructArray.from_arrays([pa.array(ranges[at], pa.int32()), pc.binary_join(grouped, pa.scalar(" ", pa.large_string())).cast(pa.string())],
+                                               ["range", "words"])
+            columns = [pa.array([(part << 33) + n], pa.int64()), pa.array([len(codes)], pa.int64()), _lists([indptr], pa.int32()),
+                       pa.array([pack(codes, delta=True)], pa.binary()), pa.array([pack(counts)], pa.binary()),
+                       pa.ListArray.from_arrays([0, len(cells)], cells)]
             for name in keep:
                 columns.append(pa.ListArray.from_arrays([0, piece.num_rows], piece.column(name)))
             yield pa.RecordBatch.from_arrays(columns, [*LOCAL.names, *keep])
@@ -80,58 +109,73 @@ def _local_shards(keep: list[str]):
     return run
 
 
-@dataclass
-class TermMatrix:
-    """``shards``: shard, indptr, indices (global ids, per row in the order of ``codes``), counts and the kept columns as arrays,
-    a row per CSR shard; ``vocabulary``: (id, word, documents holding it)."""
-    shards: DataFrame
-    local: DataFrame
-    ranked: DataFrame
-
-    @property
-    def vocabulary(self) -> DataFrame:
-        held = (self.shards.select(F.explode("indices").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("documents")))
-        return self.ranked.select("id", "word").distinct().join(held, "id").select("id", "word", "documents")
-
-
-def _word_ids(local: DataFrame) -> DataFrame:
-    """(shard, code, id, word) of every distinct word of every shard: ids are unique, dense within a hash range."""
-    rows = local.select("shard", F.posexplode("words").alias("code", "word"))
-    rows = rows.withColumn("range", F.pmod(F.xxhash64("word"), F.lit(DICTIONARY_RANGES)).cast("int"))
-    rank = F.dense_rank().over(Window.partitionBy("range").orderBy("word"))
-    return rows.select("shard", "code", "word", (F.col("range") + DICTIONARY_RANGES * (rank.cast("long") - 1)).alias("id"))
+def _owned(batches: Iterator[pa.RecordBatch], words_out: bool) -> Iterator[pa.RecordBatch]:
+    """Cells sorted by (range, shard) to (shard, range, ranks), or to (range, rank, word) of each word when it is first met.
 
-
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (shard, code) to one array of ids per shard."""
-    shard, held = None, []
-
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), _lists([np.concatenate(held)], pa.int64())], ["shard", "ids"])
+    The order of the cells fixes the ranks, so a task that runs again gives the same.
+    """
+    current, seen = None, {}
     for batch in batches:
-        keys, ids = batch.column("shard").to_numpy(), batch.column("id").to_numpy()
-        cuts = np.flatnonzero(np.diff(keys)) + 1
-        for lo, hi in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])):
-            if hi > lo:
-                if shard is not None and keys[lo] != shard:
-                    yield out()
-                    held = []
-                shard = int(keys[lo])
-                held.append(ids[lo:hi].copy())
-    if held:
-        yield out()
+        shards, ranges, words = (batch.column(c).to_pylist() for c in ("shard", "range", "words"))
+        out, fresh = [], []
+        for r, text in zip(ranges, words):
+            if r != current:
+                current, seen = r, {}
+            before = len(seen)
+            out.append(np.array([seen.setdefault(w, len(seen)) for w in text.split(" ")], np.int32))
+            if words_out and len(seen) > before:
+                fresh += [(r, k, w) for w, k in itertools.islice(seen.items(), before, None)]
+        if words_out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in fresh], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.string()))],
+                                             ["range", "rank", "word"])
+        else:
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(ranges, pa.int32()), _lists(out, pa.int32())], ["shard", "range", "ranks"])
+
+
+def _gathered(ranges: int):
+    """(shard, range, ranks) sorted by (shard, range) to one array of ids per shard, in the order of its codes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = None, []
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), _lists([np.concatenate(held)], pa.int64())], ["shard", "ids"])
+        for batch in batches:
+            keys, of, ranks = batch.column("shard").to_pylist(), batch.column("range").to_pylist(), batch.column("ranks")
+            for i, key in enumerate(keys):
+                if key != shard:
+                    if held:
+                        yield out()
+                    shard, held = key, []
+                held.append(ranks[i].values.to_numpy().astype(np.int64) * ranges + of[i])
+        if held:
+            yield out()
+    return run
 
 
 def _renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Local codes to global ids, a shard at a time."""
+    """Packed local codes and counts to global ids and counts, a shard at a time."""
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
-            codes = row.column("codes").flatten().to_numpy()
+            n = row.column("entries")[0].as_py()
+            codes, counts = unpack(row.column("codes")[0].as_py(), n, delta=True), unpack(row.column("counts")[0].as_py(), n)
             ids = row.column("ids").flatten().to_numpy()
-            names = [n for n in row.schema.names if n not in ("codes", "ids")]
-            yield pa.RecordBatch.from_arrays([_lists([ids[codes] if len(codes) else np.zeros(0, np.int64)], pa.int64()),
-                                              *[row.column(n) for n in names]], ["indices", *names])
+            names = [c for c in row.schema.names if c not in ("codes", "counts", "ids", "entries")]
+            yield pa.RecordBatch.from_arrays([_lists([ids[codes] if n else np.zeros(0, np.int64)], pa.int64()), _lists([counts], pa.int32()),
+                                              *[row.column(c) for c in names]], ["indices", "counts", *names])
+
+
+@dataclass
+class TermMatrix:
+    """``shards``: shard, indptr, indices (global word ids), counts and the kept columns as arrays, a row per CSR shard;
+    ``vocabulary``: id, word and the number of documents that hold it."""
+    shards: DataFrame
+    words: DataFrame
+
+    @property
+    def vocabulary(self) -> DataFrame:
+        held = self.shards.select(F.explode("indices").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("documents"))
+        return self.words.join(held, "id").select("id", "word", "documents")
 
 
 def term_matrix(docs: DataFrame, keep: list[str] = ("doc_id",), text: str = "text") -> TermMatrix:
@@ -139,21 +183,26 @@ def term_matrix(docs: DataFrame, keep: list[str] = ("doc_id",), text: str = "tex
 
     Words are maximal runs of ``[^\\x20\\x09-\\x0D]``, case-sensitive.  Null and
     empty texts are rows without entries; repeated rows are rows of their own.
-    A very long text is a shard of its own.
+    A very long text is a shard of its own.  An id is the word's rank in its
+    hash range times the number of ranges, plus the range.
     """
     keep = list(keep)
     named = {f"kept_{i}": c for i, c in enumerate(keep)}
     source = docs.select(F.spark_partition_id().cast("long").alias("part"), text_or_empty(text).alias("text"),
                          *[F.col(f"`{c}`").alias(k) for k, c in named.items()])
-    schema = T.StructType([*LOCAL.fields, *[T.StructField(k, T.ArrayType(source.schema[k].dataType)) for k in named]])
-    local = stage(source.mapInArrow(_local_shards(list(named)), schema), "term-shards")
-    ranked = _word_ids(local)
-    back = (ranked.select("shard", "code", "id").repartition("shard").sortWithinPartitions("shard", "code")
-            .mapInArrow(_gathered, "shard long, ids array<long>"))
-    joined = local.drop("words").join(back, "shard", "left")
-    out = T.StructType([T.StructField("indices", T.ArrayType(T.LongType())), *[f for f in schema.fields if f.name not in ("codes", "words")]])
-    shards = joined.mapInArrow(_renumber, out)
-    return TermMatrix(shards.select("shard", "indptr", "indices", "counts", *[F.col(k).alias(c) for k, c in named.items()]), local, ranked)
+    size = docs.agg(F.sum(F.octet_length(text_or_empty(text)))).first()[0] or 0
+    bits = (max(MIN_RANGES, -(-size // RANGE_BYTES)) - 1).bit_length()
+    kept = [T.StructField(k, T.ArrayType(source.schema[k].dataType)) for k in named]
+    local = stage(source.mapInArrow(_local_shards(list(named), bits), T.StructType([*LOCAL.fields, *kept])), "term-shards")
+    cells = local.select("shard", F.inline("cells")).repartition("range").sortWithinPartitions("range", "shard")
+    ranks = cells.mapInArrow(lambda b: _owned(b, False), "shard long, range int, ranks array<int>")
+    words = cells.mapInArrow(lambda b: _owned(b, True), "range int, rank int, word string")
+    ids = (ranks.repartition("shard").sortWithinPartitions("shard", "range").mapInArrow(_gathered(1 << bits), "shard long, ids array<long>"))
+    out = T.StructType([T.StructField("indices", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.IntegerType())),
+                        T.StructField("shard", T.LongType()), T.StructField("indptr", T.ArrayType(T.IntegerType())), *kept])
+    shards = local.drop("cells").join(ids, "shard", "left").select("codes", "entries", "ids", local["counts"], "shard", "indptr", *named).mapInArrow(_renumber, out)
+    return TermMatrix(shards.select("shard", "indptr", "indices", "counts", *[F.col(k).alias(c) for k, c in named.items()]),
+                      words.select((F.col("rank").cast("long") * (1 << bits) + F.col("range")).alias("id"), "word"))
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
