@@ -33,7 +33,7 @@ from churnwise.llm.textkit import split_words
 from churnwise.llm.textkit import words as hashed_words
 
 #: Text bytes of a CSR shard (one document at least).
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Text bytes for each hash range of the dictionary, and the fewest ranges (a power of two): an owner holds a range's distinct words.
 RANGE_BYTES, MIN_RANGES = 256 << 20, 64
 #: FIXED VALUES: limits of the five filters.
@@ -50,13 +50,17 @@ def csr(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     """
     values, first = split_words(texts)
     coded = values.dictionary_encode()
-    codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    codes, words = coded.indices.to_numpy(), coded.dictionary
+    del values, coded
     ranges = (hashed_words(words).hash >> np.uint64(64 - bits)).astype(np.int32)
     order = np.argsort(ranges, kind="stable")
-    renumbered = np.empty(len(words), np.int64)
+    renumbered = np.empty(len(words), np.int32)
     renumbered[order] = np.arange(len(words))
     width = max(1, len(words))
-    key = np.sort(np.repeat(np.arange(len(first) - 1), np.diff(first)) * width + renumbered[codes])
+    key = np.repeat(np.arange(len(first) - 1) * width, np.diff(first))
+    key += renumbered[codes]
+    del codes
+    key.sort()
     new = np.flatnonzero(np.diff(key, prepend=-1))
     row, code = key[new] // width, key[new] % width
     indptr = np.searchsorted(row, np.arange(len(first)))
