@@ -33,7 +33,7 @@ from churnwise.llm.textkit import split_words
 from churnwise.llm.textkit import words as hashed_words
 
 #: Text bytes of a CSR shard (one document at least).
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Text bytes for each hash range of the dictionary, and the fewest ranges (a power of two): an owner holds a range's distinct words.
 RANGE_BYTES, MIN_RANGES = 256 << 20, 64
 #: FIXED VALUES: limits of the five filters.
@@ -86,30 +86,37 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(arrays) if arrays else [], kind))
 
 
-CELL = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("words", T.StringType())])
-LOCAL = T.StructType([T.StructField("shard", T.LongType()), T.StructField("entries", T.LongType()), T.StructField("indptr", T.ArrayType(T.IntegerType())),
-                      T.StructField("codes", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("cells", T.ArrayType(CELL))])
+LOCAL = T.StructType([T.StructField("shard", T.LongType()), T.StructField("range", T.IntegerType()), T.StructField("words", T.StringType()),
+                      T.StructField("entries", T.LongType()), T.StructField("indptr", T.ArrayType(T.IntegerType())),
+                      T.StructField("codes", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 
 
 def _local_shards(keep: list[str], bits: int):
-    """Pieces of (part, text, kept columns) to shards over their own codes; kept columns become arrays, a value per row.
-    A cell holds the shard's words of one hash range, in the order of their codes, joined by a space (no word has one)."""
+    """Pieces of (part, text, kept columns) to a row per shard, without range, over the shard's own codes, and a row per cell.
+
+    A cell holds the shard's words of one hash range, in the order of their
+    codes, joined by a space (no word has one).  In the shard's row the kept
+    columns are arrays, a value per document.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
         for piece in slices(batches, limit=SHARD_BYTES):
-            part = piece.column("part")[0].as_py()
+            shard = (piece.column("part")[0].as_py() << 33) + n
             indptr, codes, counts, words, ranges = csr(piece.column("text"), bits)
             at = starts_of(ranges)
             grouped = pa.ListArray.from_arrays(pa.array(np.append(at, len(ranges)), pa.int32()), words)
-            cells = pa.StructArray.from_arrays([pa.array(ranges[at], pa.int32()), pc.binary_join(grouped, pa.scalar(" ", pa.large_string())).cast(pa.string())],
-                                               ["range", "words"])
-            columns = [pa.array([(part << 33) + n], pa.int64()), pa.array([len(codes)], pa.int64()), _lists([indptr], pa.int32()),
-                       pa.array([pack(codes, delta=True)], pa.binary()), pa.array([pack(counts)], pa.binary()),
-                       pa.ListArray.from_arrays([0, len(cells)], cells)]
-            for name in keep:
-                columns.append(pa.ListArray.from_arrays([0, piece.num_rows], piece.column(name)))
-            yield pa.RecordBatch.from_arrays(columns, [*LOCAL.names, *keep])
+            cells = pc.binary_join(grouped, pa.scalar(" ", pa.large_string())).cast(pa.string())
+            nothing = [pa.nulls(len(at), f) for f in (pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary())]
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([shard] * len(at), pa.int64()), pa.array(ranges[at], pa.int32()), cells, *nothing,
+                     *[pa.nulls(len(at), pa.list_(piece.column(k).type)) for k in keep]], [*LOCAL.names, *keep])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([shard], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.array([len(codes)], pa.int64()),
+                 _lists([indptr], pa.int32()), pa.array([pack(codes, delta=True)], pa.binary()), pa.array([pack(counts)], pa.binary()),
+                 *[pa.ListArray.from_arrays([0, piece.num_rows], piece.column(k)) for k in keep]], [*LOCAL.names, *keep])
             n += 1
+            pa.default_memory_pool().release_unused()
     return run
 
 
@@ -172,15 +179,33 @@ def _renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @dataclass
 class TermMatrix:
     """``shards``: shard, indptr, indices (global word ids), counts and the kept columns as arrays, a row per CSR shard;
-    ``vocabulary``: id, word and the number of documents that hold it."""
-    shards: DataFrame
+    ``vocabulary``: id, word and the number of documents that hold it; ``row_sums``: a row per document."""
+    packed: DataFrame
     words: DataFrame
+    named: dict[str, str]
+
+    def _kept(self) -> list[T.StructField]:
+        return [self.packed.schema[k] for k in self.named]
+
+    @property
+    def shards(self) -> DataFrame:
+        out = T.StructType([T.StructField("indices", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.IntegerType())),
+                            T.StructField("shard", T.LongType()), T.StructField("indptr", T.ArrayType(T.IntegerType())), *self._kept()])
+        return self.packed.mapInArrow(_renumber, out).select("shard", "indptr", "indices", "counts", *[F.col(k).alias(c) for k, c in self.named.items()])
 
     @property
     def vocabulary(self) -> DataFrame:
         held = self.shards.select(F.explode("indices").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("documents"))
         return self.words.join(held, "id").select("id", "word", "documents")
 
+    @property
+    def row_sums(self) -> DataFrame:
+        """(words, distinct_words, kept columns): row sums and nonzero counts; a shard stays in its task, only its sums leave."""
+        out = T.StructType([T.StructField("words", T.LongType()), T.StructField("distinct_words", T.LongType()),
+                            *[T.StructField(f.name, f.dataType.elementType) for f in self._kept()]])
+        return (self.packed.mapInArrow(lambda batches: _sums(_renumber(batches)), out)
+                .select("words", "distinct_words", *[F.col(k).alias(c) for k, c in self.named.items()]))
+
 
 def term_matrix(docs: DataFrame, keep: list[str] = ("doc_id",), text: str = "text") -> TermMatrix:
     """The documents' term matrix; ``keep`` names columns that stay beside the rows.
@@ -198,15 +223,14 @@ def term_matrix(docs: DataFrame, keep: list[str] = ("doc_id",), text: str = "tex
     bits = (max(MIN_RANGES, -(-size // RANGE_BYTES)) - 1).bit_length()
     kept = [T.StructField(k, T.ArrayType(source.schema[k].dataType)) for k in named]
     local = stage(source.mapInArrow(_local_shards(list(named), bits), T.StructType([*LOCAL.fields, *kept])), "term-shards")
-    cells = local.select("shard", F.inline("cells")).repartition("range").sortWithinPartitions("range", "shard")
+    cells = (local.filter("range IS NOT NULL").select("shard", "range", "words")
+             .repartition("range").sortWithinPartitions("range", "shard"))
     ranks = cells.mapInArrow(lambda b: _owned(b, False), "shard long, range int, ranks array<int>")
     words = cells.mapInArrow(lambda b: _owned(b, True), "range int, rank int, word string")
     ids = (ranks.repartition("shard").sortWithinPartitions("shard", "range").mapInArrow(_gathered(1 << bits), "shard long, ids array<long>"))
-    out = T.StructType([T.StructField("indices", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.IntegerType())),
-                        T.StructField("shard", T.LongType()), T.StructField("indptr", T.ArrayType(T.IntegerType())), *kept])
-    shards = local.drop("cells").join(ids, "shard", "left").select("codes", "entries", "ids", local["counts"], "shard", "indptr", *named).mapInArrow(_renumber, out)
-    return TermMatrix(shards.select("shard", "indptr", "indices", "counts", *[F.col(k).alias(c) for k, c in named.items()]),
-                      words.select((F.col("rank").cast("long") * (1 << bits) + F.col("range")).alias("id"), "word"))
+    packed = (local.filter("range IS NULL").drop("range", "words").join(ids, "shard", "left")
+              .select("codes", "entries", "ids", "counts", "shard", "indptr", *named))
+    return TermMatrix(packed, words.select((F.col("rank").cast("long") * (1 << bits) + F.col("range")).alias("id"), "word"), named)
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,22 +245,11 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = np.ones(len(ids), bool)
             new[1:] = (np.diff(ids[order]) != 0) | (np.diff(doc[order]) != 0)
             nonzero = np.bincount(doc[order][new], minlength=len(indptr) - 1)
-            kept = [n for n in row.schema.names if n not in ("indptr", "counts", "indices")]
+            kept = [n for n in row.schema.names if n not in ("indptr", "counts", "indices", "shard")]
             yield pa.RecordBatch.from_arrays([pa.array(np.diff(total), pa.int64()), pa.array(nonzero, pa.int64()),
                                               *[row.column(n).flatten() for n in kept]], ["words", "distinct_words", *kept])
 
 
-def row_sums(matrix: TermMatrix) -> DataFrame:
-    """(words, distinct_words, kept columns): row sums and nonzero counts, a row per document."""
-    shards = matrix.shards.drop("shard")
-    kept = [f for f in shards.schema.fields if f.name not in ("indptr", "indices", "counts")]
-    named = {f"kept_{i}": f.name for i, f in enumerate(kept)}
-    shards = shards.select("indptr", "indices", "counts", *[F.col(f"`{c}`").alias(k) for k, c in named.items()])
-    schema = T.StructType([T.StructField("words", T.LongType()), T.StructField("distinct_words", T.LongType()),
-                           *[T.StructField(k, f.dataType.elementType) for k, f in zip(named, kept)]])
-    return shards.mapInArrow(_sums, schema).select("words", "distinct_words", *[F.col(k).alias(c) for k, c in named.items()])
-
-
 # ---- the audit ----------------------------------------------------------
 
 def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -251,7 +264,7 @@ def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
                        F.sha2(t, 256).alias("digest"),
                        (F.length(F.regexp_replace(t, "[^A-Z]+", "")) * 100 > F.length(t) * CAPITAL_PERCENT).alias("c"),
                        t.rlike(r"[#$%&*|]").alias("d"))
-    rows = row_sums(term_matrix(rows, ["doc_id", "part", "digest", "c", "d"]))
+    rows = term_matrix(rows, ["doc_id", "part", "digest", "c", "d"]).row_sums
     bits = ((F.col("words") < LEAST_WORDS).cast("int") + 2 * (100 * F.col("distinct_words") < DISTINCT_PERCENT * F.col("words")).cast("int")
             + 4 * F.col("c").cast("int") + 8 * F.col("d").cast("int"))
     # equal rows fold before any join, so a repeated id or text is a few rows
