@@ -269,16 +269,17 @@ def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
             + 4 * F.col("c").cast("int") + 8 * F.col("d").cast("int"))
     # equal rows fold before any join, so a repeated id or text is a few rows
     folded = stage(rows.groupBy("doc_id", "part", "digest", bits.alias("failed")).agg(F.count(F.lit(1)).alias("n")), "audit-rows")
-    first = folded.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     marked = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    # rows without an id find no label: they pass by the join
-    known = folded.filter("doc_id IS NOT NULL").join(marked, "doc_id", "left")
     nameless = folded.filter("doc_id IS NULL").groupBy("part", "failed").agg(F.sum("n").alias("n"))
-    e = F.when(F.col("doc_id") > F.col("first_id"), 16).otherwise(0)
-    texts = (known.join(first, "digest").groupBy(
-        "part", (F.col("failed") + e).alias("failed"), F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
-        .agg(F.sum("n").alias("n")))
+    # a text's copies fold to one row per part and labels, with the smallest id and its rows, before they meet
+    known = folded.filter("doc_id IS NOT NULL").join(marked, "doc_id", "left").na.fill(0, ["good", "toxic"])
+    texts = known.groupBy("digest", "part", "failed", "good", "toxic").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "n")).alias("least"))
+    first = texts.groupBy("digest").agg(F.min("least.doc_id").alias("first_id"))
+    firsts = F.when(F.col("least.doc_id") == F.col("first_id"), F.col("least.n")).otherwise(0)
+    halves = F.array(F.struct(F.col("failed").alias("f"), firsts.alias("m")), F.struct((F.col("failed") + 16).alias("f"), (F.col("n") - firsts).alias("m")))
+    texts = texts.join(first, "digest").select("part", "good", "toxic", F.inline(halves)).filter("m > 0").groupBy(
+        "part", F.col("f").alias("failed"), "good", "toxic").agg(F.sum("m").alias("n"))
     both = texts.unionByName(nameless.select("part", "failed", F.lit(0).alias("good"), F.lit(0).alias("toxic"), "n"))
     return both.groupBy("part", "failed", "good", "toxic").agg(F.sum("n").alias("n"))
 

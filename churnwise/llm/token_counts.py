@@ -7,7 +7,9 @@ a delete, the old count negative and the new one positive for a revision.
 source is a few rows when it is shuffled) and writes it as a table of its own,
 named by the batch id.  A batch that is already committed is left as it is, so
 a repeated delivery changes nothing.  Totals are sums over committed deltas;
-``compact`` folds many batches to one without losing their ids.
+``compact`` folds many batches to one base table, whose folder also lists the
+ids of the batches in it and counts only once its last file is there: a job
+that stops half way changes nothing.
 """
 
 from __future__ import annotations
@@ -40,9 +42,23 @@ class Rollup:
     def _complete(self, sub: str, name: str) -> bool:
         return self._fs.exists(self._path(f"{self.folder}/{sub}/{name}/_SUCCESS"))
 
+    def _base(self) -> tuple[list[str], set[str]]:
+        """Path of the newest finished base table, if there is one, and the ids of the batches in it."""
+        done = [n for n in self._names("base") if self._fs.exists(self._path(f"{self.folder}/base/{n}/DONE"))]
+        if not done:
+            return [], set()
+        at = f"{self.folder}/base/{done[-1]}"
+        return [f"{at}/totals"], {r["id"] for r in self.spark.read.parquet(f"{at}/ids").collect()}
+
+    def _state(self) -> tuple[list[str], list[str], set[str]]:
+        """Base path, complete batches beside it, and the ids in the base: one listing for whoever sums them."""
+        base, folded = self._base()
+        return base, [n for n in self._names("batches") if n not in folded and self._complete("batches", n)], folded
+
     def committed(self) -> list[str]:
         """Ids of all committed batches, compacted ones included."""
-        return sorted({n for n in self._names("batches") if self._complete("batches", n)} | set(self._names("folded")))
+        _, batches, folded = self._state()
+        return sorted(folded | set(batches))
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Fold and write a batch; False if the batch was committed before (then nothing is read or written)."""
@@ -53,27 +69,29 @@ class Rollup:
         delta.write.mode("overwrite").parquet(f"{self.folder}/batches/{batch_id}")
         return True
 
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
+
     def deltas(self) -> DataFrame:
-        paths = [f"{self.folder}/base/{n}" for n in self._names("base") if self._complete("base", n)][-1:]
-        folded = set(self._names("folded"))
-        paths += [f"{self.folder}/batches/{n}" for n in self._names("batches")
-                  if n not in folded and self._complete("batches", n)]
-        if not paths:
-            return self.spark.createDataFrame([], DELTA)
-        return self.spark.read.schema(DELTA).parquet(*paths)
+        base, batches, _ = self._state()
+        return self._read(base + [f"{self.folder}/batches/{n}" for n in batches])
 
     def totals(self) -> DataFrame:
         """(source, lang, version, docs, tokens); keys whose documents are all gone are left out."""
-        return (self.deltas().groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-                .filter("docs <> 0 OR tokens <> 0"))
+        return _summed(self.deltas())
 
     def compact(self) -> None:
-        """Fold all deltas into a new base table; the ids stay as markers, so repeats are still refused."""
-        done = [n for n in self._names("batches") if self._complete("batches", n)]
-        n = len(self._names("base"))
-        self.totals().write.mode("overwrite").parquet(f"{self.folder}/base/{n:08d}")
-        for name in done:
-            self._fs.create(self._path(f"{self.folder}/folded/{name}"), True).close()
+        """Fold the base and all committed batches into a new base table; the ids go with it, so repeats are still refused."""
+        base, batches, folded = self._state()
+        at = f"{self.folder}/base/{len(self._names('base')):08d}"
+        _summed(self._read(base + [f"{self.folder}/batches/{n}" for n in batches])).write.mode("overwrite").parquet(f"{at}/totals")
+        ids = [(n,) for n in sorted(folded | set(batches))]
+        self.spark.createDataFrame(ids, "id string").coalesce(1).write.mode("overwrite").parquet(f"{at}/ids")
+        self._fs.create(self._path(f"{at}/DONE"), True).close()      # from here on the new base counts, and its batches no longer
+
+
+def _summed(deltas: DataFrame) -> DataFrame:
+    return (deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 OR tokens <> 0"))
 
 
 def inserts(rows: DataFrame, tokens: Column) -> DataFrame:
@@ -90,8 +108,8 @@ def revisions(rows: DataFrame, old: Column, new: Column) -> DataFrame:
 
 #: Tokenizer versions of the query: white-space words; words and single punctuation marks.
 VERSIONS = {"words-1": f"{NOT_WS}+", "marks-1": r"[A-Za-z0-9\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]"}
-#: Documents of fewer words are withdrawn by the last batch; ORACLE leaves them out too.
-LEAST_WORDS = 5
+#: Documents of fewer words are withdrawn by a late batch and brought back by the last one.
+SHORT_WORDS = 5
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -103,32 +121,31 @@ def counts(docs: DataFrame) -> DataFrame:
                        F.regexp_count(t, F.lit(VERSIONS["marks-1"])).cast("long").alias("marks"))
 
 
-def document_batches(docs: DataFrame, least_words: int = LEAST_WORDS) -> list[tuple[str, DataFrame]]:
-    """The documents' change feed: provisional counts, their revision, a second tokenizer, withdrawals."""
+def document_batches(docs: DataFrame) -> list[tuple[str, DataFrame]]:
+    """The documents' change feed: provisional counts, their revision, a second tokenizer, short documents withdrawn and brought back."""
     c = stage(counts(docs), "token-counts")
     one, two = c.withColumn("version", F.lit("words-1")), c.withColumn("version", F.lit("marks-1"))
     rough = F.ceil(F.col("chars") / 6).cast("long")
-    gone = F.col("words") < least_words
+    short = F.col("words") < SHORT_WORDS
     return [("0001-load", inserts(one, rough)),
             ("0002-revise", revisions(one, rough, F.col("words"))),
             ("0003-marks", inserts(two, F.col("marks"))),
-            ("0004-withdraw", deletes(one.filter(gone), F.col("words")).unionAll(deletes(two.filter(gone), F.col("marks"))))]
+            ("0004-withdraw", deletes(one.filter(short), F.col("words")).unionAll(deletes(two.filter(short), F.col("marks")))),
+            ("0005-return", inserts(one.filter(short), F.col("words")).unionAll(inserts(two.filter(short), F.col("marks"))))]
 
 
-def token_counts(docs: DataFrame, folder: str | None = None, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Totals after the documents' batches, each delivered twice: source, lang, version, docs, tokens.
+def token_counts(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """Totals over every document after the documents' batches, each delivered twice: source, lang, version, docs, tokens.
 
-    Documents of under ``least_words`` white-space words are withdrawn, null
-    and empty texts and long texts without white space among them; 0 keeps
-    every document.  Null sources and languages are keys of their own;
-    repeated rows count each; very long texts count whole; an empty table
-    gives no row.  Columns other than text,
+    Null and empty texts count as documents without tokens.  Null sources and
+    languages are keys of their own; repeated rows count each; very long
+    texts count whole; an empty table gives no row.  Columns other than text,
     source and lang are not read.
     """
     spark = docs.sparkSession
     folder = folder or f"{ensure_checkpoint_dir(spark).rstrip('/')}/rollups/{uuid.uuid4().hex}"
     roll = Rollup(spark, folder)
-    batches = document_batches(docs, least_words)
+    batches = document_batches(docs)
     for batch_id, changes in [*batches, *batches]:
         roll.commit(batch_id, changes)
     return roll.totals()
@@ -138,9 +155,8 @@ ORACLE = r"""
 WITH c AS (SELECT source, lang,
   length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', 'w', 'g'), '[\x20\x09-\x0D]+', '', 'g')) AS words,
   length(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[!-/:-@\[-`{-~]', chr(1), 'g'),
-    '[A-Za-z0-9\x{80}-\x{10FFFF}]+', chr(2), 'g'), '[^' || chr(1) || chr(2) || ']+', '', 'g')) AS marks FROM documents),
-k AS (SELECT * FROM c WHERE words >= 5)
-SELECT source, lang, 'words-1' AS version, count(*) AS docs, sum(words)::BIGINT AS tokens FROM k GROUP BY source, lang
+    '[A-Za-z0-9\x{80}-\x{10FFFF}]+', chr(2), 'g'), '[^' || chr(1) || chr(2) || ']+', '', 'g')) AS marks FROM documents)
+SELECT source, lang, 'words-1' AS version, count(*) AS docs, sum(words)::BIGINT AS tokens FROM c GROUP BY source, lang
 UNION ALL
-SELECT source, lang, 'marks-1' AS version, count(*) AS docs, sum(marks)::BIGINT AS tokens FROM k GROUP BY source, lang
+SELECT source, lang, 'marks-1' AS version, count(*) AS docs, sum(marks)::BIGINT AS tokens FROM c GROUP BY source, lang
 """
