@@ -3,7 +3,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from datadirs import SF001
 from churnwise.plans import batch
 from churnwise.sources import schemas
 from churnwise.sources.tables import load_order_tables

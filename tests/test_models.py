@@ -1,7 +1,7 @@
 """Model stages checked by bounds and structure, never by exact value."""
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from datadirs import SF001
 from churnwise.config import Params
 from churnwise.operators import ml
 from churnwise.plans import batch, models

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from conftest import SF001
+from datadirs import SF001
 import __spark_entry__ as E
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "

@@ -3,7 +3,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from datadirs import SF001
 from churnwise.functions.scalar import assign_action, round_half_even
 from churnwise.operators import actions, ranking
 from churnwise.sources.feed import to_payload
