@@ -161,17 +161,23 @@ def auc(scored: DataFrame, label: str = "churned", score: str = "churn_score",
     return s.select(F.when((F.col("p") > 0) & (F.col("q") > 0), round_half_even(area, 4)).otherwise(F.lit(0.5)).alias("roc_auc"))
 
 
-def baselines(train: DataFrame, test: DataFrame, gbt_test: DataFrame, label: str = "churned") -> DataFrame:
-    """M13 + M14: accuracy of a class-balanced logistic regression and of the
-    majority class, beside the boosted model."""
+def fit_logistic(train: DataFrame, label: str = "churned"):
+    """Class-balanced logistic regression: (fitted model, weight per class, penalty)."""
     n = train.count()
     counts = train.groupBy(label).count()
     bal = counts.select(label, (F.lit(n) / (F.lit(2.0) * F.col("count"))).alias("weight"))
     lr_train = train.drop("weight").join(F.broadcast(bal), label, "left")     # two rows
+    penalty = 1.0 / max(n, 1)
     lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", maxIter=1000,
-                            regParam=1.0 / max(n, 1), standardization=False)
+                            regParam=penalty, standardization=False)
+    return lr.fit(lr_train), bal, penalty
+
+
+def baselines(train: DataFrame, test: DataFrame, gbt_test: DataFrame, label: str = "churned") -> DataFrame:
+    """M13 + M14: accuracy of a class-balanced logistic regression and of the
+    majority class, beside the boosted model."""
+    fitted, _, _ = fit_logistic(train, label)
     # scored from its coefficients: the fitted model holds a training summary and with it the session
-    fitted = lr.fit(lr_train)
     x = vector_to_array(F.col("features"))
     margin = sum((F.get(x, F.lit(i)) * F.lit(float(c)) for i, c in enumerate(fitted.coefficients)), F.lit(float(fitted.intercept)))
     lr_pred = test.withColumn("prediction", (margin > 0).cast("double"))

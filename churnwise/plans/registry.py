@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from churnwise import config
 from churnwise.functions.scalar import feature_label, finite_or_zero, round_half_even
 from churnwise.operators import actions, clv, evaluation, explain, features, histogram, ml, orders, reports, segments
-from churnwise.plans import batch
+from churnwise.plans import batch, certificates
 from churnwise.session import cut_lineage
 from churnwise.sources.testdata import load_test_tables
 
@@ -532,6 +532,106 @@ def q_model_hist(spark, sf):
     return histogram.histogram(_churn_scored(spark, sf), "churn_probability")
 
 
+# ---------------------------------------------------------------- certificates of the model results (checked in SQL)
+
+def _rfm_scaled(spark, sf):
+    return _memo(spark, sf, "m_rfm_scaled", lambda: cut_lineage(ml.scale_rfm(_features(spark, sf).select("customer_unique_id", *ml.RFM)), "rfm_scaled"))
+
+
+def _centred(spark, sf):
+    """(customers, scaled points, centres) of the segment run."""
+    seg = _segments(spark, sf)
+    return seg["customers"], _rfm_scaled(spark, sf), seg["kmeans"].clusterCenters()
+
+
+@query("segments_certificate")
+def q_segments_certificate(spark, sf):
+    return certificates.nearest_centres(*_centred(spark, sf))
+
+
+@query("centres_certificate")
+def q_centres_certificate(spark, sf):
+    return certificates.centre_means(*_centred(spark, sf))
+
+
+@query("k_sweep_certificate")
+def q_sweep_certificate(spark, sf):
+    return certificates.sweep_check(q_k_sweep(spark, sf), *_centred(spark, sf))
+
+
+@query("segment_summary_certificate")
+def q_segment_summary_certificate(spark, sf):
+    seg = _segments(spark, sf)
+    return certificates.segment_totals(seg["segment_summary"], seg["customers"])
+
+
+@query("churn_scores_certificate")
+def q_scores_certificate(spark, sf):
+    return certificates.score_check(_churn_scored(spark, sf), _contributions(spark, sf))
+
+
+@query("churn_metrics_certificate")
+def q_metrics_certificate(spark, sf):
+    fit = _churn(spark, sf)
+    return certificates.metrics_check(fit["test_scored"], fit["metrics"], fit["confusion"], fit["classification_report"], fit["error_analysis"])
+
+
+@query("logistic_certificate")
+def q_logistic_certificate(spark, sf):
+    return certificates.logistic_gradient(_churn(spark, sf)["train"])
+
+
+@query("baselines_certificate")
+def q_baselines_certificate(spark, sf):
+    return certificates.baselines_check(q_baselines(spark, sf), _churn(spark, sf)["metrics"])
+
+
+@query("reasons_certificate")
+def q_reasons_certificate(spark, sf):
+    return certificates.reasons_check(q_reasons(spark, sf), _contributions(spark, sf))
+
+
+@query("importance_certificate")
+def q_importance_certificate(spark, sf):
+    return certificates.importance_check(q_top_features(spark, sf), _contributions(spark, sf))
+
+
+@query("explained_certificate")
+def q_explained_certificate(spark, sf):
+    return certificates.explained_check(q_explained(spark, sf), _churn_scored(spark, sf))
+
+
+@query("clv_scores_certificate")
+def q_clv_scores_certificate(spark, sf):
+    return certificates.tier_check(_clv(spark, sf)["customers"], _clv(spark, sf)["thresholds"])
+
+
+@query("clv_thresholds_certificate")
+def q_clv_thresholds_certificate(spark, sf):
+    return certificates.threshold_check(_clv(spark, sf)["customers"], _clv(spark, sf)["thresholds"])
+
+
+@query("clv_metrics_certificate")
+def q_clv_metrics_certificate(spark, sf):
+    return certificates.regression_check(_clv(spark, sf)["test_scored"], _clv(spark, sf)["metrics"])
+
+
+@query("model_activation_certificate")
+def q_activation_certificate(spark, sf):
+    return certificates.activation_check(_customers(spark, sf), q_model_events(spark, sf), q_model_activation(spark, sf))
+
+
+@query("model_dashboard_certificate")
+def q_dashboard_certificate(spark, sf):
+    return certificates.dashboard_check(q_model_dashboard(spark, sf), q_model_kpis(spark, sf), _churn(spark, sf)["metrics"],
+                                        _clv(spark, sf)["metrics"], _customers(spark, sf))
+
+
+@query("model_histogram_certificate")
+def q_histogram_certificate(spark, sf):
+    return certificates.histogram_check(q_model_hist(spark, sf), _churn_scored(spark, sf))
+
+
 # ---------------------------------------------------------------- model operators on stand-in columns (checked in SQL)
 
 @query("standard_rfm")
