@@ -575,3 +575,46 @@ SQL["model_dashboard_certificate"] = (
 SQL["model_histogram_certificate"] = w() + f"SELECT {config.HIST_BINS}::BIGINT AS bins, COUNT(*) AS customers FROM features"
 SQL["model_dashboard_kpis"] = SQL["dashboard_kpis"]
 SQL["model_status"] = w() + f"SELECT true AS model_loaded, {_RUN_TIME} AS last_trained, COUNT(*) AS total_customers FROM features"
+
+# ---------------------------------------------------------------- the live store, replayed batch by batch
+
+_REPLAY = PURCH + """,
+sent AS (
+  SELECT *, CAST(order_id AS BIGINT) AS n, CAST(order_id AS BIGINT) % 97 = 0 AS cut, CAST(order_id AS BIGINT) % 101 = 0 AS empty,
+         CAST(order_id AS BIGINT) % 4 AS batch_id,
+         '{"order_id":"' || order_id || '","customer_id":"' || customer_id || '"'
+         || CASE WHEN CAST(order_id AS BIGINT) % 101 = 0 THEN '' ELSE ',"total_value":' || CAST(total_value AS VARCHAR) END
+         || ',"order_timestamp":"' || strftime(order_timestamp, '%Y-%m-%dT%H:%M:%S.%f') || '"'
+         || CASE WHEN review_score IS NULL THEN '' ELSE ',"review_score":' || CAST(review_score AS VARCHAR) END || '}' AS line
+  FROM purch),
+arrivals AS (
+  SELECT * FROM sent
+  UNION ALL
+  SELECT * REPLACE (batch_id + 1 AS batch_id) FROM sent WHERE n % 7 = 0 AND batch_id < 3),
+accepted AS (SELECT * FROM sent WHERE NOT cut AND NOT empty),
+visits AS (SELECT DISTINCT customer_id, batch_id FROM arrivals WHERE NOT cut AND NOT empty),
+running AS (
+  SELECT v.customer_id, v.batch_id, COUNT(*) AS n_orders, CAST(SUM(CAST(a.total_value AS DECIMAL(38,6))) AS DOUBLE) AS value_sum,
+         min(a.order_timestamp) AS first_purchase, max(a.order_timestamp) AS last_purchase
+  FROM visits v JOIN accepted a ON v.customer_id = a.customer_id AND a.batch_id <= v.batch_id GROUP BY v.customer_id, v.batch_id),
+sides AS (
+  SELECT *, value_sum / n_orders >= 50.0 AND """ + r("value_sum") + """ >= 100.0 AS above FROM running),
+turns AS (SELECT *, above AND NOT coalesce(lag(above) OVER (PARTITION BY customer_id ORDER BY batch_id), false) AS fires,
+                 batch_id = min(batch_id) OVER (PARTITION BY customer_id) AS first, batch_id = max(batch_id) OVER (PARTITION BY customer_id) AS last FROM sides)"""
+SQL["replayed_orders"] = f"WITH {_REPLAY}\nSELECT order_id, customer_id, total_value, order_timestamp, review_score, batch_id FROM accepted"
+SQL["replayed_customers"] = f"""WITH {_REPLAY}
+SELECT customer_id, (SELECT min(batch_id) FROM visits v WHERE v.customer_id = t.customer_id) AS first_batch, n_orders, value_sum,
+       first_purchase, last_purchase, above FROM turns t WHERE last"""
+SQL["replayed_counts"] = f"""WITH {_REPLAY}
+SELECT a.batch_id, COUNT(*) FILTER (WHERE NOT a.cut AND NOT a.empty AND a.batch_id = a.n % 4) AS accepted,
+       COUNT(*) FILTER (WHERE NOT a.cut AND NOT a.empty AND a.batch_id <> a.n % 4) AS duplicates, COUNT(*) FILTER (WHERE a.cut OR a.empty) AS errors
+FROM arrivals a GROUP BY a.batch_id"""
+SQL["replayed_quarantine"] = f"""WITH {_REPLAY}
+SELECT CASE WHEN cut THEN left(line, length(line) // 2) ELSE line END AS line, CASE WHEN cut THEN 'malformed' ELSE 'missing total_value' END AS reason, batch_id
+FROM arrivals WHERE cut OR empty"""
+SQL["replayed_activations"] = f"""WITH {_REPLAY}
+SELECT customer_id, 'NURTURE' AS action, 'loyalty_reward' AS template, {r('value_sum')} AS predicted_clv,
+       (SELECT strftime(max(order_timestamp), '%Y-%m-%dT%H:%M:%S') FROM purch) AS timestamp, batch_id FROM turns WHERE fires"""
+SQL["replayed_stats"] = f"""WITH {_REPLAY}
+SELECT (SELECT COUNT(DISTINCT customer_id) FROM visits) AS db_customers, COUNT(*) AS db_orders,
+       {r('COALESCE(' + msum('total_value') + ', 0.0)')} AS db_total_revenue FROM accepted"""

@@ -372,6 +372,89 @@ def q_unprocessed(spark, sf):
     return unprocessed_orders(ev, ev.filter(F.col("order_timestamp") < horizon))
 
 
+# ---------------------------------------------------------------- the live store, replayed batch by batch (checked in SQL)
+
+REPLAY_BATCHES, REPLAY_MEAN_VALUE = 4, 50.0
+
+
+def _replay_lines(spark, sf):
+    """The purchase feed as JSON lines in four batches: every 97th line is cut, every 101st has no value, every 7th order is sent again."""
+    from churnwise.sources.feed import to_payload
+    n = F.col("order_id").cast("long")
+    ev = _purchases(spark, sf).withColumn("total_value", F.when(n % 101 != 0, F.col("total_value")))
+    lines = to_payload(ev).withColumn("n", F.get_json_object("value", "$.order_id").cast("long"))
+    lines = lines.withColumn("value", F.when(F.col("n") % 97 == 0, F.expr("left(value, length(value) div 2)")).otherwise(F.col("value")))
+    first = lines.select("value", (F.col("n") % REPLAY_BATCHES).alias("batch"), "n")
+    again = first.filter(f"n % 7 = 0 AND batch < {REPLAY_BATCHES - 1}").withColumn("batch", F.col("batch") + 1)
+    return first.unionByName(again).drop("n")
+
+
+def _live_scores(profiles):
+    """T6 stand-in: customers of a mean order of ``REPLAY_MEAN_VALUE`` or more are nurtured."""
+    return profiles.select("customer_id", F.when(F.col("avg_order_value") >= REPLAY_MEAN_VALUE, "NURTURE").otherwise("MONITOR").alias("action"),
+                           F.lit(0.1).alias("churn_probability"), F.col("monetary_total").alias("predicted_clv"), F.lit("Live").alias("segment"))
+
+
+def _replay(spark, sf) -> str:
+    """A store that the batches of the feed went through, one after another, with its history compacted on the way."""
+    from uuid import uuid4
+
+    from churnwise.session import ensure_checkpoint_dir
+    from churnwise.streaming import live
+
+    def build():
+        store = f"{ensure_checkpoint_dir(spark).rstrip('/')}/live-{uuid4().hex}"
+        lines = cut_lineage(_replay_lines(spark, sf), "replay_lines")
+        as_of = _purchases(spark, sf).agg(F.max("order_timestamp")).first()[0]
+        for b in range(REPLAY_BATCHES):
+            live.process_batch(live.parse_lines(lines.filter(F.col("batch") == b).select("value")), b, store, as_of, _live_scores, compact_every=2, buckets=8)
+        return store
+    return _memo(spark, sf, "live_replay", build)
+
+
+@query("replayed_orders")
+def q_replayed_orders(spark, sf):
+    """T1 + T3: every order once, with the batch that brought it first."""
+    from churnwise.streaming import live
+    return live.stored(spark, _replay(spark, sf), "orders").select("order_id", "customer_id", "total_value", "order_timestamp", "review_score", "batch_id")
+
+
+@query("replayed_customers")
+def q_replayed_customers(spark, sf):
+    """T2 + T4: the customer state after the last batch."""
+    from churnwise.streaming import live
+    return live.current_state(spark, _replay(spark, sf)).select(
+        "customer_id", "first_batch", "n_orders", F.col("value_sum").cast("double").alias("value_sum"), "first_purchase", "last_purchase", "above")
+
+
+@query("replayed_counts")
+def q_replayed_counts(spark, sf):
+    """T5: accepted, duplicate and broken events of every batch."""
+    from churnwise.streaming import live
+    return live.stored(spark, _replay(spark, sf), "audit")
+
+
+@query("replayed_quarantine")
+def q_replayed_quarantine(spark, sf):
+    """The broken lines as they came, with the reason."""
+    from churnwise.streaming import live
+    return live.stored(spark, _replay(spark, sf), "quarantine").select("line", "reason", "batch_id")
+
+
+@query("replayed_activations")
+def q_replayed_activations(spark, sf):
+    """One event for each time a customer crosses the rule."""
+    from churnwise.streaming import live
+    return live.stored(spark, _replay(spark, sf), "activations").select("customer_id", "action", "template", "predicted_clv", "timestamp", "batch_id")
+
+
+@query("replayed_stats")
+def q_replayed_stats(spark, sf):
+    """A24 from the customer state."""
+    from churnwise.streaming import live
+    return live.store_stats(spark, _replay(spark, sf))
+
+
 # ---------------------------------------------------------------- model-backed (rows-only)
 # One memo per step: a query trains only what it shows.
 
