@@ -1,30 +1,24 @@
 """Spark ML stages: segments, churn classifier, value regressor.
 
-Model fits are Spark ML jobs (K-Means and boosted trees aggregate
-statistics with ``treeAggregate``); inputs are written stages, dealt by id
+K-Means is that of :mod:`churnwise.operators.clustering`, boosted trees those
+of :mod:`churnwise.operators.boosting`, the logistic baseline a Spark ML fit; inputs are written stages, dealt by id
 hash and sorted by id in a number of partitions that follows the row count,
 so a fit replays no join and does not depend on the cluster.
-Independent fits (K-Means restarts, the k sweep) are submitted concurrently
-from a few driver threads so small jobs share the cluster's cores.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnwise import config
 from churnwise.config import Params
 from churnwise.functions.scalar import finite_or_zero, round_half_even
-from churnwise.operators import evaluation, segments
+from churnwise.operators import boosting, clustering, evaluation, segments
 from churnwise.operators.ranking import value_positions
 from churnwise.session import cut_lineage
 
@@ -43,21 +37,9 @@ def scale_rfm(df: DataFrame) -> DataFrame:
     return model.transform(v).drop("_rfm")
 
 
-def _fit_kmeans(scaled: DataFrame, k: int, seed: int) -> KMeansModel:
-    return KMeans(k=k, seed=seed, featuresCol="rfm_scaled", predictionCol="cluster",
-                  maxIter=300, tol=1e-4).fit(scaled)
-
-
-def best_kmeans(scaled: DataFrame, ks, n_init: int, seed: int, threads: int = 8) -> dict:
-    """M3 for every k: ``n_init`` restarts, keep the lowest training cost."""
-    jobs = [(k, seed + i) for k in ks for i in range(n_init)]
-    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(jobs)))) as ex:
-        models = list(ex.map(lambda j: (j[0], _fit_kmeans(scaled, *j)), jobs))
-    best: dict = {}
-    for k, m in models:
-        if k not in best or m.summary.trainingCost < best[k].summary.trainingCost:
-            best[k] = m
-    return best
+def best_kmeans(scaled: DataFrame, ks, n_init: int, seed: int) -> dict:
+    """M3 for every k: ``n_init`` starts, the one of lowest cost; all starts of all k share their scans."""
+    return clustering.fit_all(scaled, ks, n_init, seed)
 
 
 def k_sweep(scaled: DataFrame, models: dict) -> DataFrame:
@@ -66,7 +48,7 @@ def k_sweep(scaled: DataFrame, models: dict) -> DataFrame:
     Spark's silhouette uses squared Euclidean distance (the reference used
     Euclidean), so values differ; the sweep is reported, final k stays fixed."""
     ev = ClusteringEvaluator(featuresCol="rfm_scaled", predictionCol="cluster")
-    rows = [(k, float(m.summary.trainingCost), float(ev.evaluate(m.transform(scaled))))
+    rows = [(k, float(m.cost), float(ev.evaluate(m.transform(scaled))))
             for k, m in sorted(models.items())]
     best = max(rows, key=lambda r: r[2])[0]
     return scaled.sparkSession.createDataFrame(
@@ -130,22 +112,21 @@ def with_class_weight(train: DataFrame, label: str = "churned") -> DataFrame:
     return train.withColumn("weight", F.when(F.col(label) == 1, ratio).otherwise(F.lit(1.0)))
 
 
-def churn_classifier(params: Params) -> GBTClassifier:
-    """M8: boosted trees, logistic loss (Spark samples features per node)."""
-    return GBTClassifier(featuresCol="features", labelCol="churned", weightCol="weight",
-                         maxIter=params.n_trees, maxDepth=params.max_depth, stepSize=params.learning_rate,
-                         subsamplingRate=params.row_sample, maxBins=config.MAX_BINS,
-                         featureSubsetStrategy=str(params.feature_sample), seed=params.seed)
+def _tree_settings(params: Params) -> dict:
+    return {"n_trees": params.n_trees, "max_depth": params.max_depth, "learning_rate": params.learning_rate,
+            "row_sample": params.row_sample, "feature_sample": params.feature_sample, "seed": params.seed}
+
+
+def fit_churn_trees(train: DataFrame, params: Params) -> boosting.BoostedTrees:
+    """M8: second-order boosted trees with logistic loss and class weights."""
+    return boosting.fit(train, list(params.feature_cols), "churned", "logistic", weight="weight", **_tree_settings(params))
 
 
-def score_churn(model, df: DataFrame) -> DataFrame:
+def score_churn(model: boosting.BoostedTrees, df: DataFrame) -> DataFrame:
     """M9: class from the raw score, probability to 4 places."""
-    p1 = vector_to_array(F.col("probability")).getItem(1)
-    out = model.transform(df).withColumn("_p1", p1)
-    return (out.withColumn("churn_probability", round_half_even("_p1", 4))
-            .withColumn("churn_prediction", (F.col("_p1") > 0.5).cast("int"))
-            .withColumnRenamed("_p1", "churn_score")
-            .drop("rawPrediction", "probability", "prediction"))
+    return (df.withColumn("churn_score", 1 / (1 + F.exp(-model.margin())))
+            .withColumn("churn_probability", round_half_even("churn_score", 4))
+            .withColumn("churn_prediction", (F.col("churn_score") > 0.5).cast("int")))
 
 
 def auc(scored: DataFrame, label: str = "churned", score: str = "churn_score",
@@ -206,7 +187,7 @@ def train_churn(feat: DataFrame, params: Params = Params()):
     data = cut_lineage(split_flag(feat, params.test_size, params.seed, "churned"), "churn_split")
     train = with_class_weight(assemble(training_layout(data.filter(~F.col("is_test")))))
     test = assemble(data.filter(F.col("is_test")))
-    model = churn_classifier(params).fit(train)
+    model = fit_churn_trees(train, params)
     return model, cut_lineage(score_churn(model, test), "churn_test"), train, test
 
 
@@ -217,24 +198,20 @@ def churn_metrics(test_scored: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- value
 
-def clv_regressor(params: Params) -> GBTRegressor:
-    """Boosted trees with squared error."""
-    return GBTRegressor(featuresCol="features", labelCol="clv_target", lossType="squared",
-                        maxIter=params.n_trees, maxDepth=params.max_depth, stepSize=params.learning_rate,
-                        subsamplingRate=params.row_sample, featureSubsetStrategy=str(params.feature_sample),
-                        maxBins=config.MAX_BINS, seed=params.seed)
+def fit_value_trees(train: DataFrame, params: Params) -> boosting.BoostedTrees:
+    """Second-order boosted trees with squared error."""
+    return boosting.fit(train, list(params.feature_cols), "clv_target", "squared", **_tree_settings(params))
 
 
 def train_clv(feat: DataFrame, params: Params = Params()):
     """M6 + M18: plain split, fit on the training rows.  Returns (model, test rows)."""
     data = cut_lineage(split_flag(feat.withColumn("clv_target", F.coalesce(F.col("clv_target"), F.lit(0.0))),
                                   params.test_size, params.seed), "clv_split")
-    model = clv_regressor(params).fit(assemble(training_layout(data.filter(~F.col("is_test")))))
+    model = fit_value_trees(training_layout(data.filter(~F.col("is_test"))), params)
     return model, assemble(data.filter(F.col("is_test")))
 
 
-def score_clv(model, df: DataFrame) -> DataFrame:
+def score_clv(model: boosting.BoostedTrees, df: DataFrame) -> DataFrame:
     """M20 + F12: predicted value clipped at 0, 2 places."""
-    out = model.transform(df if "features" in df.columns else assemble(df))
-    return (out.withColumn("predicted_clv", round_half_even(F.greatest(F.col("prediction"), F.lit(0.0)), 2))
-            .drop("prediction"))
+    return (df.withColumn("_margin", model.margin())
+            .withColumn("predicted_clv", round_half_even(F.greatest(F.col("_margin"), F.lit(0.0)), 2)).drop("_margin"))

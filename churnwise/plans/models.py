@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnwise.config import Params
-from churnwise.operators import actions, clv, evaluation, explain, ml, segments
+from churnwise.operators import actions, boosting, clv, evaluation, explain, ml, segments
 from churnwise.session import cut_lineage, drop_stages, ensure_checkpoint_dir, path_exists
 
 CUST = "customer_unique_id"
@@ -26,15 +26,13 @@ def model_dir(spark, name: str, out_dir: str | None = None) -> str:
 
 
 def load_churn_model(spark, out_dir: str | None = None):
-    """The churn classifier saved by a run with this result folder."""
-    from pyspark.ml.classification import GBTClassificationModel
-    return GBTClassificationModel.load(model_dir(spark, "churn", out_dir))
+    """The churn classifier saved by a run with this result folder: feature order, clean-up and run time come with it."""
+    return boosting.load(spark, model_dir(spark, "churn", out_dir))
 
 
 def load_clv_model(spark, out_dir: str | None = None):
     """The value regressor saved by a run with this result folder."""
-    from pyspark.ml.regression import GBTRegressionModel
-    return GBTRegressionModel.load(model_dir(spark, "clv", out_dir))
+    return boosting.load(spark, model_dir(spark, "clv", out_dir))
 
 
 def scaled_stage(feat: DataFrame) -> DataFrame:
@@ -82,19 +80,27 @@ def score_churn(model, customers: DataFrame, params: Params = Params()) -> DataF
     return cut_lineage(actions.add_action(actions.add_monetary_percentile(scored, params.rank_buckets)), "churn_scored")
 
 
-def explain_churn(model, customers: DataFrame, params: Params = Params(), out_dir: str | None = None) -> DataFrame:
+def _facts(df: DataFrame, as_of) -> dict:
+    """What a saved model tells of its run: the run time, if there is one."""
+    if as_of is None:
+        return {}
+    return {"last_trained": df.sparkSession.range(1).select(F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss")).first()[0]}
+
+
+def explain_churn(model, customers: DataFrame, params: Params = Params(), out_dir: str | None = None, as_of=None) -> DataFrame:
     """Contributions of every feature for every customer (the model is saved on the way, S6)."""
     spark = customers.sparkSession
-    trees = explain.load_trees(spark, model, model_dir(spark, "churn", out_dir))
+    model.save(spark, model_dir(spark, "churn", out_dir), _facts(customers, as_of))
+    trees = model.explained()
     feats = customers.select(CUST, *[ml.finite_or_zero(c).alias(c) for c in params.feature_cols])
     return cut_lineage(explain.contributions(feats, trees, params.feature_cols), "contributions")
 
 
-def run_churn(customers: DataFrame, params: Params = Params(), fitted: dict | None = None, out_dir: str | None = None) -> dict:
+def run_churn(customers: DataFrame, params: Params = Params(), fitted: dict | None = None, out_dir: str | None = None, as_of=None) -> dict:
     """Fit (unless ``fitted``), score all customers, explain them."""
     fit = fitted or fit_churn(customers, params)
     scored = score_churn(fit["model"], customers, params)
-    contrib = explain_churn(fit["model"], customers, params, out_dir)
+    contrib = explain_churn(fit["model"], customers, params, out_dir, as_of)
     return {**fit, "customers": scored, "contributions": contrib,
             "baselines": ml.baselines(fit["train"], fit["test"], fit["test_scored"]),
             "feature_importance": explain.feature_importance(contrib, params.feature_cols),
@@ -108,10 +114,10 @@ def fit_clv(feat: DataFrame, params: Params = Params()) -> dict:
     return {"model": model, "test_scored": test_scored, "metrics": evaluation.regression_metrics(test_scored)}
 
 
-def run_clv(customers: DataFrame, params: Params = Params(), fitted: dict | None = None, out_dir: str | None = None) -> dict:
+def run_clv(customers: DataFrame, params: Params = Params(), fitted: dict | None = None, out_dir: str | None = None, as_of=None) -> dict:
     """Fit (unless ``fitted``), predicted value and tier of every customer."""
     fit = fitted or fit_clv(customers, params)
-    fit["model"].write().overwrite().save(model_dir(customers.sparkSession, "clv", out_dir))   # S7
+    fit["model"].save(customers.sparkSession, model_dir(customers.sparkSession, "clv", out_dir), _facts(customers, as_of))   # S7
     scored = cut_lineage(ml.score_clv(fit["model"], ml.assemble(customers)).drop("features"), "clv_scored")
     tiers = cut_lineage(clv.add_clv_tier(scored, buckets=params.rank_buckets), "clv_tiers")
     return {**fit, "customers": tiers, "thresholds": clv.clv_thresholds(tiers, buckets=params.rank_buckets)}
@@ -138,8 +144,8 @@ def run_all(feat: DataFrame, as_of, params: Params = Params(), out_dir: str | No
         f_churn = ex.submit(fit_churn, feat, params)
         f_clv = ex.submit(fit_clv, feat, params)
         seg, churn_fit, clv_fit = f_seg.result(), f_churn.result(), f_clv.result()
-    ch = run_churn(seg["customers"], params, churn_fit, out_dir)
-    cl = run_clv(ch["customers"], params, clv_fit, out_dir)
+    ch = run_churn(seg["customers"], params, churn_fit, out_dir, as_of)
+    cl = run_clv(ch["customers"], params, clv_fit, out_dir, as_of)
     act = run_activation(cl["customers"], as_of, params)
     res = {
         "customers": cl["customers"], "segment_summary": seg["segment_summary"], "k_sweep": seg["k_sweep"],
@@ -160,10 +166,15 @@ def run_all(feat: DataFrame, as_of, params: Params = Params(), out_dir: str | No
     return res
 
 
-def status(customers: DataFrame, as_of, out_dir: str | None = None) -> DataFrame:
-    """Run time, customers in the result, whether the churn model is saved."""
+def status(customers: DataFrame, as_of=None, out_dir: str | None = None) -> DataFrame:
+    """Customers in the result, whether the churn model is saved, and the run time saved with it (``as_of`` where it has none)."""
     spark = customers.sparkSession
-    loaded = path_exists(spark, model_dir(spark, "churn", out_dir) + "/metadata")
+    at = model_dir(spark, "churn", out_dir)
+    loaded = path_exists(spark, at + "/metadata/_SUCCESS")
+    trained = boosting.load_metadata(spark, at)["info"].get("last_trained") if loaded else None
+    if trained is not None:
+        time = F.lit(trained)
+    else:
+        time = F.lit(None).cast("string") if as_of is None else F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss")
     return customers.agg(F.count(F.lit(1)).alias("total_customers")).select(
-        F.lit(loaded).alias("model_loaded"), F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss").alias("last_trained"),
-        "total_customers")
+        F.lit(loaded).alias("model_loaded"), time.alias("last_trained"), "total_customers")

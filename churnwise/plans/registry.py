@@ -476,7 +476,7 @@ def _churn_scored(spark, sf):
 def _contributions(spark, sf):
     from churnwise.plans import models
     return _memo(spark, sf, "m_contributions",
-                 lambda: models.explain_churn(_churn(spark, sf)["model"], _features(spark, sf)))
+                 lambda: models.explain_churn(_churn(spark, sf)["model"], _features(spark, sf), as_of=batch.run_time(_clean(spark, sf))))
 
 
 def _clv(spark, sf):
@@ -602,7 +602,7 @@ def q_model_dashboard(spark, sf):
 def q_model_status(spark, sf):
     from churnwise.plans import models
     _contributions(spark, sf)                       # saves the model
-    return models.status(_churn_scored(spark, sf), batch.run_time(_clean(spark, sf)))
+    return models.status(_churn_scored(spark, sf))
 
 
 @query("model_dashboard_kpis")
