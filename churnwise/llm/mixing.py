@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnwise.llm.common import NOT_WS, arrow_job, stage, text_or_empty
+from churnwise.llm.common import NOT_WS, arrow_job, free, stage, text_or_empty
 from churnwise.llm.textkit import IS_WS, mix
 
 #: Words of a block.
@@ -151,10 +151,10 @@ def draw_blocks(plan: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def layout(sized: DataFrame) -> DataFrame:
-    """Adds ``offset``: words of the source that come before the document (order: id hash bucket, id, row hash)."""
+    """Adds ``offset``: words of the source that come before the document (order: bucket by the hash of id and text, id, text hash)."""
     n = sized.agg(F.count("*")).first()[0]
     buckets = max(MIN_BUCKETS, -(-n // BUCKET_ROWS))
-    d = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    d = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(buckets)).cast("int"))
     base = (d.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
             .withColumn("base", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words"))
             .drop("words"))
@@ -195,7 +195,7 @@ def _segments(laid: DataFrame, times: DataFrame) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, taken.
+    """One row per input row: doc_id, size, source_size, target, taken, source.
 
     Null or empty texts have size 0 and are taken 0 times; a null source is a
     source of its own, last in order; a source without words has target 0.
@@ -211,7 +211,7 @@ def mix_sources(docs: DataFrame, seed: int = 0) -> DataFrame:
     p = plan.select(F.col("source").alias("p_source"), "source_size", "target")
     # the plan has one row per source
     return (per_doc.join(p, per_doc.source.eqNullSafe(p.p_source))
-            .select("doc_id", "source", "size", "source_size", "target", "taken"))
+            .select("doc_id", "size", "source_size", "target", "taken", "source"))
 
 
 def _sum_rows(seg: DataFrame) -> DataFrame:
@@ -226,7 +226,9 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The mix as documents: columns of ``docs``; a row per document and round in which words of it are taken.
 
     Round r holds the words whose block is taken r times or more, in text
-    order, so the words of a document's rows sum to its ``taken``.
+    order, so the words of a document's rows sum to its ``taken``.  Null and
+    empty texts are never taken; of rows that repeat id and text each stands
+    for itself; an empty table gives none; extra columns stay as they are.
     """
     laid, plan = taken_segments(docs, seed)
     seg = _segments(laid, draw_blocks(plan, seed)).filter("times > 0")
@@ -235,16 +237,14 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     # equal rows have different offsets: the k-th of them in offset order gets the k-th row
     w = Window.partitionBy("doc_id", "source", "row_hash")
     cuts = cuts.withColumn("copy", F.row_number().over(w.orderBy("offset"))).drop("offset")
-    names = docs.columns
-    d = docs.withColumn("mix_hash", F.xxhash64(text_or_empty()))
-    k = Window.partitionBy("doc_id", "source", "mix_hash").orderBy("doc_id")
-    d = d.withColumn("mix_copy", F.row_number().over(k))
+    names, schema = docs.columns, docs.schema
+    # the documents' own columns travel inside a struct, so no name of theirs meets one used here
+    d = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("doc"), F.col("doc_id").cast("long").alias("d_id"),
+                    F.col("source").cast("string").alias("d_source"), F.xxhash64(text_or_empty()).alias("d_hash"))
+    d = d.withColumn("d_copy", F.row_number().over(Window.partitionBy("d_id", "d_source", "d_hash").orderBy("d_id")))
     c = cuts.select(F.col("doc_id").alias("c_id"), F.col("source").alias("c_source"), "row_hash", F.col("copy").alias("c_copy"), "cuts")
-    joined = d.join(c, d.doc_id.eqNullSafe(c.c_id) & d.source.eqNullSafe(c.c_source)
-                    & (d.mix_hash == c.row_hash) & (d.mix_copy == c.c_copy))
-    schema = docs.schema
-    out = joined.select(*names, "cuts").mapInArrow(arrow_job(_cut(names, schema)), schema)
-    return out
+    joined = d.join(c, d.d_id.eqNullSafe(c.c_id) & d.d_source.eqNullSafe(c.c_source) & (d.d_hash == c.row_hash) & (d.d_copy == c.c_copy))
+    return joined.select("doc.*", F.col("cuts").alias(free("cuts", names))).mapInArrow(arrow_job(_cut(names, schema)), schema)
 
 
 def _cut(names, schema):

@@ -19,7 +19,8 @@ ROWS = [
 ]
 #: Columns that the operators use inside: extra columns of these names must not matter.
 EXTRA = ["key", "sha", "node", "row", "size", "block", "bucket", "found_lang", "dedup_key", "near_hash", "score", "n",
-         "row_number", "shard", "slot", "row_digest", "row_copies", "number_range", "range_rows", "place", "unfold_from", "doc", "number", "law"]
+         "row_number", "shard", "slot", "row_digest", "row_copies", "number_range", "range_rows", "place", "unfold_from", "doc", "number", "law",
+         "cuts", "cuts_", "mix_hash", "mix_copy", "c_id", "c_source", "c_copy", "d_id", "copy", "digest", "range", "words", "kept_0"]
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
                        T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
                        T.StructField("n_chars", T.LongType()), *(T.StructField(c, T.StringType()) for c in EXTRA)])
