@@ -141,12 +141,15 @@ def export_customers(df: DataFrame, status: str = "ALL", segment: str = "ALL") -
 def column_stats(df: DataFrame, buckets: int = config.RANK_BUCKETS) -> DataFrame:
     """Count, mean, sample deviation, minimum, interpolated quartiles and maximum of every column, exact.
 
-    Values have few decimals, so sums are exact decimals and do not depend on row order."""
+    Sums and squares are exact decimals of six places (squares of 10^12 and above are doubles), so they do not depend on row
+    order; places beyond the sixth are rounded."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
                                          for c in df.columns])).alias("s")).select("s.column", "s.value")
-    v = F.col("value").cast("decimal(18,2)")
-    sums = long.groupBy("column").agg(F.count("value").alias("count"), F.sum(v).cast("double").alias("_s"),
-                                      F.sum((v * v).cast("decimal(38,4)")).cast("double").alias("_ss"))
+    small = F.abs("value") < 1e12
+    v = F.when(small, F.col("value")).cast("decimal(18,6)")
+    large = F.coalesce(F.sum(F.when(~small, F.col("value") * F.col("value"))), F.lit(0.0))
+    sums = long.groupBy("column").agg(F.count("value").alias("count"), F.sum(F.col("value").cast("decimal(38,6)")).cast("double").alias("_s"),
+                                      (F.coalesce(F.sum((v * v).cast("decimal(38,12)")).cast("double"), F.lit(0.0)) + large).alias("_ss"))
     n, s, ss = F.col("count"), F.col("_s"), F.col("_ss")
     sums = sums.select("column", "count", round_half_even(s / n, 4).alias("mean"),
                        round_half_even(F.sqrt(F.greatest(ss - s * s / n, F.lit(0.0)) / (n - 1)), 3).alias("std"))

@@ -487,8 +487,8 @@ SQL["dashboard_stats"] = (
 _COLS = list(config.FEATURE_COLS) + ["target_purchases", "target_revenue", "churned", "clv_target"]
 _LONG = "longc AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS value FROM features" for c in _COLS) + ")"
 SQL["column_stats"] = w(_LONG, """sums AS (
-  SELECT "column", COUNT(value) AS n, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS s,
-         CAST(SUM(CAST(CAST(value AS DECIMAL(18,2)) * CAST(value AS DECIMAL(18,2)) AS DECIMAL(38,4))) AS DOUBLE) AS ss,
+  SELECT "column", COUNT(value) AS n, CAST(SUM(CAST(value AS DECIMAL(38,6))) AS DOUBLE) AS s,
+         CAST(SUM(CAST(CAST(value AS DECIMAL(19,6)) * CAST(value AS DECIMAL(19,6)) AS DECIMAL(38,12))) AS DOUBLE) AS ss,
          quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2, quantile_cont(value, 0.75) AS q3,
          min(value) AS lo, max(value) AS hi
   FROM longc GROUP BY "column")""") + f"""

@@ -86,3 +86,14 @@ def test_category_count_zero_is_not_missing(spark):
     products = spark.createDataFrame([("p1", None), ("p2", None)], "product_id string, product_category_name string")
     r = orders.items_summary(items, products).collect()[0]
     assert (r.n_items, r.total_freight, r.n_unique_categories) == (2, 1.0, 0)
+
+
+def test_column_stats_of_fine_values(spark):
+    import numpy as np
+    from churnwise.operators import reports
+    fine = [0.00123, 0.00456, 1.23456, -7.00001, 0.00009]
+    wide = [2e13, 3e13, 1.5, -4e12, 0.25]
+    df = spark.createDataFrame(list(zip(fine, wide)), "fine double, wide double")
+    got = {r["column"]: r for r in reports.column_stats(df).collect()}
+    assert got["fine"]["mean"] == round(float(np.mean(fine)), 4) and got["fine"]["std"] == round(float(np.std(fine, ddof=1)), 3)
+    assert abs(got["wide"]["mean"] / np.mean(wide) - 1) < 1e-12 and abs(got["wide"]["std"] / np.std(wide, ddof=1) - 1) < 1e-9
