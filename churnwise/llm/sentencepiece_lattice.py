@@ -3,8 +3,9 @@
 1. Texts are cut into units at places that no piece of the model spans, so
    units are encoded on their own; Spark counts the distinct ones.
 2. Every unit is exploded to its substrings of at most the longest piece's
-   length, which equi-join the piece table (fixed size, broadcast).  Single
-   characters that are no piece become byte-fallback edges.
+   length, which equi-join the piece table (fixed size, broadcast) on their
+   64-bit hash and are then compared.  Single characters that are no piece
+   become byte-fallback edges.
 3. Edges are grouped by unit and a higher-order ``aggregate`` folds the
    Viterbi recursion over the end positions.
 4. The best path of a BPE model is the one whose merges come first: a path's
@@ -12,8 +13,10 @@
    pieces, compared from the front.  Costs of joined paths add as unions, so
    Viterbi is exact, and the result equals the library's merges.  For a
    unigram model the cost is the negative sum of log probabilities.
-5. The ``HOT_UNITS`` commonest units are broadcast and resolved where the
-   documents are; the rest joins by unit and returns to its document.
+5. The ``HOT_UNITS`` commonest units are broadcast as sorted hash arrays and
+   resolved where the documents are; the rest joins by unit hash and returns to
+   its document.  The decoded ids are compared with the text, and a text that
+   differs (two units of one hash) is merged unit by unit.
 
 The model file is a parameter and is read on the driver; it is never trained.
 """
@@ -24,21 +27,27 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnwise.llm.common import arrow_job, slices, stage
+from churnwise.llm.textkit import SortedHash, U
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Units broadcast at most; they are no longer than LONG characters.
-HOT_UNITS = 1 << 18
-#: Units beyond this length are merged by a heap where their document is, not by the lattice.
+#: Units broadcast at most, as sorted arrays; they are no longer than LONG characters.
+HOT_UNITS = 1 << 19
+#: Units beyond this length are encoded where their document is: a heap of merges or the same recursion in a loop.
 LONG = 96
 #: Tasks that cut and fold units, in shuffle partitions of the session.
 SPREAD = 12
 #: Distinct words a map task holds before it passes its counts on.
-HELD = 1 << 18
+HELD = 1 << 17
+#: Words whose units a task keeps from text to text.
+KEPT = 1 << 16
+#: FIXED VALUE: seed of Spark's xxhash64.
+SEED = 42
 SPACE = "▁"
 #: A merge is rank * 2 ** SHIFT + position in its unit.
 SHIFT = 20
@@ -103,10 +112,27 @@ class Pieces:
 
     def long_ids(self, unit: str) -> list[int]:
         out: list[int] = []
-        for p in (self.merges(unit)[0] if self.bpe else list(unit)):
+        for p in (self.merges(unit)[0] if self.bpe else self._cheapest(unit)):
             out += [self.normal[p][0]] if p in self.normal else self.char_ids(p)
         return out
 
+    def _cheapest(self, unit: str) -> list[str]:
+        """Pieces of a unigram model's best path: the lattice's recursion and costs over a whole unit of any length."""
+        cost, came = [0.0], [0]
+        for end in range(1, len(unit) + 1):
+            best, at = cost[-1] + 1e6, end - 1                # a character that is no piece
+            for start in range(max(0, end - self.longest), end):
+                p = self.normal.get(unit[start: end])
+                if p is not None and cost[start] - p[1] < best:
+                    best, at = cost[start] - p[1], start
+            cost.append(best)
+            came.append(at)
+        out, end = [], len(unit)
+        while end:
+            out.append(unit[came[end]: end])
+            end = came[end]
+        return out[::-1]
+
     def _cuts(self) -> re.Pattern:
         """Units: spaces and what follows; letters, digits and other marks part where no piece joins their kinds."""
         kinds = {"L": r"[^\W\d_]", "D": r"\d", "O": r"(?:[^\w%s\n]|_)" % SPACE}
@@ -199,7 +225,7 @@ def _best_path(n, edges, bpe: bool):
 
     def join_cost(old, cost, at):
         if bpe:
-            return F.array_sort(F.concat(old, F.transform(cost, lambda m: m + at)))
+            return F.sort_array(F.concat(old, F.transform(cost, lambda m: m + at)))
         return F.array(F.get(old, F.lit(0)) + F.get(cost, F.lit(0)))
 
     def step(paths, end):
@@ -223,18 +249,39 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     fallback = (F.transform(F.sequence(F.lit(0), (F.length(hexed) / 2).cast("int") - 1),
                             lambda k: F.conv(F.substring(hexed, k * 2 + 1, 2), 16, 10).cast("int") + pieces.bytes[0])
                 if pieces.bytes else F.array(F.lit(pieces.unknown)))
-    # the piece table is the model's vocabulary, a fixed size
-    edges = (spans.join(F.broadcast(pieces.table(spark)), "piece", "left").filter("id IS NOT NULL OR len = 1")
+    # the piece table is the model's vocabulary, a fixed size; a long key makes the look-up cheap, the bytes decide
+    table = pieces.table(spark).select(F.xxhash64("piece").alias("h"), F.col("piece").alias("known"), "id", "cost")
+    found = F.col("known") == F.col("piece")
+    edges = (spans.withColumn("h", F.xxhash64("piece")).join(F.broadcast(table), "h", "left").filter(found | (F.col("len") == 1))
              .select("unit", "n", F.struct((F.col("start") + F.col("len")).alias("end"), "start",
-                                           F.when(F.col("id").isNotNull(), F.array("id")).otherwise(fallback).alias("ids"),
-                                           F.coalesce("cost", rest).alias("cost")).alias("edge")))
+                                           F.when(found, F.array("id")).otherwise(fallback).alias("ids"),
+                                           F.when(found, F.col("cost")).otherwise(rest).alias("cost")).alias("edge")))
     lattice = edges.groupBy("unit", "n").agg(F.collect_list("edge").alias("edges"))
     best = lattice.select("unit", "n", _best_path(F.length("unit"), F.col("edges"), pieces.bpe).alias("ids"))
     return best
 
 
-def _hot(known: DataFrame) -> dict[str, bytes]:
-    """The commonest units' ids as 32-bit integers; HOT_UNITS entries of at most LONG characters.
+def hashes(units: list[str]) -> np.ndarray:
+    """Spark's xxhash64 of each unit."""
+    return np.array([xxhash.xxh64_intdigest(u.encode("utf-8"), SEED) for u in units], U)
+
+
+class Hot:
+    """Ids of the commonest units: sorted hashes, offsets and one array of ids."""
+
+    def __init__(self, h: np.ndarray, ends: np.ndarray, flat: np.ndarray):
+        h, first = np.unique(h, return_index=True)            # of two units of one hash one stays
+        size = np.diff(ends)[first]
+        self.hashes = SortedHash(h)
+        self.ends = np.concatenate([[0], np.cumsum(size)])
+        self.flat = flat[np.repeat(ends[:-1][first] - self.ends[:-1], size) + np.arange(self.ends[-1])]
+
+    def ids(self, at: int) -> bytes:
+        return self.flat[self.ends[at]: self.ends[at + 1]].tobytes()
+
+
+def _hot(known: DataFrame) -> Hot:
+    """The commonest units' ids; HOT_UNITS entries of at most LONG ids.
 
     The count from which a unit is common comes from a histogram of counts in
     eighths of a power of two (at most 512 numbers), so nothing is sorted."""
@@ -245,33 +292,40 @@ def _hot(known: DataFrame) -> dict[str, bytes]:
             break
         room, cut = room - r["count"], r["step"]
     if cut is None:
-        return {}
-    top = short.filter(F.col("step") >= cut).select("unit", "ids").toArrow()
-    units, ids = top.column("unit").to_pylist(), top.column("ids").combine_chunks()
-    off = ids.offsets.to_numpy() if len(units) else np.zeros(1, np.int32)
-    raw = ids.values.to_numpy(zero_copy_only=False).astype(np.int32).tobytes() if len(units) else b""
-    return {u: raw[4 * a: 4 * b] for u, a, b in zip(units, off[:-1].tolist(), off[1:].tolist())}
+        return Hot(np.zeros(0, U), np.zeros(1, np.int64), np.zeros(0, np.int32))
+    top = short.filter(F.col("step") >= cut).select("h", "ids").toArrow().combine_chunks()
+    size = top.column("ids").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+    flat = top.column("ids").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    return Hot(top.column("h").to_numpy().view(U), np.concatenate([[0], np.cumsum(size)]).astype(np.int64), flat)
+
+
+def _resolve(words: set, model: Pieces, hot: Hot, cache: dict, long: int) -> None:
+    """Put each word's parts into ``cache``: ids as bytes, one entry where all its units are known, else a list with rare units' hashes."""
+    if len(cache) > KEPT:
+        cache.clear()
+    todo = [w for w in words if w not in cache]
+    cut = [model.pattern.findall(w) for w in todo]
+    units = list({u for c in cut for u in c if len(u) <= long})
+    h = hashes(units)
+    of = {u: hot.ids(i) if i >= 0 else k for u, i, k in zip(units, hot.hashes.find(h).tolist(), h.view(np.int64).tolist())}
+    for w, c in zip(todo, cut):
+        parts = [of[u] if u in of else np.array(model.long_ids(u), np.int32).tobytes() for u in c]
+        cache[w] = b"".join(parts) if all(type(p) is bytes for p in parts) else parts
 
 
 def _rare_units(pieces, hot):
-    """(row, unit) for the distinct units of a document that are not broadcast."""
+    """(row, h) for the distinct units of a document that are not broadcast."""
     cache: dict = {}
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        model, known = pieces.value, hot.value
-        rows, units = [], []
-        for row, text in zip(piece.column(1).to_pylist(), piece.column(0).to_pylist()):
-            rest: set = set()
-            for w in set(model.words(text)):
-                own = cache.get(w)
-                if own is None:
-                    own = cache[w] = tuple(u for u in model.pattern.findall(w) if len(u) <= LONG and u not in known)
-                rest.update(own)
+        rows, found = [], []
+        texts = [set(pieces.value.words(t)) for t in piece.column(0).to_pylist()]
+        _resolve(set().union(*texts), pieces.value, hot.value, cache, LONG)
+        for row, own in zip(piece.column(1).to_pylist(), texts):
+            rest = {p for w in own if type(cache[w]) is list for p in cache[w] if type(p) is int}
             rows += [row] * len(rest)
-            units += rest
-        if len(cache) > HELD:
-            cache.clear()
-        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(units, pa.string())], names=["row", "unit"])
+            found += rest
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(found, pa.int64())], names=["row", "h"])
     return run
 
 
@@ -287,35 +341,34 @@ def _assemble(pieces, hot):
     cache: dict = {}
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        model, known = pieces.value, hot.value
-        names = piece.schema.names
-
-        def ids_of(word):
-            """Ids of a word of hot units, b"" when it has a rare one."""
-            parts = [known.get(u) if len(u) <= LONG else np.array(model.long_ids(u), np.int32).tobytes()
-                     for u in model.pattern.findall(word)]
-            cache[word] = out = b"" if None in parts else b"".join(parts)
-            return out
-        if len(cache) > HELD:
-            cache.clear()
+        model, names = pieces.value, piece.schema.names
         z = zstandard.ZstdDecompressor()
         table = getattr(model, "_bytes_of", None)
         if table is None:
             back = {i: bytes([b]) for b, i in model.bytes.items()}
             table = [b"" if i in model.special else back.get(i, t.encode("utf-8")) for i, t in enumerate(model.text)]
             model._bytes_of = table
+
+        def same_text(ids, text):
+            decoded = b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace").replace(SPACE, " ")
+            return (decoded[1:] if model.prefix and decoded.startswith(" ") else decoded) == text.replace(SPACE, " ")
+        texts = [z.decompress(t).decode("utf-8") if t is not None else "" for t in piece.column(0).to_pylist()]
+        cut = [model.words(t) for t in texts]
+        _resolve(set().union(*cut), model, hot.value, cache, LONG)
+        rare = piece.column(names.index("rare"))
         out, lens, same = [], [], []
-        for packed, rare in zip(piece.column(0).to_pylist(), piece.column(names.index("rare")).to_pylist()):
-            text = z.decompress(packed).decode("utf-8") if packed is not None else ""
-            own = {r["unit"]: np.array(r["ids"], np.int32).tobytes() for r in rare or []}
-            raw = b"".join([cache.get(w) or ids_of(w)
-                            or b"".join([known[u] if u in known else own[u] if u in own else ids_of(u) for u in model.pattern.findall(w)])
-                            for w in model.words(text)])
+        for i, (text, words) in enumerate(zip(texts, cut)):
+            own = {r["h"]: np.array(r["ids"], np.int32).tobytes() for r in rare[i].as_py() or []}
+            raw = b"".join([p if type(p) is bytes else b"".join([x if type(x) is bytes else own[x] for x in p])
+                            for p in map(cache.__getitem__, words)])
             ids = np.frombuffer(raw, np.int32)
+            equal = same_text(ids, text)
+            if not equal:                                     # units that share a hash: encode this text by itself
+                ids = np.array([x for u in model.units(text) for x in model.long_ids(u)], np.int32)
+                equal = same_text(ids, text)
             out.append(ids)
             lens.append(len(ids))
-            decoded = b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace").replace(SPACE, " ")
-            same.append((decoded[1:] if model.prefix and decoded.startswith(" ") else decoded) == text.replace(SPACE, " "))
+            same.append(equal)
         flat = np.concatenate(out) if out else np.zeros(0, np.int32)
         ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lens]), pa.int32()), pa.array(flat))
         keep = [i for i, x in enumerate(names) if x not in ("packed", "rare", "row", "r_row")]
@@ -339,15 +392,15 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     d = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     # a unit grows to dozens of substrings, so its few bytes are dealt over many tasks, in which the edges then fit
     parts = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    units = (d.select("text").mapInArrow(_unit_task(shared), "unit string, n long").repartition(parts, "unit")
-             .groupBy("unit").agg(F.sum("n").alias("n")))
-    known = stage(encode_units(units, pieces), "piece-units")
+    units = (d.select("text").mapInArrow(_unit_task(shared), "unit string, n long")
+             .groupBy("unit").agg(F.sum("n").alias("n")).repartition(parts, "unit"))
+    known = stage(encode_units(units, pieces).select(F.xxhash64("unit").alias("h"), "n", "ids"), "piece-units")
     hot = spark.sparkContext.broadcast(_hot(known))
     # rows are told apart by id and text hash; equal rows have equal ids, so they share one lookup
     keyed = d.withColumn("row", F.xxhash64("doc_id", "text"))
-    rare = (keyed.select("text", "row").mapInArrow(arrow_job(_rare_units(shared, hot)), "row long, unit string")
-            .join(known.select("unit", "ids"), "unit")
-            .groupBy("row").agg(F.collect_set(F.struct("unit", "ids")).alias("rare")).withColumnRenamed("row", "r_row"))
+    rare = (keyed.select("text", "row").mapInArrow(arrow_job(_rare_units(shared, hot)), "row long, h long")
+            .join(known.select("h", "ids"), "h")
+            .groupBy("row").agg(F.collect_set(F.struct("h", "ids")).alias("rare")).withColumnRenamed("row", "r_row"))
     packed = keyed.select("text", "doc_id", "row").mapInArrow(arrow_job(_pack), "packed binary, doc_id long, row long")
     return (packed.join(rare, packed["row"] == rare["r_row"], "left").select("packed", "doc_id", "rare")
             .mapInArrow(arrow_job(_assemble(shared, hot), "packed"),

@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from churnwise.llm import sentencepiece_lattice as P
@@ -62,6 +63,20 @@ def test_rare_and_long_units_take_the_other_paths(spark, library, monkeypatch):
     assert all(list(got[i].ids) == library.encode(t) for i, t in rows)
 
 
+def test_units_of_one_hash_do_not_mix(spark, library, monkeypatch):
+    monkeypatch.setattr(P, "_hot", lambda known: P.Hot(P.hashes(["▁hello"]), np.array([0, 2]), np.array([5, 6], np.int32)))
+    got = encoded(spark, [(1, "hello there"), (2, "there")])
+    assert [list(got[i].ids) for i in (1, 2)] == [library.encode("hello there"), library.encode("there")]
+    assert got[1].round_trip and got[2].round_trip
+
+
+def test_hashes_are_sparks(spark):
+    from pyspark.sql import functions as F
+    units = ["a", "▁the", "x" * 70, "日本語のテ"]
+    rows = spark.createDataFrame([(u,) for u in units], "u string").select("u", F.xxhash64("u").alias("h")).collect()
+    assert {r.u: r.h for r in rows} == dict(zip(units, P.hashes(units).view(np.int64).tolist()))
+
+
 def test_unigram_costs_match_all_segmentations(spark):
     pieces = P.Pieces.__new__(P.Pieces)
     pieces.bpe, pieces.prefix, pieces.bytes, pieces.unknown, pieces.longest = False, False, {}, 0, 4
@@ -84,6 +99,10 @@ def test_unigram_costs_match_all_segmentations(spark):
                 if best is None or score > best[0] + 1e-12:
                     best = (score, [pieces.normal[p][0] for p in parts])
         assert list(r.ids) == best[1], r.unit
+        assert pieces.long_ids(r.unit) == best[1]
+    unit = "".join(rng.choice("abcd") for _ in range(P.LONG * 4))
+    lattice = P.encode_units(spark.createDataFrame([(unit, 1)], "unit string, n long"), pieces).first().ids
+    assert pieces.long_ids(unit) == list(lattice)
 
 
 def test_odd_rows(odd_docs, odd_rows, no_docs, library):
