@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from churnwise.config import Params
 from churnwise.operators import actions, boosting, clv, evaluation, explain, ml, segments
+from churnwise.plans.resume import Run
 from churnwise.session import cut_lineage, drop_stages, ensure_checkpoint_dir, path_exists
 
 CUST = "customer_unique_id"
@@ -102,7 +103,7 @@ def run_churn(customers: DataFrame, params: Params = Params(), fitted: dict | No
     scored = score_churn(fit["model"], customers, params)
     contrib = explain_churn(fit["model"], customers, params, out_dir, as_of)
     return {**fit, "customers": scored, "contributions": contrib,
-            "baselines": ml.baselines(fit["train"], fit["test"], fit["test_scored"]),
+            "baselines": fit["baselines"] if "baselines" in fit else ml.baselines(fit["train"], fit["test"], fit["test_scored"]),
             "feature_importance": explain.feature_importance(contrib, params.feature_cols),
             "top_reasons": explain.top_reasons(scored, contrib, params.explain_top_n, params.feature_cols)}
 
@@ -135,17 +136,29 @@ def run_all(feat: DataFrame, as_of, params: Params = Params(), out_dir: str | No
     """Segments -> churn -> value -> activation; optionally every table and
     both models written under ``out_dir`` (the serving layer reads those).
 
-    ``clean_up`` (with ``out_dir``) deletes the session's stage tables at the
-    end and returns the stored tables instead."""
+    With ``out_dir`` every stage is stored under the key of its inputs, so a
+    run that broke off continues after its last finished stage.  ``clean_up``
+    deletes the session's stage tables and the run's stages at the end and
+    returns the stored tables instead."""
+    run = Run(feat.sparkSession, feat, as_of, params, out_dir)
+
+    def only(found, *names):
+        return {k: found[k] for k in names}
+
+    def churn_fit():
+        fit = fit_churn(feat, params)
+        return {**only(fit, "model", "metrics", "confusion", "classification_report", "error_analysis"),
+                "baselines": ml.baselines(fit["train"], fit["test"], fit["test_scored"])}
     # the three fits only need the feature stage: submit them together so
     # their many small iteration jobs share the executors
     with ThreadPoolExecutor(max_workers=3) as ex:
-        f_seg = ex.submit(run_segments, feat, params)
-        f_churn = ex.submit(fit_churn, feat, params)
-        f_clv = ex.submit(fit_clv, feat, params)
-        seg, churn_fit, clv_fit = f_seg.result(), f_churn.result(), f_clv.result()
-    ch = run_churn(seg["customers"], params, churn_fit, out_dir, as_of)
-    cl = run_clv(ch["customers"], params, clv_fit, out_dir, as_of)
+        f_seg = ex.submit(run.stage, "segments", lambda: only(run_segments(feat, params), "customers", "segment_summary", "k_sweep"))
+        f_churn = ex.submit(run.stage, "churn_fit", churn_fit)
+        f_clv = ex.submit(run.stage, "clv_fit", lambda: only(fit_clv(feat, params), "model", "metrics"))
+        seg, churn, value = f_seg.result(), f_churn.result(), f_clv.result()
+    ch = run.stage("churn", lambda: only(run_churn(seg["customers"], params, churn, out_dir, as_of), "customers", "metrics", "confusion",
+                                         "classification_report", "error_analysis", "baselines", "feature_importance", "top_reasons"))
+    cl = run.stage("clv", lambda: only(run_clv(ch["customers"], params, value, out_dir, as_of), "customers", "metrics", "thresholds"))
     act = run_activation(cl["customers"], as_of, params)
     res = {
         "customers": cl["customers"], "segment_summary": seg["segment_summary"], "k_sweep": seg["k_sweep"],
@@ -162,6 +175,7 @@ def run_all(feat: DataFrame, as_of, params: Params = Params(), out_dir: str | No
         status(res["customers"], as_of, out_dir).write.mode("overwrite").parquet(f"{base}/status")
         if clean_up:
             drop_stages(spark)
+            run.forget()
             return {name: spark.read.parquet(f"{base}/{name}") for name in res}
     return res
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+import weakref
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,18 +71,56 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Delete the stage tables that this session's :func:`cut_lineage` wrote (call when a run's results are stored)."""
-    sc = spark.sparkContext
     while _STAGES:
         app, path = _STAGES.pop()
-        if app == sc.applicationId:
-            p = sc._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        if app == spark.sparkContext.applicationId:
+            _delete(spark, path)
+
+
+def drop_stage(df: DataFrame) -> None:
+    """Delete one stage table, as :func:`cut_lineage` returned it, once nothing reads it any more."""
+    entry = _TABLES.pop(df, None)
+    if entry in _STAGES:
+        _STAGES.remove(entry)
+        _delete(df.sparkSession, entry[1])
 
 
-#: (application id, path) of the stage tables written so far.
+#: (application id, path) of the stage tables written so far; the entry of each DataFrame handed out.
 _STAGES: list[tuple[str, str]] = []
+_TABLES: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+#: Setting by which a finished execution deletes its shuffle files.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_WRITES = {"now": 0, "before": None}
+_LOCK = threading.Lock()
+
+
+@contextmanager
+def _shuffles_go(spark: SparkSession):
+    """While stage tables are written, an execution's shuffle files go with it; the setting returns after the last of them."""
+    with _LOCK:
+        if not _WRITES["now"]:
+            _WRITES["before"] = spark.conf.get(SHUFFLE_CLEANUP, None)
+            spark.conf.set(SHUFFLE_CLEANUP, "true")
+        _WRITES["now"] += 1
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _WRITES["now"] -= 1
+            if not _WRITES["now"]:
+                if _WRITES["before"] is None:
+                    spark.conf.unset(SHUFFLE_CLEANUP)
+                else:
+                    spark.conf.set(SHUFFLE_CLEANUP, _WRITES["before"])
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -88,12 +129,16 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     The written table cuts the lineage like ``checkpoint()`` (a lost executor
     re-reads files instead of replaying joins), and unlike a serialized-row
     checkpoint every later read prunes columns, pushes filters into the scan
-    and gives AQE real file sizes.  Used at stage boundaries and before
-    iterative ML.
+    and gives AQE real file sizes.  The shuffle files behind a written table
+    are deleted at once.  Used at stage boundaries and before iterative ML.
     """
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/stages/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    _STAGES.append((spark.sparkContext.applicationId, path))
-    return spark.read.parquet(path)
+    with _shuffles_go(spark):
+        df.write.mode("overwrite").parquet(path)
+    entry = (spark.sparkContext.applicationId, path)
+    _STAGES.append(entry)
+    out = spark.read.parquet(path)
+    _TABLES[out] = entry
+    return out
