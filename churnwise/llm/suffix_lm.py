@@ -29,11 +29,13 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnwise.llm.common import arrow_job, fold, slices, stage
 from churnwise.llm.textkit import LOWER, SortedHash, U, joined, mix, runs, words
+from churnwise.session import drop_stage
 
 DEPTH = 6
 #: Times that a state was seen at least.
@@ -126,8 +128,10 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
     return stage(per_task.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
 
 
-def contexts(counts: DataFrame, total: int, depth: int = DEPTH) -> DataFrame:
-    """(d, code, n, state) of the common contexts by depth with their next symbols; code holds the context and the symbol."""
+def contexts(counts: DataFrame, total: int, depth: int = DEPTH) -> pa.Table:
+    """(d, code, n, state) of the common contexts by depth with their next symbols; code holds the context and the symbol.
+
+    At most ALPHABET symbols follow each of at most ``depth / MIN_SHARE`` contexts, 18 bytes a row."""
     base = counts.filter("kind = 1").select("key", "n")
 
     def part(d: int) -> Column:
@@ -156,9 +160,12 @@ def contexts(counts: DataFrame, total: int, depth: int = DEPTH) -> DataFrame:
             .select("d", "ctx"))
     roots = sums.filter("d = 0").select("d", "ctx")
     kept = kept.unionAll(roots).withColumn("state", F.lit(True))
-    return rows.join(kept, ["d", "ctx"], "left").select(
+    found = rows.join(kept, ["d", "ctx"], "left").select(
         F.col("d").cast("byte").alias("d"), F.shiftleft("ctx", 8).bitwiseOR(F.col("sym")).alias("code"), "n",
-        F.coalesce("state", F.lit(False)).alias("state"))
+        F.coalesce("state", F.lit(False)).alias("state")).toArrow()
+    for done in (levels, *passed):
+        drop_stage(done)
+    return found
 
 
 def _low(code: np.ndarray, d: int) -> np.ndarray:
@@ -289,12 +296,15 @@ def _dealt(columns, tasks: int, names: list[str]):
         ends = pa.array(np.append(first, len(order)), pa.int32())
         lists = [pa.ListArray.from_arrays(ends, pa.array(x[order].view(np.int64))) for x in (code, *more)]
         return pa.RecordBatch.from_arrays([pa.array(task[order][first].view(np.int64)), *lists], names=["task", *names])
+    size = 0
     for arrays in columns:
         if len(arrays[0]):
             held.append(arrays)
-        if sum(len(h[0]) for h in held) > HELD // 2:
+            size += len(arrays[0])
+        if size > HELD // 2:
             yield out()
             held.clear()
+            size = 0
     if held:
         yield out()
 
@@ -309,12 +319,26 @@ def _rare_counts(shared, tasks: int):
     return lambda batches: _dealt(rare(batches), tasks, ["code", "n"])
 
 
+def pack(code: np.ndarray, times: np.ndarray) -> bytes | None:
+    """Ascending codes as differences, byte plane by byte plane, and their times, compressed; None without any."""
+    if not len(code):
+        return None
+    planes = np.diff(code, prepend=U(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes() + times.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(12, -1)
+    return (np.cumsum(np.ascontiguousarray(raw[:8].T).view("<u8")[:, 0], dtype=U),
+            np.ascontiguousarray(raw[8:].T).view("<u4")[:, 0].astype(np.int64))
+
+
 def _rare_asked(tasks: int):
     def rare(batches):
         for b in batches:
-            row, codes, times = b.columns
-            yield (codes.flatten().to_numpy(zero_copy_only=False).view(U), times.flatten().to_numpy(zero_copy_only=False),
-                   np.repeat(row.to_numpy(zero_copy_only=False), codes.value_lengths().to_numpy(zero_copy_only=False)))
+            for row, packed in zip(b.column(0).to_pylist(), b.column(1)):
+                code, times = unpack(packed.as_py())
+                yield code, times, np.full(len(code), row, np.int64)
     return lambda batches: _dealt(rare(batches), tasks, ["code", "times", "row"])
 
 
@@ -349,8 +373,10 @@ def _score_task(shared, names):
         left_doc, left_code = left_doc[order], left_code[order]
         first = runs(left_doc, left_code)
         times = np.diff(first, append=len(left_doc))
-        ends = pa.array(np.searchsorted(left_doc[first], np.arange(n + 1)), pa.int32())
-        rare = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (left_code[first].view(np.int64), times.astype(np.int64))]
+        ends = np.searchsorted(left_doc[first], np.arange(n + 1))
+        rare_code = left_code[first]
+        rare = [pa.array([pack(rare_code[a:b], times[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
+                pa.array(np.diff(ends), pa.int64())]
         w = words(texts, lower=True)
         d, at = w.doc, hot_keys.find(w.hash)
         hit = at >= 0
@@ -362,7 +388,7 @@ def _score_task(shared, names):
         tail = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rest.view(np.int64)))
         more = [pa.array(np.diff(w.first) + 1, pa.int64()), pa.array(score), pa.array(base), pa.array(known, pa.int64()), tail, *rare]
         return pa.RecordBatch.from_arrays([*piece.columns[1:], *more],
-                                          names=[*names, "n_tokens", "score", "base_hot", "known_hot", "tail", "codes", "times"])
+                                          names=[*names, "n_tokens", "score", "base_hot", "known_hot", "tail", "codes", "asked"])
     return run
 
 
@@ -382,7 +408,7 @@ def score_texts(docs: DataFrame, folds: int = 5) -> DataFrame:
     unigrams = counts.filter("kind = 0").select("key", "n")
     big_n, vocab = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     symbols = counts.filter("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = contexts(counts, symbols).toArrow()                # bounded by MIN_SHARE
+    found = contexts(counts, symbols)                          # bounded by MIN_SHARE
     depth, code, n, state = (found.column(c).to_numpy() for c in ("d", "code", "n", "state"))
     common, tree = Common(depth, code), SuffixTree(depth[state], code[state], n[state])
     parents = spark.sparkContext.broadcast(Parents(depth, code, n))
@@ -396,23 +422,23 @@ def score_texts(docs: DataFrame, folds: int = 5) -> DataFrame:
     whole = big_n + 0.5 * (vocab + 1)
     scored = stage(d.mapInArrow(arrow_job(_score_task(shared, ["doc_id", "held_out"])),
                                 "doc_id long, held_out boolean, n_tokens long, score double, base_hot double, known_hot long, tail array<long>, "
-                                "codes array<long>, times array<long>")
+                                "codes binary, asked long")
                    .withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     tail = scored.select("row", F.explode("tail").alias("key"))
     unknown = F.log10(F.lit(0.5 / max(whole, 0.5)))
     part = (tail.join(unigrams, "key", "left").groupBy("row")
             .agg(F.sum(F.when(F.col("n").isNull(), unknown).otherwise(F.log10((F.col("n") + 0.5) / whole))).alias("base_tail"),
                  F.count("n").alias("known_tail")))
-    most = max(scored.agg(F.coalesce(F.sum(F.size("codes")), F.lit(0))).first()[0], counts.filter("kind = 1").count())
+    most = max(scored.agg(F.coalesce(F.sum("asked"), F.lit(0))).first()[0], counts.filter("kind = 1").count())
     tasks = 1 + most // ROOT_ROWS
     rare_n = counts.filter("kind = 1").select("key", "n").mapInArrow(_rare_counts(shared, tasks), "task long, code array<long>, n array<long>")
-    asked = (scored.select("row", "codes", "times")
+    asked = (scored.filter("codes IS NOT NULL").select("row", "codes")
              .mapInArrow(_rare_asked(tasks), "task long, code array<long>, times array<long>, row array<long>"))
-    rare = (rare_n.groupBy("task").cogroup(asked.groupBy("task"))
-            .applyInArrow(_rare_scores(shared, parents), "row long, rare double").groupBy("row").agg(F.sum("rare").alias("rare")))
+    rare = stage(rare_n.groupBy("task").cogroup(asked.groupBy("task"))
+                 .applyInArrow(_rare_scores(shared, parents), "row long, rare double").groupBy("row").agg(F.sum("rare").alias("rare")), "lm-rare")
     end_log = F.log10(F.lit((end_n + 0.5) / max(whole, 0.5)))
     zero = F.lit(0)
-    return (scored.drop("tail", "codes", "times").join(part, "row", "left").join(rare, "row", "left")
+    return (scored.drop("tail", "codes", "asked").join(part, "row", "left").join(rare, "row", "left")
             .select("doc_id", "held_out", "n_tokens",
                     (F.col("known_hot") + F.coalesce("known_tail", zero) + (1 if end_n else 0)).cast("long").alias("n_known"),
                     F.lit(int(big_n)).cast("long").alias("train_tokens"),

@@ -153,3 +153,11 @@ def test_same_evidence_makes_a_state_in_a_larger_corpus(spark, monkeypatch):
     for i, t in rows[:6]:
         s = bytes([S.START] * S.DEPTH) + symbols_of(t)
         assert got[i] == pytest.approx(sum(math.log10(p(s[j - S.DEPTH: j], s[j])) for j in range(S.DEPTH, len(s))), rel=1e-9)
+
+
+def test_packed_codes_come_back():
+    code = np.array([0, 5, 5 + (1 << 40), (6 << 56) + 3], np.uint64)
+    times = np.array([1, 70000, 2, 3], np.int64)
+    got = S.unpack(S.pack(code, times))
+    assert got[0].tolist() == code.tolist() and got[1].tolist() == times.tolist()
+    assert S.pack(code[:0], times[:0]) is None
