@@ -32,8 +32,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnwise.llm.common import arrow_job, slices, stage
+from churnwise.llm.common import arrow_job, give_back, slices, stage
 from churnwise.llm.textkit import SortedHash, U
+from churnwise.session import drop_stage
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units broadcast at most, as sorted arrays; they are no longer than LONG characters.
@@ -45,7 +46,7 @@ SPREAD = 12
 #: Distinct words a map task holds before it passes its counts on.
 HELD = 1 << 17
 #: Words whose units a task keeps from text to text.
-KEPT = 1 << 16
+KEPT = 1 << 15
 #: FIXED VALUE: seed of Spark's xxhash64.
 SEED = 42
 SPACE = "▁"
@@ -214,6 +215,7 @@ def _unit_task(pieces):
             if len(held) > HELD:
                 yield from out()
         yield from out()
+        give_back()
     return run
 
 
@@ -401,6 +403,8 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     rare = (keyed.select("text", "row").mapInArrow(arrow_job(_rare_units(shared, hot)), "row long, h long")
             .join(known.select("h", "ids"), "h")
             .groupBy("row").agg(F.collect_set(F.struct("h", "ids")).alias("rare")).withColumnRenamed("row", "r_row"))
+    rare = stage(rare, "piece-rare")
+    drop_stage(known)
     packed = keyed.select("text", "doc_id", "row").mapInArrow(arrow_job(_pack), "packed binary, doc_id long, row long")
     return (packed.join(rare, packed["row"] == rare["r_row"], "left").select("packed", "doc_id", "rare")
             .mapInArrow(arrow_job(_assemble(shared, hot), "packed"),
