@@ -1,7 +1,10 @@
+import math
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from churnwise.llm import toxicity as T
 from churnwise.llm.common import read
@@ -61,3 +64,61 @@ def test_odd_rows(odd_docs, odd_rows, no_docs, spark):
     assert T.score_documents(no_docs, labels).count() == 0
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert all(r.predicted == 0 for r in T.score_documents(odd_docs, none).filter("doc_id <> 4").collect())
+
+
+def test_sample_holds_both_labels_and_folds_copies(spark):
+    assert T.shares({0: 100, 1: 4}, room=20) == {1: 1.0, 0: 0.16}
+    assert T.shares({0: 100, 1: 50}, room=20) == {1: 0.2, 0: 0.1} and T.shares({}, room=20) == {}
+    docs = spark.createDataFrame([(i, "same text here") for i in range(8)] + [(9, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 9)) for i in range(10)], "doc_id long, toxic int")
+    rows = {r.text: (r.toxic, r.weight) for r in T.training_rows(docs, labels).collect()}
+    taught = [i for i in range(10) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert rows["same text here"] == (0, float(sum(i < 8 for i in taught)))
+    assert ("other" in rows) == (9 in taught)
+
+
+def naive_scores(texts, weights, bias):
+    """Document scores sentence by sentence, words split by a pattern, with the product itself."""
+    out, known = [], {}
+    for text in texts:
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]", text or ""):
+            found = [w for w in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", sentence) if w]
+            if not found:
+                continue
+            for w in found:
+                known.setdefault(w, T.sentences(pa.array([w]))[0])
+            clean *= 1 - 1 / (1 + math.exp(-(bias + sum(float(weights[f]) for w in found for f in known[w]))))
+        out.append(1 - clean)
+    return out
+
+
+def test_spread_training_and_scores_by_hand(spark):
+    docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
+    weights, bias = T.train(docs, labels)
+    rows = sorted(T.training_rows(docs, labels).collect(), key=lambda r: r.text)
+    f, w, b = T.fit([pa.array([r.text for r in rows])], np.array([r.toxic for r in rows]), np.array([r.weight for r in rows]))
+    assert np.flatnonzero(weights).tolist() == f.tolist() and np.allclose(weights[f], w, atol=1e-5) and abs(b - bias) < 1e-6
+    scores = {r.doc_id: r.score for r in T.score_documents(docs, labels).collect()}
+    short = [r for r in docs.collect() if len(r.text or "") < 3000]
+    assert len(short) > 100
+    assert np.allclose([scores[r.doc_id] for r in short], naive_scores([r.text for r in short], weights, bias), atol=1e-9)
+
+
+def test_gradient_against_differences():
+    """The first step's gradient is that of the weighted noisy-or likelihood."""
+    texts = pa.array(["a b. c d", "c a! b b", "d d d", "a. c. b c d"])
+    y, weight = np.array([1.0, 0.0, 0.0, 1.0]), np.array([1.0, 2.0, 1.0, 3.0])
+    f, s, d, _ = T.sentences(texts)
+
+    def loss(w, b):
+        z = b + np.bincount(s, w[f], len(d))
+        p = T.noisy_or(T.log_clean(z), d, 4)
+        return -(weight * np.where(y > 0, np.log(p), np.log1p(-p))).sum() / weight.sum()
+    _, pull = T.start_bias(y, weight, np.bincount(d, minlength=4), rounds=0)
+    on, _, g = T.pushes(texts, pull)
+    for feature, got in zip(on, g / 2.0 ** 50):
+        step = np.zeros(1 << T.BITS)
+        step[feature] = 1e-4
+        want = (loss(step, -6.0) - loss(-step, -6.0)) / 2e-4
+        assert abs(got - want) < 1e-5 * max(1.0, abs(want))
