@@ -114,6 +114,8 @@ class Params:
     n_clusters: int = N_CLUSTERS
     k_sweep: tuple = K_SWEEP
     n_init: int = N_INIT
+    # the k sweep scores the silhouette of every such row, each against all rows (1: all of them; work is their product)
+    silhouette_every: int = 1
     test_size: float = TEST_SIZE
     seed: int = RANDOM_STATE
     n_trees: int = N_TREES

@@ -9,7 +9,6 @@ so a fit replays no join and does not depend on the cluster.
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from churnwise import config
 from churnwise.config import Params
 from churnwise.functions.scalar import finite_or_zero, round_half_even
-from churnwise.operators import boosting, clustering, evaluation, segments
+from churnwise.operators import boosting, clustering, evaluation, segments, silhouette
 from churnwise.operators.ranking import value_positions
 from churnwise.session import cut_lineage
 
@@ -42,17 +41,18 @@ def best_kmeans(scaled: DataFrame, ks, n_init: int, seed: int) -> dict:
     return clustering.fit_all(scaled, ks, n_init, seed)
 
 
-def k_sweep(scaled: DataFrame, models: dict) -> DataFrame:
-    """M2: inertia and silhouette per k, best k = highest silhouette.
+def k_sweep(scaled: DataFrame, models: dict, every: int = 1) -> DataFrame:
+    """M2: inertia and Euclidean silhouette per k, best k = highest silhouette; the final k stays fixed.
 
-    Spark's silhouette uses squared Euclidean distance (the reference used
-    Euclidean), so values differ; the sweep is reported, final k stays fixed."""
-    ev = ClusteringEvaluator(featuresCol="rfm_scaled", predictionCol="cluster")
-    rows = [(k, float(m.cost), float(ev.evaluate(m.transform(scaled))))
-            for k, m in sorted(models.items())]
-    best = max(rows, key=lambda r: r[2])[0]
+    The silhouette is that of all rows (``every`` = 1) or of the rows whose hash ``every`` divides, each against all rows."""
+    labels = {k: f"_k{k}" for k in sorted(models)}
+    points = scaled
+    for k, c in labels.items():
+        points = models[k].transform(points, out=c)
+    found = silhouette.silhouettes(points, labels, every=every)
+    best = max(labels, key=lambda k: found[k])
     return scaled.sparkSession.createDataFrame(
-        [(k, i, s, k == best) for k, i, s in rows],
+        [(k, float(models[k].cost), found[k], k == best) for k in labels],
         "k int, inertia double, silhouette double, best_k boolean")
 
 

@@ -52,7 +52,7 @@ def run_segments(feat: DataFrame, params: Params = Params(), sweep: bool = True)
     out = {"customers": customers, "clusters": named, "segment_summary": segments.segment_summary(customers),
            "kmeans": models[params.n_clusters]}
     if sweep:
-        out["k_sweep"] = ml.k_sweep(scaled, {k: m for k, m in models.items() if k in params.k_sweep})
+        out["k_sweep"] = ml.k_sweep(scaled, {k: m for k, m in models.items() if k in params.k_sweep}, params.silhouette_every)
     scaled.unpersist()
     return out
 
@@ -60,7 +60,7 @@ def run_segments(feat: DataFrame, params: Params = Params(), sweep: bool = True)
 def run_sweep(feat: DataFrame, params: Params = Params()) -> DataFrame:
     """M2: the k sweep alone."""
     scaled = scaled_stage(feat)
-    out = ml.k_sweep(scaled, ml.best_kmeans(scaled, sorted(params.k_sweep), params.n_init, params.seed))
+    out = ml.k_sweep(scaled, ml.best_kmeans(scaled, sorted(params.k_sweep), params.n_init, params.seed), params.silhouette_every)
     scaled.unpersist()
     return out
 
