@@ -7,7 +7,8 @@
    and their shares; no human label is read.
 3. The posterior of a document's votes is its soft label.  A linear scorer
    over hashed features (word endings, repeated neighbours, statistics in
-   steps) is fitted to the posteriors of a sample bounded by ``TRAIN_DOCS``.
+   steps) is fitted to the posteriors of a sample bounded by ``TRAIN_DOCS``,
+   in which a text weighs as many rows as a sample of rows would hold of it.
 4. Every whole document gets its score; it is kept from ``CUT`` up.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from churnwise.llm.common import arrow_job, slices, text_or_empty
 from churnwise.llm.textkit import U, mix, words
 
-#: Expected rows of the scorer's training sample.
+#: Expected rows of the scorer's training sample; copies of a text are one row.
 TRAIN_DOCS = 12_000
 #: Hashed features.
 BITS = 14
@@ -175,8 +176,8 @@ def features(stats: np.ndarray, w) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([d, rows]), np.concatenate([f, code.ravel()]), np.concatenate([x, np.ones(len(rows))])
 
 
-def fit(parts: list, target: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """Logistic weights over the hashed features to soft targets, by Adagrad."""
+def fit(parts: list, target: np.ndarray, weight: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """Logistic weights over the hashed features to soft targets of weighted rows, by Adagrad."""
     rows, d, f, x = 0, [], [], []
     for a, b, c, n in parts:
         d.append(a + rows)
@@ -187,9 +188,10 @@ def fit(parts: list, target: np.ndarray, rounds: int = 200) -> tuple[np.ndarray,
     if not rows:
         return w, bias
     d, f, x = np.concatenate(d), np.concatenate(f), np.concatenate(x)
+    weight = weight / weight.sum()
     for _ in range(rounds):
         z = bias + np.bincount(d, w[f] * x, rows)
-        e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - target) / rows
+        e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - target) * weight
         g = np.bincount(f, e[d] * x, 1 << BITS) + 1e-6 * w
         g2 += g * g
         w -= 0.3 * g / np.sqrt(g2)
@@ -199,6 +201,20 @@ def fit(parts: list, target: np.ndarray, rounds: int = 200) -> tuple[np.ndarray,
     return w, float(bias)
 
 
+def training_rows(texts: DataFrame, total: int, room: int = TRAIN_DOCS) -> DataFrame:
+    """text, weight of the sample: of c equal texts one row, taken with probability min(1, c * share), weight max(1, c * share).
+
+    Hashes are counted first, so a text that holds a third of all rows crosses a shuffle as one row per task.
+    """
+    share = min(1.0, room / max(total, 1))
+    hashed = texts.select("text", F.xxhash64("text").alias("t_hash"))
+    counts = hashed.groupBy("t_hash").agg((F.count(F.lit(1)) * F.lit(share)).alias("due"))
+    drawn = F.shiftrightunsigned(F.xxhash64("t_hash"), 11) / F.lit(2.0 ** 53)
+    picked = counts.filter(drawn < F.col("due")).select("t_hash", F.greatest("due", F.lit(1.0)).alias("weight"))
+    return (hashed.join(F.broadcast(picked), "t_hash")               # about TRAIN_DOCS rows
+            .groupBy("text").agg(F.max("weight").alias("weight")))
+
+
 def train(docs: DataFrame) -> tuple[WeakLabels, np.ndarray, float]:
     """Weak-label model over all documents, and the scorer fitted to a bounded sample's posteriors."""
     spark = docs.sparkSession
@@ -211,17 +227,18 @@ def train(docs: DataFrame) -> tuple[WeakLabels, np.ndarray, float]:
              .toPandas().sort_values("pattern"))               # 3 ** 8 rows at most
     model = WeakLabels(table["pattern"].to_numpy(np.int64), table["n"].to_numpy(float))
     total = max(1, int(table["n"].sum()))
-    share = min(1.0, TRAIN_DOCS / total)
-    sample = d.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    sample = training_rows(d, total)
     shared = spark.sparkContext.broadcast(model)
 
     def one_task(batches):
-        parts, target = [], []
+        parts, target, weight = [], [], []
         for batch in slices(batches):
             stats, w = statistics(batch.column(0))
             parts.append((*features(stats, w), batch.num_rows))
             target.append(shared.value.posterior(votes(stats)))
-        w, b = fit(parts, np.concatenate(target) if target else np.zeros(0))
+            weight.append(batch.column(1).to_numpy())
+        target, weight = (np.concatenate(x) if x else np.zeros(0) for x in (target, weight))
+        w, b = fit(parts, target, weight)
         on = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(on, -1)), pa.array(np.append(w[on], b))], names=["feature", "weight"])
     fitted = sample.repartition(1).sortWithinPartitions("text").mapInArrow(one_task, "feature long, weight double").toPandas()

@@ -53,3 +53,40 @@ def test_odd_rows(odd_docs, odd_rows, no_docs):
     same = {(r.score, r.weak_label) for r in rows if r.doc_id in (1, 2)}
     assert len(same) == 1
     assert Q.classify(no_docs).count() == 0
+
+
+def test_sample_weighs_copies(spark):
+    texts = spark.createDataFrame([("hot",)] * 400 + [(f"own {i}",) for i in range(600)], "text string").repartition(4)
+    rows = {r.text: r.weight for r in Q.training_rows(texts, 1000, room=100).collect()}
+    assert rows.pop("hot") == 40.0 and set(rows.values()) == {1.0} and 30 < len(rows) < 95
+    whole = Q.training_rows(texts, 1000).collect()
+    assert len(whole) == 601 and sum(r.weight for r in whole) == 1000
+
+
+def test_em_document_by_document():
+    """Shares and rates of the folded patterns are those of plain loops over documents."""
+    rng = np.random.default_rng(7)
+    m = len(Q.LABELLERS)
+    v = rng.choice(3, (60, m), p=[0.1, 0.3, 0.6])
+    code, count = np.unique(Q.pattern(v), return_counts=True)
+    model = Q.WeakLabels(code, count.astype(float), rounds=3)
+    post = []
+    for row in v:
+        bad = [int(x == Q.BAD) for x in row]
+        post.append([0.2, *[0.8 * b / sum(bad) for b in bad]] if sum(bad) else [0.95, *[0.05 / m] * m])
+    for _ in range(3):
+        share = [(sum(p[c] for p in post) + 1) / (len(v) + m + 1) for c in range(m + 1)]
+        rates = [[[0.0] * 3 for _ in range(m)] for _ in range(m + 1)]
+        for c in range(m + 1):
+            for j in range(m):
+                votes = [sum(p[c] for p, row in zip(post, v) if row[j] == k) + 1 for k in range(3)]
+                r = [x / sum(votes) for x in votes]
+                low, high = (Q.WeakLabels.OWN, 1.0) if c == j + 1 else (0.0, Q.WeakLabels.FALSE_BAD) if c == 0 else (0.0, 1.0)
+                want = min(max(r[Q.BAD], low), high)
+                rates[c][j] = [want if k == Q.BAD else r[k] * (1 - want) / max(1 - r[Q.BAD], 1e-12) for k in range(3)]
+        post = []
+        for row in v:
+            p = [share[c] * np.prod([rates[c][j][row[j]] for j in range(m)]) for c in range(m + 1)]
+            post.append([x / sum(p) for x in p])
+    assert np.allclose(model.share, share) and np.allclose(model.rates, rates)
+    assert np.allclose(model.posterior(v), [p[0] for p in post])
