@@ -151,6 +151,11 @@ SQL["latest_review"] = w() + "SELECT order_id, review_score FROM rev_latest"
 SQL["first_review"] = w() + "SELECT order_id, review_score FROM rev_first"
 SQL["order_master"] = w() + "SELECT * FROM master"
 SQL["clean_orders"] = w() + "SELECT * FROM clean"
+SQL["csv_clean_orders"] = SQL["clean_orders"]
+SQL["uploaded_orders"] = """
+SELECT CAST(o_custkey AS VARCHAR) AS customer_id, CAST(o_orderkey AS VARCHAR) AS order_id,
+       CASE WHEN o_orderkey % 3 <> 0 THEN date_trunc('second', CAST(o_orderdate AS TIMESTAMP)) END AS order_ts, o_totalprice AS value
+FROM orders"""
 SQL["time_split_counts"] = w() + """
 SELECT (SELECT cutoff FROM cut) AS cutoff_date, COUNT(*) AS n_rows,
        COUNT(*) FILTER (WHERE order_purchase_timestamp < (SELECT cutoff FROM cut)) AS n_feature_rows,
@@ -389,6 +394,7 @@ SQL["export_action"] = ws() + ("SELECT customer_unique_id, segment, churn_probab
 _EXP = ("customer_unique_id, segment, churned, churn_prediction, churn_probability, action, predicted_clv, clv_tier, "
         "monetary, frequency, recency, avg_review_score, avg_delivery_delay")
 SQL["export_customers"] = ws() + f"SELECT {_EXP} FROM scored"
+SQL["quoted_csv_export"] = SQL["export_customers"]
 SQL["export_customers_filtered"] = ws() + (f"SELECT {_EXP} FROM scored WHERE churn_prediction = 1 "
                                            "AND upper(segment) = 'CHAMPIONS'")
 _ELIG = ("action IN ('SAVE_NOW', 'NURTURE') AND (action <> 'SAVE_NOW' OR churn_probability >= 0.85) "

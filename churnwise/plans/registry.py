@@ -11,7 +11,9 @@ from churnwise import config
 from churnwise.functions.scalar import feature_label, finite_or_zero, round_half_even
 from churnwise.operators import actions, clv, evaluation, explain, features, histogram, ml, orders, reports, segments
 from churnwise.plans import batch, certificates
-from churnwise.session import cut_lineage
+from churnwise.session import cut_lineage, stage_path
+from churnwise.sources import sinks
+from churnwise.sources.tables import load_order_tables, load_uploaded_csv, write_order_tables
 from churnwise.sources.testdata import load_test_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -615,6 +617,49 @@ def q_model_hist(spark, sf):
     return histogram.histogram(_churn_scored(spark, sf), "churn_probability")
 
 
+# ---------------------------------------------------------------- files written and read back
+
+def _csv_orders(spark, sf):
+    """The six tables in their CSV layout, written once per session and data folder."""
+    def build():
+        folder = stage_path(spark, "orders_csv")
+        write_order_tables(load_test_tables(spark, sf), folder)
+        return folder
+    return _memo(spark, sf, "csv_orders", build)
+
+
+@query("csv_clean_orders")
+def q_csv_clean(spark, sf):
+    """S1 + F3: the order tables as CSV text, read by their layouts, dates parsed, merged and cleaned."""
+    return _memo(spark, sf, "csv_clean", lambda: batch.order_stage(load_order_tables(spark, _csv_orders(spark, sf))))
+
+
+@query("uploaded_orders")
+def q_uploaded(spark, sf):
+    """The orders file as an upload, mapped by its column names; a third of its dates is broken."""
+    def build():
+        folder = stage_path(spark, "uploaded_csv")
+        t = load_test_tables(spark, sf)
+        when = F.date_format("order_purchase_timestamp", "yyyy-MM-dd HH:mm:ss")
+        broken = F.when(F.col("order_id").cast("long") % 3 == 0, F.concat(F.lit("on "), when)).otherwise(when)
+        (t.orders.join(t.payments, "order_id").select("customer_id", "order_id", broken.alias("bought"), F.col("payment_value").alias("paid"))
+         .write.option("header", True).csv(folder))
+        return folder
+    return load_uploaded_csv(spark, _memo(spark, sf, "uploaded", build), "customer_id", "bought", "paid", "order_id")
+
+
+@query("quoted_csv_export")
+def q_quoted_export(spark, sf):
+    """S8 + S9: the customer export as fully quoted CSV, read back."""
+    export = reports.export_customers(_scored(spark, sf))
+
+    def build():
+        folder = stage_path(spark, "quoted_csv")
+        sinks.write_csv(export, folder, quote_all=True)
+        return folder
+    return sinks.read_csv_as(spark, _memo(spark, sf, "quoted", build), export.schema)
+
+
 # ---------------------------------------------------------------- certificates of the model results (checked in SQL)
 
 def _rfm_scaled(spark, sf):

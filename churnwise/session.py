@@ -123,6 +123,13 @@ def _shuffles_go(spark: SparkSession):
                     spark.conf.set(SHUFFLE_CLEANUP, _WRITES["before"])
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder that :func:`drop_stages` deletes with the stage tables."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stages/{name}-{uuid.uuid4().hex}"
+    _STAGES.append((spark.sparkContext.applicationId, path))
+    return path
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back.
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
@@ -15,6 +16,12 @@ def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
     w.csv(path)
 
 
+def read_csv_as(spark: SparkSession, path: str, layout: T.StructType) -> DataFrame:
+    """A file of :func:`write_csv` with the types of ``layout``; empty fields are null."""
+    raw = spark.read.options(header=True, quote='"', escape='"', multiLine=True).csv(path)
+    return raw.select(*[F.nullif(F.col(f.name), F.lit("")).cast(f.dataType).alias(f.name) for f in layout.fields])
+
+
 def write_records(df: DataFrame, path: str) -> None:
     """One JSON object per row."""
     df.write.mode("overwrite").json(path)

@@ -38,6 +38,26 @@ def load_order_tables(spark: SparkSession, data_dir: str) -> OrderTables:
                        rd("customers"), rd("products"))
 
 
+def write_order_tables(tables: OrderTables, data_dir: str) -> None:
+    """The six tables in the CSV layout that :func:`load_order_tables` reads (each a folder of part files).
+
+    Columns of the layout that a table lacks are empty, timestamps are text to
+    the microsecond, quotes are doubled; null is an empty field.
+    """
+    for key, df in tables._asdict().items():
+        name, layout = schemas.ORDER_FILES[key]
+        kinds = dict(df.dtypes)
+
+        def field(f):
+            if f.name not in kinds:
+                return F.lit(None).cast("string").alias(f.name)
+            if kinds[f.name].startswith(("timestamp", "date")):
+                return F.date_format(f.name, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(f.name)
+            return F.col(f.name).cast("string").alias(f.name)
+        (df.select(*[field(f) for f in layout.fields]).write.mode("overwrite")
+         .options(header=True, quote='"', escape='"').csv(f"{data_dir.rstrip('/')}/{name}"))
+
+
 def load_uploaded_csv(spark: SparkSession, path: str, customer_col: str, date_col: str,
                       value_col: str, order_col: str | None = None) -> DataFrame:
     """An arbitrary CSV mapped to (customer_id, order_id, order_ts, value).
