@@ -63,9 +63,9 @@ def _label_frame(rng: DataFrame, bins: int) -> DataFrame:
     separate projections so each array is computed once."""
     _, _, edge = _edges(F.col("mn"), F.col("mx"), bins)
     t = rng.select(F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: edge(i)).alias("edges"))
-    found = [F.when(F.size(F.array_distinct(F.transform("edges", _rounder(p)))) == bins + 1, F.lit(p))
-             for p in range(3, 20)]
-    t = t.select("edges", F.coalesce(*found, F.lit(3)).alias("prec"))
+    # one lambda over the precisions: a plan that names each of them takes longer to compile than to run
+    fits = F.filter(F.sequence(F.lit(3), F.lit(19)), lambda p: F.size(F.array_distinct(F.transform("edges", _rounder(p)))) == bins + 1)
+    t = t.select("edges", F.coalesce(F.get(fits, 0), F.lit(3)).alias("prec"))
     t = t.select(F.transform("edges", lambda e, i: F.when(i == 0, _round_frac(e, F.col("prec"))
                                                           - F.pow(F.lit(10.0), -F.col("prec")))
                              .otherwise(_round_frac(e, F.col("prec")))).alias("breaks"))
@@ -85,13 +85,13 @@ def histogram(df: DataFrame, col: str, bins: int = config.HIST_BINS,
     x = F.col(col)
     rng = df.agg(F.min(x).alias("mn"), F.max(x).alias("mx"))
     mm = rng.select(F.struct("mn", "mx").alias("s")).scalar()      # one subquery for both ends
-    mn, mx = mm.getField("mn"), mm.getField("mx")
+    mn, mx = F.col("_ends.mn"), F.col("_ends.mx")
     lo, step, edge = _edges(mn, mx, bins)
-    counts = (df.filter(x.isNotNull())
-              .groupBy(*g, _bin_of(x, lo, step, edge, bins).alias("bin_index"))
+    placed = df.filter(x.isNotNull()).select(*g, x.alias("_x"), mm.alias("_ends"))
+    counts = (placed.groupBy(*g, _bin_of(F.col("_x"), lo, step, edge, bins).alias("bin_index"))
               .agg(F.count(F.lit(1)).alias("count")))
     # the labels come from the same subquery: the frame is scanned once for its ends
-    labels = _label_frame(df.sparkSession.range(1).select(mn.alias("mn"), mx.alias("mx")), bins)
+    labels = _label_frame(df.sparkSession.range(1).select(mm.alias("_ends")).select("_ends.mn", "_ends.mx"), bins)
     if g:
         keys = df.select(*g).distinct()
         frame = keys.select(*g, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin_index"))
