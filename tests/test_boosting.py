@@ -1,6 +1,9 @@
 """Second-order trees against a plain recomputation of every split, and their storage."""
+import pickle
+
 import numpy as np
 import pytest
+from pyspark import RDD
 
 from churnwise.operators import boosting as B, explain
 
@@ -81,3 +84,26 @@ def test_layout_and_samples(spark):
     assert all(abs(t.mean() - 0.8) < 0.02 for t in takes) and (takes[0] != takes[1]).mean() > 0.2
     empty = B.fit(table(spark, x, y, np.ones(900), 1).limit(0), ["a", "b", "c"], "label", n_trees=2)
     assert empty.trees == [] and empty.margins(x).tolist() == [0.0] * 900
+
+
+def test_only_splits_reach_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(700, 3)), rng.integers(0, 2, 700)
+    sent, collect = [], RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda self: (lambda rows: (sent.append(len(pickle.dumps(rows))), rows)[1])(collect(self)))
+    model = B.fit(table(spark, x, y, np.ones(700), 20), ["a", "b", "c"], "label", n_trees=2, max_depth=4)
+    assert max(t["depth"] for t in model.trees) == 4
+    # a histogram of one node alone holds 3 features x 256 bins x 16 bytes
+    assert sent and max(sent) < 8 * 1000
+
+
+def test_sums_keep_their_order(spark, monkeypatch):
+    monkeypatch.setattr(B, "MERGE", 3)
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(11, 4, 6)) * 10.0 ** rng.integers(-9, 9, (11, 4, 6))
+    pieces = spark.sparkContext.parallelize([((i, s), a[i, s]) for i in range(11) for s in range(4)], 11)
+    got = B._per_node(pieces, 11, 4, lambda v: v)
+    level = list(a)
+    while len(level) > 1:
+        level = [sum(level[lo: lo + 3]) for lo in range(0, len(level), 3)]
+    assert sorted(got) == [0, 1, 2, 3] and all(np.array_equal(got[s], level[0][s]) for s in range(4))
