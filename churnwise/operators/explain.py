@@ -7,6 +7,11 @@ every row; only the "one fractions" (does the row follow this branch) and
 the path weights differ, so one traversal handles a whole Arrow batch with
 numpy arrays of batch length.
 
+What a leaf gives to the features of its path depends only on which of them
+let the row through: a leaf with m of them has 2^m outcomes.  For trees of up
+to ``TABLE_DEPTH`` levels these outcomes are computed once per tree and looked up per
+row; deeper trees go through the recursion.
+
 The tree table (n_trees x at most 2^(depth+1)-1 nodes) is read from the
 saved model and broadcast: its size is bounded by the model parameters, not
 by the data.  Contributions are in log-odds: Spark's margin m gives
@@ -15,6 +20,7 @@ p = 1 / (1 + exp(-2 m)), so the per-tree values are doubled.
 
 from __future__ import annotations
 
+import math
 import os
 import sys
 
@@ -27,6 +33,8 @@ from churnwise import config
 from churnwise.functions.scalar import explanation_text, feature_label, round_half_even
 
 CUST = "customer_unique_id"
+#: Deepest trees whose leaves keep a table of outcomes (at most 2^depth leaves x 2^depth outcomes x depth doubles a tree).
+TABLE_DEPTH = 7
 
 # ship this module's code with the task closure, so executors need no install
 try:
@@ -156,6 +164,81 @@ def _tree_shap(t: dict, x: np.ndarray, phi: np.ndarray) -> None:
     recurse(0, 0, 1.0, np.ones(nrow), -1)
 
 
+def _leaf_paths(t: dict) -> list[tuple]:
+    """Per leaf: (leaf, {feature of its path: [share of the cover that follows, [(node, goes left)]]})."""
+    out, todo = [], [(0, {})]
+    while todo:
+        node, path = todo.pop()
+        if t["left"][node] < 0:
+            out.append((node, path))
+            continue
+        f = int(t["feature"][node])
+        for child, is_left in ((t["right"][node], False), (t["left"][node], True)):
+            share, steps = path.get(f, (1.0, []))
+            todo.append((child, {**path, f: (share * float(t["cover"][child] / t["cover"][node]), [*steps, (node, is_left)])}))
+    return out
+
+
+def _outcomes(zero: np.ndarray) -> np.ndarray:
+    """Shapley values [leaf, feature, outcome] of leaves of value 1 with cover shares ``zero`` [leaf, feature].
+
+    Bit j of an outcome says that the row follows every step on feature j.  The weight of a
+    coalition of k features is k! (m - k - 1)! / m!, and the products of one and zero
+    fractions over all coalitions of a size are the coefficients of one polynomial."""
+    leaves, m = zero.shape
+    ones = ((np.arange(1 << m)[None, :] >> np.arange(m)[:, None]) & 1).astype(float)         # [feature, outcome]
+    weight = [math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m) for k in range(m)]
+    out = np.empty((leaves, m, 1 << m))
+    for j in range(m):
+        poly = np.zeros((m, leaves, 1 << m))
+        poly[0] = 1.0
+        for i in (i for i in range(m) if i != j):
+            z = zero[:, i, None]
+            for k in range(m - 1, 0, -1):
+                poly[k] = poly[k] * z + poly[k - 1] * ones[i]
+            poly[0] = poly[0] * z
+        out[:, j] = sum(w * p for w, p in zip(weight, poly)) * (ones[j] - zero[:, j, None])
+    return out
+
+
+def _tables(t: dict) -> list[tuple]:
+    """Per leaf below a split: (features, their steps, contributions [feature, outcome]); kept beside the tree's nodes."""
+    if "tables" not in t:
+        by_size: dict[int, list] = {}
+        for leaf, path in _leaf_paths(t):
+            if path:
+                by_size.setdefault(len(path), []).append((leaf, path))
+        t["tables"] = []
+        for group in by_size.values():
+            values = _outcomes(np.array([[share for share, _ in path.values()] for _, path in group]))
+            for (leaf, path), v in zip(group, values):
+                t["tables"].append((list(path), [steps for _, steps in path.values()], v * (t["value"][leaf] * t["weight"] * 2.0)))
+    return t["tables"]
+
+
+def _add_contributions(t: dict, columns: np.ndarray, phi: np.ndarray) -> None:
+    """Add one tree's contributions for a batch ``columns`` (features x rows) to ``phi`` (features x rows)."""
+    if t["depth"] > TABLE_DEPTH:
+        deep = np.zeros(phi.T.shape)
+        _tree_shap(t, columns.T, deep)
+        phi += deep.T
+        return
+    go = {}
+    for node in np.flatnonzero(t["left"] >= 0):
+        left = columns[t["feature"][node]] <= t["threshold"][node]
+        go[node, True], go[node, False] = left, ~left
+    for features, steps, values in _tables(t):
+        outcome = np.zeros(columns.shape[1], np.uint8)
+        for j, path in enumerate(steps):
+            follows = go[path[0]]
+            for step in path[1:]:
+                follows = follows & go[step]
+            outcome |= follows.view(np.uint8) << np.uint8(j)
+        at = outcome.astype(np.intp)
+        for f, v in zip(features, values):
+            phi[f] += v[at]
+
+
 def contributions_fn(trees: list[dict], feature_cols, id_col: str = CUST):
     """A ``mapInPandas`` function: id, contributions (array, log-odds), margin."""
     base = 2.0 * expected_margin(trees)
@@ -163,9 +246,11 @@ def contributions_fn(trees: list[dict], feature_cols, id_col: str = CUST):
     def run(batches):
         for pdf in batches:
             x = pdf[list(feature_cols)].to_numpy(dtype=float)
-            phi = np.zeros_like(x)
+            columns = np.ascontiguousarray(x.T)
+            phi = np.zeros_like(columns)
             for t in trees:
-                _tree_shap(t, x, phi)
+                _add_contributions(t, columns, phi)
+            phi = np.ascontiguousarray(phi.T)
             yield pd.DataFrame({id_col: pdf[id_col].to_numpy(),
                                 "contributions": list(phi),
                                 "base_value": base,

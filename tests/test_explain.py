@@ -3,6 +3,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
@@ -53,3 +54,37 @@ def test_tree_shap_exact_and_additive(spark, tmp_path):
     raw = model.transform(v).select("customer_unique_id", F.col("rawPrediction")).toPandas()
     margin = raw.set_index("customer_unique_id")["rawPrediction"].map(lambda r: 2 * r[1])
     assert np.allclose(contrib.loc[margin.index, "margin"], margin, atol=1e-9)
+
+
+def _grown(rng, depth, n_features, p=0.9):
+    t = {c: [] for c in ("left", "right", "feature", "threshold", "cover", "value")}
+
+    def add(cover, level):
+        node = len(t["left"])
+        for c, v in (("left", -1), ("right", -1), ("feature", -1), ("threshold", np.nan), ("cover", cover), ("value", rng.normal())):
+            t[c].append(v)
+        if level < depth and (level < 2 or rng.random() < p):
+            first = cover * rng.uniform(0.05, 0.95)
+            t["feature"][node], t["threshold"][node] = int(rng.integers(n_features)), rng.normal()
+            t["left"][node], t["right"][node] = add(first, level + 1), add(cover - first, level + 1)
+        return node
+    add(1000.0, 0)
+    return {**{c: np.array(v) for c, v in t.items()}, "depth": depth, "weight": 0.5}
+
+
+def test_tables_repeat_the_recursion(monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(500, 6)).round(1)
+    for depth in (0, 1, 4, 6, explain.TABLE_DEPTH + 1):                # features repeat on the paths; the last goes through the recursion
+        t = _grown(rng, depth, 6)
+        want, got = np.zeros_like(x), np.zeros_like(x.T)
+        explain._tree_shap(t, x, want)
+        explain._add_contributions(t, np.ascontiguousarray(x.T), got)
+        assert np.allclose(got.T, want, atol=1e-12)
+    # trees of the model's depth are looked up, not walked again for every batch
+    t = _grown(rng, 6, 6)
+    monkeypatch.setattr(explain, "_tree_shap", None)
+    frame = pd.DataFrame({"customer_unique_id": [f"c{i}" for i in range(500)], **{f"f{j}": x[:, j] for j in range(6)}})
+    got = pd.concat(explain.contributions_fn([t], [f"f{j}" for j in range(6)])([frame[:300], frame[300:]]))
+    reached = [_exp_value(t, r, set(range(6))) for r in x]
+    assert np.allclose(got["margin"], reached)
