@@ -1,5 +1,6 @@
 """Euclidean silhouettes against their definition."""
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 
 from churnwise.operators import silhouette as S
@@ -55,3 +56,26 @@ def test_share_of_the_points_against_all(spark):
     df = frame(spark, x, [label])
     part = S.silhouettes(df, {2: "c0"}, every=3)[2]
     assert abs(part - by_definition(x, label).mean()) < 0.05
+
+
+def test_each_pair_is_computed_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(260, 3)).round(1)
+    x = np.concatenate([x, x[:40], x[:40]])                    # repeated points
+    labels = [(x[:, 0] > 0).astype(int), np.digitize(x[:, 1], [-1, 0, 1]), rng.integers(0, 2, 1)[0] + np.zeros(len(x), int)]
+    want = [by_definition(x, l) for l in labels]
+    for rows, most, stripes, block, tile in ((40, 80, 3, 4, 16), (50, 1000, 32, 3, 64), (1000, 2000, 32, 16, 8192)):
+        for name, value in (("STRIPE_ROWS", rows), ("MOST_ROWS", most), ("MAX_STRIPES", stripes), ("BLOCK", block), ("TILE", tile)):
+            monkeypatch.setattr(S, name, value)
+        got = S.silhouettes(frame(spark, x, labels), {2: "c0", 4: "c1", 3: "c2"})
+        assert all(abs(got[k] - w.mean()) < 1e-9 for k, w in zip((2, 4, 3), want))
+    # a pair of stripes gives the sums of both its ends
+    n, ks = np.arange(1, 10), [2, 3]
+    table = pa.table({"a": rng.normal(size=9), "b": rng.normal(size=9), "n": n, "k2": n % 2, "k3": n % 3, "stripe": n % 2, "scored": np.ones(9, bool)})
+    out = S._distance_sums(table, ["a", "b"], ["k2", "k3"], ks).to_pandas().set_index(["a", "b"])
+    t = table.to_pandas()
+    assert len(out) == 9
+    for r in t.itertuples():
+        other = t[t.stripe != r.stripe]
+        d = other.n * np.hypot(other.a - r.a, other.b - r.b)
+        assert np.allclose(out.loc[(r.a, r.b)], [d[other.k2 == 0].sum(), d[other.k2 == 1].sum(), *[d[other.k3 == j].sum() for j in range(3)]])
