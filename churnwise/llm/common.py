@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -48,6 +49,7 @@ def free(name: str, columns: list[str]) -> str:
 
 def give_back() -> None:
     """Return a Python task's freed memory to the system: a reused worker keeps its high-water mark otherwise."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)     # glibc alone has it
     if trim is not None:
@@ -57,6 +59,7 @@ def give_back() -> None:
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int | None = None) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the text column of each piece holds about ``limit`` bytes (one row at least)."""
     limit = limit or CHUNK_BYTES
+    give_back()                                            # what the worker's last task held: its broadcasts are gone only now
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,8 @@ from churnwise.llm.common import arrow_job, fold, free, text_or_empty
 from churnwise.llm.textkit import SortedHash, mix, runs
 
 ORDER = 4
+#: One fold of so many is held out.
+FOLDS = 3
 #: Bound of the training sample: expected characters per language.
 CHARS_PER_LANG = 4_000_000
 #: One sampled document of so many calibrates the rejection and trains no model.
@@ -36,6 +39,8 @@ FEW, PIECE = 5, 200
 QUANTILE, MARGIN, LEAST_LIMIT = 0.999, 2.0, 8.0
 #: Characters at which the spread of a short text's cross-entropy has doubled its variance.
 SHORT = 400
+#: Characters of the documents whose symbols are looked up together.
+TOGETHER = 1 << 16
 #: Characters that the confidence score counts at most.
 SCORE_CHARS = 25
 UND = "und"
@@ -167,16 +172,25 @@ class Models:
 
     def cross_entropy(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """(documents x languages nats per symbol, number of symbols; 0 symbols: no letter)."""
+        ce, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+        # some documents at a time: the arrays of all symbols of a batch are many times its size
+        group = np.cumsum([len(t or "") for t in texts]) // TOGETHER
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        for lo, hi in zip(first, [*first[1:], len(texts)]):
+            ce[lo:hi], n[lo:hi] = self._cross_entropy(texts[lo:hi])
+        return ce / np.maximum(n, 1)[:, None], n
+
+    def _cross_entropy(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """(documents x languages nats, number of symbols)."""
         cp, doc = symbols(texts)
         at, (hi, lo) = grams(cp, doc)
         d = doc[at]
-        n = np.bincount(d, minlength=len(texts))
         ce = np.zeros((len(texts), len(self.langs)))
         for a in range(0, len(at), 1 << 18):
             log = -np.log(self.probability(hi[a: a + (1 << 18)], lo[a: a + (1 << 18)]))
             for j in range(len(self.langs)):
                 ce[:, j] += np.bincount(d[a: a + (1 << 18)], log[:, j], len(texts))
-        return ce / np.maximum(n, 1)[:, None], n
+        return ce, np.bincount(d, minlength=len(texts))
 
     def calibrate(self, lang: np.ndarray, own: np.ndarray, n: np.ndarray, crossed: dict | None = None) -> None:
         """lang, cross-entropy under it and length of the calibration documents; limits of languages with few of them."""
@@ -258,8 +272,8 @@ def _count(batch: pa.RecordBatch) -> pa.RecordBatch:
         names=["lang", "hi", "lo", "n"])
 
 
-def training_sample(docs: DataFrame, chars: int = CHARS_PER_LANG, folds: int = 3) -> DataFrame:
-    """(text, lang, calibrates): labelled rows outside the held-out fold, about ``chars`` characters a language."""
+def _picked(docs: DataFrame, chars: int, folds: int) -> DataFrame:
+    """Labelled rows outside the held-out fold that the sample takes, or may take passages of, as :func:`_sampled` reads them."""
     rows = (docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text_or_empty().alias("text"))
             .filter(F.col("lang").isNotNull() & F.coalesce(fold("doc_id", folds) != 1, F.lit(False))))
     h, whole = F.xxhash64("text"), 1 << 20
@@ -271,16 +285,23 @@ def training_sample(docs: DataFrame, chars: int = CHARS_PER_LANG, folds: int = 3
     picked = (rows.join(F.broadcast(size), "lang")          # one row per language
               .select("text", "lang", h.alias("h"), first.alias("first"), cut.alias("cut"), aside.alias("aside"), (h == F.col("least.h")).alias("teaches")))
     long = (F.col("cut") < whole) & (F.length("text") > PASSAGE)
-    short = (picked.filter(~long & (F.col("teaches") | (F.col("first") < F.col("cut"))))
-             .select("text", "lang", (F.col("aside") & ~F.col("teaches")).alias("calibrates")))
-    return short.unionAll(picked.filter(long).mapInArrow(arrow_job(_passages), "text string, lang string, calibrates boolean"))
+    return (picked.withColumn("long", long).filter(F.col("long") | F.col("teaches") | (F.col("first") < F.col("cut")))
+            .select("text", "lang", "h", "cut", "aside", "teaches", "long"))
+
+
+def training_sample(docs: DataFrame, chars: int = CHARS_PER_LANG, folds: int = FOLDS) -> DataFrame:
+    """(text, lang, calibrates): labelled rows outside the held-out fold, about ``chars`` characters a language."""
+    return _picked(docs, chars, folds).mapInArrow(arrow_job(_sampled), "text string, lang string, calibrates boolean")
 
 
-def _passages(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The sampled passages of long texts; a text that teaches its language gives one at least for training."""
+def _sampled(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Short texts whole and the sampled passages of long ones; a text that teaches its language gives one passage at least for training."""
     out: list = []
     for r in batch.to_pylist():
         text = r["text"]
+        if not r["long"]:
+            out.append((text, r["lang"], r["aside"] and not r["teaches"]))
+            continue
         key = mix(np.arange(-(-len(text) // PASSAGE), dtype=U) + U(r["h"] % (1 << 64)))
         aside = mix(key) % U(CALIBRATE_ONE_IN) == 0
         take = key % U(1 << 20) < r["cut"]
@@ -293,11 +314,19 @@ def _passages(batch: pa.RecordBatch) -> pa.RecordBatch:
                                       names=["text", "lang", "calibrates"])
 
 
+def _of_sample(fn, calibrates: bool):
+    """``fn`` over the sampled texts that calibrate or not, in the task and the worker that sample them."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        found = _sampled(batch)
+        found = found.filter(found.column(2) if calibrates else pc.invert(found.column(2)))
+        return fn(found) if found.num_rows else None
+    return arrow_job(run)
+
+
 def train(docs: DataFrame, chars: int = CHARS_PER_LANG) -> Models:
     """Models of every language with labelled text, with calibrated limits; bounded by the sample, so driver-sized."""
-    sample = training_sample(docs, chars)
-    counts = (sample.filter(~F.col("calibrates")).select("text", "lang")
-              .mapInArrow(arrow_job(_count), "lang string, hi long, lo long, n long")
+    sample = _picked(docs, chars, FOLDS)
+    counts = (sample.mapInArrow(_of_sample(_count, False), "lang string, hi long, lo long, n long")
               .groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n")).toPandas())
     counts = counts.sort_values(["lang", "hi", "lo"])
     langs = sorted(counts["lang"].unique())
@@ -313,8 +342,7 @@ def train(docs: DataFrame, chars: int = CHARS_PER_LANG) -> Models:
         ok = (n > 0) & (at >= 0)
         return pa.RecordBatch.from_arrays([pa.array(at[ok], pa.int32()), pa.array(ce[np.arange(len(at)), at][ok]), pa.array(n[ok], pa.int64())],
                                           names=["lang", "own", "n"])
-    seen = (sample.filter("calibrates").select("text", "lang")
-            .mapInArrow(arrow_job(entropies), "lang int, own double, n long").toPandas().sort_values(["lang", "own", "n"]))
+    seen = (sample.mapInArrow(_of_sample(entropies, True), "lang int, own double, n long").toPandas().sort_values(["lang", "own", "n"]))
     few = [x for j, x in enumerate(langs) if np.sum(seen["lang"] == j) < FEW]
     floor, crossed = models.floor, {}
     if few:
@@ -322,7 +350,7 @@ def train(docs: DataFrame, chars: int = CHARS_PER_LANG) -> Models:
             found = crossed_limit(table.column("text").to_pylist(), floor)
             rows = [(table.column("lang")[0].as_py(), *found)] if found else []
             return pa.table({x: pa.array([r[i] for r in rows], pa.float64() if i else pa.string()) for i, x in enumerate(("lang", "mean", "spread", "edge"))})
-        tables = (sample.filter(F.col("lang").isin(few)).select("text", "lang").distinct().groupBy("lang")
+        tables = (training_sample(docs, chars).filter(F.col("lang").isin(few)).select("text", "lang").distinct().groupBy("lang")
                   .applyInArrow(cross, "lang string, mean double, spread double, edge double").collect())   # a row per language
         crossed = {r.lang: (r["mean"], r.spread, r.edge) for r in tables}
     models.calibrate(seen["lang"].to_numpy(), seen["own"].to_numpy(float), seen["n"].to_numpy(float), crossed)
@@ -364,6 +392,6 @@ def identify(docs: DataFrame, chars: int = CHARS_PER_LANG) -> DataFrame:
     """
     models = train(docs, chars)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                    F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"))
+                    F.coalesce(fold("doc_id", FOLDS) == 1, F.lit(False)).alias("held_out"))
     scored, lang, score, rejected = score_documents(d, models)
     return scored.select("doc_id", "held_out", F.col(lang).alias("lang_pred"), F.col(score).alias("score"), F.col(rejected).alias("rejected"))

@@ -123,3 +123,17 @@ def test_long_texts_are_sampled_by_passages(spark):
     for name in FEW_TEXTS:
         assert 10_000 < sum(len(r.text) for r in sample if r.lang == name) < 90_000
         assert any(r.lang == name and not r.calibrates for r in sample)
+
+
+def test_memory_of_look_ups_does_not_follow_the_batch():
+    import tracemalloc
+    m = model_of({"en": ["The cat and the hat, on the mat."], "fr": ["le chat est la"]})
+    texts = ["the cat is on the mat and the hat " * 60, None, "", "1 2", "le chat et la mer " * 40] * 150
+    tracemalloc.start()
+    ce, n = m.cross_entropy(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+    for i in range(5):                                      # equal texts get equal values, whatever stands beside them
+        alone, size = m.cross_entropy(texts[i: i + 1])
+        assert (ce[i::5] == alone).all() and (n[i::5] == size).all()

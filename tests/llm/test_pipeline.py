@@ -69,3 +69,19 @@ def test_run_on_odd_rows(spark, odd_docs, tmp_path):
 def test_run_on_an_empty_table(spark, no_docs, tmp_path):
     no_docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_batches_of_texts_are_bounded_by_bytes(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["bytes"])
+    docs = spark.range(0, 6000, 1, 1).selectExpr("id AS doc_id", "repeat('four', 1000) AS text")
+    before = spark.conf.get(corpus_pipeline.BATCH_SETTING)
+    try:
+        stage_of = corpus_pipeline.bounded(lambda s, d, _: d.mapInArrow(sizes, "bytes long"))
+        found = [r.bytes for r in stage_of(spark, docs, SF).collect()]
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH_SETTING, before)
+    assert sum(found) > 6000 * 4000 and max(found) < 2 * corpus_pipeline.BATCH_BYTES
