@@ -17,6 +17,10 @@ shortest context that is not common, its root; counts and symbols meet by the
 root's hash, and a task grows its roots' part of the tree onto the common one.
 A root holds less than the share ``MIN_SHARE`` of the training symbols.
 
+The ``HOT_CODES`` commonest pairs of a whole context and a symbol are scored
+once, where their roots' counts meet, and their scores are broadcast; a
+document asks its roots only for the others and for what training never saw.
+
 The unigram base score needs every word's count.  The ``HOT_WORDS`` commonest
 words are broadcast; the rest is a table, joined by word hash, so a word in
 every document never meets in one task.
@@ -24,13 +28,11 @@ every document never meets in one task.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnwise.llm.common import arrow_job, fold, slices, stage
@@ -49,6 +51,8 @@ SMOOTH = 2.0
 #: Nats that a state must gain per different next symbol (1: the Akaike criterion).
 GAIN = 1.0
 HOT_WORDS = 1 << 15
+#: Codes whose scores are broadcast at most, 16 bytes each.
+HOT_CODES = 1 << 21
 #: Counts that a map task holds before it passes them on.
 HELD = 1 << 21
 #: FIXED VALUES: white-space bytes serve as symbols, for no word has them; 250 word bytes, separator and end.
@@ -123,49 +127,70 @@ def _count_task(batches):
 
 
 def corpus_counts(texts: DataFrame) -> DataFrame:
-    """(kind, key, n) over all training texts, staged."""
-    per_task = texts.mapInArrow(_count_task, "kind byte, key long, n long")
-    return stage(per_task.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
+    """(kind, key, n) over all training texts, staged; codes of one context of 4 symbols lie together."""
+    near = F.when(F.col("kind") == 1, F.shiftright("key", 8).bitwiseAND(0xFFFFFFFF)).otherwise(F.col("key"))
+    # tasks have combined their counts, so rows move before they are added
+    per_task = texts.mapInArrow(_count_task, "kind byte, key long, n long").withColumn("near", near).repartition("near")
+    return stage(per_task.groupBy("near", "kind", "key").agg(F.sum("n").alias("n")).drop("near"), "lm-counts")
+
+
+def _depth_sums(common=None, depth: int = DEPTH):
+    """(d, key, n) of a task by depth: sums of the contexts or, of common contexts, of their codes."""
+    def run(batches):
+        held: list = []
+
+        def out():
+            code, n = (np.concatenate(x) for x in zip(*held))
+            reach = common.value.depth(code) if common else None
+            for d in range(depth + 1):
+                at = slice(None) if common is None else reach >= U(d)
+                key, of = np.unique(_low(code[at], d) >> U(0 if common else 8), return_inverse=True)
+                m = np.bincount(of, n[at], len(key)).astype(np.int64)
+                for a in range(0, len(key), 1 << 17):
+                    part = slice(a, a + (1 << 17))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), d, np.int8)), pa.array(key[part].view(np.int64)),
+                                                      pa.array(m[part])], names=["d", "key", "n"])
+        size = 0
+        for b in batches:
+            code, n = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            held.append((code.view(U), n))
+            size += len(n)
+            if size > HELD:
+                yield from out()
+                held.clear()
+                size = 0
+        if size:
+            yield from out()
+    return run
 
 
 def contexts(counts: DataFrame, total: int, depth: int = DEPTH) -> pa.Table:
     """(d, code, n, state) of the common contexts by depth with their next symbols; code holds the context and the symbol.
 
     At most ALPHABET symbols follow each of at most ``depth / MIN_SHARE`` contexts, 18 bytes a row."""
+    context = counts.sparkSession.sparkContext
     base = counts.filter("kind = 1").select("key", "n")
 
-    def part(d: int) -> Column:
-        return F.shiftright("key", 8).bitwiseAND((1 << (8 * d)) - 1)
-    # only extensions of common contexts can be common: at most 1 / MIN_SHARE pass a depth
-    sums = stage(base.groupBy(F.lit(0).cast("long").alias("ctx")).agg(F.sum("n").alias("total")), "lm-common-0")
-    levels, passed = [], [sums]
-    for d in range(depth + 1):
-        if d:
-            longer = base.join(F.broadcast(sums.select(F.col("ctx").alias("p_ctx"))), part(d - 1) == F.col("p_ctx"))
-            sums = stage(longer.groupBy(part(d).alias("ctx")).agg(F.sum("n").alias("total")).filter(F.col("total") >= total * MIN_SHARE), f"lm-common-{d}")
-            passed.append(sums)
-        level = base.join(F.broadcast(sums.select("ctx")), part(d) == F.col("ctx"))
-        levels.append(level.groupBy(F.lit(d).alias("d"), "ctx", F.col("key").bitwiseAND(255).alias("sym")).agg(F.sum("n").alias("n")))
-    levels = stage(reduce(DataFrame.unionAll, levels), "lm-levels")
-    sums = (reduce(DataFrame.unionAll, [x.withColumn("d", F.lit(d)) for d, x in enumerate(passed)])
-            .join(levels.groupBy("d", "ctx").agg(F.count("*").alias("kinds")), ["d", "ctx"]))
-    parent = levels.select((F.col("d") + 1).alias("d"), F.col("ctx").alias("p_ctx"), "sym", F.col("n").alias("p_n"))
-    p_sums = sums.select((F.col("d") + 1).alias("d"), F.col("ctx").alias("p_ctx"), F.col("total").alias("p_total"))
-    suffix = F.expr("CASE WHEN d = 0 THEN NULL ELSE ctx & (shiftleft(1L, 8 * (d - 1)) - 1) END")
-    rows = levels.join(sums, ["d", "ctx"]).withColumn("p_ctx", suffix)
-    gain = F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("p_n") / F.col("p_total")))
-    kept = (rows.join(parent, ["d", "p_ctx", "sym"]).join(p_sums, ["d", "p_ctx"])
-            .groupBy("d", "ctx").agg(F.sum(gain).alias("gain"), F.first("kinds").alias("kinds"), F.first("total").alias("total"))
-            .filter((F.col("gain") > GAIN * F.col("kinds")) & (F.col("total") >= MIN_COUNT))
-            .select("d", "ctx"))
-    roots = sums.filter("d = 0").select("d", "ctx")
-    kept = kept.unionAll(roots).withColumn("state", F.lit(True))
-    found = rows.join(kept, ["d", "ctx"], "left").select(
-        F.col("d").cast("byte").alias("d"), F.shiftleft("ctx", 8).bitwiseOR(F.col("sym")).alias("code"), "n",
-        F.coalesce("state", F.lit(False)).alias("state")).toArrow()
-    for done in (levels, *passed):
-        drop_stage(done)
-    return found
+    def sums(common=None) -> DataFrame:
+        return base.mapInArrow(_depth_sums(common, depth), "d byte, key long, n long").groupBy("d", "key").agg(F.sum("n").alias("n"))
+    passed = sums().filter((F.col("d") == 0) | (F.col("n") >= total * MIN_SHARE)).toArrow()
+    common = Common(passed.column("d").to_numpy(), passed.column("key").to_numpy() << 8)
+    rows = sums(context.broadcast(common)).toArrow()
+    d, code, n = (rows.column(c).to_numpy() for c in ("d", "key", "n"))
+    order = np.lexsort((code, d))
+    d, code, n = d[order], code[order].view(U), n[order]
+    state, above, above_share = np.zeros(len(d), bool), np.zeros(0, U), np.zeros(0)
+    for k in range(depth + 1):
+        at = d == k
+        c, m = code[at], n[at]
+        _, ctx = np.unique(c >> U(8), return_inverse=True)
+        all_n, kinds = np.bincount(ctx, m), np.bincount(ctx)
+        share = m / all_n[ctx]
+        up = above_share[np.searchsorted(above, _low(c, k - 1))] if k else share
+        gain = np.bincount(ctx, m * np.log(share / up))
+        state[at] = ((gain > GAIN * kinds) & (all_n >= MIN_COUNT))[ctx] if k else True
+        above, above_share = c, share
+    return pa.table({"d": d, "code": code.view(np.int64), "n": n, "state": state})
 
 
 def _low(code: np.ndarray, d: int) -> np.ndarray:
@@ -309,11 +334,11 @@ def _dealt(columns, tasks: int, names: list[str]):
         yield out()
 
 
-def _rare_counts(shared, tasks: int):
+def _rare_counts(model, tasks: int):
     def rare(batches):
         for b in batches:
             code, n = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            depth = shared.value[0].depth(code.view(U))
+            depth = model.value[0].depth(code.view(U))
             at = depth < DEPTH
             yield code.view(U)[at] | (depth[at] << U(DEPTH_BITS)), n[at]
     return lambda batches: _dealt(rare(batches), tasks, ["code", "n"])
@@ -342,32 +367,61 @@ def _rare_asked(tasks: int):
     return lambda batches: _dealt(rare(batches), tasks, ["code", "times", "row"])
 
 
-def _rare_scores(shared, parents):
+def _rare_scores(model, parents):
     def run(counts: pa.Table, asked: pa.Table) -> pa.Table:
         whole = U((1 << DEPTH_BITS) - 1)
         row, code, times = (pc.list_flatten(asked.column(c)).to_numpy() for c in ("row", "code", "times"))
         c, n = (pc.list_flatten(counts.column(c)).to_numpy() for c in ("code", "n"))
         d, state, n = rare_states(c.view(U) & whole, c.view(U) >> U(DEPTH_BITS), n, parents.value)
         which, of = np.unique(code, return_inverse=True)
-        log = SuffixTree(d, state, n, under=shared.value[1]).log10(which.view(U) & whole)
+        log = SuffixTree(d, state, n, under=model.value[1]).log10(which.view(U) & whole)
         rows, at = np.unique(row, return_inverse=True)
         return pa.table({"row": pa.array(rows, pa.int64()), "rare": pa.array(np.bincount(at, log[of] * times, len(rows)), pa.float64())})
     return run
 
 
-def _score_task(shared, names):
+def _least_count(codes_n: DataFrame) -> int:
+    """The least count that at most HOT_CODES codes reach, by a histogram of counts in eighths of a power of two."""
+    room, least = HOT_CODES, None
+    steps = codes_n.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("codes"), F.min("n").alias("n")).collect()
+    for r in sorted(steps, key=lambda r: -r["step"]):         # at most 512 numbers
+        if r["codes"] > room:
+            break
+        room, least = room - r["codes"], r["n"]
+    return least if least is not None else 1 << 62
+
+
+def _code_scores(model, parents, least: int):
+    def run(counts: pa.Table) -> pa.Table:
+        c, n = (pc.list_flatten(counts.column(x)).to_numpy() for x in ("code", "n"))
+        code = c.view(U) & U((1 << DEPTH_BITS) - 1)
+        d, state, m = rare_states(code, c.view(U) >> U(DEPTH_BITS), n, parents.value)
+        code = code[n >= least]
+        log = SuffixTree(d, state, m, under=model.value[1]).log10(code)
+        return pa.table({"code": pa.array(code.view(np.int64)), "log": pa.array(log, pa.float64())})
+    return run
+
+
+def _score_task(model, hot, names):
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        common, tree, hot_keys, hot_n, big_n, vocab = shared.value
+        common, tree = model.value
+        hot_keys, hot_n, big_n, vocab, hot_codes, hot_log = hot.value
         texts = piece.column(0)
         n = len(texts)
         code, doc = codes(texts)
         which, of = np.unique(code, return_inverse=True)
-        depth = common.depth(which)
-        full = depth == DEPTH
         log_p = np.zeros(len(which))
-        log_p[full] = tree.log10(which[full])
+        at = hot_codes.find(mix(which))
+        full = at >= 0
+        log_p[full] = hot_log[at[full]]
+        rest = np.flatnonzero(~full)
+        depth = np.full(len(which), DEPTH, U)
+        depth[rest] = common.depth(which[rest])
+        whole = rest[depth[rest] == DEPTH]
+        log_p[whole] = tree.log10(which[whole])
+        full[whole] = True
         score = np.bincount(doc, log_p[of], n)
-        left = ~full[of]                                       # what the common contexts do not decide
+        left = np.flatnonzero(~full[of])                       # what neither hot codes nor common contexts decide
         left_doc, left_code = doc[left], (which | (depth << U(DEPTH_BITS)))[of[left]]
         order = np.lexsort((left_code, left_doc))
         left_doc, left_code = left_doc[order], left_code[order]
@@ -412,15 +466,28 @@ def score_texts(docs: DataFrame, folds: int = 5) -> DataFrame:
     depth, code, n, state = (found.column(c).to_numpy() for c in ("d", "code", "n", "state"))
     common, tree = Common(depth, code), SuffixTree(depth[state], code[state], n[state])
     parents = spark.sparkContext.broadcast(Parents(depth, code, n))
-    del found, depth, code, n, state
+    model = spark.sparkContext.broadcast((common, tree))
+    codes_n = counts.filter("kind = 1").select("key", "n")
+    distinct, least = codes_n.count(), _least_count(codes_n)
+    rare_n = codes_n.mapInArrow(_rare_counts(model, 1 + distinct // ROOT_ROWS), "task long, code array<long>, n array<long>")
+    scored_codes = stage(rare_n.groupBy("task").applyInArrow(_code_scores(model, parents, least), "code long, log double"), "lm-codes")
+    top = scored_codes.toArrow()                               # HOT_CODES rows at most, with those of common contexts
+    drop_stage(scored_codes)
+    here = code[(depth == DEPTH) & (n >= least)].view(U)
+    hot_code = mix(np.concatenate([top.column("code").to_numpy().view(U), here]))
+    hot_log = np.concatenate([top.column("log").to_numpy(), tree.log10(here)])
+    order = np.argsort(hot_code)
+    hot_code, hot_log = SortedHash(hot_code[order]), hot_log[order]
+    del found, depth, code, n, state, top, here, order
     end = np.uint64(END_WORD).astype(np.int64)
     hot = (unigrams.orderBy(F.desc("n"), "key").limit(HOT_WORDS).toPandas())       # HOT_WORDS rows at most
     end_n = int(unigrams.filter(F.col("key") == int(end)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     key = hot["key"].to_numpy(np.int64).view(U)
     order = np.argsort(key)
-    shared = spark.sparkContext.broadcast((common, tree, SortedHash(key[order]), hot["n"].to_numpy(float)[order], big_n, vocab))
+    known = spark.sparkContext.broadcast((SortedHash(key[order]), hot["n"].to_numpy(float)[order], big_n, vocab, hot_code, hot_log))
+    del common, tree, hot_code, hot_log
     whole = big_n + 0.5 * (vocab + 1)
-    scored = stage(d.mapInArrow(arrow_job(_score_task(shared, ["doc_id", "held_out"])),
+    scored = stage(d.mapInArrow(arrow_job(_score_task(model, known, ["doc_id", "held_out"])),
                                 "doc_id long, held_out boolean, n_tokens long, score double, base_hot double, known_hot long, tail array<long>, "
                                 "codes binary, asked long")
                    .withColumn("row", F.monotonically_increasing_id()), "lm-scored")
@@ -429,13 +496,13 @@ def score_texts(docs: DataFrame, folds: int = 5) -> DataFrame:
     part = (tail.join(unigrams, "key", "left").groupBy("row")
             .agg(F.sum(F.when(F.col("n").isNull(), unknown).otherwise(F.log10((F.col("n") + 0.5) / whole))).alias("base_tail"),
                  F.count("n").alias("known_tail")))
-    most = max(scored.agg(F.coalesce(F.sum("asked"), F.lit(0))).first()[0], counts.filter("kind = 1").count())
+    most = max(scored.agg(F.coalesce(F.sum("asked"), F.lit(0))).first()[0], distinct)
     tasks = 1 + most // ROOT_ROWS
-    rare_n = counts.filter("kind = 1").select("key", "n").mapInArrow(_rare_counts(shared, tasks), "task long, code array<long>, n array<long>")
+    rare_n = codes_n.mapInArrow(_rare_counts(model, tasks), "task long, code array<long>, n array<long>")
     asked = (scored.filter("codes IS NOT NULL").select("row", "codes")
              .mapInArrow(_rare_asked(tasks), "task long, code array<long>, times array<long>, row array<long>"))
     rare = stage(rare_n.groupBy("task").cogroup(asked.groupBy("task"))
-                 .applyInArrow(_rare_scores(shared, parents), "row long, rare double").groupBy("row").agg(F.sum("rare").alias("rare")), "lm-rare")
+                 .applyInArrow(_rare_scores(model, parents), "row long, rare double").groupBy("row").agg(F.sum("rare").alias("rare")), "lm-rare")
     end_log = F.log10(F.lit((end_n + 0.5) / max(whole, 0.5)))
     zero = F.lit(0)
     return (scored.drop("tail", "codes", "asked").join(part, "row", "left").join(rare, "row", "left")

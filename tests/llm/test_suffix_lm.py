@@ -161,3 +161,30 @@ def test_packed_codes_come_back():
     got = S.unpack(S.pack(code, times))
     assert got[0].tolist() == code.tolist() and got[1].tolist() == times.tolist()
     assert S.pack(code[:0], times[:0]) is None
+
+
+@pytest.mark.parametrize("hot", [0, 40, 1 << 21])
+def test_hot_codes_are_scored_like_the_others(spark, monkeypatch, hot):
+    texts = ["the cat and the hat", "The  hat on the mat and that cat", "a thing that the cat has", "zqx zqx", "zqy zqx é"] * 6
+    rows = [(i, t) for i, t in enumerate(texts)]
+    trained = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    monkeypatch.setattr(S, "MIN_SHARE", 0.0)                  # by definition: no share is asked for
+    states, p = brute_tree(trained)
+    for s in [s for s, n in states.items() if s and sum(n.values()) < 2]:
+        del states[s]
+    monkeypatch.setattr(S, "MIN_SHARE", 0.02)
+    monkeypatch.setattr(S, "HOT_CODES", hot)
+    asked = []
+    whole_stage = S.stage
+
+    def seen(df, name):
+        out = whole_stage(df, name)
+        if name == "lm-scored":
+            asked.append(out.agg({"asked": "sum"}).first()[0])
+        return out
+    monkeypatch.setattr(S, "stage", seen)
+    got = {r.doc_id: r.score for r in S.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        s = bytes([S.START] * S.DEPTH) + symbols_of(t)
+        assert got[i] == pytest.approx(sum(math.log10(p(s[j - S.DEPTH: j], s[j])) for j in range(S.DEPTH, len(s))), rel=1e-9)
+    assert (asked == [0]) == (hot == 1 << 21)                 # every text is also trained on: nothing is left to ask for
