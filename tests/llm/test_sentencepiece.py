@@ -110,3 +110,24 @@ def test_odd_rows(odd_docs, odd_rows, no_docs, library):
     want = sorted((str(r[0]), library.encode(r[1]) if r[1] else []) for r in odd_rows)
     assert sorted((str(r.doc_id), list(r.ids)) for r in rows) == want
     assert P.encode(no_docs).count() == 0
+
+
+def test_cuts_as_columns_equal_the_pattern():
+    pieces = P.Pieces(P.MODEL)
+    cut = P.Cut(pieces, TEXTS)
+    got = [[] for _ in TEXTS]
+    for doc, a, b in zip(cut.doc, cut.start, cut.end):
+        got[doc].append(cut.whole[a:b])
+    assert got == [pieces.units(t) for t in TEXTS]
+    words = cut.text(np.arange(len(cut.one)))
+    assert [words[i] for i in cut.of] == [u for units in got for u in units] and len(set(words)) == len(words)
+
+
+def test_paths_folded_as_columns_equal_the_merges():
+    pieces = P.Pieces(P.MODEL)
+    edges = P.Edges(pieces)
+    rng = random.Random(9)
+    for n in (1, 2, 3, 7, 20, 40):
+        units = ["".join(rng.choice("▁aaeehinrrsttu.,!é日") for _ in range(n)) for _ in range(200)]
+        point = np.array([[ord(c) for c in u] for u in units], np.uint32)
+        assert P._spelled(point, edges) == [pieces.long_ids(u) for u in units]
