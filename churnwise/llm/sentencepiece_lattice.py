@@ -574,12 +574,10 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     pieces = Pieces(model)
     shared = spark.sparkContext.broadcast(pieces)
     d = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    # tasks have combined their counts, so rows move before they are added
-    units = d.select("text").mapInArrow(_unit_task(shared), "unit string, n long").repartition("unit")
+    units = d.select("text").mapInArrow(_unit_task(shared), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     if not pieces.bpe:
         # a unit grows to dozens of rows, so its few bytes are dealt over many tasks, in which the edges then fit
         units = units.repartition(SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions")), "unit")
-    units = units.groupBy("unit").agg(F.sum("n").alias("n"))
     known = stage(encode_units(units, pieces).select(F.xxhash64("unit").alias("h"), "n", "ids"), "piece-units")
     hot = spark.sparkContext.broadcast(_hot(known))
     # rows are told apart by id and text hash; equal rows have equal ids, so they share one lookup
