@@ -95,6 +95,14 @@ def score_check(scored: DataFrame, contrib: DataFrame) -> DataFrame:
         ((F.col("churn_score") > 0.5) == (F.col("churn_prediction") == 1)).alias("class_follows"), (F.col("action") == action).alias("action_follows"))
 
 
+def contribution_check(contrib: DataFrame, customers: DataFrame, model) -> DataFrame:
+    """Customers, and how many of them have contributions that do not add up to the margin of walking the model's trees, or none at all."""
+    total = F.aggregate("contributions", F.col("base_value"), lambda a, x: a + x)
+    walked = customers.select(F.col(CUST).alias("_id"), model.margin().alias("_walked"))
+    both = walked.join(contrib.select(CUST, total.alias("_total")), F.col("_id").eqNullSafe(F.col(CUST)), "full")
+    return both.agg(F.count(F.lit(1)).alias("customers"), F.count_if(~_close(F.col("_total"), F.col("_walked"), 1e-6)).alias("broken"))
+
+
 def metrics_check(test: DataFrame, metrics: DataFrame, confusion: DataFrame, report: DataFrame, errors: DataFrame) -> DataFrame:
     """Held-out rows and churners, and whether every reported figure follows from the stored scores by another path."""
     y, p = F.col("churned"), F.col("churn_prediction")

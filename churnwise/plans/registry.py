@@ -562,9 +562,8 @@ def q_explained(spark, sf):
 
 @query("contribution_check")
 def q_contribution_check(spark, sf):
-    """Contributions add up to the model's margin; rows where they do not (0)."""
-    gap = F.abs(F.aggregate("contributions", F.col("base_value"), lambda a, x: a + x) - F.col("margin"))
-    return _contributions(spark, sf).agg(F.count(F.lit(1)).alias("customers"), F.count_if(gap > 1e-6).alias("broken"))
+    """Contributions add up to the margin that the model's own trees give; customers where they do not, or that have none (0)."""
+    return certificates.contribution_check(_contributions(spark, sf), _features(spark, sf), _churn(spark, sf)["model"])
 
 
 @query("clv_scores")

@@ -5,8 +5,10 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from churnwise.operators import actions, clv, evaluation, ml
+from churnwise.functions.scalar import finite_or_zero
+from churnwise.operators import actions, boosting, clv, evaluation, explain, ml
 from churnwise.plans import certificates as C
+from churnwise.plans import registry
 
 
 def all_true(df, *flags):
@@ -93,3 +95,25 @@ def test_logistic_gradient(spark):
     train = ml.VectorAssembler(inputCols=names, outputCol="features").transform(rows)
     got = C.logistic_gradient(train)
     assert [r.flat for r in got.collect()][:2] == [True, True]
+
+
+def test_contributions_are_held_against_the_model(spark, monkeypatch):
+    """Contributions that agree with themselves but not with the model's trees are broken, and so are missing ones."""
+    cols = ["a", "b"]
+    feat = spark.createDataFrame([(f"c{i}" if i else None, float(i % 7), float("nan") if i == 3 else float(i % 5), float(i % 7 > 3)) for i in range(120)],
+                                 "customer_unique_id string, a double, b double, label double")
+    model = boosting.fit(feat, cols, "label", "logistic", n_trees=3, max_depth=3, row_sample=1.0, feature_sample=1.0)
+    clean = feat.select("customer_unique_id", *[finite_or_zero(c).alias(c) for c in cols])
+    monkeypatch.setattr(registry, "_features", lambda spark, sf: feat)
+    monkeypatch.setattr(registry, "_churn", lambda spark, sf: {"model": model})
+
+    def found(contrib):
+        monkeypatch.setattr(registry, "_contributions", lambda spark, sf: contrib)
+        return tuple(registry.q_contribution_check(spark, "").first())
+    whole = explain.contributions(clean, model.explained(), cols)
+    assert found(whole) == (120, 0)
+    lost = explain.contributions(clean, model.explained()[1:], cols)              # a tree is left out
+    assert found(lost) == (120, 120)
+    assert found(whole.filter("NOT customer_unique_id <=> 'c5'")) == (120, 1)
+    shifted = F.when(F.col("customer_unique_id") == "c9", F.transform("contributions", lambda v: v + 0.01)).otherwise(F.col("contributions"))
+    assert found(whole.withColumn("margin", F.lit(0.0)).withColumn("contributions", shifted)) == (120, 1)
