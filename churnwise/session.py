@@ -7,6 +7,7 @@ import tempfile
 import threading
 import uuid
 import weakref
+from collections.abc import Iterable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -149,3 +150,19 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     out = spark.read.parquet(path)
     _TABLES[out] = entry
     return out
+
+
+def cut_parts(parts: Iterable[DataFrame], name: str = "stage") -> DataFrame:
+    """Write DataFrames of one schema one after another as one stage table; the shuffle files of one go before the next begins."""
+    path, spark = None, None
+    for df in parts:
+        spark = df.sparkSession
+        if path is None:
+            path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stages/{name}-{uuid.uuid4().hex}"
+            entry = (spark.sparkContext.applicationId, path)
+            _STAGES.append(entry)
+        with _shuffles_go(spark):
+            df.write.mode("append").parquet(path)
+    out = spark.read.parquet(path)
+    _TABLES[out] = entry
+    return out

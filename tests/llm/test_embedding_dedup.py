@@ -93,3 +93,60 @@ def test_traversal_loses_no_pair(reach):
                 assert pair in seen or pair in all_of
             elif pair in all_of:
                 raise AssertionError("a pair beyond the threshold was taken whole")
+
+
+def clustered(rng, n=160):
+    centres = rng.normal(size=(6, 12))
+    return list(enumerate(as_float32(centres[i % 6] + rng.normal(size=12) * (0.02, 0.1, 0.3)[i % 3]) for i in range(n)))
+
+
+def test_rounds_move_a_bounded_share_of_the_vectors(spark, monkeypatch):
+    for name, value in (("BLOCK", 8), ("TILE_BYTES", 3 * 8 * 12 * 8), ("TILES", 2), ("ROUND", 0.5), ("ROUND_BYTES", 0)):
+        monkeypatch.setattr(E, name, value)
+    rows = clustered(np.random.default_rng(5))
+    moved, compare = [], E._rounds
+
+    def rounds(rows, held, cells, *more):
+        tiles = [held[b].sum() for _, b in cells]
+        for df in compare(rows, held, cells, *more):
+            moved.append(1)
+            yield df
+        assert len(moved) >= sum(tiles) / (E.ROUND * held.sum()) > 2                # more than two rounds move
+    monkeypatch.setattr(E, "_rounds", rounds)
+    assert run(spark, rows) == brute(rows)
+    assert len(moved) > 2
+
+
+def test_pairs_fall_into_cells_once():
+    rng = np.random.default_rng(6)
+    x, y = np.nonzero(np.triu(rng.random((50, 50)) < 0.4))
+    pairs = np.stack([x, y], axis=1)
+    cells = E._cells(pairs, 50, E.TILE_BYTES // 3)
+    assert sorted(map(tuple, np.concatenate([p for p, _ in cells]).tolist())) == sorted(map(tuple, pairs.tolist()))
+    assert all(set(p.ravel().tolist()) == set(b.tolist()) and len(b) <= 6 for p, b in cells)
+
+
+def test_single_precision_loses_no_pair():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 20))
+    x[150:] = x[:150] + rng.normal(size=(150, 20)) * 0.33           # many pairs about the threshold
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for cosine in (0.95, float(x[0] @ x[150]), -1.0):
+        i, j = E._near(x, x.astype(np.float32), slice(10, 290), slice(0, 300), cosine - 1e-12)
+        assert set(zip(i.tolist(), j.tolist())) == {(a, b) for a, b in zip(*np.nonzero(x @ x.T >= cosine - 1e-12)) if 10 <= a < 290}
+
+
+def test_vectors_that_share_their_hashes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    rows = [*clustered(np.random.default_rng(8), 30), (100, [0.0] * 11 + [1.0]), (101, [-0.0] * 11 + [1.0]), (102, None)]
+    want = brute(rows)
+    assert run(spark, rows) == want
+    monkeypatch.setattr(E, "_hashes", lambda v: [F.lit(1).cast("long").alias("h1"), F.lit(2).cast("long").alias("h2")])
+    assert run(spark, rows) == want
+
+
+def test_double_vectors_keep_their_digits(spark):
+    near = [1.0, 1e-12]
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, near), (3, near), (4, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    out = sorted(tuple(r) for r in E.near_duplicates(df).collect())
+    assert out == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True)]
