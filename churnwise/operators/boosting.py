@@ -34,6 +34,8 @@ from churnwise.session import ensure_checkpoint_dir
 CUST = "customer_unique_id"
 MAX_BINS, LAMBDA, MIN_CHILD, MIN_GAIN = 256, 1.0, 1.0, 1e-6
 CHECKPOINT_TREES, MERGE, BLOCK_ROWS = 25, 16, 200_000
+#: Rows that go down a tree together, so that what they need stays in the cache.
+DESCEND_ROWS = 8192
 
 # ship this module's code with the task closure, so executors need no install
 try:
@@ -63,14 +65,20 @@ def sampled(key: np.ndarray, seed: int, tree: int, share: float) -> np.ndarray:
 
 def descend(tree: dict, columns: np.ndarray, cut: str = "bin") -> np.ndarray:
     """Node that each row of a feature-major matrix reaches."""
-    at, rows = np.zeros(columns.shape[1], np.int64), np.arange(columns.shape[1])
-    feature, limit = tree["feature"], tree[cut]
-    for _ in range(tree["depth"]):
-        f = feature[at]
-        inner = f >= 0
-        right = columns[np.where(inner, f, 0), rows] > limit[at]
-        at = np.where(inner, np.where(right, tree["right"][at], tree["left"][at]), at)
-    return at
+    n = columns.shape[1]
+    out, flat = np.zeros(n, np.int64), columns.reshape(-1)
+    inner, nodes = tree["feature"] >= 0, np.arange(len(tree["feature"]))
+    first = np.where(inner, tree["feature"], 0) * n                          # where a node's feature begins
+    limit = tree[cut].astype(columns.dtype) if columns.dtype == np.uint8 else tree[cut]
+    child = np.stack([np.where(inner, tree["left"], nodes), np.where(inner, tree["right"], nodes)], axis=1).reshape(-1)     # a leaf stays
+    rows = np.arange(n)
+    for lo in range(0, n, DESCEND_ROWS):
+        mine, at = rows[lo: lo + DESCEND_ROWS], out[lo: lo + DESCEND_ROWS]
+        for _ in range(tree["depth"]):
+            right = flat.take(first.take(at) + mine) > limit.take(at)
+            at = child.take(2 * at + right)
+        out[lo: lo + DESCEND_ROWS] = at
+    return out
 
 
 def best_splits(hist: np.ndarray, features: np.ndarray, n_cuts: np.ndarray) -> list[tuple | None]:

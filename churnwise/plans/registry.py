@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -489,9 +490,13 @@ def _clv(spark, sf):
 def _customers(spark, sf):
     """Customers with probability, action, segment, predicted value and tier."""
     def build():
-        seg = _segments(spark, sf)["customers"].select("customer_unique_id", "cluster", "segment")
-        val = _clv(spark, sf)["customers"].select("customer_unique_id", "predicted_clv", "clv_tier")
-        return cut_lineage(_churn_scored(spark, sf).join(seg, "customer_unique_id").join(val, "customer_unique_id"), "model_customers")
+        _features(spark, sf)
+        # the three fits need only the features: their many small jobs share the executors
+        with ThreadPoolExecutor(max_workers=3) as ex:
+            seg, scored, val = [f.result() for f in [ex.submit(step, spark, sf) for step in (_segments, _churn_scored, _clv)]]
+        seg = seg["customers"].select("customer_unique_id", "cluster", "segment")
+        val = val["customers"].select("customer_unique_id", "predicted_clv", "clv_tier")
+        return cut_lineage(scored.join(seg, "customer_unique_id").join(val, "customer_unique_id"), "model_customers")
     return _memo(spark, sf, "m_customers", build)
 
 

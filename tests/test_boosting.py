@@ -107,3 +107,29 @@ def test_sums_keep_their_order(spark, monkeypatch):
     while len(level) > 1:
         level = [sum(level[lo: lo + 3]) for lo in range(0, len(level), 3)]
     assert sorted(got) == [0, 1, 2, 3] and all(np.array_equal(got[s], level[0][s]) for s in range(4))
+
+
+def test_rows_go_down_trees_of_any_shape(monkeypatch):
+    monkeypatch.setattr(B, "DESCEND_ROWS", 7)
+    rng = np.random.default_rng(6)
+    for depth in (0, 1, 5):
+        t = {c: [] for c in ("feature", "left", "right", "bin", "threshold")}
+
+        def add(level):
+            node = len(t["left"])
+            for c, v in (("feature", -1), ("left", -1), ("right", -1), ("bin", 0), ("threshold", np.nan)):
+                t[c].append(v)
+            if level < depth and (not level or rng.random() < 0.7):
+                t["feature"][node], t["bin"][node], t["threshold"][node] = int(rng.integers(3)), int(rng.integers(250)), rng.normal()
+                t["left"][node], t["right"][node] = add(level + 1), add(level + 1)
+            return node
+        add(0)
+        tree = {**{c: np.array(v) for c, v in t.items()}, "depth": depth}
+        for x, cut in ((rng.integers(0, 256, (3, 40)).astype(np.uint8), "bin"), (rng.normal(size=(40, 3)).T, "threshold"), (np.zeros((3, 0)), "threshold")):
+            want = []
+            for row in x.T:
+                at = 0
+                while tree["feature"][at] >= 0:
+                    at = tree["right" if row[tree["feature"][at]] > tree[cut][at] else "left"][at]
+                want.append(at)
+            assert B.descend(tree, x, cut).tolist() == want

@@ -1,5 +1,6 @@
 """Certificates hold for right results and fail for results that were changed."""
 import math
+import threading
 
 import pytest
 from pyspark.ml.functions import array_to_vector
@@ -117,3 +118,26 @@ def test_contributions_are_held_against_the_model(spark, monkeypatch):
     assert found(whole.filter("NOT customer_unique_id <=> 'c5'")) == (120, 1)
     shifted = F.when(F.col("customer_unique_id") == "c9", F.transform("contributions", lambda v: v + 0.01)).otherwise(F.col("contributions"))
     assert found(whole.withColumn("margin", F.lit(0.0)).withColumn("contributions", shifted)) == (120, 1)
+
+
+def test_activation_models_are_fitted_side_by_side(spark, monkeypatch):
+    """The three fits behind the activation results wait for one another here, so one after another would never end."""
+    meet = threading.Barrier(3, timeout=60)
+    ids = [f"c{i}" for i in range(6)]
+
+    def fit(found):
+        def run(spark, sf):
+            meet.wait()
+            return found
+        return run
+    seg = spark.createDataFrame([(c, i % 2, "Champions") for i, c in enumerate(ids)], "customer_unique_id string, cluster int, segment string")
+    val = spark.createDataFrame([(c, 100.0 * i, "Gold") for i, c in enumerate(ids)], "customer_unique_id string, predicted_clv double, clv_tier string")
+    scored = spark.createDataFrame([(c, i / 5, ["NURTURE", "SAVE_NOW"][i % 2]) for i, c in enumerate(ids)],
+                                   "customer_unique_id string, churn_probability double, action string")
+    monkeypatch.setattr(registry, "_MEMO", {})
+    monkeypatch.setattr(registry, "_features", lambda spark, sf: None)
+    monkeypatch.setattr(registry, "_clean", lambda spark, sf: None)
+    monkeypatch.setattr(registry.batch, "run_time", lambda clean: F.lit("2024-01-01").cast("timestamp"))
+    for name, found in (("_segments", {"customers": seg}), ("_churn_scored", scored), ("_clv", {"customers": val})):
+        monkeypatch.setattr(registry, name, fit(found))
+    assert [tuple(r) for r in registry.q_activation_certificate(spark, "").collect()] == [(6, True, True, True)]
