@@ -167,7 +167,7 @@ def _assign(shared):
 
 def _near(x: np.ndarray, single: np.ndarray, a: slice, b: slice, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs of the slices a and b of at least this cosine.  Single precision, with room for its rounding, leaves few pairs to be computed again."""
-    i, j = np.nonzero(single[a] @ single[b].T >= cosine - (x.shape[1] + 4) * 2.0 ** -23)
+    i, j = np.divmod(np.flatnonzero(single[a] @ single[b].T >= cosine - (x.shape[1] + 4) * 2.0 ** -23), max(b.stop - b.start, 1))
     if len(i) > b.stop - b.start:
         i, j = np.nonzero(x[a] @ x[b].T >= cosine)
     else:
